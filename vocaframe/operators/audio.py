@@ -1,7 +1,7 @@
 """WAV audio: header inspection, decoding, resampling, channel mixing, encoding.
 
 The only Python in the library.  Spark partitions the files and ships them in
-Arrow batches to ``mapInPandas``; inside a task each file is a few NumPy
+Arrow batches to ``mapInArrow``; inside a task each file is a few NumPy
 calls.  Header-only steps pass just the first bytes of each file to Python.
 """
 
@@ -9,10 +9,7 @@ from __future__ import annotations
 
 import math
 import struct
-from typing import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +166,20 @@ def preprocess(content: bytes, target_rate: int = K.SAMPLE_RATE) -> np.ndarray:
 
 
 # --- DataFrame operators ----------------------------------------------------
+# Each runs as mapInArrow: Arrow record batches in and out, no pandas
+# conversion of the binary or list columns.
+
+def _float_lists(parts: list, valid: list[bool]):
+    import pyarrow as pa
+
+    offsets = np.zeros(len(valid) + 1, dtype=np.int32)
+    lengths = [len(p) if ok else 0 for p, ok in zip(parts, valid)]
+    np.cumsum(lengths, out=offsets[1:])
+    kept = [p for p, ok in zip(parts, valid) if ok]
+    values = np.concatenate(kept).astype(np.float32) if kept else np.zeros(0, np.float32)
+    mask = pa.array([not ok for ok in valid], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
+
 
 def inspect_headers(df: DataFrame, id_col: str, content_col: str = "content",
                     length_col: str | None = None) -> DataFrame:
@@ -181,22 +192,29 @@ def inspect_headers(df: DataFrame, id_col: str, content_col: str = "content",
     slim = df.select(F.col(id_col).alias("id"), F.substring(content_col, 1, HEADER_BYTES).alias("head"),
                      length.cast("bigint").alias("total"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, head, total in zip(pdf["id"], pdf["head"], pdf["total"]):
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            cols = {k: [] for k in ("sample_rate", "n_channels", "bits", "n_frames", "seconds", "error")}
+            for head, total in zip(rb.column(1).to_pylist(), rb.column(2).to_pylist()):
                 try:
-                    h = parse_header(bytes(head), int(total))
-                    rows.append((i, h["sample_rate"], h["channels"], h["bits"], h["n_frames"],
-                                 h["n_frames"] / h["sample_rate"] if h["sample_rate"] else None, None))
-                except (WavError, struct.error) as e:
-                    rows.append((i, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["id", "sample_rate", "n_channels", "bits", "n_frames",
-                                              "seconds", "error"])
+                    h = parse_header(head, total)
+                    vals = (h["sample_rate"], h["channels"], h["bits"], h["n_frames"],
+                            h["n_frames"] / h["sample_rate"] if h["sample_rate"] else None, None)
+                except (WavError, struct.error, TypeError) as e:
+                    vals = (None, None, None, None, None, str(e))
+                for k, v in zip(cols, vals):
+                    cols[k].append(v)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), pa.array(cols["sample_rate"], pa.int32()), pa.array(cols["n_channels"], pa.int32()),
+                 pa.array(cols["bits"], pa.int32()), pa.array(cols["n_frames"], pa.int64()),
+                 pa.array(cols["seconds"], pa.float64()), pa.array(cols["error"], pa.string())],
+                names=["id", *cols])
 
     schema = ("id {t}, sample_rate int, n_channels int, bits int, n_frames bigint, seconds double, "
               "error string").format(t=dict(df.dtypes)[id_col])
-    return slim.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def lint(headers: DataFrame, min_rate: int = K.SAMPLE_RATE, max_seconds: float = 10.0) -> DataFrame:
@@ -217,21 +235,26 @@ def preprocess_audio(df: DataFrame, id_col: str, content_col: str = "content",
     row instead of failing the job."""
     slim = df.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, ns, samples, errs = [], [], [], []
-            for i, content in zip(pdf["id"], pdf["content"]):
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            parts, valid, ns, errs = [], [], [], []
+            for content in rb.column(1).to_pylist():
                 try:
-                    y = preprocess(bytes(content), target_rate)
-                    ids.append(i), ns.append(len(y)), samples.append(y), errs.append(None)
-                except (WavError, struct.error, ValueError) as e:
-                    ids.append(i), ns.append(None), samples.append(None), errs.append(str(e))
-            yield pd.DataFrame({"id": ids, "sample_rate": target_rate, "n_samples": ns,
-                                "samples": samples, "error": errs})
+                    y = preprocess(content, target_rate)
+                    parts.append(y), valid.append(True), ns.append(len(y)), errs.append(None)
+                except (WavError, struct.error, ValueError, TypeError) as e:
+                    parts.append(None), valid.append(False), ns.append(None), errs.append(str(e))
+            n = rb.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), pa.array(np.full(n, target_rate, np.int32)), pa.array(ns, pa.int64()),
+                 _float_lists(parts, valid), pa.array(errs, pa.string())],
+                names=["id", "sample_rate", "n_samples", "samples", "error"])
 
     schema = "id {t}, sample_rate int, n_samples bigint, samples array<float>, error string".format(
         t=dict(df.dtypes)[id_col])
-    return slim.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def encode_wav(df: DataFrame, id_col: str, channels_col: str = "channels", rate_col: str = "sample_rate",
@@ -242,12 +265,18 @@ def encode_wav(df: DataFrame, id_col: str, channels_col: str = "channels", rate_
     slim = df.select(F.col(id_col).alias("id"), F.col(channels_col).alias("ch"),
                      F.col(rate_col).alias("rate"), F.col(bits_col).alias("bits"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [encode_pcm(np.stack([np.asarray(c) for c in ch]) if len(ch) else np.zeros((1, 0)),
-                              int(rate), int(bits))
-                   for ch, rate, bits in zip(pdf["ch"], pdf["rate"], pdf["bits"])]
-            yield pd.DataFrame({"id": pdf["id"], "content": out})
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            chans = rb.column(1)
+            out = []
+            for i, (rate, bits) in enumerate(zip(rb.column(2).to_pylist(), rb.column(3).to_pylist())):
+                row = chans[i].values  # ListArray of channels
+                arr = np.stack([row[j].values.to_numpy(zero_copy_only=False) for j in range(len(row))]) \
+                    if len(row) else np.zeros((1, 0), np.int64)
+                out.append(encode_pcm(arr, int(rate), int(bits)))
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(out, pa.binary())], names=["id", "content"])
 
     schema = "id {t}, content binary".format(t=dict(df.dtypes)[id_col])
-    return slim.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
