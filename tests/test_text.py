@@ -34,7 +34,7 @@ def test_rules_one_by_one(spark):
         "[\tn]": "",  # N1 before N2
         "[ n]": "n",  # N2 before N3: brackets go in N16
         "あ い　う": "あいう",  # N3, N4
-        "あ;▼♀♂《》≪≫①②③④⑤⑥い": "あい",  # N5 (U+E63E included)
+        "あ;▼♀♂《》≪≫\ue63e①②③④⑤⑥い": "あい",  # N5 (U+E63E included)
         "あ˗‐―⁃−⎯⏤─━⸺⸻い": "あい",  # N6
         "～〜": "ーー",  # N7
         "？！": "?!",  # N8, N9

@@ -262,7 +262,7 @@ TEXT_EDGE_ROWS = (
     (-5, "こんにちは、お元気ですか。"),
     (-6, "タブ\tと[n]改行　全角 スペース"),
     (-7, "[ n]と[\tn]"),
-    (-8, "記号;▼♀♂《》≪≫①②③④⑤⑥です"),
+    (-8, "記号;▼♀♂《》≪≫\ue63e①②③④⑤⑥です"),
     (-9, "ダッシュ˗‐‑‒–—―⁃−⎯⏤─━⸺⸻"),
     (-10, "波～と〜？！●◯〇♥"),
     (-11, "ＡＢＣｘｙｚ０１２９"),
