@@ -60,6 +60,14 @@ def invalid_char_pattern() -> str:
     return "[^" + keep_class() + "]+"
 
 
+def keep_run_pattern() -> str:
+    """Runs of allowed characters; ASCII first, as the class is tried in order."""
+    ranges = sorted(K.NORM_KEEP_RANGES, key=lambda r: (r[0] > 0x7F, r[0]))
+    parts = [_x(lo) if lo == hi else f"{_x(lo)}-{_x(hi)}" for lo, hi in ranges]
+    parts.extend(_x(ord(ch)) for ch in K.NORM_KEEP_CHARS)
+    return "[" + "".join(parts) + "]+"
+
+
 def ellipsis_run_pattern() -> str:
     return _x(ord(K.ELLIPSIS)) + "{3,}"
 
@@ -91,15 +99,22 @@ def normalize_text(text: ColumnOrName, passes: int = 1) -> Column:
     is not idempotent (a run of ellipses split by a deleted character only
     becomes a run after the last step), so ``passes=2`` reproduces paths that
     normalize twice.
+
+    Costs: the two literal deletions are byte searches; the ellipsis regex
+    only runs on texts that contain three ellipses; the last step keeps the
+    runs of allowed characters (``regexp_extract_all`` + ``array_join``),
+    which is the same text as deleting the rest, at half the regex work.
     """
     matching, replace = translate_tables()
+    run3 = K.ELLIPSIS * 3
     c = col_of(text)
     for _ in range(passes):
-        c = F.translate(c, K.NORM_DELETE_TAB, "")
+        c = F.replace(c, F.lit(K.NORM_DELETE_TAB), F.lit(""))
         c = F.replace(c, F.lit(K.NORM_DELETE_LITERAL), F.lit(""))
         c = F.translate(c, matching, replace)
-        c = F.regexp_replace(c, F.lit(ellipsis_run_pattern()), F.lit(K.ELLIPSIS * 2))
-        c = F.regexp_replace(c, F.lit(invalid_char_pattern()), F.lit(""))
+        c = F.when(c.contains(run3), F.regexp_replace(c, F.lit(ellipsis_run_pattern()), F.lit(K.ELLIPSIS * 2))
+                   ).otherwise(c)
+        c = F.array_join(F.regexp_extract_all(c, F.lit(keep_run_pattern()), F.lit(0)), "")
     return c
 
 
@@ -115,8 +130,12 @@ def split_literal(text: ColumnOrName, sep: str) -> Column:
 
 
 def split_lines(text: ColumnOrName) -> Column:
-    """Python ``str.splitlines()`` boundaries (CRLF counts once)."""
-    return F.split(col_of(text), line_break_pattern(), -1)
+    """Python ``str.splitlines()`` boundaries (CRLF counts once).
+
+    Every boundary is first rewritten to LF (a cached regex), then the split
+    is on one character, which takes Java's no-regex split path."""
+    unified = F.regexp_replace(col_of(text), F.lit(line_break_pattern()), F.lit("\n"))
+    return F.split(unified, "\n", -1)
 
 
 def non_blank_lines(text: ColumnOrName) -> Column:

@@ -67,31 +67,32 @@ def q_speech_token_render(spark: SparkSession, sf: str) -> DataFrame:
 def q_speech_id_extract(spark: SparkSession, sf: str) -> DataFrame:
     u = S.utterances(spark, sf)
     noisy = F.concat(F.lit("x"), render_speech_tokens("codes"), F.lit("<|s_|>"), F.col("event_type"))
-    ids = extract_speech_ids(noisy)
-    return u.select(
+    # project the extracted ids once; the next select reads the column
+    x = u.select("utt_id", "codes", extract_speech_ids(noisy).alias("ids"))
+    return x.select(
         "utt_id",
-        format_code_list(ids).alias("ids"),
-        F.size(ids).cast("bigint").alias("n_ids"),
-        (ids == F.col("codes").cast("array<bigint>")).alias("roundtrip_ok"),
+        format_code_list("ids").alias("ids"),
+        F.size("ids").cast("bigint").alias("n_ids"),
+        (F.col("ids") == F.col("codes").cast("array<bigint>")).alias("roundtrip_ok"),
     )
 
 
 def q_generated_id_decode(spark: SparkSession, sf: str) -> DataFrame:
     g = S.generated(spark, sf)
-    codes = decode_generated_ids("ids", "prompt_len")
-    return g.select("utt_id", "prompt_len", format_code_list(codes).alias("codes"),
-                    F.size(codes).cast("bigint").alias("n_codes"))
+    d = g.select("utt_id", "prompt_len", decode_generated_ids("ids", "prompt_len").alias("codes"))
+    return d.select("utt_id", "prompt_len", format_code_list("codes").alias("codes"),
+                    F.size("codes").cast("bigint").alias("n_codes"))
 
 
 def q_code_list_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     u = S.utterances(spark, sf)
-    text = format_code_list("codes")
-    parsed = parse_code_list(text, strict=False)
-    return u.select(
+    t = u.select("utt_id", "codes", format_code_list("codes").alias("code_list"))
+    p = t.withColumn("parsed", parse_code_list("code_list", strict=False))
+    return p.select(
         "utt_id",
-        text.alias("code_list"),
-        parsed.isNotNull().alias("parse_ok"),
-        F.coalesce(parsed == F.col("codes"), F.lit(False)).alias("roundtrip_ok"),
+        "code_list",
+        F.col("parsed").isNotNull().alias("parse_ok"),
+        F.coalesce(F.col("parsed") == F.col("codes"), F.lit(False)).alias("roundtrip_ok"),
     )
 
 
