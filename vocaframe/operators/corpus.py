@@ -19,7 +19,7 @@ def audio_file_ids(inventory: DataFrame, audio_dir: str, ext: str = ".wav") -> D
     return (
         inventory.withColumn("_rel", rel)
         .where(bare.startswith(prefix) & bare.endswith(ext))
-        .select(fid.alias("file_id"), "path")
+        .select(fid.alias("file_id"), *inventory.columns)
     )
 
 
@@ -34,12 +34,20 @@ def _without_scheme(p: str) -> str:
 def build_corpus(texts: DataFrame, audio_ids: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """``file_id, text`` x audio -> ``file_id, text, code``.
 
-    Texts whose audio file is missing are skipped (left-semi join, driven by
-    the transcripts: files without a transcript are ignored).  ``codes``
-    (``file_id, code``), the encoder's output, is attached by an inner join;
-    rows with NULL codes are skipped, an empty list is kept.  No broadcast
-    hint: both sides grow with the corpus; AQE turns a join into a broadcast
-    at run time only when a side is measured small."""
+    Texts whose audio file is missing are skipped (driven by the
+    transcripts: files without a transcript are ignored).  The encoder's
+    output is attached by an inner join; rows with NULL codes are skipped,
+    an empty list is kept.
+
+    When the audio table already carries a ``code`` column (codes stored
+    with the inventory), presence and codes come from one inner join.
+    Otherwise ``codes`` (``file_id, code``) is joined after a left-semi join
+    with the audio ids.  No broadcast hint: both sides grow with the corpus;
+    AQE turns a join into a broadcast at run time only when a side is
+    measured small, and splits skewed partitions."""
+    if codes is None and "code" in audio_ids.columns:
+        return texts.join(audio_ids.select("file_id", "code"), "file_id", "inner").where(
+            F.col("code").isNotNull()).select("file_id", "text", "code")
     present = texts.join(audio_ids.select("file_id"), "file_id", "left_semi")
     if codes is None:
         return present.select("file_id", "text", F.lit(None).cast("array<int>").alias("code"))

@@ -44,7 +44,7 @@ def trim_context(codes: Column, trim: int = K.CONTEXT_TRIM) -> Column:
 
 
 def _blocked(df: DataFrame, block: int) -> DataFrame:
-    return df.withColumn("_blk", F.floor(F.col("pos") / F.lit(block)).cast("bigint"))
+    return df.withColumn("_blk", F.expr(f"CAST(pos DIV {int(block)} AS BIGINT)"))
 
 
 def with_previous(df: DataFrame, cols: list[str], block: int = DEFAULT_BLOCK,
@@ -81,14 +81,15 @@ def chain_context(script: DataFrame, refs: DataFrame | None = None, block: int =
     codes are always trimmed."""
     s = script.select("script_id", "pos", "text", trim_context(F.col("codes"), trim).alias("trimmed"))
     p = with_previous(s, ["text", "trimmed"], block)
+    p = p.select("script_id", "pos", "text", F.col("prev_text").alias("context_text"),
+                 F.col("prev_trimmed").alias("context_codes"))
     if refs is not None:
-        first = F.col("pos") == 0
-        p = p.join(refs.select("script_id", "ref_text", "ref_codes"), "script_id", "left")
-        ctx_text = F.when(first, F.col("ref_text")).otherwise(F.col("prev_text"))
-        ctx_codes = F.when(first, F.col("ref_codes")).otherwise(F.col("prev_trimmed"))
-    else:
-        ctx_text, ctx_codes = F.col("prev_text"), F.col("prev_trimmed")
-    p = p.withColumn("context_text", ctx_text).withColumn("context_codes", ctx_codes)
+        # only the first sentence of a script uses the caller's reference: join
+        # those rows alone (one per script, so no hot key reaches the join)
+        first = p.where(F.col("pos") == 0).drop("context_text", "context_codes").join(
+            refs.select("script_id", F.col("ref_text").alias("context_text"),
+                        F.col("ref_codes").alias("context_codes")), "script_id", "left")
+        p = p.where(F.col("pos") != 0).unionByName(first)
     full_text = F.when(F.length("context_text") > 0, with_reference_text("text", "context_text")).otherwise(
         F.col("text"))
     return p.select(

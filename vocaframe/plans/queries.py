@@ -161,10 +161,9 @@ def _corpus_parts(spark: SparkSession, sf: str):
     lines = S.manifest_lines(spark, sf)
     parsed = manifest.parse_manifest(lines)
     texts = manifest.last_text_per_id(parsed).select("file_id", "text")
-    inv = S.audio_inventory(spark, sf)
+    inv = S.audio_codes(S.audio_inventory(spark, sf))  # listing + the codec's output per file
     ids = corpus.audio_file_ids(inv, S.AUDIO_DIR, ".wav")
-    codes = ids.join(S.audio_codes(inv), "path").select("file_id", "code")
-    built = corpus.build_corpus(texts, ids, codes)
+    built = corpus.build_corpus(texts, ids)
     return lines, parsed, texts, ids, built
 
 

@@ -155,8 +155,8 @@ def audio_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audio_codes(inventory: DataFrame) -> DataFrame:
-    """Codec output per audio file (stand-in for the encoder): ``path, code``."""
-    return inventory.select("path", F.expr(AUDIO_CODES).alias("code"))
+    """Adds the codec output per audio file (stand-in for the encoder): ``code``."""
+    return inventory.withColumn("code", F.expr(AUDIO_CODES))
 
 
 # --- reference embeddings ---------------------------------------------------
