@@ -98,3 +98,29 @@ def test_read_contents_of_matched_files(spark, tmpdir_path):
     ids = audio_file_ids(inv, audio).where(F.col("file_id") == "b")
     got = read_contents(ids).collect()
     assert [(r.file_id, bytes(r.content)) for r in got] == [("b", b"BB")]
+
+
+def test_write_counts_observed(spark, tmpdir_path):
+    df = spark.createDataFrame([("a", [1, 2]), ("b", []), ("c", None)], "text string, code array<int>")
+    counts = write_corpus(df, os.path.join(tmpdir_path, "c"))
+    assert counts == {"samples": 3, "empty_codes": 1, "codes": 2}
+
+
+def test_codes_with_inventory_one_join(spark):
+    texts = spark.createDataFrame([("a", "ta"), ("b", "tb"), ("c", "tc")], "file_id string, text string")
+    audio = spark.createDataFrame([("a", "/w/a.wav", [1]), ("b", "/w/b.wav", None)],
+                                  "file_id string, path string, code array<int>")
+    got = build_corpus(texts, audio)
+    assert [(r.file_id, r.code) for r in got.collect()] == [("a", [1])]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
+def test_invalid_utf8_flagged(spark, tmpdir_path):
+    from vocaframe.sources.manifest import read_lines
+
+    p = os.path.join(tmpdir_path, "m.txt")
+    with open(p, "wb") as f:
+        f.write(b"a:ok\nb:\xff\xfe bad\n")
+    got = {r.line.split(":")[0]: r.utf8_ok for r in read_lines(spark, p).collect()}
+    assert got == {"a": True, "b": False}

@@ -105,7 +105,7 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
     """Place every sentence's kept codes in the stitched sequence.
 
     Output per sentence: ``script_id, pos, is_last, kept, n_kept, start_seq,
-    total``; the stitched sequence of a script is the concatenation of
+    total, decodable`` (the last two on the last sentence); the stitched sequence of a script is the concatenation of
     ``kept`` by ``pos``, i.e. code ``kept[k]`` sits at ``start_seq + k``.
 
     Plan: partial aggregates per block (last position, sum of trimmed
@@ -139,8 +139,10 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
         (F.col("_blk_off") + F.col("_in_off")).cast("bigint").alias("start_seq"),
         F.col("_tlen"),
     ).withColumn("n_kept", F.coalesce(F.size("kept"), F.lit(0)).cast("bigint"))
-    total = F.col("start_seq") + F.col("n_kept")  # on the last row; others carry it through is_last
-    return out.withColumn("total", F.when(F.col("is_last"), total)).drop("_tlen")
+    total = F.col("start_seq") + F.col("n_kept")  # on the last row only
+    out = out.withColumn("total", F.when(F.col("is_last"), total)).drop("_tlen")
+    # a script with no codes at all yields no audio (decoding [] is an error)
+    return out.withColumn("decodable", F.when(F.col("is_last"), F.col("total") > 0))
 
 
 def stitched_stream(offsets: DataFrame) -> DataFrame:

@@ -198,6 +198,7 @@ ORACLE_SQL: dict[str, str] = {
     "segment_stitch": (
         f"WITH {SENT}, {STITCH} SELECT conv_id, turn, is_last, coalesce(len(kept), 0)::BIGINT AS n_kept, "
         "start_seq, CASE WHEN is_last THEN (start_seq + coalesce(len(kept), 0))::BIGINT END AS total, "
+        "CASE WHEN is_last THEN start_seq + coalesce(len(kept), 0) > 0 END AS decodable, "
         f"{G.code_list('kept')} AS kept FROM o"
     ),
     "segment_stream": (

@@ -209,7 +209,7 @@ def _offsets(spark: SparkSession, sf: str) -> DataFrame:
 def q_segment_stitch(spark: SparkSession, sf: str) -> DataFrame:
     o = _offsets(spark, sf)
     return o.select(F.col("script_id").alias("conv_id"), F.col("pos").alias("turn"), "is_last", "n_kept",
-                    "start_seq", "total", format_code_list("kept").alias("kept"))
+                    "start_seq", "total", "decodable", format_code_list("kept").alias("kept"))
 
 
 def q_segment_stream(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CORPUS_SCHEMA = "text STRING, code ARRAY<INT>"
 
 
-def write_corpus(df: DataFrame, path: str) -> None:
+def write_corpus(df: DataFrame, path: str) -> dict:
     """One JSON object per line with keys ``text`` and ``code`` (non-ASCII
     kept as is; a NULL code is omitted).  ``path`` is a folder of part
-    files, overwritten."""
-    df.select("text", "code").write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    files, overwritten.
+
+    Returns the counts of the written rows (``samples``, ``empty_codes``,
+    ``codes``), gathered by ``observe`` during the write itself: no second
+    pass over the data."""
+    obs = Observation("corpus_write")
+    observed = df.select("text", "code").observe(
+        obs,
+        F.count(F.lit(1)).alias("samples"),
+        F.sum(F.when(F.size("code") == 0, 1).otherwise(0)).alias("empty_codes"),
+        F.sum(F.coalesce(F.size("code"), F.lit(0))).alias("codes"),
+    )
+    observed.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    return {k: (v or 0) for k, v in obs.get.items()}
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -15,14 +15,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     monotonically_increasing_id())``: within one split the id grows with the
     line, and splits of a file are ordered by their start.  The key is
     deterministic for a given input, so a re-run task after an executor loss
-    recomputes the same keys.  UTF-8 BOMs are dropped by the reader."""
+    recomputes the same keys.  UTF-8 BOMs are dropped by the reader.
+    ``utf8_ok`` flags lines with invalid UTF-8 (the original reader raises
+    on them; here they are kept and flagged)."""
     df = spark.read.text(path)
     key = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return df.select(key.alias("line_key"), F.col("value").alias("line"))
+    return df.select(key.alias("line_key"), F.col("value").alias("line"),
+                     F.is_valid_utf8("value").alias("utf8_ok"))
 
 
 def read_manifest(spark: SparkSession, path: str, sep: str = ":", file_index: int = 0,
