@@ -43,13 +43,13 @@ def test_build_corpus_semantics(spark):
 
 
 def test_report(spark):
-    lines = spark.createDataFrame(list(enumerate(["a:x", "b:y", "bad", "a:z"])), "line_key long, line string")
-    parsed = parse_manifest(lines)
-    texts = last_text_per_id(parsed).select("file_id", "text")
-    audio = spark.createDataFrame([("a", "/a.wav")], "file_id string, path string")
-    corpus = build_corpus(texts, audio, spark.createDataFrame([("a", [1])], "file_id string, code array<int>"))
-    rep = {r.metric: r.value for r in corpus_report(lines, parsed, texts, corpus, audio).collect()}
-    assert rep == {"lines": 4, "valid_lines": 3, "texts": 2, "texts_without_audio": 1, "samples": 1}
+    lines = spark.createDataFrame(list(enumerate(["a:x", "b:y", "bad", "a:z", "c:w", ""])),
+                                  "line_key long, line string")
+    flagged = parse_manifest(lines, keep_invalid=True)
+    texts = last_text_per_id(flagged.where("valid")).select("file_id", "text")
+    audio = spark.createDataFrame([("a", [1]), ("c", None)], "file_id string, code array<int>")
+    rep = {r.metric: r.value for r in corpus_report(flagged, texts, audio).collect()}
+    assert rep == {"lines": 6, "valid_lines": 4, "texts": 3, "texts_without_audio": 1, "samples": 1}
 
 
 def test_jsonl_roundtrip(spark, tmpdir_path):

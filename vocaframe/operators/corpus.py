@@ -61,20 +61,26 @@ def corpus_rows(corpus: DataFrame) -> DataFrame:
     return corpus.select("text", "code")
 
 
-def corpus_report(lines: DataFrame, parsed: DataFrame, texts: DataFrame, corpus: DataFrame,
-                  audio_ids: DataFrame) -> DataFrame:
-    """Counts of each stage as ``metric, value`` rows (one partial count per
-    stage, unioned; no cross join of one-row tables)."""
-    missing = texts.join(audio_ids.select("file_id"), "file_id", "left_anti")
-
-    def cnt(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("value")).select(
-            F.lit(name).alias("metric"), "value")
-
-    return (
-        cnt(lines, "lines")
-        .unionByName(cnt(parsed, "valid_lines"))
-        .unionByName(cnt(texts, "texts"))
-        .unionByName(cnt(missing, "texts_without_audio"))
-        .unionByName(cnt(corpus, "samples"))
-    )
+def corpus_report(lines: DataFrame, texts: DataFrame, audio_ids: DataFrame) -> DataFrame:
+    """Counts of each stage as ``metric, value`` rows.
+
+    ``lines``: every manifest line with a ``valid`` flag
+    (``parse_manifest(..., keep_invalid=True)``); ``texts``: one row per id;
+    ``audio_ids``: ``file_id`` (+ optional ``code``) of the existing files.
+    Two aggregations, each one pass: line counts over the lines, and text /
+    audio / sample counts over the texts left-joined with the audio.  No
+    cross join of one-row tables: each result is unpivoted with ``stack``."""
+    line_stats = lines.agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("valid")).alias("valid_lines"),
+    ).select(F.expr("stack(2, 'lines', lines, 'valid_lines', valid_lines) AS (metric, value)"))
+    a = audio_ids.select("file_id", (F.col("code").isNotNull() if "code" in audio_ids.columns
+                                     else F.lit(True)).alias("_has_code"), F.lit(True).alias("_has_audio"))
+    j = texts.select("file_id").join(a, "file_id", "left")
+    text_stats = j.agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.count_if(F.col("_has_audio").isNull()).alias("texts_without_audio"),
+        F.count_if(F.coalesce(F.col("_has_code"), F.lit(False))).alias("samples"),
+    ).select(F.expr("stack(3, 'texts', texts, 'texts_without_audio', texts_without_audio, "
+                    "'samples', samples) AS (metric, value)"))
+    return line_stats.unionByName(text_stats)

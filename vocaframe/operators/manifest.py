@@ -18,18 +18,23 @@ def _field(parts: Column, index: int) -> Column:
 
 
 def parse_manifest(lines: DataFrame, sep: str = ":", file_index: int = 0, text_index: int = 1,
-                   line_col: str = "line", key_col: str = "line_key") -> DataFrame:
+                   line_col: str = "line", key_col: str = "line_key", keep_invalid: bool = False) -> DataFrame:
     """``key, line`` -> ``line_key, file_id, text`` for every valid line.
 
     Per line: strip (Python whitespace), split on the literal separator, pick
     two fields.  The line is valid when both fields exist and are non-empty
     *before* they are stripped, so ``"a: :z"`` yields id ``a`` with an empty
-    text.  Text after a second separator is lost.  Map-only: no shuffle."""
+    text.  Text after a second separator is lost.  Map-only: no shuffle.
+    ``keep_invalid=True`` keeps every line and adds a ``valid`` flag."""
     parts = split_literal(py_strip(F.col(line_col)), sep)
     fid = _field(parts, file_index)
     txt = _field(parts, text_index)
     parsed = lines.select(F.col(key_col).alias("line_key"), fid.alias("_fid"), txt.alias("_txt"))
-    return parsed.where((F.col("_fid") != "") & (F.col("_txt") != "")).select(
+    valid = F.coalesce((F.col("_fid") != "") & (F.col("_txt") != ""), F.lit(False))
+    if keep_invalid:
+        return parsed.select("line_key", py_strip("_fid").alias("file_id"), py_strip("_txt").alias("text"),
+                             valid.alias("valid"))
+    return parsed.where(valid).select(
         "line_key",
         py_strip("_fid").alias("file_id"),
         py_strip("_txt").alias("text"),
