@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import ship_package
 
 HEADER_BYTES = 4096  # enough for the fmt chunk and the start of data in practice
 
@@ -188,6 +189,7 @@ def inspect_headers(df: DataFrame, id_col: str, content_col: str = "content",
     Only the first ``HEADER_BYTES`` of each file reach Python; the file length
     (``binaryFile``'s ``length`` column, or the content size) bounds the data
     chunk."""
+    ship_package(df.sparkSession)
     length = F.col(length_col) if length_col else F.length(content_col)
     slim = df.select(F.col(id_col).alias("id"), F.substring(content_col, 1, HEADER_BYTES).alias("head"),
                      length.cast("bigint").alias("total"))
@@ -233,6 +235,7 @@ def preprocess_audio(df: DataFrame, id_col: str, content_col: str = "content",
     """``id, sample_rate, n_samples, samples array<float>, error``: decoded,
     channel-averaged, resampled to 16 kHz.  A bad file gives an ``error``
     row instead of failing the job."""
+    ship_package(df.sparkSession)
     slim = df.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
 
     def run(batches):
@@ -262,6 +265,7 @@ def encode_wav(df: DataFrame, id_col: str, channels_col: str = "channels", rate_
     """``id, content`` WAV bytes from integer channels at 16-bit scale
     (``array<array<int>>``), per-row rate and width.  The WAV sink: write
     the result as Parquet, or hand it to :func:`vocaframe.sources.audio.write_wav_files`."""
+    ship_package(df.sparkSession)
     slim = df.select(F.col(id_col).alias("id"), F.col(channels_col).alias("ch"),
                      F.col(rate_col).alias("rate"), F.col(bits_col).alias("bits"))
 

@@ -56,3 +56,36 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder name under :func:`shared_dir`."""
     base = shared_dir(spark, "vocaframe")
     return f"{base}/{name}-{os.getpid()}-{os.urandom(6).hex()}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vocaframe`` importable in the Python workers (the code of the
+    Arrow-batched audio steps lives in this package).
+
+    The package is zipped once per application into the shared folder and
+    added with ``addPyFile``, the programmatic ``--py-files``; Spark copies it
+    to every executor, including ones started after a loss."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = shared_dir(spark, "vocaframe-py", app)
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:  # remote shared folder: stage the zip locally, Spark uploads it
+        local = tempfile.mkdtemp(prefix="vocaframe-py-")
+    os.makedirs(local, exist_ok=True)
+    zpath = os.path.join(local, "vocaframe.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)

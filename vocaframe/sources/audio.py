@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def list_audio(spark: SparkSession, audio_dir: str, ext: str = ".wav", recursive: bool = True) -> DataFrame:
     """``path, length, modificationTime`` of the audio files under a folder.
@@ -52,6 +54,7 @@ def read_contents(df: DataFrame, path_col: str = "path") -> DataFrame:
 
     Use after the listing has been joined/filtered, so only the files that
     are needed are read (a join cannot prune a ``binaryFile`` scan)."""
+    ship_package(df.sparkSession)
     cols = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,6 +75,7 @@ def write_wav_files(df: DataFrame, out_dir: str, id_col: str, content_col: str =
 
     File names depend only on the id, so a task re-run after an executor loss
     overwrites the same files (idempotent)."""
+    ship_package(df.sparkSession)
     base = out_dir.rstrip("/")
     slim = df.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"))
 
