@@ -45,9 +45,10 @@ def _r(c, digits: int = 6):
 # --- 1 text -----------------------------------------------------------------
 
 def q_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    t = S.texts(spark, sf)
-    return t.select("doc_id", normalize_text("text").alias("norm_text"),
-                    normalize_text("text", 2).alias("norm_text_2"))
+    """One and two passes; the second pass reads the projected first one
+    (normalize twice == normalize the normalized text)."""
+    t = S.texts(spark, sf).select("doc_id", normalize_text("text").alias("norm_text"))
+    return t.select("doc_id", "norm_text", normalize_text("norm_text").alias("norm_text_2"))
 
 
 def q_text_preview(spark: SparkSession, sf: str) -> DataFrame:
