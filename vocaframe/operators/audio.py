@@ -273,12 +273,18 @@ def encode_wav(df: DataFrame, id_col: str, channels_col: str = "channels", rate_
         import pyarrow as pa
 
         for rb in batches:
-            chans = rb.column(1)
+            chans = rb.column(1)  # list<list<int>>: rows -> channels -> samples
+            row_off = chans.offsets.to_numpy()
+            inner = chans.flatten()
+            ch_off = inner.offsets.to_numpy()
+            values = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             out = []
             for i, (rate, bits) in enumerate(zip(rb.column(2).to_pylist(), rb.column(3).to_pylist())):
-                row = chans[i].values  # ListArray of channels
-                arr = np.stack([row[j].values.to_numpy(zero_copy_only=False) for j in range(len(row))]) \
-                    if len(row) else np.zeros((1, 0), np.int64)
+                c0, c1 = row_off[i], row_off[i + 1]
+                if c1 == c0:
+                    arr = np.zeros((1, 0), np.int64)
+                else:
+                    arr = np.stack([values[ch_off[c]:ch_off[c + 1]] for c in range(c0, c1)])
                 out.append(encode_pcm(arr, int(rate), int(bits)))
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(out, pa.binary())], names=["id", "content"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "vocaframe") -> SparkSession:
+              app_name: str = "vocaframe", driver_memory: str | None = None) -> SparkSession:
     """A session with the settings this library is tuned for.
 
     On a cluster pass ``master=None`` and let spark-submit decide; size
@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:  # only effective before the JVM starts (local mode: the executor heap too)
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
