@@ -112,3 +112,11 @@ def test_encode_and_write_files(spark, tmpdir_path):
     paths = write_wav_files(wav, out, "id").collect()
     with wave.open(paths[0].path) as w:
         assert w.getnchannels() == 2 and w.getframerate() == 16000 and w.getnframes() == 3
+
+
+def test_zero_frames():
+    w = make_wav(np.zeros((2, 0)), 16000, 2)
+    assert A.parse_header(w, len(w))["n_frames"] == 0
+    assert len(A.preprocess(w)) == 0
+    w8 = make_wav(np.zeros((1, 0)), 8000, 2)
+    assert len(A.preprocess(w8)) == 0

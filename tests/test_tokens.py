@@ -103,3 +103,8 @@ def test_parse_random(spark):
     got = {r.i: r.p for r in df.select("i", parse_code_list("t", strict=False).alias("p")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == py_parse(t), t
+
+
+def test_ids_beyond_int_range(spark):
+    df = spark.createDataFrame([("<|s_99999999999|><|s_007|>",)], "s string")
+    assert df.select(extract_speech_ids("s")).first()[0] == [99999999999, 7]

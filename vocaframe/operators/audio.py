@@ -131,6 +131,8 @@ def resample(x: np.ndarray, orig: int, new: int, width: int = 6, rolloff: float
     ``ceil(frames * new / orig)``."""
     if orig == new:
         return x.astype(np.float32, copy=False)
+    if x.shape[-1] == 0:
+        return np.zeros(x.shape, dtype=np.float32)
     g = math.gcd(orig, new)
     o, n = orig // g, new // g
     base = min(o, n) * rolloff
