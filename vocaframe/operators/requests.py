@@ -97,3 +97,19 @@ def parse_responses(df: DataFrame, status_col: str = "status", body_col: str = "
     )
     out = out.withColumn("error", err)
     return out.withColumn("speech_ids", F.when(F.col("error").isNull(), extract_speech_ids("text")))
+
+
+def response_headers(df: DataFrame, format_col: str = "response_format", tokens_col: str = "n_tokens",
+                     samples_col: str = "n_samples", rate_col: str = "sample_rate") -> DataFrame:
+    """What the speech route sends with its audio: the media type (``mp3``
+    is announced as ``audio/mpeg`` although the bytes are WAV; every other
+    format as ``audio/wav``), the attachment name, the generated token count
+    and the audio duration in seconds."""
+    fmt = F.col(format_col)
+    return df.select(
+        "*",
+        F.when(fmt == "mp3", F.lit("audio/mpeg")).otherwise(F.lit("audio/wav")).alias("content_type"),
+        F.concat(F.lit("attachment; filename=speech."), fmt).alias("content_disposition"),
+        F.col(tokens_col).cast("bigint").alias("generated_tokens"),
+        F.try_divide(F.col(samples_col).cast("double"), F.col(rate_col).cast("double")).alias("audio_duration"),
+    )

@@ -260,6 +260,15 @@ ORACLE_SQL: dict[str, str] = {
         "array_to_string(list_filter([CASE WHEN sample_rate < 16000 THEN 'low_sample_rate' END, "
         "CASE WHEN secs > 10.0 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS flags FROM s"
     ),
+    "audio_roundtrip": (
+        "WITH h AS (SELECT event_id AS utt_id, (1 + event_id % 50)::BIGINT AS n_frames, "
+        "CASE event_id % 8 WHEN 0 THEN 'mp3' WHEN 1 THEN 'opus' WHEN 2 THEN 'aac' WHEN 3 THEN 'flac' "
+        "WHEN 4 THEN 'wav' WHEN 5 THEN 'pcm' WHEN 6 THEN 'ogg' ELSE NULL END AS fmt FROM events) "
+        "SELECT utt_id, 16000 AS sample_rate, 1 AS n_channels, 16 AS bits, n_frames, "
+        "CASE WHEN fmt = 'mp3' THEN 'audio/mpeg' ELSE 'audio/wav' END AS content_type, "
+        "'attachment; filename=speech.' || fmt AS content_disposition, "
+        "(n_frames // 320)::BIGINT AS generated_tokens, round(n_frames / 16000.0, 6) AS audio_duration FROM h"
+    ),
     "stream_training_prompt": (
         f"WITH {SENT} SELECT conv_id, turn, {G.prompt('text', 'codes')} AS prompt FROM sent"
     ),

@@ -315,6 +315,20 @@ def q_corpus_lint(spark: SparkSession, sf: str) -> DataFrame:
                           _r(F.col("seconds")).alias("seconds"), F.array_join("flags", ",").alias("flags"))
 
 
+def q_audio_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips -> mono 16 kHz float waveform -> WAV bytes of the route (16-bit
+    mono) -> headers, with the route's response metadata."""
+    w = S.waveforms(spark, sf, varied=False)
+    pre = audio.preprocess_audio(audio.encode_wav(w, "utt_id"), "utt_id")
+    heads = audio.inspect_headers(audio.waveform_to_wav(pre, "utt_id"), "utt_id")
+    meta = requests.response_headers(
+        heads.withColumn("response_format", F.expr(S.REQ_FORMAT.replace("(conv_id + turn)", "utt_id")))
+        .withColumn("n_tokens", F.expr("CAST(n_frames DIV 320 AS BIGINT)")),
+        samples_col="n_frames")
+    return meta.select("utt_id", "sample_rate", "n_channels", "bits", "n_frames", "content_type",
+                       "content_disposition", "generated_tokens", _r(F.col("audio_duration")).alias("audio_duration"))
+
+
 # --- streaming --------------------------------------------------------------
 
 def q_stream_training_prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,5 +370,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_metrics": q_token_metrics,
     "audio_preprocess": q_audio_preprocess,
     "corpus_lint": q_corpus_lint,
+    "audio_roundtrip": q_audio_roundtrip,
     "stream_training_prompt": q_stream_training_prompt,
 }
