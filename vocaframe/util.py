@@ -10,3 +10,23 @@ ColumnOrName = Union[Column, str]
 
 def col_of(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+SMALL_INPUT_BYTES = 256 << 20
+
+
+def spread(df, max_bytes: int = SMALL_INPUT_BYTES):
+    """Spread a small input over all cores before CPU-heavy per-row work.
+
+    A small file is often one Parquet row group, i.e. one task, however many
+    cores there are.  When the optimizer's size estimate of ``df`` is below
+    ``max_bytes``, rows are dealt round-robin over ``defaultParallelism``
+    partitions (a cheap shuffle of a small table).  Larger inputs are left
+    as they are: their scans already have many splits, and a shuffle there
+    would cost more than it saves."""
+    spark = df.sparkSession
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    n = spark.sparkContext.defaultParallelism
+    if int(str(size)) >= max_bytes or n <= 1:
+        return df
+    return df.repartition(n)
