@@ -108,3 +108,22 @@ def test_parse_random(spark):
 def test_ids_beyond_int_range(spark):
     df = spark.createDataFrame([("<|s_99999999999|><|s_007|>",)], "s string")
     assert df.select(extract_speech_ids("s")).first()[0] == [99999999999, 7]
+
+
+def test_non_ansi_session_gives_same_results(spark):
+    from vocaframe.operators.segments import stitch_offsets
+
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = spark.createDataFrame([(0, 0, None), (0, 1, [1] * 20), (1, 0, None)],
+                                   "script_id long, pos long, codes array<int>")
+        got = {(r.script_id, r.pos): (r.n_kept, r.start_seq, r.total) for r in stitch_offsets(df).collect()}
+        assert got == {(0, 0): (0, 0, None), (0, 1): (20, 0, 20), (1, 0): (0, 0, 0)}
+        import pytest
+
+        bad = spark.createDataFrame([("[1, x]",)], "t string")
+        with pytest.raises(Exception):
+            bad.select(parse_code_list("t", strict=True)).collect()
+        assert bad.select(parse_code_list("t", strict=False)).first()[0] is None
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")

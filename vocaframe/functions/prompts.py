@@ -49,7 +49,7 @@ def choose_reference_codes(given: ColumnOrName, encoded: ColumnOrName) -> Column
     """Given codes win when non-empty, else the codes encoded from the
     reference audio (which may be NULL: no tokens)."""
     g = col_of(given)
-    return F.when(F.size(g) > 0, g).otherwise(col_of(encoded))
+    return F.when(F.array_size(g) > 0, g).otherwise(col_of(encoded))
 
 
 def strip_bos(prompt: ColumnOrName) -> Column:

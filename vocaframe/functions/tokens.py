@@ -20,7 +20,7 @@ def render_speech_tokens(codes: ColumnOrName) -> Column:
     c = col_of(codes)
     joined = F.array_join(c.cast("array<string>"), K.SPEECH_TOKEN_CLOSE + K.SPEECH_TOKEN_OPEN)
     return F.when(
-        F.size(c) > 0,
+        F.array_size(c) > 0,
         F.concat(F.lit(K.SPEECH_TOKEN_OPEN), joined, F.lit(K.SPEECH_TOKEN_CLOSE)),
     ).otherwise(F.lit(""))
 
@@ -41,7 +41,7 @@ def decode_generated_ids(ids: ColumnOrName, prompt_len: ColumnOrName) -> Column:
     ids inside the speech range and subtract the offset."""
     arr = col_of(ids)
     plen = col_of(prompt_len)
-    generated = F.slice(arr, plen + 1, F.size(arr))
+    generated = F.slice(arr, plen + 1, F.array_size(arr))
     end_at = F.array_position(generated, K.SPEECH_END_ID)
     taken = F.when(end_at == 0, generated).otherwise(F.slice(generated, 1, end_at - 1))
     lo, hi = K.SPEECH_ID_OFFSET, K.SPEECH_ID_OFFSET + K.CODEBOOK_SIZE
@@ -88,8 +88,11 @@ def parse_code_list(text: ColumnOrName, strict: bool = True) -> Column:
     canonical = t.rlike(r"^\[-?[0-9]{1,9}(, -?[0-9]{1,9})*\]$")
     fast = F.split(F.regexp_replace(t, r"^\[|\]$", ""), ",", -1)  # the cast trims the blank
     general = F.split(F.regexp_replace(t, F.lit(_item_strip_pattern()), F.lit("")), ",", -1)
-    if strict:
-        return F.when(canonical, fast.cast("array<int>")).otherwise(general.cast("array<int>"))
     parsed = general.try_cast("array<int>")
-    checked = F.when(F.size(F.array_compact(parsed)) == F.size(parsed), parsed)
+    if strict:
+        # raise on a bad item whatever spark.sql.ansi.enabled says
+        bad = F.raise_error(F.concat(F.lit("invalid code list: "), t)).cast("array<int>")
+        checked = F.when(F.array_size(F.array_compact(parsed)) == F.array_size(parsed), parsed).otherwise(bad)
+        return F.when(canonical, fast.cast("array<int>")).otherwise(checked)
+    checked = F.when(F.array_size(F.array_compact(parsed)) == F.array_size(parsed), parsed)
     return F.when(canonical, fast.try_cast("array<int>")).otherwise(checked)

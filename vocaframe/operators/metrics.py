@@ -14,7 +14,7 @@ def utterance_metrics(df: DataFrame, codes_col: str = "codes",
 
     Without a decoded waveform the sample count is the codec's: 320 samples
     (20 ms at 16 kHz) per code."""
-    n_tok = F.coalesce(F.size(codes_col), F.lit(0)).cast("bigint")
+    n_tok = F.coalesce(F.array_size(codes_col), F.lit(0)).cast("bigint")
     n_samp = F.col(samples_col).cast("bigint") if samples_col else n_tok * K.CODEC_FRAME_SAMPLES
     rate = F.col(rate_col) if rate_col else F.lit(K.SAMPLE_RATE)
     out = df.withColumn("n_tokens", n_tok).withColumn("n_samples", n_samp)

@@ -43,7 +43,7 @@ def validate_requests(df: DataFrame) -> DataFrame:
         checks.append(F.when(~F.col(name).between(lo, hi), F.lit(name)))
     checks.append(F.when(F.coalesce(F.length("input_norm"), F.lit(0)) == 0, F.lit("empty_after_normalization")))
     out = out.withColumn("violations", F.filter(F.array(*checks), lambda x: x.isNotNull()))
-    return out.withColumn("is_valid", F.size("violations") == 0)
+    return out.withColumn("is_valid", F.array_size("violations") == 0)
 
 
 def completion_payload(prompt: Column, temperature: Column, top_p: Column, repeat_penalty: Column,

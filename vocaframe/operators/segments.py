@@ -40,7 +40,7 @@ def split_script(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def trim_context(codes: Column, trim: int = K.CONTEXT_TRIM) -> Column:
     """``codes[:-trim]``: shorter lists become empty; NULL stays NULL."""
-    return F.slice(codes, 1, F.greatest(F.size(codes) - trim, F.lit(0)))
+    return F.slice(codes, 1, F.greatest(F.array_size(codes) - trim, F.lit(0)))
 
 
 def _blocked(df: DataFrame, block: int) -> DataFrame:
@@ -115,7 +115,7 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
     table is small; the row side is shuffled once."""
     b = _blocked(script.select("script_id", "pos", "codes"), block)
     b = b.withColumn("_trimmed", trim_context(F.col("codes"), trim)).withColumn(
-        "_tlen", F.coalesce(F.size("_trimmed"), F.lit(0)))
+        "_tlen", F.coalesce(F.array_size("_trimmed"), F.lit(0)))
     blocks = b.groupBy("script_id", "_blk").agg(
         F.max("pos").alias("_blk_last"), F.sum("_tlen").alias("_blk_tsum"))
     wb = Window.partitionBy("script_id").orderBy("_blk")
@@ -138,7 +138,7 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
         kept.alias("kept"),
         (F.col("_blk_off") + F.col("_in_off")).cast("bigint").alias("start_seq"),
         F.col("_tlen"),
-    ).withColumn("n_kept", F.coalesce(F.size("kept"), F.lit(0)).cast("bigint"))
+    ).withColumn("n_kept", F.coalesce(F.array_size("kept"), F.lit(0)).cast("bigint"))
     total = F.col("start_seq") + F.col("n_kept")  # on the last row only
     out = out.withColumn("total", F.when(F.col("is_last"), total)).drop("_tlen")
     # a script with no codes at all yields no audio (decoding [] is an error)

@@ -62,7 +62,7 @@ def q_text_preview(spark: SparkSession, sf: str) -> DataFrame:
 def q_speech_token_render(spark: SparkSession, sf: str) -> DataFrame:
     u = S.utterances(spark, sf)
     return u.select("utt_id", render_speech_tokens("codes").alias("tokens"),
-                    F.size("codes").cast("bigint").alias("n_codes"))
+                    F.array_size("codes").cast("bigint").alias("n_codes"))
 
 
 def q_speech_id_extract(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +73,7 @@ def q_speech_id_extract(spark: SparkSession, sf: str) -> DataFrame:
     return x.select(
         "utt_id",
         format_code_list("ids").alias("ids"),
-        F.size("ids").cast("bigint").alias("n_ids"),
+        F.array_size("ids").cast("bigint").alias("n_ids"),
         (F.col("ids") == F.col("codes").cast("array<bigint>")).alias("roundtrip_ok"),
     )
 
@@ -82,7 +82,7 @@ def q_generated_id_decode(spark: SparkSession, sf: str) -> DataFrame:
     g = S.generated(spark, sf)
     d = g.select("utt_id", "prompt_len", decode_generated_ids("ids", "prompt_len").alias("codes"))
     return d.select("utt_id", "prompt_len", format_code_list("codes").alias("codes"),
-                    F.size("codes").cast("bigint").alias("n_codes"))
+                    F.array_size("codes").cast("bigint").alias("n_codes"))
 
 
 def q_code_list_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _corpus_parts(spark: SparkSession, sf: str):
 def q_corpus_build(spark: SparkSession, sf: str) -> DataFrame:
     built = _corpus_parts(spark, sf)[-1]
     return built.select("file_id", "text", format_code_list("code").alias("code_list"),
-                        F.size("code").cast("bigint").alias("n_codes"))
+                        F.array_size("code").cast("bigint").alias("n_codes"))
 
 
 def q_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +189,7 @@ def q_corpus_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     write_corpus(corpus.corpus_rows(built), path)
     back = read_corpus(spark, path)
     return back.select("text", format_code_list("code").alias("code_list"),
-                       F.size("code").cast("bigint").alias("n_codes"))
+                       F.array_size("code").cast("bigint").alias("n_codes"))
 
 
 # --- 6 scripts --------------------------------------------------------------
@@ -280,7 +280,7 @@ def q_request_payload(spark: SparkSession, sf: str) -> DataFrame:
 def q_response_parse(spark: SparkSession, sf: str) -> DataFrame:
     r = requests.parse_responses(S.responses(spark, sf))
     return r.select("utt_id", "status", "error", format_code_list("speech_ids").alias("ids"),
-                    F.size("speech_ids").cast("bigint").alias("n_ids"))
+                    F.array_size("speech_ids").cast("bigint").alias("n_ids"))
 
 
 def q_token_metrics(spark: SparkSession, sf: str) -> DataFrame:

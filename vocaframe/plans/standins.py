@@ -214,7 +214,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.tokens import render_speech_tokens
 
     u = utterances(spark, sf_dir)
-    text = F.when(F.size("codes") == 0, F.lit("")).otherwise(
+    text = F.when(F.array_size("codes") == 0, F.lit("")).otherwise(
         F.concat(F.col("event_type"), render_speech_tokens("codes"), F.lit(" <|s_|>"))
     )
     body = F.concat(F.lit('{"choices":[{"text":"'), text, F.lit('"}]}'))

@@ -20,8 +20,8 @@ def write_corpus(df: DataFrame, path: str) -> dict:
     observed = df.select("text", "code").observe(
         obs,
         F.count(F.lit(1)).alias("samples"),
-        F.sum(F.when(F.size("code") == 0, 1).otherwise(0)).alias("empty_codes"),
-        F.sum(F.coalesce(F.size("code"), F.lit(0))).alias("codes"),
+        F.sum(F.when(F.array_size("code") == 0, 1).otherwise(0)).alias("empty_codes"),
+        F.sum(F.coalesce(F.array_size("code"), F.lit(0))).alias("codes"),
     )
     observed.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
     return {k: (v or 0) for k, v in obs.get.items()}
