@@ -55,13 +55,14 @@ def test_payload(spark):
     assert body["max_tokens"] == K.HTTP_ROUTE_MAX_TOKENS
     assert body["repetition_penalty"] == body["repeat_penalty"] == 1.1
     assert body["stop_token_ids"] == [K.SPEECH_END_ID] and body["stream"] is False
-    assert body["llasa"] == "llasa" and body["min_tokens"] == 0
+    assert body["min_tokens"] == 0 and list(body)[0] == "prompt"
 
 
 def test_payload_keeps_prompt_without_bos(spark):
     df = spark.createDataFrame([("x",)], "t string")
-    j = df.select(completion_payload(F.lit("no bos"), F.lit(0.5), F.lit(0.8), F.lit(1.0), F.lit(10))).first()[0]
-    assert json.loads(j)["prompt"] == "no bos"
+    j = df.select(completion_payload(F.lit("no bos"), F.lit(0.5), F.lit(0.8), F.lit(1.0), F.lit(10),
+                                     extra={"tag": "x"})).first()[0]
+    assert json.loads(j)["prompt"] == "no bos" and list(json.loads(j))[0] == "tag"
 
 
 def test_parse_responses(spark):

@@ -40,8 +40,11 @@ CODEC_FRAME_SAMPLES = 320  # 16 kHz / 50 codes per second
 
 # --- fixed values: synthesis request limits and defaults --------------------
 RESPONSE_FORMATS = ("mp3", "opus", "aac", "flac", "wav", "pcm")
+# model id filled in when a request names none; it is only echoed, never used
+# to pick anything, so it is a deployment setting rather than a fixed value
+DEFAULT_MODEL_ID = "tts-3b"
 REQUEST_DEFAULTS = {
-    "model": "llasa-3b",
+    "model": DEFAULT_MODEL_ID,
     "voice": "alloy",
     "response_format": "mp3",
     "speed": 1.0,

@@ -47,14 +47,17 @@ def validate_requests(df: DataFrame) -> DataFrame:
 
 
 def completion_payload(prompt: Column, temperature: Column, top_p: Column, repeat_penalty: Column,
-                       max_tokens: Column, min_tokens: Column | None = None) -> Column:
+                       max_tokens: Column, min_tokens: Column | None = None,
+                       extra: dict[str, str] | None = None) -> Column:
     """JSON body of a completion request (both penalty spellings, the end id
-    as stop token, no streaming).  The leading BOS is stripped first."""
+    as stop token, no streaming).  The leading BOS is stripped first.
+    ``extra``: constant string fields some servers expect (tags), put first."""
     if min_tokens is None:
         min_tokens = F.lit(K.GENERATION_DEFAULTS["min_tokens"])
+    tags = [F.lit(v).alias(k) for k, v in (extra or {}).items()]
     return F.to_json(
         F.struct(
-            F.lit("llasa").alias("llasa"),
+            *tags,
             strip_bos(prompt).alias("prompt"),
             temperature.cast("double").alias("temperature"),
             top_p.cast("double").alias("top_p"),

@@ -75,7 +75,7 @@ STITCH = (
     "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_seq FROM k)"
 )
 REQ = (
-    "req AS (SELECT conv_id, turn, text AS input, 'llasa-3b' AS model, 'alloy' AS voice, "
+    f"req AS (SELECT conv_id, turn, text AS input, {G.q(K.DEFAULT_MODEL_ID)} AS model, 'alloy' AS voice, "
     f"coalesce({S.REQ_FORMAT}, 'mp3') AS response_format, coalesce({S.REQ_SPEED}, 1.0) AS speed, "
     f"coalesce({S.REQ_TEMPERATURE}, 0.7) AS temperature, coalesce({S.REQ_TOP_P}, 0.9) AS top_p, "
     f"coalesce({S.REQ_REPEAT_PENALTY}, 1.1) AS repeat_penalty, coalesce({S.REQ_MAX_TOKENS}, 300) AS max_tokens "
