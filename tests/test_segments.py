@@ -92,13 +92,14 @@ def test_blocked_plan_has_no_script_only_exchange(spark):
             assert "HashAggregate" in plan  # only the small per-block table may be
 
 
-def test_hot_script_over_many_blocks(spark):
-    """One script holds most rows; blocks of 64 spread it over many groups."""
+@pytest.mark.parametrize("block", [8, 64])
+def test_hot_script_over_many_blocks(spark, block):
+    """One script holds most rows; blocks (and superblocks) spread it."""
     rng = random.Random(11)
     rows = [(0, p, f"s{p}", [rng.randint(0, 9) for _ in range(rng.choice([0, 10, 17, 20]))]) for p in range(3000)]
     rows += [(s, p, f"t{s}{p}", [1] * 18) for s in range(1, 40) for p in range(3)]
     df = spark.createDataFrame(rows, "script_id long, pos long, text string, codes array<int>")
-    off = stitch_offsets(df, block=64)
+    off = stitch_offsets(df, block=block)
     got = {(r.script_id, r.pos): (r.start_seq, r.n_kept) for r in off.collect()}
     hot = [r for r in rows if r[0] == 0]
     start = 0
@@ -106,6 +107,6 @@ def test_hot_script_over_many_blocks(spark):
         n = len(r[3]) if i == len(hot) - 1 else max(len(r[3]) - 16, 0)
         assert got[(0, r[1])] == (start, n)
         start += n
-    ctx = {r.pos: r.context_codes for r in chain_context(df, block=64).where("script_id = 0").collect()}
+    ctx = {r.pos: r.context_codes for r in chain_context(df, block=block).where("script_id = 0").collect()}
     for i in range(1, len(hot)):
         assert ctx[i] == hot[i - 1][3][:-16] if len(hot[i - 1][3]) > 16 else ctx[i] == []

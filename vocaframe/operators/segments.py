@@ -12,7 +12,9 @@ and windows run over ``(script_id, block)``: a hot script is spread over many
 tasks.  What crosses a block border (the previous row of a block's first
 row, the offset of a block, the last position of a script) comes from small
 per-block tables joined on the same ``(script_id, block)`` key, so the row
-side is shuffled once.
+side is shuffled once.  Offsets use a second level (superblocks of
+``block`` blocks), so even the per-script window sees one row per
+``block**2`` sentences.
 """
 
 from __future__ import annotations
@@ -105,29 +107,48 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
     """Place every sentence's kept codes in the stitched sequence.
 
     Output per sentence: ``script_id, pos, is_last, kept, n_kept, start_seq,
-    total, decodable`` (the last two on the last sentence); the stitched sequence of a script is the concatenation of
-    ``kept`` by ``pos``, i.e. code ``kept[k]`` sits at ``start_seq + k``.
-
-    Plan: partial aggregates per block (last position, sum of trimmed
-    lengths) -> a window over the few blocks of a script for block offsets
-    and the script's last position -> a window inside each block for the
-    in-block offset -> one join on ``(script_id, block)``.  Only the block
-    table is small; the row side is shuffled once."""
+    total, decodable`` (the last two on the last sentence); the stitched
+    sequence of a script is the concatenation of ``kept`` by ``pos``, i.e.
+    code ``kept[k]`` sits at ``start_seq + k``.
+
+    Plan: a two-level blocked prefix sum.  Rows: window inside each block of
+    ``block`` positions.  Blocks (partial aggregates of the rows): window
+    inside each superblock of ``block`` blocks.  Superblocks (aggregates of
+    the blocks): the only window over a whole script, with one row per
+    ``block**2`` sentences, which also yields the script's last position.
+    Offsets flow back through joins on ``(script_id, superblock)`` and
+    ``(script_id, block)``.  The row side is shuffled once; a script holding
+    a third of all rows spreads over many tasks at every level.  Every
+    sentence but the last is trimmed, so the prefix sums use trimmed
+    lengths; the last sentence's own length never enters a prefix."""
     b = _blocked(script.select("script_id", "pos", "codes"), block)
     b = b.withColumn("_trimmed", trim_context(F.col("codes"), trim)).withColumn(
         "_tlen", F.coalesce(F.array_size("_trimmed"), F.lit(0)))
+    before = Window.unboundedPreceding, -1
+
+    # level 0: offsets inside a block
+    w0 = Window.partitionBy("script_id", "_blk").orderBy("pos").rowsBetween(*before)
+    rows = b.withColumn("_in_off", F.coalesce(F.sum("_tlen").over(w0), F.lit(0)))
+
+    # level 1: offsets of blocks inside a superblock
     blocks = b.groupBy("script_id", "_blk").agg(
-        F.max("pos").alias("_blk_last"), F.sum("_tlen").alias("_blk_tsum"))
-    wb = Window.partitionBy("script_id").orderBy("_blk")
-    blocks = blocks.select(
+        F.sum("_tlen").alias("_bsum"), F.max("pos").alias("_bmax")
+    ).withColumn("_sblk", F.expr(f"CAST(_blk DIV {int(block)} AS BIGINT)"))
+    w1 = Window.partitionBy("script_id", "_sblk").orderBy("_blk").rowsBetween(*before)
+    blocks = blocks.withColumn("_in_sblk_off", F.coalesce(F.sum("_bsum").over(w1), F.lit(0)))
+
+    # level 2: superblock offsets and the script's last position
+    sblocks = blocks.groupBy("script_id", "_sblk").agg(F.sum("_bsum").alias("_ssum"), F.max("_bmax").alias("_smax"))
+    w2 = Window.partitionBy("script_id").orderBy("_sblk")
+    sblocks = sblocks.select(
         "script_id",
-        "_blk",
-        F.coalesce(F.sum("_blk_tsum").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_blk_off"),
-        F.max("_blk_last").over(wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"),
+        "_sblk",
+        F.coalesce(F.sum("_ssum").over(w2.rowsBetween(*before)), F.lit(0)).alias("_sblk_off"),
+        F.max("_smax").over(w2.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"),
     )
-    w = Window.partitionBy("script_id", "_blk").orderBy("pos")
-    rows = b.withColumn("_in_off", F.coalesce(F.sum("_tlen").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                              F.lit(0)))
+    blocks = blocks.join(sblocks, ["script_id", "_sblk"]).select(
+        "script_id", "_blk", (F.col("_sblk_off") + F.col("_in_sblk_off")).alias("_blk_off"), "_last")
+
     j = rows.join(blocks, ["script_id", "_blk"])
     is_last = F.col("pos") == F.col("_last")
     kept = F.when(is_last, F.col("codes")).otherwise(F.col("_trimmed"))
@@ -137,10 +158,9 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
         is_last.alias("is_last"),
         kept.alias("kept"),
         (F.col("_blk_off") + F.col("_in_off")).cast("bigint").alias("start_seq"),
-        F.col("_tlen"),
     ).withColumn("n_kept", F.coalesce(F.array_size("kept"), F.lit(0)).cast("bigint"))
     total = F.col("start_seq") + F.col("n_kept")  # on the last row only
-    out = out.withColumn("total", F.when(F.col("is_last"), total)).drop("_tlen")
+    out = out.withColumn("total", F.when(F.col("is_last"), total))
     # a script with no codes at all yields no audio (decoding [] is an error)
     return out.withColumn("decodable", F.when(F.col("is_last"), F.col("total") > 0))
 
