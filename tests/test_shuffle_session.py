@@ -21,3 +21,12 @@ def test_shared_dir_comes_from_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark, "x").startswith(root.rstrip("/"))
     assert fresh_dir(spark, "y") != fresh_dir(spark, "y")
+
+
+def test_spread_small_inputs_only(spark):
+    from vocaframe.util import spread
+
+    df = spark.range(0, 1000).coalesce(1)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(df, max_bytes=0).rdd.getNumPartitions() == 1  # "large": left alone
+    assert sorted(r.id for r in spread(df).collect()) == list(range(1000))

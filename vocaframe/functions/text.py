@@ -54,11 +54,6 @@ def rare_translate_tables() -> tuple[str, str]:
     return mapped + deleted, replace
 
 
-def translate_input_class() -> str:
-    matching, _ = rare_translate_tables()
-    return "[" + "".join(_x(ord(ch)) for ch in matching) + "]"
-
-
 def _x(c: int) -> str:
     return "\\x{%X}" % c
 
