@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.prompts import inference_prompt, with_reference_text
 from ..functions.text import non_blank_lines
+from ..util import materialize as materialize_df
 
 DEFAULT_BLOCK = 1024
 
@@ -53,23 +54,18 @@ def with_previous(df: DataFrame, cols: list[str], block: int = DEFAULT_BLOCK,
                   prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` at ``pos - 1`` of the same script.
 
-    ``lag`` inside a block; the first row of a block takes the last row of
-    the previous block through a join on ``(script_id, block)``."""
+    ``lag`` over ``(script_id, block)`` ordered by ``pos``.  The last row of
+    every block is also emitted once more as a carrier into the next block
+    (``explode`` of a one- or two-element array); its position sorts before
+    every row of that block, so the block's first row lags onto it.  One
+    scan, one shuffle, no join; carriers are dropped afterwards."""
     b = _blocked(df, block)
+    copies = F.when(F.col("pos") % block == block - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    x = b.withColumn("_copy", F.explode(copies)).withColumn("_blk", F.col("_blk") + F.col("_copy"))
     w = Window.partitionBy("script_id", "_blk").orderBy("pos")
-    lagged = b
     for c in cols:
-        lagged = lagged.withColumn("_lag_" + c, F.lag(c).over(w))
-    tails = b.where(F.col("pos") % block == block - 1).select(
-        "script_id", (F.col("_blk") + 1).alias("_blk"), *[F.col(c).alias("_tail_" + c) for c in cols]
-    )
-    j = lagged.join(tails, ["script_id", "_blk"], "left")
-    first_in_block = F.col("pos") % block == 0
-    out = j
-    for c in cols:
-        out = out.withColumn(prefix + c, F.when(first_in_block, F.col("_tail_" + c)).otherwise(F.col("_lag_" + c)))
-    drop = ["_blk"] + ["_lag_" + c for c in cols] + ["_tail_" + c for c in cols]
-    return out.drop(*drop)
+        x = x.withColumn(prefix + c, F.lag(c).over(w))
+    return x.where(F.col("_copy") == 0).drop("_blk", "_copy")
 
 
 def chain_context(script: DataFrame, refs: DataFrame | None = None, block: int = DEFAULT_BLOCK,
@@ -82,16 +78,16 @@ def chain_context(script: DataFrame, refs: DataFrame | None = None, block: int =
     prompt``.  Because the previous sentence is never the last one, its
     codes are always trimmed."""
     s = script.select("script_id", "pos", "text", trim_context(F.col("codes"), trim).alias("trimmed"))
-    p = with_previous(s, ["text", "trimmed"], block)
+    if refs is not None:
+        # the caller's reference enters as a virtual sentence at pos -1 (block
+        # 0, untrimmed), so the same lag hands it to sentence 0: no join, no
+        # second pass over the script (one reference row per script)
+        virtual = refs.select("script_id", F.lit(-1).cast("bigint").alias("pos"),
+                              F.col("ref_text").alias("text"), F.col("ref_codes").alias("trimmed"))
+        s = s.unionByName(virtual)
+    p = with_previous(s, ["text", "trimmed"], block).where(F.col("pos") >= 0)
     p = p.select("script_id", "pos", "text", F.col("prev_text").alias("context_text"),
                  F.col("prev_trimmed").alias("context_codes"))
-    if refs is not None:
-        # only the first sentence of a script uses the caller's reference: join
-        # those rows alone (one per script, so no hot key reaches the join)
-        first = p.where(F.col("pos") == 0).drop("context_text", "context_codes").join(
-            refs.select("script_id", F.col("ref_text").alias("context_text"),
-                        F.col("ref_codes").alias("context_codes")), "script_id", "left")
-        p = p.where(F.col("pos") != 0).unionByName(first)
     full_text = F.when(F.length("context_text") > 0, with_reference_text("text", "context_text")).otherwise(
         F.col("text"))
     return p.select(
@@ -103,7 +99,8 @@ def chain_context(script: DataFrame, refs: DataFrame | None = None, block: int =
     )
 
 
-def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.CONTEXT_TRIM) -> DataFrame:
+def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.CONTEXT_TRIM,
+                   materialize: bool = False) -> DataFrame:
     """Place every sentence's kept codes in the stitched sequence.
 
     Output per sentence: ``script_id, pos, is_last, kept, n_kept, start_seq,
@@ -111,29 +108,42 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
     sequence of a script is the concatenation of ``kept`` by ``pos``, i.e.
     code ``kept[k]`` sits at ``start_seq + k``.
 
-    Plan: a two-level blocked prefix sum.  Rows: window inside each block of
-    ``block`` positions.  Blocks (partial aggregates of the rows): window
-    inside each superblock of ``block`` blocks.  Superblocks (aggregates of
+    Plan: a two-level blocked prefix sum.  Rows: windows inside each block
+    of ``block`` positions.  Blocks (one row per block, taken from the
+    windowed rows): window inside each superblock of ``block`` blocks.  Superblocks (aggregates of
     the blocks): the only window over a whole script, with one row per
     ``block**2`` sentences, which also yields the script's last position.
     Offsets flow back through joins on ``(script_id, superblock)`` and
     ``(script_id, block)``.  The row side is shuffled once; a script holding
     a third of all rows spreads over many tasks at every level.  Every
     sentence but the last is trimmed, so the prefix sums use trimmed
-    lengths; the last sentence's own length never enters a prefix."""
-    b = _blocked(script.select("script_id", "pos", "codes"), block)
+    lengths; the last sentence's own length never enters a prefix.
+
+    The rows are read twice (the row windows and the block table); with
+    ``materialize=True`` the projected input is first written to the shared
+    checkpoint folder, so an expensive upstream plan runs once and the
+    lineage is cut."""
+    src = script.select("script_id", "pos", "codes")
+    if materialize:
+        src = materialize_df(src, "stitch-input")
+    b = _blocked(src, block)
     b = b.withColumn("_trimmed", trim_context(F.col("codes"), trim)).withColumn(
         "_tlen", F.coalesce(F.array_size("_trimmed"), F.lit(0)))
     before = Window.unboundedPreceding, -1
 
-    # level 0: offsets inside a block
-    w0 = Window.partitionBy("script_id", "_blk").orderBy("pos").rowsBetween(*before)
-    rows = b.withColumn("_in_off", F.coalesce(F.sum("_tlen").over(w0), F.lit(0)))
+    # level 0: offsets inside a block, plus the block's sum and last position
+    # from whole-block windows on the same shuffle (the block table below is
+    # read off these rows, so the input is shuffled -- and computed -- once)
+    wb = Window.partitionBy("script_id", "_blk")
+    rows = (
+        b.withColumn("_in_off", F.coalesce(F.sum("_tlen").over(wb.orderBy("pos").rowsBetween(*before)), F.lit(0)))
+        .withColumn("_bsum", F.sum("_tlen").over(wb))
+        .withColumn("_bmax", F.max("pos").over(wb))
+    )
 
     # level 1: offsets of blocks inside a superblock
-    blocks = b.groupBy("script_id", "_blk").agg(
-        F.sum("_tlen").alias("_bsum"), F.max("pos").alias("_bmax")
-    ).withColumn("_sblk", F.expr(f"CAST(_blk DIV {int(block)} AS BIGINT)"))
+    blocks = rows.where(F.col("pos") == F.col("_bmax")).select(
+        "script_id", "_blk", "_bsum", "_bmax", F.expr(f"CAST(_blk DIV {int(block)} AS BIGINT)").alias("_sblk"))
     w1 = Window.partitionBy("script_id", "_sblk").orderBy("_blk").rowsBetween(*before)
     blocks = blocks.withColumn("_in_sblk_off", F.coalesce(F.sum("_bsum").over(w1), F.lit(0)))
 

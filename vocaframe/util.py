@@ -30,3 +30,14 @@ def spread(df, max_bytes: int = SMALL_INPUT_BYTES):
     if int(str(size)) >= max_bytes or n <= 1:
         return df
     return df.repartition(n)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: the plan above it runs once, and a lost executor re-reads the
+    files instead of recomputing the lineage."""
+    from .session import fresh_dir
+
+    path = fresh_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
