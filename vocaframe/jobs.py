@@ -40,7 +40,7 @@ def build_corpus_job(spark: SparkSession, audio_dir: str, text_file: str, output
     texts = last_text_per_id(lines.where("valid")).select("file_id", "text")
     audio = C.audio_file_ids(list_audio(spark, audio_dir, ext), audio_dir, ext)
     code_df = _read_table(spark, codes) if isinstance(codes, str) else codes
-    report = {r.metric: r.value for r in C.corpus_report(lines, texts, audio).collect()}
+    report = {r.metric: r.value for r in C.corpus_report(lines, audio).collect()}
     built = C.build_corpus(texts, audio, code_df.select("file_id", "code"))
     written = write_corpus(C.corpus_rows(built), output)
     report["samples"] = written["samples"]

@@ -61,26 +61,30 @@ def corpus_rows(corpus: DataFrame) -> DataFrame:
     return corpus.select("text", "code")
 
 
-def corpus_report(lines: DataFrame, texts: DataFrame, audio_ids: DataFrame) -> DataFrame:
-    """Counts of each stage as ``metric, value`` rows.
+def corpus_report(lines: DataFrame, audio_ids: DataFrame) -> DataFrame:
+    """Counts of each stage as ``metric, value`` rows: lines, valid lines,
+    texts (distinct ids), texts without audio, samples.
 
     ``lines``: every manifest line with a ``valid`` flag
-    (``parse_manifest(..., keep_invalid=True)``); ``texts``: one row per id;
-    ``audio_ids``: ``file_id`` (+ optional ``code``) of the existing files.
-    Two aggregations, each one pass: line counts over the lines, and text /
-    audio / sample counts over the texts left-joined with the audio.  No
-    cross join of one-row tables: each result is unpivoted with ``stack``."""
-    line_stats = lines.agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(F.col("valid")).alias("valid_lines"),
-    ).select(F.expr("stack(2, 'lines', lines, 'valid_lines', valid_lines) AS (metric, value)"))
+    (``parse_manifest(..., keep_invalid=True)``); ``audio_ids``: ``file_id``
+    (+ optional ``code``) of the existing files.  One read of the lines: a
+    hash aggregation per id (invalid lines under a NULL key, which no join
+    matches), a left join with the audio, one global aggregation, unpivoted
+    with ``stack`` (no cross join of one-row tables)."""
+    per_id = lines.groupBy(F.when(F.col("valid"), F.col("file_id")).alias("file_id")).agg(
+        F.count(F.lit(1)).alias("_n"))
     a = audio_ids.select("file_id", (F.col("code").isNotNull() if "code" in audio_ids.columns
                                      else F.lit(True)).alias("_has_code"), F.lit(True).alias("_has_audio"))
-    j = texts.select("file_id").join(a, "file_id", "left")
-    text_stats = j.agg(
-        F.count(F.lit(1)).alias("texts"),
-        F.count_if(F.col("_has_audio").isNull()).alias("texts_without_audio"),
-        F.count_if(F.coalesce(F.col("_has_code"), F.lit(False))).alias("samples"),
-    ).select(F.expr("stack(3, 'texts', texts, 'texts_without_audio', texts_without_audio, "
-                    "'samples', samples) AS (metric, value)"))
-    return line_stats.unionByName(text_stats)
+    j = per_id.join(a, "file_id", "left")
+    is_text = F.col("file_id").isNotNull()
+    stats = j.agg(
+        F.sum("_n").alias("lines"),
+        F.sum(F.when(is_text, F.col("_n")).otherwise(0)).alias("valid_lines"),
+        F.count_if(is_text).alias("texts"),
+        F.count_if(is_text & F.col("_has_audio").isNull()).alias("texts_without_audio"),
+        F.count_if(is_text & F.coalesce(F.col("_has_code"), F.lit(False))).alias("samples"),
+    )
+    return stats.select(F.expr(
+        "stack(5, 'lines', lines, 'valid_lines', valid_lines, 'texts', texts, "
+        "'texts_without_audio', texts_without_audio, 'samples', samples) AS (metric, value)"
+    )).select("metric", F.coalesce(F.col("value"), F.lit(0)).cast("bigint").alias("value"))

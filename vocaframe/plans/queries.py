@@ -176,10 +176,9 @@ def q_corpus_build(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     lines = manifest.parse_manifest(S.manifest_lines(spark, sf), keep_invalid=True)
-    texts = manifest.last_text_per_id(lines.where("valid"))
     inv = S.audio_codes(S.audio_inventory(spark, sf))
     ids = corpus.audio_file_ids(inv, S.AUDIO_DIR, ".wav")
-    return corpus.corpus_report(lines, texts, ids)
+    return corpus.corpus_report(lines, ids)
 
 
 def q_corpus_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
