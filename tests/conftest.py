@@ -33,3 +33,14 @@ def spark():
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="vocaframe-test-")
+
+
+def plan_text(df) -> str:
+    """The physical plan as ``explain()`` prints it."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()

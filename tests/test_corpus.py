@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_text
 from vocaframe.operators.corpus import audio_file_ids, build_corpus, corpus_report
 from vocaframe.operators.manifest import last_text_per_id, parse_manifest
 from vocaframe.sources.audio import list_audio, read_contents
@@ -25,7 +26,7 @@ def test_inventory_listing_and_ids(spark, tmpdir_path):
     ids = sorted(r.file_id for r in audio_file_ids(inv, audio, ".wav").collect())
     assert ids == ["E", "a", "b", "sub/c"]
     # the listing plan reads no file content
-    plan = inv._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(inv)
     assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
 
 
@@ -111,7 +112,7 @@ def test_codes_with_inventory_one_join(spark):
                                   "file_id string, path string, code array<int>")
     got = build_corpus(texts, audio)
     assert [(r.file_id, r.code) for r in got.collect()] == [("a", [1])]
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(got)
     assert "LeftSemi" not in plan
 
 

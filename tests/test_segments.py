@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_text
 from vocaframe import constants as K
 from vocaframe.operators.segments import chain_context, split_script, stitch_offsets, stitched_stream
 from test_text import ref_norm
@@ -85,7 +86,7 @@ def test_split_script(spark):
 def test_blocked_plan_has_no_script_only_exchange(spark):
     rows, _ = make_scripts()
     df = spark.createDataFrame(rows, "script_id long, pos long, text string, codes array<int>")
-    plan = stitch_offsets(df, block=2)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(stitch_offsets(df, block=2))
     # the row side is hash-partitioned by (script_id, block), never by script_id alone
     for line in plan.splitlines():
         if "Exchange hashpartitioning(script_id" in line and "_blk" not in line:
