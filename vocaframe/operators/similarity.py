@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
-from ..functions.vectors import cosine_similarity
+from ..functions.vectors import COSINE_EPS, dot, l2_norm
 
 
 def score_references(refs: DataFrame, target: DataFrame, emb_col: str = "embedding") -> DataFrame:
     """Add ``similarity`` (cosine, DOUBLE) of each reference to the target.
 
-    ``target`` must hold exactly one row; its vector enters the plan as a
-    scalar subquery, evaluated once and shipped as a constant, so the
-    references are scanned once with no join or shuffle (Spark raises if the
-    target has more than one row)."""
+    ``target`` must hold exactly one row; its vector and its norm enter the
+    plan as scalar subqueries, evaluated once and shipped as constants, so
+    the references are scanned once with no join or shuffle (Spark raises if
+    the target has more than one row).  Same value as
+    :func:`vocaframe.functions.cosine_similarity`."""
     tvec = target.select(F.col(emb_col)).scalar()
-    return refs.withColumn("_target", tvec).withColumn(
-        "similarity", cosine_similarity(emb_col, "_target")).drop("_target")
+    tnorm = target.select(F.greatest(l2_norm(emb_col), F.lit(COSINE_EPS))).scalar()  # once, not per row
+    scored = refs.withColumn("_target", tvec).withColumn(
+        "similarity",
+        dot(emb_col, "_target") / (F.greatest(l2_norm(emb_col), F.lit(COSINE_EPS)) * tnorm))
+    return scored.drop("_target")
 
 
 def top_k(scored: DataFrame, k: int = 10, id_col: str = "vec_id") -> DataFrame:
