@@ -117,7 +117,12 @@ def q_inference_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_reference_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences after the first, with the conversation's first turn as the
-    reference (its text and codes; its audio's codes when it has none)."""
+    reference (its text and codes; its audio's codes when it has none).
+
+    The first-turn side has one row per conversation: AQE broadcasts it when
+    it is measured small, and otherwise splits a hot conversation's
+    partition of the other side (``spark.sql.adaptive.skewJoin.enabled``),
+    each split joined with the same single reference row."""
     s = S.sentences(spark, sf)
     first = s.where(F.col("pos") == 0).select(
         "script_id",
