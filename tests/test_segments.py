@@ -111,3 +111,14 @@ def test_hot_script_over_many_blocks(spark, block):
     ctx = {r.pos: r.context_codes for r in chain_context(df, block=block).where("script_id = 0").collect()}
     for i in range(1, len(hot)):
         assert ctx[i] == hot[i - 1][3][:-16] if len(hot[i - 1][3]) > 16 else ctx[i] == []
+
+
+def test_attach_per_script_salted(spark):
+    from vocaframe.operators.segments import attach_per_script
+
+    rows = spark.createDataFrame([(0, p) for p in range(50)] + [(1, 0), (2, 3)], "script_id long, pos long")
+    refs = spark.createDataFrame([(0, "r0"), (1, "r1")], "script_id long, ref string")
+    got = sorted((r.script_id, r.pos, r.ref) for r in attach_per_script(rows, refs, block=4).collect())
+    assert got == sorted([(0, p, "r0") for p in range(50)] + [(1, 0, "r1")])
+    left = attach_per_script(rows, refs, block=4, how="left")
+    assert left.count() == 52 and left.where("ref IS NULL").count() == 1

@@ -68,6 +68,21 @@ def with_previous(df: DataFrame, cols: list[str], block: int = DEFAULT_BLOCK,
     return x.where(F.col("_copy") == 0).drop("_blk", "_copy")
 
 
+def attach_per_script(rows: DataFrame, per_script: DataFrame, block: int = DEFAULT_BLOCK,
+                      how: str = "inner") -> DataFrame:
+    """Join a one-row-per-script table to every row of its script, salted by
+    block so that a hot script never lands in one task.
+
+    The per-script row is replicated once per block the script actually has
+    (``(script_id, block)`` pairs come from a partial aggregation of the
+    rows), and the rows join on ``(script_id, block)``.  Only scripts with
+    many blocks get many replicas; cold scripts get one."""
+    b = _blocked(rows, block)
+    blocks = b.select("script_id", "_blk").distinct()
+    replicated = blocks.join(per_script, "script_id", how)
+    return b.join(replicated, ["script_id", "_blk"], how).drop("_blk")
+
+
 def chain_context(script: DataFrame, refs: DataFrame | None = None, block: int = DEFAULT_BLOCK,
                   trim: int = K.CONTEXT_TRIM) -> DataFrame:
     """Inference prompt of every sentence with the previous one as reference.

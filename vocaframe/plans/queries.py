@@ -119,10 +119,9 @@ def q_reference_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences after the first, with the conversation's first turn as the
     reference (its text and codes; its audio's codes when it has none).
 
-    The first-turn side has one row per conversation: AQE broadcasts it when
-    it is measured small, and otherwise splits a hot conversation's
-    partition of the other side (``spark.sql.adaptive.skewJoin.enabled``),
-    each split joined with the same single reference row."""
+    The first turn reaches every later sentence through a join salted by
+    block (``segments.attach_per_script``), so a conversation holding a
+    large share of all rows is spread over many tasks."""
     s = S.sentences(spark, sf)
     first = s.where(F.col("pos") == 0).select(
         "script_id",
@@ -130,7 +129,7 @@ def q_reference_prompt(spark: SparkSession, sf: str) -> DataFrame:
         F.col("codes").alias("ref_codes"),
         F.expr(S.REF_AUDIO_CODES.replace("conv_id", "script_id")).alias("ref_audio_codes"),
     )
-    j = s.where(F.col("pos") > 0).join(first, "script_id")
+    j = segments.attach_per_script(s.where(F.col("pos") > 0), first)
     text = F.when(F.length("ref_text") > 0, with_reference_text("text", "ref_text")).otherwise(F.col("text"))
     codes = choose_reference_codes("ref_codes", "ref_audio_codes")
     return j.select(F.col("script_id").alias("conv_id"), F.col("pos").alias("turn"),
