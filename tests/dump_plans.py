@@ -14,7 +14,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-NAMES = ["manifest_last_wins", "corpus_build", "corpus_report", "segment_context", "segment_stitch",
+NAMES = ["manifest_last_wins", "corpus_build", "corpus_report", "reference_prompt", "segment_context", "segment_stitch",
          "similarity_top10", "similarity_csv", "token_metrics", "training_shuffle", "audio_preprocess"]
 
 
