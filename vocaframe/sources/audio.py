@@ -49,11 +49,13 @@ def _fs_and_path(path: str):
     return pafs.LocalFileSystem(), path
 
 
-def read_contents(df: DataFrame, path_col: str = "path") -> DataFrame:
+def read_contents(df: DataFrame, path_col: str = "path", max_bytes: int | None = None) -> DataFrame:
     """Add ``content`` by reading each listed file inside the tasks.
 
     Use after the listing has been joined/filtered, so only the files that
-    are needed are read (a join cannot prune a ``binaryFile`` scan)."""
+    are needed are read (a join cannot prune a ``binaryFile`` scan).  With
+    ``max_bytes`` only the first bytes of each file are read, e.g. 4096 for
+    header checks: the audio itself never leaves storage."""
     ship_package(df.sparkSession)
     cols = df.columns
 
@@ -63,7 +65,7 @@ def read_contents(df: DataFrame, path_col: str = "path") -> DataFrame:
             for p in pdf[path_col]:
                 fs, rel = _fs_and_path(p)
                 with fs.open_input_stream(rel) as f:
-                    out.append(f.read())
+                    out.append(f.read() if max_bytes is None else f.read(max_bytes))
             yield pdf.assign(content=out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", content binary"
