@@ -42,12 +42,15 @@ def spread(df, max_bytes: int = SMALL_INPUT_BYTES):
     cores there are.  When the files behind ``df`` (``DataFrame.inputFiles``)
     hold less than ``max_bytes``, rows are dealt round-robin over
     ``defaultParallelism`` partitions (a cheap shuffle of a small table).
-    Larger inputs, and inputs of many files, are left as they are: their
-    scans already have many splits, and a shuffle there would cost more than
-    it saves."""
+    Larger inputs, inputs of many files and inputs already split into many
+    partitions (checked first, without listing files on the driver) are
+    left as they are: their scans have many splits, and a shuffle there
+    would cost more than it saves."""
     n = df.sparkSession.sparkContext.defaultParallelism
+    if n <= 1 or df.rdd.getNumPartitions() >= 2 * n:  # large input: many splits already
+        return df
     files = df.inputFiles()
-    if n <= 1 or not files or len(files) >= n:
+    if not files or len(files) >= n:
         return df
     if _input_bytes(files, max_bytes) >= max_bytes:
         return df
