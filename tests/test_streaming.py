@@ -27,3 +27,32 @@ def test_prompt_stream_on_streaming_frame(spark, tmpdir_path):
     q.awaitTermination()
     rows = spark.sql("SELECT prompt FROM vf_prompts").collect()
     assert rows[0].prompt.endswith("<|s_1|><|s_2|><|SPEECH_GENERATION_END|>")
+
+
+def test_request_and_response_steps_on_a_stream(spark, tmpdir_path):
+    import json
+
+    from vocaframe.operators.requests import parse_responses, validate_requests
+
+    src = os.path.join(tmpdir_path, "req")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w", encoding="utf-8") as f:
+        f.write(json.dumps({"input": "こんにちは", "speed": 5.0}) + "\n")
+        f.write(json.dumps({"input": "éé", "response_format": "wav"}) + "\n")
+    stream = spark.readStream.schema("input string, speed double, response_format string").json(src)
+    q = (validate_requests(stream).select("input", "violations").writeStream.format("memory")
+         .queryName("vf_requests").trigger(availableNow=True)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck1")).start())
+    q.awaitTermination()
+    got = {r.input: list(r.violations) for r in spark.sql("SELECT * FROM vf_requests").collect()}
+    assert got == {"こんにちは": ["speed"], "éé": ["empty_after_normalization"]}
+
+    rsrc = os.path.join(tmpdir_path, "resp")
+    os.makedirs(rsrc)
+    with open(os.path.join(rsrc, "r.json"), "w") as f:
+        f.write(json.dumps({"status": 200, "body": json.dumps({"choices": [{"text": "<|s_4|><|s_5|>"}]})}) + "\n")
+    rs = spark.readStream.schema("status int, body string").json(rsrc)
+    q = (parse_responses(rs).select("speech_ids").writeStream.format("memory").queryName("vf_responses")
+         .trigger(availableNow=True).option("checkpointLocation", os.path.join(tmpdir_path, "ck2")).start())
+    q.awaitTermination()
+    assert spark.sql("SELECT * FROM vf_responses").first().speech_ids == [4, 5]
