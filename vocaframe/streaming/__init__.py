@@ -1,7 +1,9 @@
 """The map-only steps on streaming DataFrames.
 
-Normalization, token rendering and prompt rendering are per-row native
-expressions, so the same column functions run unchanged on a stream.  Steps
+Normalization, token and prompt rendering, request validation and response
+decoding are per-row native expressions, so the same column functions and
+operators run unchanged on a stream (tested with file sources and
+available-now triggers).  Steps
 that need a whole script or id (dedup, chaining, stitching, shuffling,
 top-k) need bounded input and are not offered here.
 """
