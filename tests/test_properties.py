@@ -41,3 +41,20 @@ def test_stitched_length(spark, scripts, block):
     totals = {r.script_id: r.total for r in stitch_offsets(df, block=block).where("is_last").collect()}
     for s, lens in enumerate(scripts):
         assert totals[s] == sum(max(n - 16, 0) for n in lens[:-1]) + lens[-1]
+
+
+LINE_ALPHABET = list("ab:|  \t") + ["　", "\x85", " "[:0] or "x", " "]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(LINE_ALPHABET), max_size=12), min_size=1, max_size=60),
+       st.sampled_from([(":", 0, 1), ("|", 1, 0), (":", -1, 0)]))
+def test_manifest_parse_matches_python(spark, lines, spec):
+    from vocaframe.operators.manifest import last_text_per_id, parse_manifest
+    from test_manifest import py_parse
+
+    sep, fi, ti = spec
+    exp = py_parse(lines, sep, fi, ti)
+    df = spark.createDataFrame(list(enumerate(lines)), "line_key long, line string")
+    got = last_text_per_id(parse_manifest(df, sep, fi, ti)).orderBy("first_key").collect()
+    assert [(r.file_id, r.text) for r in got] == list(exp.items())
