@@ -1,8 +1,8 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB and compare.
 
 Comparison: row count, column names, and the multiset of rows (values
-rendered as text, floats with 9 significant digits) after sorting the
-columns by name.  Usable from pytest and as a script:
+rendered as text, floats exactly by ``repr``) after sorting the columns by
+name.  Usable from pytest and as a script:
 
     python tests/oracle_compare.py /root/testdata/sf0.01 [name ...]
 """
@@ -36,7 +36,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return f"{v:.9g}"
+        return repr(v)  # exact: both engines must produce the same double
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     if hasattr(v, "tolist"):
