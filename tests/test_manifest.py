@@ -61,3 +61,9 @@ def test_read_files_in_line_order(spark, tmpdir_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     exp = py_parse(lines_a + lines_b)  # files are read in path order
     assert [(r.file_id, r.text) for r in got] == list(exp.items())
+
+
+def test_negative_index_out_of_range_raises(spark):
+    df = spark.createDataFrame([(0, "a:b")], "line_key long, line string")
+    with pytest.raises(Exception):
+        parse_manifest(df, ":", -3, 0).collect()  # Python: IndexError
