@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import fresh_dir, ship_package
 
@@ -24,10 +25,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents")
+
+
+#: Rows up to which a list of ids (16 bytes a row and less) is broadcast.
+BROADCAST_ROWS = 1 << 21
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast join if it has ``limit`` rows at most;
+    beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
@@ -37,13 +52,3 @@ def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     ``spark.sql.shuffle.partitions`` and the advisory size)."""
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got).combine_chunks() if got else None
-
-
-def binary_parts(column) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column without nulls."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    return (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)), offsets

@@ -41,7 +41,7 @@ from . import kernel as K
 from . import rarity
 from . import signature_tree as T
 from .components import components
-from .io import batch, prepare, table, whole
+from .io import batch, prepare, small, table, whole
 
 BLOCK = 256
 #: Sets of one shingle that a task groups together before the shingle is salted.
@@ -229,7 +229,7 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
     pairs = table(pairs.where("a != b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct().join(reps, "vid")
     wanted = table(wanted.select("vid", "doc_id"), "wanted")
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    texts = docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_tokens(k), "vid long, tokens binary").join(wanted.select("vid"), "vid", "left_semi").dropDuplicates(["vid"])
     sets = table(sets, "sets")
     both = pairs.join(sets.select(F.col("vid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("vid").alias("b"), F.col("tokens").alias("y")), "b")
@@ -254,14 +254,17 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     grouped = routed.repartition("key", "salt").mapInArrow(_blocks(percent), "gid long, block long, vids array<long>")
     blocks = table(grouped.dropDuplicates(["gid", "block"]), "blocks")
 
-    # links to one representative of each group
-    first = blocks.groupBy("gid").agg(F.min(F.array_min("vids")).alias("a"))
-    stars = blocks.join(first, "gid").select("a", F.explode("vids").alias("b"))
+    # links to one representative of each group: the member of most groups, for
+    # the rarer a text's shingles are, the further it is from the others
+    each = table(blocks.select("gid", "block", F.explode("vids").alias("vid")), "each")
+    degree = each.groupBy("vid").agg(F.countDistinct("gid").alias("degree"))
+    first = each.join(degree, "vid").groupBy("gid").agg(F.max_by("vid", F.struct("degree", "vid")).alias("a"))
+    stars = each.join(first, "gid").select("a", F.col("vid").alias("b"))
     links = _links(stars, live, reps, k, percent)
     classes = table(components(links), "classes").select(F.col("node").alias("vid"), F.col("component").alias("comp"))
 
     # groups of several components
-    members = blocks.select("gid", "block", F.explode("vids").alias("vid")).join(classes, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+    members = each.join(classes, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
     members = table(members, "members")
     mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.countDistinct("block").alias("blocks")).where("lo != hi").select("gid", "blocks")
     sigs = meta.where("doc_id is not null and n > 0").select("vid", "n", "sig").dropDuplicates(["vid"])

@@ -24,8 +24,8 @@ FAN_OUT = 8
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of ``n`` tokens: a power of two, 2n to 4n."""
-    return max(64, 2 << max(n - 1, 1).bit_length())
+    """Bits of the bitmap of a set of ``n`` tokens: a power of two, 8n to 16n."""
+    return max(64, 8 << max(n - 1, 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
