@@ -1,0 +1,176 @@
+"""Operators on single texts: classifier, licenses, tokens, fingerprints, secrets."""
+
+import hashlib
+import os
+import random
+import re
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import brute  # noqa: E402
+from vocaframe.llm import bpe, fingerprints, licenses, quality, secrets  # noqa: E402
+from vocaframe.llm.queries import QUERIES, rank_file  # noqa: E402
+
+SF = "/root/testdata/sf0.01"
+with_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test data missing")
+ODD = [None, "", " ", "\n\n", "it's we'll ''s I'VE  's\t'd", "é漢字　x  y", "--- !!! 12345six", "a" * 5000, " \r\n trailing  "]
+
+
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("score", F.lit(2))
+
+
+# tokens
+
+def encoding():
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers
+
+    with open(rank_file(), "rb") as f:
+        ranks = bpe.parse_ranks(f.read())
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encode_as_the_library_would(spark):
+    draw = random.Random(5)
+    texts = ODD + ["".join(draw.choice("ab 's'tre'll \n\t  12é漢!?' vm-—ß'<|endoftext|>") for _ in range(draw.randint(0, 80))) for _ in range(400)]
+    texts += [t for _, t in brute.corpus(2)]
+    want, got = encoding(), bpe.encode(docs(spark, texts).withColumn("tokens", F.lit("x")), rank_file())
+    rows = {r.doc_id: r for r in bpe.decode(got, rank_file()).collect()}
+    for i, text in enumerate(texts):
+        ids = want.encode_ordinary(text or "")
+        assert list(rows[i].tokens) == ids
+        assert bytes(rows[i].decoded) == (text or "").encode()
+        sizes = [len(want.decode_single_token_bytes(t)) for t in ids]
+        assert list(rows[i].offsets) == [sum(sizes[:k]) for k in range(len(ids))]
+
+
+def test_scan_equals_a_walk():
+    import numpy as np
+
+    symbols = np.random.default_rng(3).integers(0, 14, 1000)
+    state, want = bpe.START, []
+    for s in symbols:
+        want.append(state)
+        state = bpe.NEXT[s, state]
+    assert bpe.scan(symbols, 16).tolist() == want == bpe.scan(symbols, 256).tolist()
+
+
+def test_decode_rejects_unknown_ids(spark):
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(spark.createDataFrame([([60000],)], "tokens array<int>"), rank_file()).collect()
+
+
+# classifier
+
+@with_data
+def test_quality_on_held_out_rows(spark):
+    rows = QUERIES["op3_quality"](spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = rows.where("held_out").join(labels, "doc_id").select("quality", "score", "predicted").collect()
+    good = [r.score for r in out if r.quality]
+    bad = [r.score for r in out if not r.quality]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / len(good) / len(bad)
+    assert auc > 0.97
+    assert sum(r.predicted == r.quality for r in out) / len(out) > 0.95
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_quality_of_odd_texts_and_labels(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit(docs(spark, ODD), labels)
+    out = quality.score(docs(spark, ODD), model).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+    none = quality.fit(docs(spark, ODD), labels.limit(0))
+    assert {r.score for r in quality.score(docs(spark, ODD), none).collect()} == {1.0}
+    assert quality.score(docs(spark, ["x"]).limit(0), none).count() == 0
+
+
+# licenses
+
+def test_licenses(spark):
+    texts = ODD + [
+        "Released under the MIT License.", "mit\nlicense and CC-BY, Apache  License", "the license of mit", "GNU General Public License gnu general public license",
+        "word " * 300 + "\nThis is free and unencumbered software released into public domain.\n" + "word " * 500,
+    ]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
+    templates = licenses.template_words()
+    for i, text in enumerate(texts):
+        split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(brute.FOLD))
+        ws = split(text or "")
+        places = [j for p, _ in licenses.PHRASES for j in range(len(ws)) if ws[j:j + len(p.split())] == p.split()]
+        assert got[i].n_words == len(ws)
+        assert sorted(got[i].places) == sorted(places)
+        best = {}
+        for line in (text or "").split("\n"):
+            lw = split(line)
+            for s in range(0, max(len(lw) - licenses.BLOCK // 2, 1), licenses.BLOCK // 2):
+                block = set(lw[s:s + licenses.BLOCK])
+                for _, label, t in templates:
+                    if 100 * len(block & set(t)) >= 80 * len(t):
+                        best[label] = max(best.get(label, 0), len(block & set(t)) / len(t))
+        assert {m.label: m.containment for m in got[i].matches} == best
+    assert licenses.scan(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+# fingerprints
+
+def test_fingerprints_estimate_jaccard(spark):
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(600)]
+    texts = [" ".join(base), " ".join(base[:300] + [f"x{i}" for i in range(300)]), " ".join(f"y{i}" for i in range(600)), " ".join(base), "a b", "A  b", "", None, " "]
+    rows = docs(spark, texts).withColumn("f", fingerprints.fingerprint(F.col("text")))
+    marks = {r.doc_id: r.f for r in rows.collect()}
+    assert all(re.fullmatch("[0-9a-f]{128}", f) for f in marks.values())
+    assert marks[0] == marks[3] and marks[4] == marks[5] and marks[6] == marks[7] == marks[8]
+    pairs = spark.createDataFrame([(marks[a], marks[b]) for a, b in [(0, 3), (0, 1), (0, 2)]], "a string, b string")
+    near = [r[0] for r in pairs.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
+    assert near[0] == 1 and abs(near[1] - 1 / 3) < 0.15 and near[2] < 0.12
+
+
+@with_data
+def test_fingerprint_query(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy(F.desc("doc_id")).collect()
+    got = {r.doc_id: r for r in QUERIES["op8_fingerprints"](spark, SF).collect()}
+    for i, r in enumerate(rows):
+        text, after = r.text or "", rows[(i + 1) % len(rows)]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + (after.text or "")[:half]
+        assert got[r.doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[r.doc_id].n_chars == len(text)
+        if got[r.doc_id].near_next == 1:
+            assert got[after.doc_id].fingerprint == got[r.doc_id].fingerprint
+
+
+def test_next_row_over_ties_gaps_and_missing_ids(spark):
+    rows = [(7, "a"), (7, "b"), (-3, "c"), (10**15, "d"), (None, "e"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text): (r.next.doc_id, r.next.text) for r in fingerprints.with_next(df, ranges=4).collect()}
+    order = [(10**15, "d"), (8, None), (7, "a"), (7, "b"), (-3, "c"), (None, "e")]
+    assert got == {a: order[(i + 1) % 6] for i, a in enumerate(order)}
+    assert fingerprints.with_next(df.limit(0)).count() == 0
+
+
+# secrets
+
+def test_secret_candidates(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = ODD + [f'some words token = "{key}" more words', f"{key}", "see https://example.com/a/long/path/of/words.html now", "2669109448945250 and 1234567890123456", "internationalization characteristically"]
+    found = {(r.doc_id, r.candidate): r for r in secrets.scan(docs(spark, texts * 3)).collect()}
+    n = len(ODD)
+    assert found[n, key].label == 1 and found[n, key].place == 4 and found[n, key].score >= 0.5
+    assert found[n + 2, "//example.com/a/long/path/of/words.html"].score < 0.5
+    assert found[n + 3, "2669109448945250"].score < 0.5
+    assert secrets.scan(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+@with_data
+def test_secret_query_finds_the_planted_tokens(spark):
+    planted = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('(?i)token = "([0-9a-f]{40})"'), F.lit(1))).alias("candidate"))
+    got = QUERIES["op10_secrets"](spark, SF)
+    assert planted.count() > 0
+    assert planted.join(got, ["doc_id", "candidate"], "left_anti").count() == 0

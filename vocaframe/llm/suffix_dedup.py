@@ -12,21 +12,23 @@ chosen by content (the position whose ``GRAM`` bytes hash lowest among the
 string's), because a fixed difference cover of that period needs three times
 as many positions.  The windows that share a sample position are its *zone*.
 
-1. Every (sample, zone) of a document goes to the bucket of its sample.  A
-   bucket is sorted at a time; equal samples are neighbours, and the rank of
-   the zone (a hash of its bytes) settles long ties at once: a zone that also
-   is in a smaller document goes whole.
-2. Samples with several different zones are the ends of matches.  The windows
-   of these zones, taken from the zone's smallest document, are compared with
-   one another; those that a smaller document has go one by one.
+1. Every (sample, zone) of a document goes to the bucket of its sample, as 16
+   packed bytes.  A bucket is sorted at a time; equal samples are neighbours,
+   and the rank of the zone (a hash of its bytes) settles long ties at once: a
+   zone that also is in a smaller document goes whole.
+2. Different zones of one sample whose bytes agree far enough to one side (a
+   common window reaches ``REACH`` bytes beyond the sample to the left or to
+   the right) may be the ends of matches.  Their windows, taken from the
+   zone's smallest document, are compared with one another; those that a
+   smaller document has go one by one.
 3. Each document's zones and windows that go are brought to it, and its text
-   is cut.
+   is cut.  Texts that lose nothing are not shuffled.
 
 Exact copies are known by a hash of the text and cut whole; a task sends their
 zones only for the copy with the smallest doc_id so far.
 
-Strings are compared by hashes of 48 bits within one sample (of 48 bits), or
-64 bits.  Cases: null counts as the empty text; texts under ``LENGTH`` bytes
+Zones are compared by hashes of 40 bits within one sample (a hash of 40 bits
+and more), windows and a document's own zones by 64 bits.  Cases: null counts as the empty text; texts under ``LENGTH`` bytes
 lose nothing; rows with one doc_id are one document to the others and not
 compared with each other; rows without a doc_id lose nothing and are not
 compared; very long texts are processed whole.
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .io import BROADCAST_ROWS, batch, prepare, table, whole
+from .io import BROADCAST_ROWS, batch, prepare, small, table, whole
 
 LENGTH = 50
 GRAM = 20
@@ -50,7 +52,11 @@ _SPAN = LENGTH - GRAM + 1
 _PLAIN = np.arange(256)
 #: Text whose samples a task sorts into buckets at a time.
 SEND_BYTES = 16 << 20
-_LOW48 = np.uint64((1 << 48) - 1)
+#: Of the ``LENGTH - GRAM`` other bytes of a window half lie on one side.
+REACH = (LENGTH - GRAM) // 2
+_LOW40, _LOW24, _LOW16 = (np.uint64((1 << n) - 1) for n in (40, 24, 16))
+#: Packed columns of a zone: sample, rank, place of the document, both sides.
+_WIDTHS = (5, 5, 2, 2, 2)
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -63,14 +69,16 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
 
 
 class Zones:
-    """Zones of all texts of a slice: row, start, number of windows, sample
-    (its hash, 48 bits) and rank (hash of the zone's bytes, 48 bits)."""
+    """Zones of all texts of a slice: row, start, number of windows, ``part``
+    and ``key`` (bucket and hash of the sample), ``rank`` (hash of the zone's
+    bytes) and ``id`` (64 bits of both)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, parts: int) -> None:
         n = len(data)
+        self.data, self.offsets = data, offsets
         if n < LENGTH:
-            self.row = self.start = self.count = self.at = np.zeros(0, np.int64)
-            self.key = self.rank = np.zeros(0, np.uint64)
+            self.row = self.start = self.count = self.at = self.part = np.zeros(0, np.int64)
+            self.key = self.rank = self.id = np.zeros(0, np.uint64)
             return
         begin = np.arange(n - GRAM + 1)
         grams = K.range_hash(data, begin, begin + GRAM, _PLAIN)
@@ -87,9 +95,19 @@ class Zones:
         lead = np.flatnonzero(cut)
         self.row, self.start, self.at = row[lead], starts[lead], anchor[lead]
         self.count = np.diff(np.append(lead, len(starts)))
-        self.key = grams[self.at] & _LOW48
+        sample = grams[self.at]
+        self.part = (sample % np.uint64(parts)).astype(np.int64)
+        self.key = sample // np.uint64(parts) & _LOW40
         rank = K.range_hash(data, self.start, self.start + self.count + LENGTH - 1, _PLAIN)
-        self.rank = K.mix(rank + (self.at - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & _LOW48
+        self.rank = K.mix(rank + (self.at - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & _LOW40
+        self.id = self.rank << np.uint64(24) | self.key & _LOW24
+
+    def sides(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """16-bit hashes of the bytes left and right of the samples."""
+        at, row = self.at[pick], self.row[pick]
+        left = K.range_hash(self.data, np.maximum(at - REACH, self.offsets[row]), at, _PLAIN)
+        right = K.range_hash(self.data, at + GRAM, np.minimum(at + GRAM + REACH, self.offsets[row + 1]), _PLAIN)
+        return left & _LOW16, right & _LOW16
 
     @staticmethod
     def _anchors(grams: np.ndarray, least: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -125,14 +143,18 @@ class Zones:
         return anchor
 
 
-def _pack48(values: np.ndarray) -> np.ndarray:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+def _pack(columns: list[np.ndarray]) -> bytes:
+    return np.hstack([c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w] for c, w in zip(columns, _WIDTHS)]).tobytes()
 
 
-def _unpack48(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view("<u8").ravel()
+def _unpack(raw: np.ndarray) -> list[np.ndarray]:
+    rows, out, at = raw.reshape(-1, sum(_WIDTHS)), [], 0
+    for w in _WIDTHS:
+        wide = np.zeros((len(rows), 8), np.uint8)
+        wide[:, :w] = rows[:, at:at + w]
+        out.append(wide.view("<u8").ravel())
+        at += w
+    return out
 
 
 _SENT = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("zones", pa.binary())])
@@ -140,15 +162,15 @@ _SENT = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("zones", pa.bina
 
 def _send(parts: int):
     """Samples of a task, one row for each bucket and ``SEND_BYTES`` of text:
-    15 bytes a zone (sample, rank, place of the document in ``ids``)."""
+    the documents, and the packed zones that name them by their place."""
 
-    def pack(ids: list[int], key: np.ndarray, rank: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        part = (key % np.uint64(parts)).astype(np.int64)
+    def pack(ids: list[int], held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        part, key, rank, own, left, right = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((own, rank, key, part))
-        key, rank, own, part = key[order], rank[order], own[order], part[order]
+        part, key, rank, own, left, right = (x[order] for x in (part, key, rank, own, left, right))
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (rank[1:] != rank[:-1]) | (own[1:] != own[:-1])
-        key, rank, own, part = key[new], rank[new], own[new], part[new]
+        new[1:] = (key[1:] != key[:-1]) | (rank[1:] != rank[:-1]) | (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+        part, key, rank, own, left, right = (x[new] for x in (part, key, rank, own, left, right))
         all_ids = np.array(ids, np.int64)
         rows, docs, zones = [], [], []
         edges = np.flatnonzero(np.diff(part, prepend=-1))
@@ -156,146 +178,159 @@ def _send(parts: int):
             here, place = np.unique(own[s:e], return_inverse=True)
             rows.append(int(part[s]))
             docs.append(all_ids[here].tobytes())
-            zones.append(np.hstack([_pack48(key[s:e]), _pack48(rank[s:e]), place.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]]).tobytes())
+            zones.append(_pack([key[s:e], rank[s:e], place, left[s:e], right[s:e]]))
         return batch(_SENT, rows, docs, zones)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         size, known = 0, {}
         for b in batches:
             own_ids = b["doc_id"].to_numpy()
             for at, data, offsets in K.chunks(b["text"]):
-                zones = Zones(data, offsets)
-                rows = np.arange(len(offsets) - 1)
-                if len(data):
-                    hashes = K.range_hash(data, offsets[:-1], offsets[1:], _PLAIN)
-                    keep = np.ones(len(rows), bool)
-                    for r, h in enumerate(hashes.tolist()):  # copies of a smaller document of the task
-                        doc = int(own_ids[at + r])
-                        if known.get(h, doc + 1) <= doc:
-                            keep[r] = False
-                        else:
-                            known[h] = doc
-                    take = keep[zones.row]
-                    held.append((zones.key[take], zones.rank[take], zones.row[take] + len(ids)))
-                ids += own_ids[at:at + len(rows)].tolist()
-                size += len(data)
-                if size >= SEND_BYTES or len(ids) >= 1 << 22:
-                    if sum(len(h[0]) for h in held):
-                        yield pack(ids, *(np.concatenate(x) for x in zip(*held)))
+                n = len(offsets) - 1
+                if held and (size >= SEND_BYTES or len(ids) + n > 1 << 16):
+                    yield pack(ids, held)
                     ids, held, size = [], [], 0
-        if sum(len(h[0]) for h in held):
-            yield pack(ids, *(np.concatenate(x) for x in zip(*held)))
+                zones = Zones(data, offsets, parts)
+                keep = np.ones(n, bool)
+                hashes = K.range_hash(data, offsets[:-1], offsets[1:], _PLAIN) if len(data) else np.zeros(0, np.uint64)
+                for r, h in enumerate(hashes.tolist()):  # copies of a smaller document of the task
+                    doc = int(own_ids[at + r])
+                    if known.get(h, doc + 1) <= doc:
+                        keep[r] = False
+                    else:
+                        known[h] = doc
+                pick = np.flatnonzero(keep[zones.row])
+                if len(pick):
+                    left, right = zones.sides(pick)
+                    held.append([zones.part[pick], zones.key[pick], zones.rank[pick], zones.row[pick] + len(ids), left, right])
+                ids += own_ids[at:at + n].tolist()
+                size += len(data)
+        if held:
+            yield pack(ids, held)
 
     return run
 
 
-#: doc_id, rank: a zone that goes whole (ends false), or one of several zones
+#: doc_id, zone id: a zone that goes whole (ends false), or one of several zones
 #: of a sample, whose windows have to be compared (ends true).
-_FOUND = pa.schema([("doc_id", pa.int64()), ("rank", pa.int64()), ("ends", pa.bool_())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("ends", pa.bool_())])
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = whole(batches)
     if t is None:
         return
-    key, rank, doc = [], [], []
-    for ids, zones in zip(t["ids"].chunk(0), t["zones"].chunk(0)):
-        raw = np.frombuffer(zones.as_buffer(), np.uint8).reshape(-1, 15)
-        key.append(_unpack48(raw[:, :6]))
-        rank.append(_unpack48(raw[:, 6:12]))
-        place = np.zeros((len(raw), 4), np.uint8)
-        place[:, :3] = raw[:, 12:]
-        doc.append(np.frombuffer(ids.as_buffer(), np.int64)[place.view("<u4").ravel()])
-    key, rank, doc = np.concatenate(key), np.concatenate(rank), np.concatenate(doc)
+    columns, docs, parts = [], [], []
+    for part, ids, zones in zip(t["part"].to_pylist(), t["ids"].chunk(0), t["zones"].chunk(0)):
+        columns.append(_unpack(np.frombuffer(zones.as_buffer(), np.uint8)))
+        docs.append(np.frombuffer(ids.as_buffer(), np.int64)[columns[-1][2].astype(np.int64)])
+        parts.append(np.full(len(docs[-1]), part))
+    key, rank, _, left, right = (np.concatenate(x) for x in zip(*columns))
+    doc, part = np.concatenate(docs), np.concatenate(parts)
     # most samples are in one document only
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+    order = np.lexsort((key, part))
     twin = np.zeros(len(order), bool)
-    same = sorted_key[1:] == sorted_key[:-1]
+    same = (key[order][1:] == key[order][:-1]) & (part[order][1:] == part[order][:-1])
     twin[1:] |= same
     twin[:-1] |= same
     order = order[twin]
-    order = order[np.lexsort((doc[order], rank[order], key[order]))]
-    key, rank, doc = key[order], rank[order], doc[order]
+    order = order[np.lexsort((doc[order], rank[order], key[order], part[order]))]
+    key, rank, doc, part, left, right = (x[order] for x in (key, rank, doc, part, left, right))
     if not len(key):
         return
     new_key = np.ones(len(key), bool)
-    new_key[1:] = key[1:] != key[:-1]
+    new_key[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
     new_zone = new_key.copy()
     new_zone[1:] |= rank[1:] != rank[:-1]
     zone = np.cumsum(new_zone) - 1
-    first_doc = doc[new_zone][zone]
-    goes = doc > first_doc
-    sample = np.cumsum(new_key) - 1
-    several = np.bincount(sample, new_zone)[sample] > 1
-    ends = new_zone & several
-    for s in range(0, len(key), 1 << 18):
-        g, e = np.flatnonzero(goes[s:s + (1 << 18)]) + s, np.flatnonzero(ends[s:s + (1 << 18)]) + s
-        yield batch(_FOUND, np.concatenate((doc[g], doc[e])), K.signed(np.concatenate((rank[g], rank[e]))), np.concatenate((np.zeros(len(g), bool), np.ones(len(e), bool))))
-
-
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("rank", pa.int64()), ("j", pa.int32()), ("window", pa.int64())])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows of the wanted zones (``ranks``) of each text."""
-    for b in batches:
-        ids = b["doc_id"].to_numpy()
-        for at, data, offsets in K.chunks(b["text"]):
-            z = Zones(data, offsets)
-            pick = np.zeros(len(z.row), bool)
-            edges = np.searchsorted(z.row, np.arange(len(offsets)))
-            for r in range(len(offsets) - 1):
-                s, e = edges[r], edges[r + 1]
-                if s < e:
-                    pick[s:e] = np.isin(K.signed(z.rank[s:e]), b["ranks"][at + r].values.to_numpy())
-            i = np.flatnonzero(pick)
-            if not len(i):
-                continue
-            _, once = np.unique(np.stack([z.row[i], z.rank[i].astype(np.int64)]), axis=1, return_index=True)
-            i = i[once]
-            count = z.count[i]
-            zone = np.repeat(i, count)
-            j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = z.start[zone] + j
-            hashes = K.mix(K.range_hash(data, start, start + LENGTH, _PLAIN) + (z.at[zone] - start).astype(np.uint64))
-            yield batch(_WINDOWS, ids[at + z.row[zone]], K.signed(z.rank[zone]), j.astype(np.int32), K.signed(hashes))
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        copies = b["copy"].to_numpy(zero_copy_only=False)
-        for at, data, offsets in K.chunks(b["text"]):
-            z = Zones(data, offsets)
-            edges = np.searchsorted(z.row, np.arange(len(offsets)))
-            spans, kept = [], []
-            for r in range(len(offsets) - 1):
-                text = data[offsets[r]:offsets[r + 1]]
-                own, s, e = b["gone"][at + r], edges[r], edges[r + 1]
-                gone = np.zeros(0, np.int64)
-                if copies[at + r] and len(text) >= LENGTH:
-                    gone = np.arange(len(text) - LENGTH + 1)
-                elif own.is_valid and s < e:
-                    ranks, masks = (own.values.field(k).to_numpy() for k in ("rank", "mask"))
-                    order = np.argsort(ranks, kind="stable")
-                    ranks, masks = ranks[order], masks[order]
-                    mine = K.signed(z.rank[s:e])
-                    place = np.minimum(np.searchsorted(ranks, mine), len(ranks) - 1)
-                    mask = np.where(ranks[place] == mine, masks[place], 0)
-                    count = z.count[s:e]
-                    j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    gone = (np.repeat(z.start[s:e] - offsets[r], count) + j)[np.repeat(mask, count) >> j & 1 == 1]
-                step = np.zeros(len(text) + 1, np.int64)
-                np.add.at(step, gone, 1)
-                np.add.at(step, gone + LENGTH, -1)
-                covered = np.cumsum(step[:-1]) > 0
-                edge = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
-                spans.append([dict(start=int(x), end=int(y)) for x, y in zip(edge[::2], edge[1::2])])
-                kept.append(text[~covered].tobytes())
-            rows = b["row"].slice(at, len(kept))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(np.diff(offsets), pa.int64())], names=["row", "spans", "kept", "n_bytes"])
+    goes = doc > doc[new_zone][zone]
+    # zones of one sample that agree on one side
+    first = np.flatnonzero(new_zone)
+    sample = (np.cumsum(new_key) - 1)[first]
+    agree = np.zeros(len(first), bool)
+    for side in (left[first], right[first]):
+        by = np.lexsort((side, sample))
+        same = (sample[by][1:] == sample[by][:-1]) & (side[by][1:] == side[by][:-1])
+        agree[by[1:]] |= same
+        agree[by[:-1]] |= same
+    ids = K.signed(rank << np.uint64(24) | key & _LOW24)
+    whole_, ends = np.flatnonzero(goes), first[agree]
+    rows = np.concatenate((whole_, ends))
+    flags = np.concatenate((np.zeros(len(whole_), bool), np.ones(len(ends), bool)))
+    for s in range(0, len(rows), 1 << 18):
+        r = rows[s:s + (1 << 18)]
+        yield batch(_FOUND, doc[r], ids[r], flags[s:s + (1 << 18)])
+
+
+_WINDOWS = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("j", pa.int32()), ("window", pa.int64())])
+
+
+def _windows(parts: int):
+    """Hashes of the windows of the wanted ``zones`` of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b["doc_id"].to_numpy()
+            for at, data, offsets in K.chunks(b["text"]):
+                z = Zones(data, offsets, parts)
+                pick = np.zeros(len(z.row), bool)
+                edges = np.searchsorted(z.row, np.arange(len(offsets)))
+                for r in range(len(offsets) - 1):
+                    s, e = edges[r], edges[r + 1]
+                    if s < e:
+                        pick[s:e] = np.isin(K.signed(z.id[s:e]), b["zones"][at + r].values.to_numpy())
+                i = np.flatnonzero(pick)
+                if not len(i):
+                    continue
+                _, once = np.unique(np.stack([z.row[i], K.signed(z.id[i])]), axis=1, return_index=True)
+                i = i[once]
+                count = z.count[i]
+                zone = np.repeat(i, count)
+                j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = z.start[zone] + j
+                hashes = K.mix(K.range_hash(data, start, start + LENGTH, _PLAIN) + (z.at[zone] - start).astype(np.uint64))
+                yield batch(_WINDOWS, ids[at + z.row[zone]], K.signed(z.id[zone]), j.astype(np.int32), K.signed(hashes))
+
+    return run
+
+
+def _cut(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            copies = b["copy"].to_numpy(zero_copy_only=False)
+            for at, data, offsets in K.chunks(b["text"]):
+                z = Zones(data, offsets, parts)
+                edges = np.searchsorted(z.row, np.arange(len(offsets)))
+                spans, kept = [], []
+                for r in range(len(offsets) - 1):
+                    text = data[offsets[r]:offsets[r + 1]]
+                    own, s, e = b["gone"][at + r], edges[r], edges[r + 1]
+                    gone = np.zeros(0, np.int64)
+                    if copies[at + r] and len(text) >= LENGTH:
+                        gone = np.arange(len(text) - LENGTH + 1)
+                    elif own.is_valid and s < e:
+                        zones, masks = (own.values.field(k).to_numpy() for k in ("zone", "mask"))
+                        order = np.argsort(zones, kind="stable")
+                        zones, masks = zones[order], masks[order]
+                        mine = K.signed(z.id[s:e])
+                        place = np.minimum(np.searchsorted(zones, mine), len(zones) - 1)
+                        mask = np.where(zones[place] == mine, masks[place], 0)
+                        count = z.count[s:e]
+                        j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                        gone = (np.repeat(z.start[s:e] - offsets[r], count) + j)[np.repeat(mask, count) >> j & 1 == 1]
+                    step = np.zeros(len(text) + 1, np.int64)
+                    np.add.at(step, gone, 1)
+                    np.add.at(step, gone + LENGTH, -1)
+                    covered = np.cumsum(step[:-1]) > 0
+                    edge = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
+                    spans.append([dict(start=int(x), end=int(y)) for x, y in zip(edge[::2], edge[1::2])])
+                    kept.append(text[~covered].tobytes())
+                rows = b["row"].slice(at, len(kept))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(np.diff(offsets), pa.int64())], names=["row", "spans", "kept", "n_bytes"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -310,24 +345,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = live.mapInArrow(_send(parts), "part int, ids binary, zones binary").repartition(parts, "part")
-    found = table(sent.mapInArrow(_sort_bucket, "doc_id long, rank long, ends boolean"), "zones")
+    found = table(sent.mapInArrow(_sort_bucket, "doc_id long, zone long, ends boolean"), "zones")
 
-    ends = found.where("ends").groupBy("doc_id").agg(F.collect_set("rank").alias("ranks"))
+    ends = found.where("ends").groupBy("doc_id").agg(F.collect_set("zone").alias("zones"))
     ends = F.broadcast(ends) if found.where("ends").count() <= BROADCAST_ROWS else ends
-    windows = table(live.join(ends, "doc_id").mapInArrow(_windows, "doc_id long, rank long, j int, window long"), "windows")
+    windows = live.join(ends, "doc_id").mapInArrow(_windows(parts), "doc_id long, zone long, j int, window long")
+    windows = table(windows, "windows")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    some = windows.join(least, "window").where("doc_id > first").groupBy("doc_id", "rank").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
-    gone = found.where("not ends").select("doc_id", "rank", F.lit(-1).cast("long").alias("mask")).unionByName(some)
-    gone = gone.groupBy("doc_id", "rank").agg(F.expr("bit_or(mask)").alias("mask")).groupBy("doc_id").agg(F.collect_list(F.struct("rank", "mask")).alias("gone"))
+    some = windows.join(least, "window").where("doc_id > first").groupBy("doc_id", "zone").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
+    gone = found.where("not ends").select("doc_id", "zone", F.lit(-1).cast("long").alias("mask")).unionByName(some)
+    gone = gone.groupBy("doc_id", "zone").agg(F.expr("bit_or(mask)").alias("mask")).groupBy("doc_id").agg(F.collect_list(F.struct("zone", "mask")).alias("gone"))
 
     marks = table(live.select("doc_id", F.xxhash64("text").alias("a"), F.hash("text").alias("b")), "marks")
     firsts = marks.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = marks.join(firsts, ["a", "b"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("a").alias("copies"))
-    info = gone.join(copies, "doc_id", "full").select("doc_id", "gone", "copies")
+    info = table(gone.join(copies, "doc_id", "full").select("doc_id", "gone", "copies"), "gone")
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.lit(0).alias("_"), *names).alias("row"), F.col("text").cast("string").alias("text"))
+    hit = small(info.select("doc_id"))
     copy = F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False))
-    joined = packed.join(info, "doc_id", "left").select("row", "text", "gone", copy.alias("copy"))
-    row = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"row {row}, spans array<struct<start:long,end:long>>, kept binary, n_bytes long")
+    losing = packed.join(hit, "doc_id", "left_semi").join(info, "doc_id").select("row", "text", "gone", copy.alias("copy"))
+    none = F.lit(None).cast(losing.schema["gone"].dataType)
+    others = packed.join(hit, "doc_id", "left_anti").select("row", "text", none.alias("gone"), F.lit(False).alias("copy"))
+    row = losing.schema["row"].dataType.simpleString()
+    shape = f"row {row}, spans array<struct<start:long,end:long>>, kept binary, n_bytes long"
+    out = losing.mapInArrow(_cut(parts), shape).unionByName(others.mapInArrow(_cut(parts), shape))
     return out.select(*[F.col("row")[c].alias(c) for c in names], "spans", "kept", "n_bytes")
