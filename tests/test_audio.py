@@ -122,15 +122,13 @@ def test_zero_frames():
     assert len(A.preprocess(w8)) == 0
 
 
-def test_header_lint_reads_only_heads(spark, tmpdir_path):
-    from vocaframe.sources.audio import list_audio, read_contents
+def test_header_lint_of_files(spark, tmpdir_path):
+    from vocaframe.sources.audio import list_audio, read_headers
 
     d = os.path.join(tmpdir_path, "long")
     os.makedirs(d)
     with open(os.path.join(d, "long.wav"), "wb") as f:
         f.write(make_wav(tone(220, 8000, 12.0), 8000, 2))  # 12 s: too long, low rate
-    heads = read_contents(list_audio(spark, d), max_bytes=A.HEADER_BYTES)
-    r = A.lint(A.inspect_headers(heads, "path", length_col="length")).first()
-    assert len(heads.first().content) == A.HEADER_BYTES
+    r = A.lint(read_headers(list_audio(spark, d))).first()
     assert r.n_frames == 96000 and r.seconds == pytest.approx(12.0)
     assert list(r.flags) == ["low_sample_rate", "too_long"]

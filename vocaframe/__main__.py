@@ -1,4 +1,7 @@
-"""Command line: ``python -m vocaframe corpus ...`` / ``python -m vocaframe prompts ...``."""
+"""Command line: ``python -m vocaframe corpus ...`` / ``python -m vocaframe prompts ...``.
+
+Option names and defaults are a public interface kept on purpose, so that
+existing calls go on working."""
 
 from __future__ import annotations
 

@@ -11,16 +11,17 @@ The neural codec is not part of this library: its output enters as a table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.prompts import training_prompt
 from .operators import corpus as C
 from .operators.manifest import last_text_per_id, parse_manifest
 from .operators.shuffle import shuffle_samples
-from .sources.audio import list_audio
+from .sources.audio import with_existence
 from .sources.corpus import read_corpus, write_corpus, write_training_table
 from .sources.manifest import read_lines
+from .util import materialize
 
 
 def _read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -32,29 +33,31 @@ def _read_table(spark: SparkSession, path: str) -> DataFrame:
 def build_corpus_job(spark: SparkSession, audio_dir: str, text_file: str, output: str, codes: str | DataFrame,
                      split_word: str = ":", file_index: int = 0, text_index: int = 1, ext: str = ".wav") -> dict:
     """Manifest lines -> last text per id -> texts whose ``<audio_dir>/<id><ext>``
-    exists -> joined with their codes -> JSONL at ``output``.
+    exists -> joined with their codes -> JSONL at ``output``, in the order in
+    which the ids first appear.
 
     Returns the counts: lines, valid lines, texts, texts without audio,
-    samples written."""
+    samples written.  They are taken while the rows are written."""
+    seen, kept = Observation("manifest"), Observation("texts")
     lines = parse_manifest(read_lines(spark, text_file), split_word, file_index, text_index, keep_invalid=True)
-    texts = last_text_per_id(lines.where("valid")).select("file_id", "text")
-    audio = C.audio_file_ids(list_audio(spark, audio_dir, ext), audio_dir, ext)
+    lines = lines.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if("valid").alias("valid_lines"))
+    texts = last_text_per_id(lines.where("valid")).select("file_id", "text", "first_key")
+    checked = with_existence(texts, audio_dir, ext).observe(
+        kept, F.count(F.lit(1)).alias("texts"), F.count_if(~F.col("has_audio")).alias("texts_without_audio"))
     code_df = _read_table(spark, codes) if isinstance(codes, str) else codes
-    report = {r.metric: r.value for r in C.corpus_report(lines, audio).collect()}
-    built = C.build_corpus(texts, audio, code_df.select("file_id", "code"))
-    written = write_corpus(C.corpus_rows(built), output)
-    report["samples"] = written["samples"]
-    return report
+    built = C.build_corpus(checked.where("has_audio").drop("has_audio"), None, code_df.select("file_id", "code"))
+    built = materialize(built, "corpus")  # the sort reads its input twice
+    written = write_corpus(C.corpus_rows(built.orderBy("first_key")), output)
+    return {**seen.get, **kept.get, "samples": written["samples"]}
 
 
 def training_table_job(spark: SparkSession, corpus_path: str, output: str, seed: int = 0,
                        shards: int | None = None) -> int:
-    """JSONL corpus -> training prompts, shuffled by ``(seed, text, code)``,
-    written as Parquet with one ``text`` column.  Returns the row count."""
-    df = read_corpus(spark, corpus_path)
-    prompts = df.select(training_prompt("text", "code").alias("text"),
-                        F.to_json(F.col("code")).alias("_code_key"), F.col("text").alias("_text_key"))
-    shuffled = shuffle_samples(prompts, seed, "_text_key", "_code_key", shards=shards)
-    out = shuffled.select("text")
+    """JSONL corpus -> training prompts in a random order of ``seed`` and each
+    row's own place in the corpus (equal samples are spread, too), written as
+    Parquet with one ``text`` column.  Returns the row count."""
+    df = read_corpus(spark, corpus_path, row_key=True)
+    prompts = df.select(training_prompt("text", "code").alias("text"), "row_key.*")
+    out = shuffle_samples(prompts, seed, "file", "start", "row", shards=shards).select("text")
     write_training_table(out, output)
     return spark.read.parquet(output).count()

@@ -2,13 +2,14 @@
 
 The only Python in the library.  Spark partitions the files and ships them in
 Arrow batches to ``mapInArrow``; inside a task each file is a few NumPy
-calls.  Header-only steps pass just the first bytes of each file to Python.
+calls.  Headers are read by walking the chunk list, whatever stands before
+the audio.
 """
 
 from __future__ import annotations
 
-import math
 import struct
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import ship_package
 
-HEADER_BYTES = 4096  # enough for the fmt chunk and the start of data in practice
-
 WAVE_FORMAT_PCM = 1
 WAVE_FORMAT_FLOAT = 3
 WAVE_FORMAT_EXTENSIBLE = 0xFFFE
@@ -27,43 +26,83 @@ class WavError(ValueError):
     pass
 
 
-def parse_header(buf: bytes, total_length: int | None = None) -> dict:
-    """Fields of a RIFF/WAVE header: format, channels, rate, bits,
-    data offset, data size and frame count.  Walks the chunk list, so
-    ``LIST``/``fact`` chunks before ``data`` are fine."""
-    if len(buf) < 12 or buf[:4] != b"RIFF" or buf[8:12] != b"WAVE":
+def walk_header(read_at, total: int) -> dict:
+    """Fields of a RIFF/WAVE header: format, channels, rate, bits, data
+    offset, data size and frame count.
+
+    ``read_at(offset, n)`` gives up to ``n`` bytes of a file of ``total``
+    bytes; only the chunk heads and the ``fmt`` chunk are read.  A header
+    that no audio can have (no channels, rate 0 or beyond 31 bits, a frame
+    size that its fields contradict) is an error; a frame size of 0 is
+    derived from channels and bits."""
+    head = read_at(0, 12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise WavError("not a RIFF/WAVE file")
     pos, fmt = 12, None
-    while pos + 8 <= len(buf):
-        cid = buf[pos:pos + 4]
-        size = struct.unpack_from("<I", buf, pos + 4)[0]
+    while pos + 8 <= total:
+        chunk = read_at(pos, 8)
+        if len(chunk) < 8:
+            break
+        cid, size = chunk[:4], struct.unpack("<I", chunk[4:])[0]
         body = pos + 8
         if cid == b"fmt ":
-            if body + 16 > len(buf):
+            raw = read_at(body, min(size, 40))
+            if len(raw) < 16:
                 raise WavError("truncated fmt chunk")
-            tag, ch, rate, _, align, bits = struct.unpack_from("<HHIIHH", buf, body)
-            if tag == WAVE_FORMAT_EXTENSIBLE and size >= 40 and body + 26 <= len(buf):
-                tag = struct.unpack_from("<H", buf, body + 24)[0]
-            fmt = dict(format=tag, channels=ch, sample_rate=rate, block_align=align, bits=bits)
+            tag, ch, rate, _, align, bits = struct.unpack_from("<HHIIHH", raw, 0)
+            if tag == WAVE_FORMAT_EXTENSIBLE and size >= 40 and len(raw) >= 26:
+                tag = struct.unpack_from("<H", raw, 24)[0]
+            if ch < 1:
+                raise WavError("no channels")
+            if not 0 < rate < 1 << 31:
+                raise WavError(f"bad sample rate {rate}")
+            if bits < 8 or bits % 8:
+                raise WavError(f"unsupported width {bits}")
+            frame = ch * bits // 8
+            if align not in (0, frame):
+                raise WavError(f"frame size {align} does not fit {ch} channels of {bits} bits")
+            fmt = dict(format=tag, channels=ch, sample_rate=rate, block_align=frame, bits=bits)
         elif cid == b"data":
             if fmt is None:
                 raise WavError("data chunk before fmt chunk")
-            avail = (total_length - body) if total_length is not None else size
-            if size == 0xFFFFFFFF or (total_length is not None and size > avail):
-                size = max(avail, 0)
-            align = fmt["block_align"] or max(1, fmt["channels"] * fmt["bits"] // 8)
-            return dict(fmt, data_offset=body, data_size=size, n_frames=size // align)
+            size = min(size, max(total - body, 0))  # streams announce more than they hold
+            return dict(fmt, data_offset=body, data_size=size, n_frames=size // fmt["block_align"])
         pos = body + size + (size & 1)
     raise WavError("no data chunk in header")
 
 
+def parse_header(buf: bytes, total_length: int | None = None) -> dict:
+    """:func:`walk_header` of bytes in memory; ``total_length``: of the file
+    that they begin."""
+    return walk_header(lambda at, n: bytes(buf[at:at + n]), len(buf) if total_length is None else total_length)
+
+
+#: Columns of a header row and their Spark types.
+HEADER_FIELDS = {"sample_rate": "int", "n_channels": "int", "bits": "int", "n_frames": "bigint", "seconds": "double", "error": "string"}
+
+
+def header_type():
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    return pa.struct([(k, kinds[t]) for k, t in HEADER_FIELDS.items()])
+
+
+def header_row(read_at, total: int) -> dict:
+    """One row of ``HEADER_FIELDS``; a bad header gives an ``error``."""
+    try:
+        h = walk_header(read_at, total)
+    except (WavError, struct.error) as e:
+        return dict.fromkeys(HEADER_FIELDS) | {"error": str(e)}
+    return dict(sample_rate=h["sample_rate"], n_channels=h["channels"], bits=h["bits"], n_frames=h["n_frames"],
+                seconds=h["n_frames"] / h["sample_rate"], error=None)
+
+
 def decode(content: bytes) -> tuple[int, np.ndarray]:
     """``(sample_rate, float32 array channels x frames)`` scaled to [-1, 1)."""
     h = parse_header(content, len(content))
     raw = memoryview(content)[h["data_offset"]:h["data_offset"] + h["n_frames"] * h["block_align"]]
     ch, bits, fmt = h["channels"], h["bits"], h["format"]
-    if ch < 1:
-        raise WavError("no channels")
     if fmt == WAVE_FORMAT_FLOAT and bits == 32:
         x = np.frombuffer(raw, dtype="<f4").astype(np.float32)
     elif fmt == WAVE_FORMAT_FLOAT and bits == 64:
@@ -107,9 +146,10 @@ def encode_pcm(channels: np.ndarray, sample_rate: int, bits: int = 16) -> bytes:
 
 
 def encode_float(wave: np.ndarray, sample_rate: int) -> bytes:
-    """16-bit PCM WAV bytes from a float waveform in [-1, 1] (clipped)."""
+    """16-bit PCM WAV bytes from a float waveform in [-1, 1) (clipped), at the
+    scale of :func:`decode`, so that 16-bit samples survive a round trip."""
     a = np.atleast_2d(np.asarray(wave, dtype=np.float64))
-    ints = np.clip(np.rint(a * 32767.0), -32768, 32767).astype(np.int64)
+    ints = np.clip(np.rint(a * 32768.0), -32768, 32767).astype(np.int64)
     return encode_pcm(ints, sample_rate, 16)
 
 
@@ -122,41 +162,39 @@ def _wav_bytes(data: bytes, n_ch: int, rate: int, bits: int, tag: int) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def resample(x: np.ndarray, orig: int, new: int, width: int = 6, rolloff: float = 0.99) -> np.ndarray:
-    """Band-limited resampling with a Hann-windowed sinc kernel.
+def _kernel(t: np.ndarray, cutoff: float, zeros: int) -> np.ndarray:
+    """Low-pass impulse response at times ``t`` (in input samples): a sinc of
+    the cut-off frequency, faded out by a squared cosine over ``zeros`` zero
+    crossings on either side."""
+    u = t * cutoff
+    fade = np.where(np.abs(u) < zeros, np.cos(np.pi * u / (2 * zeros)), 0.0)
+    return cutoff * np.sinc(u) * fade * fade
 
-    ``x``: float array (..., frames).  The rate pair is reduced by its gcd;
-    each of the ``new`` output phases has its own kernel of
-    ``2 * w + orig`` taps applied with stride ``orig``.  Output length is
-    ``ceil(frames * new / orig)``."""
+
+def resample(x: np.ndarray, orig: int, new: int, zeros: int = 6, rolloff: float = 0.99) -> np.ndarray:
+    """Band-limited resampling of ``x`` (..., frames); the result has
+    ``ceil(frames * new / orig)`` frames and counts the signal as 0 outside.
+
+    Output frame m lies at input time ``m * orig / new`` and is the sum of
+    the input frames around it, weighted by :func:`_kernel`.  Frames are made
+    in blocks of bounded size, whatever the two rates are."""
     if orig == new:
         return x.astype(np.float32, copy=False)
-    if x.shape[-1] == 0:
-        return np.zeros(x.shape, dtype=np.float32)
-    g = math.gcd(orig, new)
-    o, n = orig // g, new // g
-    base = min(o, n) * rolloff
-    w = int(math.ceil(width * o / base))
-    idx = np.arange(-w, w + o, dtype=np.float64) / o
-    t = (-np.arange(n, dtype=np.float64) / n)[:, None] + idx[None, :]
-    t = np.clip(t * base, -width, width)
-    window = np.cos(t * math.pi / width / 2) ** 2
-    t = t * math.pi
-    with np.errstate(invalid="ignore", divide="ignore"):
-        sinc = np.where(t == 0, 1.0, np.sin(t) / np.where(t == 0, 1.0, t))
-    kernels = (sinc * window * (base / o)).astype(np.float64)  # (n, taps)
-    taps = kernels.shape[1]
-    lead = x.shape[:-1]
     frames = x.shape[-1]
-    flat = x.reshape(-1, frames).astype(np.float64)
-    padded = np.pad(flat, ((0, 0), (w, w + o)))
-    starts = np.arange(0, padded.shape[1] - taps + 1, o)
-    out_len = int(math.ceil(n * frames / o))
-    res = np.empty((flat.shape[0], out_len), dtype=np.float32)
-    view = np.lib.stride_tricks.sliding_window_view(padded, taps, axis=1)[:, starts, :]  # (c, m, taps)
-    y = np.einsum("cmt,nt->cmn", view, kernels).reshape(flat.shape[0], -1)
-    res[:] = y[:, :out_len]
-    return res.reshape(*lead, out_len)
+    if frames == 0:
+        return np.zeros(x.shape, dtype=np.float32)
+    cutoff = rolloff * min(1.0, new / orig)
+    reach = int(zeros / cutoff) + 1
+    taps = np.arange(-reach, reach + 1)
+    out = np.empty((*x.shape[:-1], -(-frames * new // orig)), dtype=np.float32)
+    step = max(1, (1 << 18) // len(taps))
+    for first in range(0, out.shape[-1], step):
+        at = np.arange(first, min(first + step, out.shape[-1]), dtype=np.int64) * orig
+        nearest, rest = at // new, (at % new) / new
+        index = nearest[:, None] + taps
+        weight = _kernel(taps - rest[:, None], cutoff, zeros) * ((index >= 0) & (index < frames))
+        out[..., first:first + len(at)] = np.einsum("...mt,mt->...m", x[..., np.clip(index, 0, frames - 1)], weight)
+    return out
 
 
 def preprocess(content: bytes, target_rate: int = K.SAMPLE_RATE) -> np.ndarray:
@@ -186,39 +224,30 @@ def _float_lists(parts: list, valid: list[bool]):
 
 def inspect_headers(df: DataFrame, id_col: str, content_col: str = "content",
                     length_col: str | None = None) -> DataFrame:
-    """``id, sample_rate, n_channels, bits, n_frames, seconds, error``.
-
-    Only the first ``HEADER_BYTES`` of each file reach Python; the file length
-    (``binaryFile``'s ``length`` column, or the content size) bounds the data
-    chunk."""
+    """``id, sample_rate, n_channels, bits, n_frames, seconds, error`` of WAV
+    bytes in a column (:func:`vocaframe.sources.audio.read_headers` reads the
+    headers of files without their audio).  ``length_col``: the length of the
+    whole file if the column holds only its beginning."""
     ship_package(df.sparkSession)
     length = F.col(length_col) if length_col else F.length(content_col)
-    slim = df.select(F.col(id_col).alias("id"), F.substring(content_col, 1, HEADER_BYTES).alias("head"),
-                     length.cast("bigint").alias("total"))
+    slim = df.select(F.col(id_col).alias("id"), F.col(content_col).alias("head"), length.cast("bigint").alias("total"))
 
     def run(batches):
         import pyarrow as pa
 
         for rb in batches:
-            cols = {k: [] for k in ("sample_rate", "n_channels", "bits", "n_frames", "seconds", "error")}
-            for head, total in zip(rb.column(1).to_pylist(), rb.column(2).to_pylist()):
-                try:
-                    h = parse_header(head, total)
-                    vals = (h["sample_rate"], h["channels"], h["bits"], h["n_frames"],
-                            h["n_frames"] / h["sample_rate"] if h["sample_rate"] else None, None)
-                except (WavError, struct.error, TypeError) as e:
-                    vals = (None, None, None, None, None, str(e))
-                for k, v in zip(cols, vals):
-                    cols[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(0), pa.array(cols["sample_rate"], pa.int32()), pa.array(cols["n_channels"], pa.int32()),
-                 pa.array(cols["bits"], pa.int32()), pa.array(cols["n_frames"], pa.int64()),
-                 pa.array(cols["seconds"], pa.float64()), pa.array(cols["error"], pa.string())],
-                names=["id", *cols])
+            rows = []
+            for head, total in zip(rb.column(1), rb.column(2).to_pylist()):
+                if head.is_valid:
+                    buf = memoryview(head.as_buffer())
+                    rows.append(header_row(lambda at, n: bytes(buf[at:at + n]), total or 0))
+                else:
+                    rows.append(dict.fromkeys(HEADER_FIELDS) | {"error": "no content"})
+            header = pa.array(rows, header_type())
+            yield pa.RecordBatch.from_arrays([rb.column(0), *header.flatten()], names=["id", *HEADER_FIELDS])
 
-    schema = ("id {t}, sample_rate int, n_channels int, bits int, n_frames bigint, seconds double, "
-              "error string").format(t=dict(df.dtypes)[id_col])
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    fields = ", ".join(f"{k} {t}" for k, t in HEADER_FIELDS.items())
+    return slim.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, {fields}").withColumnRenamed("id", id_col)
 
 
 def lint(headers: DataFrame, min_rate: int = K.SAMPLE_RATE, max_seconds: float = 10.0) -> DataFrame:
@@ -249,7 +278,7 @@ def preprocess_audio(df: DataFrame, id_col: str, content_col: str = "content",
                 try:
                     y = preprocess(content, target_rate)
                     parts.append(y), valid.append(True), ns.append(len(y)), errs.append(None)
-                except (WavError, struct.error, ValueError, TypeError) as e:
+                except (WavError, struct.error, ValueError, TypeError, MemoryError) as e:
                     parts.append(None), valid.append(False), ns.append(None), errs.append(str(e))
             n = rb.num_rows
             yield pa.RecordBatch.from_arrays(

@@ -31,8 +31,17 @@ def _without_scheme(p: str) -> str:
     return p
 
 
-def build_corpus(texts: DataFrame, audio_ids: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """``file_id, text`` x audio -> ``file_id, text, code``.
+def one_code_per_id(codes: DataFrame) -> DataFrame:
+    """``file_id, code`` with one row for each id that has codes: of several
+    lists for one id the smallest (they are ordered element by element), so
+    that the result does not depend on the order of the rows."""
+    return codes.where(F.col("code").isNotNull()).groupBy("file_id").agg(F.min("code").alias("code"))
+
+
+def build_corpus(texts: DataFrame, audio_ids: DataFrame | None, codes: DataFrame | None = None) -> DataFrame:
+    """``file_id, text`` (and other columns) x audio -> the same with ``code``.
+    One row for each text, however often an id occurs on the other sides;
+    ``audio_ids`` None: the texts are known to have audio.
 
     Texts whose audio file is missing are skipped (driven by the
     transcripts: files without a transcript are ignored).  The encoder's
@@ -46,14 +55,11 @@ def build_corpus(texts: DataFrame, audio_ids: DataFrame, codes: DataFrame | None
     AQE turns a join into a broadcast at run time only when a side is
     measured small, and splits skewed partitions."""
     if codes is None and "code" in audio_ids.columns:
-        return texts.join(audio_ids.select("file_id", "code"), "file_id", "inner").where(
-            F.col("code").isNotNull()).select("file_id", "text", "code")
-    present = texts.join(audio_ids.select("file_id"), "file_id", "left_semi")
+        return texts.join(one_code_per_id(audio_ids), "file_id", "inner").select(*texts.columns, "code")
+    present = texts if audio_ids is None else texts.join(audio_ids.select("file_id"), "file_id", "left_semi")
     if codes is None:
-        return present.select("file_id", "text", F.lit(None).cast("array<int>").alias("code"))
-    return present.join(codes.select("file_id", "code"), "file_id", "inner").where(
-        F.col("code").isNotNull()
-    ).select("file_id", "text", "code")
+        return present.select("*", F.lit(None).cast("array<int>").alias("code"))
+    return present.join(one_code_per_id(codes), "file_id", "inner").select(*texts.columns, "code")
 
 
 def corpus_rows(corpus: DataFrame) -> DataFrame:
@@ -73,8 +79,8 @@ def corpus_report(lines: DataFrame, audio_ids: DataFrame) -> DataFrame:
     with ``stack`` (no cross join of one-row tables)."""
     per_id = lines.groupBy(F.when(F.col("valid"), F.col("file_id")).alias("file_id")).agg(
         F.count(F.lit(1)).alias("_n"))
-    a = audio_ids.select("file_id", (F.col("code").isNotNull() if "code" in audio_ids.columns
-                                     else F.lit(True)).alias("_has_code"), F.lit(True).alias("_has_audio"))
+    has_code = F.col("code").isNotNull() if "code" in audio_ids.columns else F.lit(True)
+    a = audio_ids.groupBy("file_id").agg(F.max(has_code).alias("_has_code")).withColumn("_has_audio", F.lit(True))
     j = per_id.join(a, "file_id", "left")
     is_text = F.col("file_id").isNotNull()
     stats = j.agg(

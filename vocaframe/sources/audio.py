@@ -14,6 +14,10 @@ from ..session import ship_package
 def list_audio(spark: SparkSession, audio_dir: str, ext: str = ".wav", recursive: bool = True) -> DataFrame:
     """``path, length, modificationTime`` of the audio files under a folder.
 
+    The listing is held by the driver and skips names that begin with ``_``
+    or ``.``; to test which of many ids have a file use
+    :func:`with_existence`.
+
     Only listing columns are selected, so the ``binaryFile`` source never
     reads file content here."""
     return (
@@ -36,6 +40,73 @@ def read_audio(spark: SparkSession, audio_dir: str, ext: str = ".wav", recursive
     )
 
 
+def with_existence(df: DataFrame, audio_dir: str, ext: str = ".wav", id_col: str = "file_id") -> DataFrame:
+    """``df`` with ``has_audio``: whether the file ``audio_dir/(id + ext)`` exists.
+
+    The ids drive the check, inside the tasks, a batch of paths at a time; no
+    folder is listed and no listing reaches the driver.  As with path joins,
+    an id with slashes addresses a subfolder and an absolute id replaces the
+    folder.  ``audio_dir`` may be relative (to the driver's folder), end in a
+    slash or be a URI of a file system that pyarrow knows; a missing folder
+    raises.  Null ids have no audio."""
+    import os
+    import posixpath
+
+    from pyarrow import fs as pafs
+
+    ship_package(df.sparkSession)
+    if "://" not in audio_dir and not audio_dir.startswith("file:"):
+        audio_dir = os.path.abspath(audio_dir)
+    fs, root = _fs_and_path(audio_dir)
+    if fs.get_file_info(root).type != pafs.FileType.Directory:
+        raise FileNotFoundError(f"no audio folder {audio_dir}")
+    # the key travels beside the other columns in one struct
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("string").alias("id"))
+    row = packed.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        fs, root = _fs_and_path(audio_dir)
+        for b in batches:
+            ids = b["id"].to_pylist()
+            paths = [posixpath.normpath(posixpath.join(root, i + ext)) for i in ids if i is not None]
+            found = iter([info.type != pafs.FileType.NotFound for info in (fs.get_file_info(paths) if paths else [])])
+            yield pa.RecordBatch.from_arrays(
+                [b["row"], pa.array([False if i is None else next(found) for i in ids], pa.bool_())], names=["row", "has_audio"])
+
+    out = packed.mapInArrow(run, f"row {row}, has_audio boolean")
+    return out.select("row.*", "has_audio")
+
+
+def read_headers(df: DataFrame, path_col: str = "path") -> DataFrame:
+    """``df`` with the header fields and ``error`` of each listed WAV file.
+    Chunks are walked by seeking, a few bytes each: audio never leaves
+    storage, and chunks of any size may stand before the audio."""
+    from ..operators.audio import HEADER_FIELDS, header_row, header_type
+
+    ship_package(df.sparkSession)
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(path_col).alias("path"))
+    row = packed.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for path in b["path"].to_pylist():
+                try:
+                    fs, rel = _fs_and_path(path)
+                    with fs.open_input_file(rel) as f:
+                        rows.append(header_row(lambda at, n: f.read_at(n, at), f.size()))
+                except (OSError, TypeError, AttributeError) as e:
+                    rows.append(dict.fromkeys(HEADER_FIELDS) | {"error": str(e)})
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(rows, header_type())], names=["row", "header"])
+
+    schema = ", ".join(f"{k}: {t}" for k, t in HEADER_FIELDS.items()).replace(": ", ":")
+    return packed.mapInArrow(run, f"row {row}, header struct<{schema}>").select("row.*", "header.*")
+
+
 def _fs_and_path(path: str):
     from pyarrow import fs as pafs
 
@@ -54,8 +125,8 @@ def read_contents(df: DataFrame, path_col: str = "path", max_bytes: int | None =
 
     Use after the listing has been joined/filtered, so only the files that
     are needed are read (a join cannot prune a ``binaryFile`` scan).  With
-    ``max_bytes`` only the first bytes of each file are read, e.g. 4096 for
-    header checks: the audio itself never leaves storage."""
+    ``max_bytes`` only the first bytes of each file are read; header checks
+    use :func:`read_headers` instead."""
     ship_package(df.sparkSession)
     cols = df.columns
 
@@ -82,13 +153,16 @@ def write_wav_files(df: DataFrame, out_dir: str, id_col: str, content_col: str =
     slim = df.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = set()
         for pdf in batches:
             paths = []
             for i, content in zip(pdf["id"], pdf["content"]):
                 target = f"{base}/{i}.wav"
                 fs, rel = _fs_and_path(target)
                 parent = rel.rsplit("/", 1)[0]
-                fs.create_dir(parent, recursive=True)
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with fs.open_output_stream(rel) as f:
                     f.write(bytes(content))
                 paths.append(target)

@@ -27,15 +27,20 @@ def write_corpus(df: DataFrame, path: str) -> dict:
     return {k: (v or 0) for k, v in obs.get.items()}
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Read a JSONL corpus with a fixed schema.
+def read_corpus(spark: SparkSession, path: str, row_key: bool = False) -> DataFrame:
+    """Read a JSONL corpus with a fixed schema; ``row_key`` adds ``row_key``,
+    which tells equal rows apart (file, block start, row of the scan).
 
     Malformed lines and non-integer codes fail the job (FAILFAST); a missing
     ``text`` fails it too, as the original reader requires the key.  Extra
     keys are ignored, ``code`` is optional.  Blank lines are skipped."""
     df = spark.read.schema(CORPUS_SCHEMA).option("mode", "FAILFAST").json(path)
     text = F.coalesce(F.col("text"), F.raise_error(F.lit("corpus line without 'text'")))
-    return df.select(text.alias("text"), "code")
+    if not row_key:
+        return df.select(text.alias("text"), "code")
+    key = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                   F.monotonically_increasing_id().alias("row"))
+    return df.select(key.alias("row_key"), text.alias("text"), "code")
 
 
 def write_training_table(df: DataFrame, path: str, text_col: str = "text") -> None:
