@@ -87,10 +87,28 @@ def test_blocked_plan_has_no_script_only_exchange(spark):
     rows, _ = make_scripts()
     df = spark.createDataFrame(rows, "script_id long, pos long, text string, codes array<int>")
     plan = plan_text(stitch_offsets(df, block=2))
-    # the row side is hash-partitioned by (script_id, block), never by script_id alone
-    for line in plan.splitlines():
-        if "Exchange hashpartitioning(script_id" in line and "_blk" not in line:
-            assert "HashAggregate" in plan  # only the small per-block table may be
+    keyed = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    keys = [[k.strip().split("#")[0] for k in x.split(",") if not k.strip().isdigit()] for x in keyed]
+    # rows and blocks by (script_id, block); blocks by superblock; one row per
+    # superblock by script
+    assert sorted(keys).count(["script_id"]) == 1
+    assert all(k[:2] in (["script_id", "_blk"], ["script_id", "_sblk"], ["script_id"]) for k in keys)
+    assert plan.count("Scan ExistingRDD") == 1  # the block table is read from its files
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1024])
+def test_gaps_do_not_depend_on_the_block(spark, block):
+    positions = [0, 2, 3, 4, 9, 10, 31, 32]
+    rows = [(s, p, f"t{s}.{p}", [p] * 20) for s in (1, 2) for p in positions[s - 1:]]
+    df = spark.createDataFrame(rows, "script_id long, pos long, text string, codes array<int>")
+    got = {(r.script_id, r.pos): (r.context_text, r.context_codes) for r in chain_context(df, block=block).collect()}
+    for s in (1, 2):
+        own = positions[s - 1:]
+        assert got[s, own[0]] == (None, None)
+        for before, p in zip(own, own[1:]):
+            assert got[s, p] == (f"t{s}.{before}", [before] * 4)
+    starts = {(r.script_id, r.pos): r.start_seq for r in stitch_offsets(df, block=block).collect()}
+    assert starts == {(s, p): 4 * i for s in (1, 2) for i, p in enumerate(positions[s - 1:])}
 
 
 @pytest.mark.parametrize("block", [8, 64])

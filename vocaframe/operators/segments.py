@@ -1,8 +1,8 @@
 """Multi-sentence scripts: split, chain context, stitch codes.
 
-A script is a set of rows ``(script_id, pos, text, codes)`` with dense
+A script is a set of rows ``(script_id, pos, text, codes)`` with
 positions ``0..n-1`` (``split_script`` produces them; conversation turns have
-them).  Sentence *i* is synthesized with the text and the trimmed codes of
+them; gaps are allowed).  Sentence *i* is synthesized with the text and the trimmed codes of
 sentence *i-1* as its reference; every sentence but the last loses its final
 16 codes before the codes are concatenated.
 
@@ -52,20 +52,26 @@ def _blocked(df: DataFrame, block: int) -> DataFrame:
 
 def with_previous(df: DataFrame, cols: list[str], block: int = DEFAULT_BLOCK,
                   prefix: str = "prev_") -> DataFrame:
-    """Add ``prev_<c>`` = value of ``c`` at ``pos - 1`` of the same script.
+    """Add ``prev_<c>`` = value of ``c`` at the greatest smaller ``pos`` of the
+    same script (positions may have gaps; the result does not depend on
+    ``block``).
 
     ``lag`` over ``(script_id, block)`` ordered by ``pos``.  The last row of
-    every block is also emitted once more as a carrier into the next block
-    (``explode`` of a one- or two-element array); its position sorts before
-    every row of that block, so the block's first row lags onto it.  One
-    scan, one shuffle, no join; carriers are dropped afterwards."""
+    every block is also handed to the script's next block that exists: a
+    partial aggregation keeps one row a block, a window over those rows (one
+    for each ``block`` sentences at most) finds the next block, and the row
+    joins that block as a carrier that sorts before its rows.  Carriers are
+    dropped afterwards."""
     b = _blocked(df, block)
-    copies = F.when(F.col("pos") % block == block - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    x = b.withColumn("_copy", F.explode(copies)).withColumn("_blk", F.col("_blk") + F.col("_copy"))
+    last = b.groupBy("script_id", "_blk").agg(F.max_by(F.struct("pos", *cols), "pos").alias("_last"))
+    following = F.lead("_blk").over(Window.partitionBy("script_id").orderBy("_blk"))
+    carriers = last.withColumn("_blk", following).where(F.col("_blk").isNotNull()).select(
+        "script_id", "_blk", "_last.*", F.lit(True).alias("_carried"))
+    x = b.withColumn("_carried", F.lit(False)).unionByName(carriers, allowMissingColumns=True)
     w = Window.partitionBy("script_id", "_blk").orderBy("pos")
     for c in cols:
         x = x.withColumn(prefix + c, F.lag(c).over(w))
-    return x.where(F.col("_copy") == 0).drop("_blk", "_copy")
+    return x.where(~F.col("_carried")).drop("_blk", "_carried")
 
 
 def attach_per_script(rows: DataFrame, per_script: DataFrame, block: int = DEFAULT_BLOCK,
@@ -123,18 +129,19 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
     sequence of a script is the concatenation of ``kept`` by ``pos``, i.e.
     code ``kept[k]`` sits at ``start_seq + k``.
 
-    Plan: a two-level blocked prefix sum.  Rows: windows inside each block
-    of ``block`` positions.  Blocks (one row per block, taken from the
-    windowed rows): window inside each superblock of ``block`` blocks.  Superblocks (aggregates of
-    the blocks): the only window over a whole script, with one row per
-    ``block**2`` sentences, which also yields the script's last position.
-    Offsets flow back through joins on ``(script_id, superblock)`` and
-    ``(script_id, block)``.  The row side is shuffled once; a script holding
-    a third of all rows spreads over many tasks at every level.  Every
-    sentence but the last is trimmed, so the prefix sums use trimmed
-    lengths; the last sentence's own length never enters a prefix.
-
-    The rows are read twice (the row windows and the block table); with
+    Plan: a two-level blocked prefix sum.  The block table (sum of lengths
+    and last position of each block of ``block`` positions) is one partial
+    aggregation of the rows; a window inside each superblock of ``block``
+    blocks, and one over the superblocks of a script (one row per
+    ``block**2`` sentences), turn it into the offset of every block and the
+    script's last position.  The row side is shuffled once, by
+    ``(script_id, block)``, for both its running sum and the join with the
+    offsets; a script holding a third of all rows spreads over many tasks at
+    every level.  Every sentence but the last is trimmed, so the sums use
+    trimmed lengths; the last sentence's own length never enters a prefix.
+
+    The rows are read twice: once for the block table (a job of its own, whose
+    small result goes to the shared checkpoint folder), once for the rows; with
     ``materialize=True`` the projected input is first written to the shared
     checkpoint folder, so an expensive upstream plan runs once and the
     lineage is cut."""
@@ -142,41 +149,38 @@ def stitch_offsets(script: DataFrame, block: int = DEFAULT_BLOCK, trim: int = K.
     if materialize:
         src = materialize_df(src, "stitch-input")
     b = _blocked(src, block)
-    b = b.withColumn("_trimmed", trim_context(F.col("codes"), trim)).withColumn(
-        "_tlen", F.coalesce(F.array_size("_trimmed"), F.lit(0)))
     before = Window.unboundedPreceding, -1
-
-    # level 0: offsets inside a block, plus the block's sum and last position
-    # from whole-block windows on the same shuffle (the block table below is
-    # read off these rows, so the input is shuffled -- and computed -- once)
-    wb = Window.partitionBy("script_id", "_blk")
-    rows = (
-        b.withColumn("_in_off", F.coalesce(F.sum("_tlen").over(wb.orderBy("pos").rowsBetween(*before)), F.lit(0)))
-        .withColumn("_bsum", F.sum("_tlen").over(wb))
-        .withColumn("_bmax", F.max("pos").over(wb))
+    length = F.greatest(F.coalesce(F.array_size("codes"), F.lit(0)) - trim, F.lit(0))
+
+    # one row per block, written once as both uses below need it; then its
+    # offset inside its superblock
+    blocks = b.groupBy("script_id", "_blk").agg(F.sum(length).alias("_bsum"), F.max("pos").alias("_bmax"))
+    blocks = materialize_df(blocks, "stitch-blocks")
+    blocks = blocks.withColumn("_sblk", F.expr(f"CAST(_blk DIV {int(block)} AS BIGINT)"))
+    inside = Window.partitionBy("script_id", "_sblk")
+    blocks = blocks.select(
+        "script_id", "_blk", "_sblk",
+        F.coalesce(F.sum("_bsum").over(inside.orderBy("_blk").rowsBetween(*before)), F.lit(0)).alias("_in_sblk_off"),
+        F.sum("_bsum").over(inside).alias("_ssum"),
+        F.max("_bmax").over(inside).alias("_smax"),
+        F.max("_blk").over(inside).alias("_slast"),
     )
 
-    # level 1: offsets of blocks inside a superblock
-    blocks = rows.where(F.col("pos") == F.col("_bmax")).select(
-        "script_id", "_blk", "_bsum", "_bmax", F.expr(f"CAST(_blk DIV {int(block)} AS BIGINT)").alias("_sblk"))
-    w1 = Window.partitionBy("script_id", "_sblk").orderBy("_blk").rowsBetween(*before)
-    blocks = blocks.withColumn("_in_sblk_off", F.coalesce(F.sum("_bsum").over(w1), F.lit(0)))
-
-    # level 2: superblock offsets and the script's last position
-    sblocks = blocks.groupBy("script_id", "_sblk").agg(F.sum("_bsum").alias("_ssum"), F.max("_bmax").alias("_smax"))
-    w2 = Window.partitionBy("script_id").orderBy("_sblk")
-    sblocks = sblocks.select(
-        "script_id",
-        "_sblk",
-        F.coalesce(F.sum("_ssum").over(w2.rowsBetween(*before)), F.lit(0)).alias("_sblk_off"),
-        F.max("_smax").over(w2.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"),
+    # one row per superblock: its offset and the script's last position
+    whole = Window.partitionBy("script_id").orderBy("_sblk")
+    sblocks = blocks.where("_blk = _slast").select(
+        "script_id", "_sblk",
+        F.coalesce(F.sum("_ssum").over(whole.rowsBetween(*before)), F.lit(0)).alias("_sblk_off"),
+        F.max("_smax").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"),
     )
     blocks = blocks.join(sblocks, ["script_id", "_sblk"]).select(
         "script_id", "_blk", (F.col("_sblk_off") + F.col("_in_sblk_off")).alias("_blk_off"), "_last")
 
+    wb = Window.partitionBy("script_id", "_blk").orderBy("pos").rowsBetween(*before)
+    rows = b.withColumn("_in_off", F.coalesce(F.sum(length).over(wb), F.lit(0)))
     j = rows.join(blocks, ["script_id", "_blk"])
     is_last = F.col("pos") == F.col("_last")
-    kept = F.when(is_last, F.col("codes")).otherwise(F.col("_trimmed"))
+    kept = F.when(is_last, F.col("codes")).otherwise(trim_context(F.col("codes"), trim))
     out = j.select(
         "script_id",
         "pos",
