@@ -29,9 +29,10 @@ def extract_speech_ids(tokens: ColumnOrName) -> Column:
     """All ``<|s_N|>`` numbers of a string, in order, as ``array<bigint>``.
 
     Java's ``\\d`` is ASCII-only; Python's also takes other Unicode digits.
-    No range check is applied (the server path has none)."""
+    No range check is applied (the server path has none); a number beyond 64
+    bits is a null element, so that untrusted text never ends a job."""
     found = F.regexp_extract_all(col_of(tokens), F.lit(SPEECH_ID_PATTERN), 1)
-    return found.cast("array<bigint>")
+    return F.transform(found, lambda x: x.try_cast("bigint"))
 
 
 def decode_generated_ids(ids: ColumnOrName, prompt_len: ColumnOrName) -> Column:

@@ -32,17 +32,24 @@ def validate_requests(df: DataFrame) -> DataFrame:
     out = df
     for name, typ in _TYPES.items():
         default = F.lit(K.REQUEST_DEFAULTS[name]).cast(typ)
-        src = F.col(name).cast(typ) if name in df.columns else F.lit(None).cast(typ)
-        out = out.withColumn(name, F.coalesce(src, default))
+        if name not in df.columns:
+            out = out.withColumn(name, default)
+            continue
+        # a value that is no number is a violation of its request, not an error
+        src = F.col(name).try_cast(typ)
+        bad = F.when(F.col(name).isNotNull() & src.isNull(), F.lit(name))
+        out = out.withColumn(f"_bad_{name}", bad).withColumn(name, F.coalesce(src, default))
     out = out.withColumn("input_norm", normalize_text("input"))
     checks: list[Column] = [
         F.when(F.col("input").isNull(), F.lit("input")),
         F.when(~F.col("response_format").isin(*K.RESPONSE_FORMATS), F.lit("response_format")),
     ]
     for name, lo, hi in K.REQUEST_BOUNDS:
-        checks.append(F.when(~F.col(name).between(lo, hi), F.lit(name)))
+        typed = F.col(f"_bad_{name}") if name in df.columns else F.lit(None)
+        checks.append(F.coalesce(typed, F.when(~F.col(name).between(lo, hi), F.lit(name))))
     checks.append(F.when(F.coalesce(F.length("input_norm"), F.lit(0)) == 0, F.lit("empty_after_normalization")))
     out = out.withColumn("violations", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    out = out.drop(*[f"_bad_{name}" for name in _TYPES])
     return out.withColumn("is_valid", F.array_size("violations") == 0)
 
 
@@ -90,16 +97,18 @@ def route_payloads(validated: DataFrame) -> DataFrame:
 def parse_responses(df: DataFrame, status_col: str = "status", body_col: str = "body") -> DataFrame:
     """Decode completion responses: ``text``, ``error`` and ``speech_ids``.
 
-    Status other than 200 is an API error; an empty or missing text is an
-    error; otherwise the ids are every ``<|s_N|>`` in the text."""
+    Status other than 200, or none, is an API error; an empty or missing text
+    is an error; so is an id beyond 64 bits (``bad_speech_id``); otherwise the
+    ids are every ``<|s_N|>`` in the text."""
     text = F.get_json_object(F.col(body_col), "$.choices[0].text")
-    out = df.withColumn("text", text)
+    out = df.withColumn("text", text).withColumn("_ids", extract_speech_ids("text"))
     err = (
-        F.when(F.col(status_col) != 200, F.lit("api_error"))
+        F.when(~F.col(status_col).eqNullSafe(200), F.lit("api_error"))
         .when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit("empty_response"))
+        .when(F.exists("_ids", lambda x: x.isNull()), F.lit("bad_speech_id"))
     )
     out = out.withColumn("error", err)
-    return out.withColumn("speech_ids", F.when(F.col("error").isNull(), extract_speech_ids("text")))
+    return out.withColumn("speech_ids", F.when(F.col("error").isNull(), F.col("_ids"))).drop("_ids")
 
 
 def response_headers(df: DataFrame, format_col: str = "response_format", tokens_col: str = "n_tokens",

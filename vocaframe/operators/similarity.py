@@ -15,11 +15,12 @@ def score_references(refs: DataFrame, target: DataFrame, emb_col: str = "embeddi
     ``target`` must hold exactly one row; its vector and its norm enter the
     plan as scalar subqueries, evaluated once and shipped as constants, so
     the references are scanned once with no join or shuffle (Spark raises if
-    the target has more than one row).  Same value as
+    the target has more than one row; an empty target gives no rows).  Same value as
     :func:`vocaframe.functions.cosine_similarity`."""
     tvec = target.select(F.col(emb_col)).scalar()
     tnorm = target.select(F.greatest(l2_norm(emb_col), F.lit(COSINE_EPS))).scalar()  # once, not per row
-    scored = refs.withColumn("_target", tvec).withColumn(
+    # without a target vector there is nothing to compare: no rows
+    scored = refs.withColumn("_target", tvec).where(F.col("_target").isNotNull()).withColumn(
         "similarity",
         dot(emb_col, "_target") / (F.greatest(l2_norm(emb_col), F.lit(COSINE_EPS)) * tnorm))
     return scored.drop("_target")
