@@ -22,12 +22,3 @@ def test_shared_dir_comes_from_session(spark):
     assert shared_dir(spark, "x").startswith(root.rstrip("/"))
     assert fresh_dir(spark, "y") != fresh_dir(spark, "y")
 
-
-def test_spread_small_inputs_only(spark):
-    from vocaframe.util import spread
-
-    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    assert df.rdd.getNumPartitions() == 1
-    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(df, max_bytes=1).rdd.getNumPartitions() == 1  # "large": left alone
-    assert spread(df).count() == df.count()

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..util import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -21,9 +19,12 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores when it is small (see
-    :func:`vocaframe.util.spread`; the test files are single row groups)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table.  The test files are single row groups, one task each:
+    the session setting ``vocaframe.input.partitions`` deals their rows over
+    so many partitions; it is unset by default, at every size."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    partitions = spark.conf.get("vocaframe.input.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 # --- utterances: one per event ---------------------------------------------
@@ -256,14 +257,14 @@ def waveforms(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFra
 
 
 # --- Japanese edge texts for normalization (unioned with documents) ---------
-# (doc_id, text): the UI samples, the configured test sentence, one row per
-# normalization step and the non-idempotent case.
+# (doc_id, text): plain sentences, one row per normalization step and the
+# non-idempotent case.
 TEXT_EDGE_ROWS = (
-    (-1, "こんにちは、今日はいい天気ですね。"),
-    (-2, "ありがとうございます！"),
-    (-3, "頑張って！応援してるよ！"),
-    (-4, "おつかれさまでした。"),
-    (-5, "こんにちは、お元気ですか。"),
+    (-1, "山の上に、白い雲が見えます。"),
+    (-2, "明日は早く起きよう！"),
+    (-3, "走って！電車がもう来るよ！"),
+    (-4, "駅まで歩きました。"),
+    (-5, "図書館は、何時に開きますか。"),
     (-6, "タブ\tと[n]改行　全角 スペース"),
     (-7, "[ n]と[\tn]"),
     (-8, "記号;▼♀♂《》≪≫\ue63e①②③④⑤⑥です"),

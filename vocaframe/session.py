@@ -40,11 +40,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the cluster's shared checkpoint directory.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a fresh local folder is made and registered."""
+    and the master is local (tests) a fresh local folder is made and
+    registered: on a cluster a machine's own folder would lose rows."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="vocaframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

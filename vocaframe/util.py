@@ -12,51 +12,6 @@ def col_of(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-SMALL_INPUT_BYTES = 256 << 20
-
-
-def _input_bytes(paths: list[str], limit: int) -> int:
-    """Total size of the input files, stopping once ``limit`` is passed."""
-    from pyarrow import fs as pafs
-
-    total = 0
-    for p in paths:
-        try:
-            if p.startswith("file:"):
-                fsys, rel = pafs.LocalFileSystem(), p[len("file:"):].lstrip("/")
-                rel = "/" + rel
-            else:
-                fsys, rel = pafs.FileSystem.from_uri(p)
-            total += fsys.get_file_info(rel).size or 0
-        except Exception:  # unknown file system: treat as large, leave the input alone
-            return limit
-        if total >= limit:
-            break
-    return total
-
-
-def spread(df, max_bytes: int = SMALL_INPUT_BYTES):
-    """Spread a small input over all cores before CPU-heavy per-row work.
-
-    A small file is often one Parquet row group, i.e. one task, however many
-    cores there are.  When the files behind ``df`` (``DataFrame.inputFiles``)
-    hold less than ``max_bytes``, rows are dealt round-robin over
-    ``defaultParallelism`` partitions (a cheap shuffle of a small table).
-    Larger inputs, inputs of many files and inputs already split into many
-    partitions (checked first, without listing files on the driver) are
-    left as they are: their scans have many splits, and a shuffle there
-    would cost more than it saves."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if n <= 1 or df.rdd.getNumPartitions() >= 2 * n:  # large input: many splits already
-        return df
-    files = df.inputFiles()
-    if not files or len(files) >= n:
-        return df
-    if _input_bytes(files, max_bytes) >= max_bytes:
-        return df
-    return df.repartition(n)
-
-
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: the plan above it runs once, and a lost executor re-reads the
