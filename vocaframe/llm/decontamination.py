@@ -17,7 +17,8 @@ index of the test items, by BM25 with block-max pruning.
   computed for a whole slice of passages at a time.
 * A retrieved item counts as found when the passage also holds enough of the
   word pairs of its question (all but the last sentence; the first half of the
-  words of a single sentence) and of its answer (the rest).
+  words of a single sentence) and of its answer (the rest).  A part without
+  word pairs asks for nothing more.
 
 The index is broadcast in slices of at most ``INDEX_BYTES`` of item text; a
 larger benchmark is matched slice by slice.  Document frequencies are those of
@@ -69,6 +70,17 @@ def question_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:len(words) // 2]), " ".join(words[len(words) // 2:])
 
 
+def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Word pairs of the question, and those that end in the answer (a pair
+    across the border is the answer's, so that one word is enough)."""
+    all_words = _words(text)
+    if len(all_words) < 2:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    pairs = K.shingles(all_words, 2)
+    border = max(len(_words(question_answer(text)[0])) - 1, 0)
+    return K.distinct(pairs[:border]), K.distinct(pairs[border:])
+
+
 class Index:
     """The block-max index of a list of ``(item_id, text)``."""
 
@@ -88,7 +100,7 @@ class Index:
             impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(hashes) / max(mean_words, 1)))
             impact = impact / impact.sum() if len(terms) else impact
             self.items.append((terms, impact))
-            self.parts.append(tuple(_pairs(_words(p)) for p in question_answer(text or "")))
+            self.parts.append(_parts(text or ""))
             common_first = np.lexsort((terms, -df))
             sums = np.cumsum(impact[common_first])
             left_out = int(np.searchsorted(sums, slack, "right"))
