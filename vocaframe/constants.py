@@ -80,10 +80,8 @@ NORM_DELETE_LITERAL = "[n]"  # step 2
 NORM_DELETE_CHARS = (
     "\u0020"  # step 3: space
     "\u3000"  # step 4: ideographic space
-    # step 5: ; and U+25BC 2640 2642 300A 300B 226A 226B E63E 2460-2465
-    ";\u25bc\u2640\u2642\u300a\u300b\u226a\u226b\ue63e"
-    "\u2460\u2461\u2462\u2463\u2464\u2465"
-    # step 6: dashes U+02D7, 2010-2015, 2043, 2212, 23AF, 23E4, 2500, 2501, 2E3A, 2E3B
+    ";▼♀♂《》≪≫\ue63e①②③④⑤⑥"  # step 5 (U+E63E is a private-use character)
+    # step 6, written as escapes because they look alike: dashes U+02D7, 2010-2015, 2043, 2212, 23AF, 23E4, 2500, 2501, 2E3A, 2E3B
     "\u02d7\u2010\u2011\u2012\u2013\u2014\u2015\u2043\u2212\u23af\u23e4"
     "\u2500\u2501\u2e3a\u2e3b"
 )
@@ -118,7 +116,7 @@ NORM_KEEP_RANGES = (
     (0x61, 0x7A),  # a-z
     (0x30, 0x39),  # 0-9
 )
-NORM_KEEP_CHARS = "\u3002\u3001!?\u2026\u266a\u2661\u25cb"  # 。、!?…♪♡○
+NORM_KEEP_CHARS = "。、!?…♪♡○"
 
 # --- fixed values: Python str semantics -------------------------------------
 # Characters for which str.isspace() is true (strip() removes them).

@@ -8,7 +8,9 @@ the audio.
 
 from __future__ import annotations
 
+import math
 import struct
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -185,18 +187,32 @@ def resample(x: np.ndarray, orig: int, new: int, zeros: int = 6, rolloff: float
         return np.zeros(x.shape, dtype=np.float32)
     cutoff = rolloff * min(1.0, new / orig)
     reach = int(zeros / cutoff) + 1
-    taps = np.arange(-reach, reach + 1)
+    taps = np.arange(2 * reach + 1)
+    padded = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(reach, reach)])
+    table = _phases(orig, new, cutoff, zeros, reach)
     out = np.empty((*x.shape[:-1], -(-frames * new // orig)), dtype=np.float32)
     step = max(1, (1 << 18) // len(taps))
     for first in range(0, out.shape[-1], step):
         at = np.arange(first, min(first + step, out.shape[-1]), dtype=np.int64) * orig
-        nearest, rest = at // new, (at % new) / new
-        index = nearest[:, None] + taps
-        weight = _kernel(taps - rest[:, None], cutoff, zeros) * ((index >= 0) & (index < frames))
-        out[..., first:first + len(at)] = np.einsum("...mt,mt->...m", x[..., np.clip(index, 0, frames - 1)], weight)
+        nearest, rest = at // new, at % new
+        if table is None:
+            weight = _kernel(taps - reach - (rest / new)[:, None], cutoff, zeros)
+        else:
+            weight = table[rest // math.gcd(orig, new)]
+        out[..., first:first + len(at)] = np.einsum("...mt,mt->...m", padded[..., nearest[:, None] + taps], weight)
     return out
 
 
+@lru_cache(16)
+def _phases(orig: int, new: int, cutoff: float, zeros: int, reach: int) -> np.ndarray | None:
+    """Weights of the few places between input frames that output frames can
+    have; None if there are too many to keep."""
+    n = new // math.gcd(orig, new)
+    if n * (2 * reach + 1) > 1 << 18:
+        return None
+    return _kernel(np.arange(-reach, reach + 1) - (np.arange(n) / n)[:, None], cutoff, zeros)
+
+
 def preprocess(content: bytes, target_rate: int = K.SAMPLE_RATE) -> np.ndarray:
     """Mono float32 waveform at ``target_rate``.  Channels are averaged
     before resampling: both steps are linear, so the result equals

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,14 @@ def shuffle_samples(df: DataFrame, seed: int, *key_cols: str, shards: int | None
     if shards:
         return keyed.repartition(shards, "_shuffle_key").sortWithinPartitions("_shuffle_key").drop("_shuffle_key")
     return keyed.orderBy("_shuffle_key").drop("_shuffle_key")
+
+
+def shuffle_places(df: DataFrame, seed: int, shards: int, *key_cols: str) -> DataFrame:
+    """``df`` with ``shard`` and ``place``: the shard that each row of a random
+    permutation goes to and its place there (from 0), both from
+    ``md5("seed|key|key...")``, so that any system can recompute them.  Rows
+    with equal keys share a shard; each shard is ordered on its own."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
+    keyed = df.withColumn("_key", h).withColumn("shard", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") % shards).cast("int"))
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("_key")) - 1
+    return keyed.withColumn("place", place.cast("bigint")).drop("_key")

@@ -252,6 +252,27 @@ ORACLE_SQL: dict[str, str] = {
         f"round({_sum('list_transform(mono, lambda x: x::DOUBLE)')}, 9) AS sum_samples, "
         "list_min(mono)::DOUBLE AS min_sample, list_max(mono)::DOUBLE AS max_sample FROM w"
     ),
+    "audio_resample": (
+        f"SELECT event_id AS utt_id, ((400 * 16000 + rate - 1) // rate)::BIGINT AS n_samples, true AS level_kept "
+        f"FROM (SELECT event_id, {S.LEVEL_RATE} AS rate FROM events)"
+    ),
+    "manifest_file": f"WITH {LINES}, {PARSED}, {DEDUP} SELECT file_id, text, n_lines FROM dedup",
+    "training_table": f"WITH {SENT} SELECT {G.prompt('text', 'codes')} AS text FROM sent",
+    "training_order": (
+        "WITH k AS (SELECT conv_id, turn, md5('42|' || conv_id || '|' || turn) AS h FROM conversations), "
+        "s AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT % 16)::INTEGER AS shard FROM k) "
+        "SELECT conv_id, turn, shard, row_number() OVER (PARTITION BY shard ORDER BY h) - 1 AS place FROM s"
+    ),
+    "similarity_file": (
+        f"WITH {SCORED}, nm AS (SELECT regexp_extract(path, '([^/]*)/*$', 1) AS name, vec_id, similarity "
+        "FROM scored) SELECT printf('%s,%.4f', name, arg_max(similarity, vec_id)) AS line FROM nm GROUP BY name"
+    ),
+    "audio_files": (
+        f"WITH w AS (SELECT s_suppkey, s_suppkey % 3 <> 0 AS has_audio, {WAVE_MONO.replace('event_id', 's_suppkey')} AS mono FROM supplier) "
+        "SELECT s_suppkey, has_audio, CASE WHEN has_audio THEN len(mono) END::BIGINT AS n_frames, "
+        "CASE WHEN has_audio THEN 2 END::INTEGER AS n_channels, CASE WHEN has_audio THEN len(mono) END::BIGINT AS n_samples, "
+        f"CASE WHEN has_audio THEN round({_sum('list_transform(mono, lambda x: x::DOUBLE)')}, 9) END AS sum_samples FROM w"
+    ),
     "corpus_lint": (
         f"WITH h AS (SELECT event_id AS utt_id, ({WAVE_RATE})::INTEGER AS sample_rate, "
         f"({WAVE_CHANNELS})::INTEGER AS n_channels, ({WAVE_BITS})::INTEGER AS bits, {WAVE_N}::BIGINT AS n_frames "

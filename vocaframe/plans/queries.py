@@ -29,10 +29,13 @@ from ..functions import (
     training_prompt,
     with_reference_text,
 )
+from ..jobs import training_table_job
 from ..operators import audio, corpus, manifest, metrics, requests, segments, similarity
-from ..operators.shuffle import shuffle_samples
+from ..operators.shuffle import shuffle_places, shuffle_samples
 from ..session import fresh_dir
+from ..sources.audio import read_contents, read_headers, with_existence, write_wav_files
 from ..sources.corpus import read_corpus, write_corpus
+from ..sources.manifest import read_manifest
 from . import standins as S
 
 SHUFFLE_SEED = 42
@@ -264,20 +267,12 @@ def q_request_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_request_payload(spark: SparkSession, sf: str) -> DataFrame:
     p = requests.route_payloads(_validated(spark, sf))
-    j = F.col("payload")
-    return p.select(
-        "conv_id",
-        "turn",
-        F.get_json_object(j, "$.prompt").alias("prompt"),
-        F.get_json_object(j, "$.temperature").cast("double").alias("temperature"),
-        F.get_json_object(j, "$.top_p").cast("double").alias("top_p"),
-        F.get_json_object(j, "$.max_tokens").cast("int").alias("max_tokens"),
-        F.get_json_object(j, "$.min_tokens").cast("int").alias("min_tokens"),
-        F.get_json_object(j, "$.repetition_penalty").cast("double").alias("repetition_penalty"),
-        F.get_json_object(j, "$.repeat_penalty").cast("double").alias("repeat_penalty"),
-        F.get_json_object(j, "$.stop_token_ids[0]").cast("bigint").alias("stop_id"),
-        F.get_json_object(j, "$.stream").cast("boolean").alias("stream"),
-    )
+    shape = ("prompt string, temperature double, top_p double, max_tokens int, min_tokens int, "
+             "repetition_penalty double, repeat_penalty double, stop_token_ids array<bigint>, stream boolean")
+    j = p.select("conv_id", "turn", F.from_json("payload", shape).alias("j"))
+    return j.select("conv_id", "turn", "j.prompt", "j.temperature", "j.top_p", "j.max_tokens", "j.min_tokens",
+                    "j.repetition_penalty", "j.repeat_penalty", F.get("j.stop_token_ids", F.lit(0)).alias("stop_id"),
+                    "j.stream")
 
 
 def q_response_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,6 +327,62 @@ def q_audio_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
                        "content_disposition", "generated_tokens", _r(F.col("audio_duration")).alias("audio_duration"))
 
 
+def q_audio_resample(spark: SparkSession, sf: str) -> DataFrame:
+    """Level clips of 400 frames at four rates -> 16 kHz mono: length, and the
+    level in the middle."""
+    w = S.level_clips(spark, sf)
+    pre = audio.preprocess_audio(audio.encode_wav(w, "utt_id"), "utt_id")
+    middle = F.get("samples", F.floor(F.col("n_samples") / 2).cast("int")).cast("double")
+    return pre.select("utt_id", "n_samples", (F.abs(middle - F.expr(S.LEVEL.replace("event_id", "utt_id")) / 32768) < 0.005).alias("level_kept"))
+
+
+# --- sources: written from the tables to the shared folder, then read back ---
+
+def q_manifest_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifest text files (several, in line order) through the real reader."""
+    path = fresh_dir(spark, "manifest")
+    S.manifest_lines(spark, sf).repartitionByRange(4, "line_key").sortWithinPartitions("line_key").select("line").write.text(path)
+    return read_manifest(spark, path).select("file_id", "text", "n_lines")
+
+
+def q_training_table(spark: SparkSession, sf: str) -> DataFrame:
+    """JSONL corpus -> the training-table job -> its Parquet table."""
+    src, out = fresh_dir(spark, "corpus-jsonl"), fresh_dir(spark, "training")
+    write_corpus(S.sentences(spark, sf).select("text", F.col("codes").alias("code")), src)
+    training_table_job(spark, src, out, seed=SHUFFLE_SEED)
+    return spark.read.parquet(out)
+
+
+def q_training_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The place that each training sample gets in its shard."""
+    return shuffle_places(_training(spark, sf), SHUFFLE_SEED, 16, "conv_id", "turn").select("conv_id", "turn", "shard", "place")
+
+
+def q_similarity_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The CSV sink, read back as text."""
+    path = fresh_dir(spark, "similarity")
+    similarity.write_csv(similarity.by_base_name(_scored(spark, sf)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def q_audio_files(spark: SparkSession, sf: str) -> DataFrame:
+    """WAV files of two thirds of the suppliers; existence by id, header and
+    waveform through the file sources."""
+    folder = fresh_dir(spark, "wavs")
+    sup = S.table(spark, sf, "supplier").select("s_suppkey")
+    clips = S.supplier_clips(sup.where("s_suppkey % 3 != 0"))
+    # one file a clip; the write is a job of its own
+    written = write_wav_files(audio.encode_wav(clips, "file_id"), folder, "file_id")
+    written.write.format("noop").mode("overwrite").save()
+    ids = with_existence(sup.withColumn("file_id", F.expr(S.SUPPLIER_FILE)), folder)
+    paths = ids.where("has_audio").withColumn("path", F.concat(F.lit(folder + "/"), "file_id", F.lit(".wav")))
+    heads = read_headers(paths).select("s_suppkey", "n_frames", "n_channels")
+    pre = audio.preprocess_audio(read_contents(paths.select("s_suppkey", "path")), "s_suppkey")
+    total = F.round(F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 9)
+    sums = pre.select("s_suppkey", "n_samples", total.alias("sum_samples"))
+    return ids.select("s_suppkey", "has_audio").join(heads, "s_suppkey", "left").join(sums, "s_suppkey", "left")
+
+
 # --- streaming --------------------------------------------------------------
 
 def q_stream_training_prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,5 +425,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audio_preprocess": q_audio_preprocess,
     "corpus_lint": q_corpus_lint,
     "audio_roundtrip": q_audio_roundtrip,
+    "audio_resample": q_audio_resample,
+    "manifest_file": q_manifest_file,
+    "training_table": q_training_table,
+    "training_order": q_training_order,
+    "similarity_file": q_similarity_file,
+    "audio_files": q_audio_files,
     "stream_training_prompt": q_stream_training_prompt,
 }

@@ -256,6 +256,31 @@ def waveforms(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFra
     )
 
 
+# --- level clips: 400 equal frames at one of four rates, one per event --------
+LEVEL = "(event_id % 7 + 1) * 4000"
+LEVEL_RATE = "CASE event_id % 4 WHEN 0 THEN 8000 WHEN 1 THEN 16000 WHEN 2 THEN 22050 ELSE 44100 END"
+
+
+def level_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``utt_id, sample_rate, bits, channels`` of one channel."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("utt_id"), F.expr(LEVEL_RATE).alias("sample_rate"), F.lit(16).alias("bits"),
+        F.expr(f"array(array_repeat(CAST({LEVEL} AS INT), 400))").alias("channels"))
+
+
+# --- audio files: a clip per supplier, 2 channels at 16 kHz ------------------
+SUPPLIER_FILE = "concat('s', CAST(s_suppkey % 5 AS STRING), '/_', CAST(s_suppkey AS STRING), '.x')"
+
+
+def supplier_clips(suppliers: DataFrame) -> DataFrame:
+    """``file_id, sample_rate, bits, channels``; ids have folders, dots and a
+    leading underscore in the name."""
+    left, right = (w.replace("event_id", "s_suppkey") for w in (WAVE_LEFT, WAVE_RIGHT))
+    return suppliers.select(
+        F.expr(SUPPLIER_FILE).alias("file_id"), F.lit(16000).alias("sample_rate"), F.lit(16).alias("bits"),
+        F.expr(f"array({left}, {right})").alias("channels"))
+
+
 # --- Japanese edge texts for normalization (unioned with documents) ---------
 # (doc_id, text): plain sentences, one row per normalization step and the
 # non-idempotent case.
