@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
-from ..functions.vectors import COSINE_EPS, dot, l2_norm
+from ..functions.vectors import COSINE_EPS
+from ..session import ship_package
 
 
 def score_references(refs: DataFrame, target: DataFrame, emb_col: str = "embedding") -> DataFrame:
     """Add ``similarity`` (cosine, DOUBLE) of each reference to the target.
 
-    ``target`` must hold exactly one row; its vector and its norm enter the
-    plan as scalar subqueries, evaluated once and shipped as constants, so
-    the references are scanned once with no join or shuffle (Spark raises if
-    the target has more than one row; an empty target gives no rows).  Same value as
-    :func:`vocaframe.functions.cosine_similarity`."""
-    tvec = target.select(F.col(emb_col)).scalar()
-    tnorm = target.select(F.greatest(l2_norm(emb_col), F.lit(COSINE_EPS))).scalar()  # once, not per row
-    # without a target vector there is nothing to compare: no rows
-    scored = refs.withColumn("_target", tvec).where(F.col("_target").isNotNull()).withColumn(
-        "similarity",
-        dot(emb_col, "_target") / (F.greatest(l2_norm(emb_col), F.lit(COSINE_EPS)) * tnorm))
-    return scored.drop("_target")
+    ``target`` must hold one vector (more raise, none gives no rows): it is
+    the only thing that is collected and sent to the tasks.  A batch of
+    references is one matrix over Arrow's own buffer, multiplied once; no
+    join, no shuffle.  Same value as
+    :func:`vocaframe.functions.cosine_similarity`: a reference that is null,
+    has a null element or another length gives NULL, a zero vector 0."""
+    got = target.select(F.col(emb_col).cast("array<double>")).limit(2).collect()
+    if len(got) > 1:
+        raise ValueError("more than one target")
+    if not got or got[0][0] is None:
+        return refs.where(F.lit(False)).withColumn("similarity", F.lit(None).cast("double"))
+    ship_package(refs.sparkSession)
+    vector = got[0][0]
+    packed = refs.select(F.struct(*refs.columns).alias("row"), F.col(emb_col).cast("array<double>").alias("v"))
+    row = packed.schema["row"].dataType.simpleString()
+    out = packed.mapInArrow(_cosines(vector), f"row {row}, similarity double")
+    return out.select("row.*", "similarity")
+
+
+def _cosines(vector: list):
+    def run(batches):
+        import pyarrow as pa
+
+        whole = all(x is not None for x in vector)
+        t = np.array([0.0 if x is None else x for x in vector], float)
+        size = max(np.sqrt(t @ t), COSINE_EPS)
+        for b in batches:
+            lists = b["v"]
+            values = lists.values
+            good = lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(lists.offsets.to_numpy()) == len(t)) & whole
+            if values.null_count:
+                holes = np.concatenate(([0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy()]
+                good &= np.diff(holes) == 0
+            out = np.full(b.num_rows, np.nan)
+            if good.any():
+                flat = values.to_numpy(zero_copy_only=False)
+                rows = np.flatnonzero(good)
+                x = flat[lists.offsets.to_numpy()[rows][:, None] + np.arange(len(t))]
+                out[rows] = x @ t / (np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), COSINE_EPS) * size)
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(out, pa.float64(), mask=~good)], names=["row", "similarity"])
+
+    return run
 
 
 def top_k(scored: DataFrame, k: int = 10, id_col: str = "vec_id") -> DataFrame:

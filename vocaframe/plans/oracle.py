@@ -273,6 +273,10 @@ ORACLE_SQL: dict[str, str] = {
         "CASE WHEN has_audio THEN 2 END::INTEGER AS n_channels, CASE WHEN has_audio THEN len(mono) END::BIGINT AS n_samples, "
         f"CASE WHEN has_audio THEN round({_sum('list_transform(mono, lambda x: x::DOUBLE)')}, 9) END AS sum_samples FROM w"
     ),
+    "corpus_files": (
+        "SELECT 'v2 ' || s_name AS text, '[' || s_suppkey || ', 5]' AS code_list FROM supplier "
+        "WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 NOT IN (0, 1)"
+    ),
     "corpus_lint": (
         f"WITH h AS (SELECT event_id AS utt_id, ({WAVE_RATE})::INTEGER AS sample_rate, "
         f"({WAVE_CHANNELS})::INTEGER AS n_channels, ({WAVE_BITS})::INTEGER AS bits, {WAVE_N}::BIGINT AS n_frames "

@@ -29,7 +29,7 @@ from ..functions import (
     training_prompt,
     with_reference_text,
 )
-from ..jobs import training_table_job
+from ..jobs import build_corpus_job, training_table_job
 from ..operators import audio, corpus, manifest, metrics, requests, segments, similarity
 from ..operators.shuffle import shuffle_places, shuffle_samples
 from ..session import fresh_dir
@@ -365,15 +365,33 @@ def q_similarity_file(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+def _supplier_wavs(spark: SparkSession, suppliers: DataFrame) -> str:
+    """A folder with a WAV file for two thirds of the suppliers."""
+    folder = fresh_dir(spark, "wavs")
+    written = write_wav_files(audio.encode_wav(S.supplier_clips(suppliers.where("s_suppkey % 3 != 0")), "file_id"), folder, "file_id")
+    written.write.format("noop").mode("overwrite").save()  # the files are the result
+    return folder
+
+
+def q_corpus_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus job over files: every supplier has two manifest lines (the
+    last wins); some codes are missing, null or repeated."""
+    sup = S.table(spark, sf, "supplier").select("s_suppkey", "s_name", F.expr(S.SUPPLIER_FILE).alias("file_id"))
+    manifest_path, out = fresh_dir(spark, "manifest"), fresh_dir(spark, "corpus-jsonl")
+    line = F.concat("file_id", F.lit(":v"), F.col("version").cast("string"), F.lit(" "), F.col("s_name"))
+    lines = sup.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    lines.repartitionByRange(4, "version", "s_suppkey").sortWithinPartitions("version", "s_suppkey").select(line.alias("value")).write.text(manifest_path)
+    codes = sup.where("s_suppkey % 7 != 1").select("file_id", F.expr("CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE array(CAST(s_suppkey AS INT), 5) END").alias("code"), "s_suppkey")
+    codes = codes.unionByName(codes.where("s_suppkey % 5 = 0"))
+    build_corpus_job(spark, _supplier_wavs(spark, sup.select("s_suppkey")), manifest_path, out, codes.select("file_id", "code"))
+    return read_corpus(spark, out).select("text", format_code_list("code").alias("code_list"))
+
+
 def q_audio_files(spark: SparkSession, sf: str) -> DataFrame:
     """WAV files of two thirds of the suppliers; existence by id, header and
     waveform through the file sources."""
-    folder = fresh_dir(spark, "wavs")
     sup = S.table(spark, sf, "supplier").select("s_suppkey")
-    clips = S.supplier_clips(sup.where("s_suppkey % 3 != 0"))
-    # one file a clip; the write is a job of its own
-    written = write_wav_files(audio.encode_wav(clips, "file_id"), folder, "file_id")
-    written.write.format("noop").mode("overwrite").save()
+    folder = _supplier_wavs(spark, sup)
     ids = with_existence(sup.withColumn("file_id", F.expr(S.SUPPLIER_FILE)), folder)
     paths = ids.where("has_audio").withColumn("path", F.concat(F.lit(folder + "/"), "file_id", F.lit(".wav")))
     heads = read_headers(paths).select("s_suppkey", "n_frames", "n_channels")
@@ -431,5 +449,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_order": q_training_order,
     "similarity_file": q_similarity_file,
     "audio_files": q_audio_files,
+    "corpus_files": q_corpus_files,
     "stream_training_prompt": q_stream_training_prompt,
 }
