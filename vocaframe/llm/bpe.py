@@ -26,7 +26,7 @@ import base64
 import heapq
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,11 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .io import prepare
 
-CACHE = 1 << 17
+CACHE = 1 << 16
 MATRIX = 64
+#: Bytes of text, and ids, that a task works on at a time: several workers
+#: share an executor's memory.
+TEXT_BYTES, IDS = 1 << 19, 1 << 18
 
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE1, QUOTE2 = range(7)
 #: Code points of white space.
@@ -157,15 +160,6 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    pairs[a << 32 | b] = rank
-        self.pairs = pairs
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -177,6 +171,25 @@ class Vocabulary:
         self.none = np.int64(1 << 40)
         self.cache: dict[bytes, np.ndarray] = {}
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank of the token that two ids make, by both ids (for encoding only)."""
+        out, get = {}, self.ranks.get
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                a, b = get(token[:cut]), get(token[cut:])
+                if a is not None and b is not None:
+                    out[a << 32 | b] = rank
+        return out
+
+    @cached_property
+    def pair_keys(self) -> np.ndarray:
+        return np.array(sorted(self.pairs), np.int64)
+
+    @cached_property
+    def pair_ranks(self) -> np.ndarray:
+        return np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
         i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
@@ -330,7 +343,7 @@ def _encode(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content)
         for b in batches:
-            for at, data, offsets in K.chunks(b["text"]):
+            for at, data, offsets in K.chunks(b["text"], TEXT_BYTES):
                 if len(data):
                     ids, places, counts = vocabulary.encode(data, offsets)
                 else:
@@ -347,12 +360,16 @@ def _decode(content):
         vocabulary = _vocabulary(content)
         for b in batches:
             lists = b["tokens"].fill_null([]) if b["tokens"].null_count else b["tokens"]
-            counts = np.diff(lists.offsets.to_numpy())
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            out, sizes = vocabulary.decode(ids, counts)
-            edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(out))])
-            yield pa.RecordBatch.from_arrays([b["row"], blobs.cast(pa.binary())], names=["row", "decoded"])
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            at = 0
+            while at < b.num_rows:
+                end = max(int(np.searchsorted(edges, edges[at] + IDS, "right")) - 1, at + 1)
+                ids = lists.values[edges[at]:edges[end]].to_numpy(zero_copy_only=False).astype(np.int64)
+                out, sizes = vocabulary.decode(ids, np.diff(edges[at:end + 1]))
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - at, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(out))])
+                yield pa.RecordBatch.from_arrays([b["row"].slice(at, end - at), blobs.cast(pa.binary())], names=["row", "decoded"])
+                at = end
 
     return run
 

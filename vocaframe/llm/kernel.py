@@ -43,7 +43,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, CHUNK_BYTES + 1)
+            size = 1 << max(n - 1, 1 << 16).bit_length()
             for name, base in (("up", _BASE), ("down", _INV)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
