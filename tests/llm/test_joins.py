@@ -84,3 +84,10 @@ def test_remove_repeats_without_ids(spark):
 @pytest.mark.parametrize("operator", [ngram_join.link_classes, line_dedup.dedup_lines, suffix_dedup.remove_repeats])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_remove_repeats_of_samples_in_very_many_zones(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_ZONES", 2)
+    rows = brute.corpus(6, 40)
+    got = {r.doc_id: (r.n_bytes, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {i: (n, runs, kept) for i, (n, _, runs, kept) in brute.without_repeats(rows).items()}

@@ -34,7 +34,7 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rows up to which a list of ids (16 bytes a row and less) is broadcast.
-BROADCAST_ROWS = 1 << 21
+BROADCAST_ROWS = 1 << 22
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,3 +52,15 @@ def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     ``spark.sql.shuffle.partitions`` and the advisory size)."""
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got).combine_chunks() if got else None
+
+
+def binary_parts(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):  # nothing, or beyond one chunk's size
+        column = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks])
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)), offsets

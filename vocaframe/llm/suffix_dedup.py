@@ -16,11 +16,15 @@ as many positions.  The windows that share a sample position are its *zone*.
    packed bytes.  A bucket is sorted at a time; equal samples are neighbours,
    and the rank of the zone (a hash of its bytes) settles long ties at once: a
    zone that also is in a smaller document goes whole.
-2. Different zones of one sample whose bytes agree far enough to one side (a
-   common window reaches ``REACH`` bytes beyond the sample to the left or to
-   the right) may be the ends of matches.  Their windows, taken from the
-   zone's smallest document, are compared with one another; those that a
-   smaller document has go one by one.
+2. Samples with several different zones are the ends of matches.  A window
+   that reaches ``SIDE`` bytes or more beyond the sample to one side can only
+   match a zone that has the same ``SIDE`` bytes there; a zone that shares
+   neither side is done.  The bytes of the other zones, taken from the zone's
+   smallest document, meet in the bucket of the sample, where all their
+   windows are sorted; those that a smaller document has go one by one.  The
+   windows of a sample with more than ``MOST_ZONES`` zones are compared one
+   window a row instead, by partial aggregation, so that no bucket grows
+   without bound.
 3. Each document's zones and windows that go are brought to it, and its text
    is cut.  Texts that lose nothing are not shuffled.
 
@@ -44,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .io import BROADCAST_ROWS, batch, prepare, small, table, whole
+from .io import BROADCAST_ROWS, batch, binary_parts, prepare, small, table, whole
 
 LENGTH = 50
 GRAM = 20
@@ -52,8 +56,9 @@ _SPAN = LENGTH - GRAM + 1
 _PLAIN = np.arange(256)
 #: Text whose samples a task sorts into buckets at a time.
 SEND_BYTES = 16 << 20
-#: Of the ``LENGTH - GRAM`` other bytes of a window half lie on one side.
-REACH = (LENGTH - GRAM) // 2
+#: Zones of one sample that are compared in one task.
+MOST_ZONES = 2048
+SIDE = 4
 _LOW40, _LOW24, _LOW16 = (np.uint64((1 << n) - 1) for n in (40, 24, 16))
 #: Packed columns of a zone: sample, rank, place of the document, both sides.
 _WIDTHS = (5, 5, 2, 2, 2)
@@ -75,7 +80,6 @@ class Zones:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, parts: int) -> None:
         n = len(data)
-        self.data, self.offsets = data, offsets
         if n < LENGTH:
             self.row = self.start = self.count = self.at = self.part = np.zeros(0, np.int64)
             self.key = self.rank = self.id = np.zeros(0, np.uint64)
@@ -101,13 +105,14 @@ class Zones:
         rank = K.range_hash(data, self.start, self.start + self.count + LENGTH - 1, _PLAIN)
         self.rank = K.mix(rank + (self.at - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & _LOW40
         self.id = self.rank << np.uint64(24) | self.key & _LOW24
+        self.data, self.offsets = data, offsets
 
-    def sides(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sides(self, pick: np.ndarray) -> list[np.ndarray]:
         """16-bit hashes of the bytes left and right of the samples."""
         at, row = self.at[pick], self.row[pick]
-        left = K.range_hash(self.data, np.maximum(at - REACH, self.offsets[row]), at, _PLAIN)
-        right = K.range_hash(self.data, at + GRAM, np.minimum(at + GRAM + REACH, self.offsets[row + 1]), _PLAIN)
-        return left & _LOW16, right & _LOW16
+        left = K.range_hash(self.data, np.maximum(at - SIDE, self.offsets[row]), at, _PLAIN)
+        right = K.range_hash(self.data, at + GRAM, np.minimum(at + GRAM + SIDE, self.offsets[row + 1]), _PLAIN)
+        return [left & _LOW16, right & _LOW16]
 
     @staticmethod
     def _anchors(grams: np.ndarray, least: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -203,8 +208,7 @@ def _send(parts: int):
                         known[h] = doc
                 pick = np.flatnonzero(keep[zones.row])
                 if len(pick):
-                    left, right = zones.sides(pick)
-                    held.append([zones.part[pick], zones.key[pick], zones.rank[pick], zones.row[pick] + len(ids), left, right])
+                    held.append([zones.part[pick], zones.key[pick], zones.rank[pick], zones.row[pick] + len(ids), *zones.sides(pick)])
                 ids += own_ids[at:at + n].tolist()
                 size += len(data)
         if held:
@@ -213,9 +217,11 @@ def _send(parts: int):
     return run
 
 
-#: doc_id, zone id: a zone that goes whole (ends false), or one of several zones
-#: of a sample, whose windows have to be compared (ends true).
-_FOUND = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("ends", pa.bool_())])
+WHOLE, ENDS, MANY = range(3)
+#: doc_id, zone id, what it is (a zone that goes whole, or one of several zones
+#: of a sample whose windows have to be compared, or one of very many), and the
+#: sides that it shares with another zone (1 left, 2 right, 3 both).
+_FOUND = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("kind", pa.int32()), ("sides", pa.int32())])
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,56 +252,120 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new_zone[1:] |= rank[1:] != rank[:-1]
     zone = np.cumsum(new_zone) - 1
     goes = doc > doc[new_zone][zone]
-    # zones of one sample that agree on one side
     first = np.flatnonzero(new_zone)
     sample = (np.cumsum(new_key) - 1)[first]
-    agree = np.zeros(len(first), bool)
-    for side in (left[first], right[first]):
+    zones = np.bincount(sample)[sample]
+    sides = np.zeros(len(first), np.int32)
+    for bit, side in ((1, left[first]), (2, right[first])):
         by = np.lexsort((side, sample))
         same = (sample[by][1:] == sample[by][:-1]) & (side[by][1:] == side[by][:-1])
-        agree[by[1:]] |= same
-        agree[by[:-1]] |= same
+        shared = np.zeros(len(first), bool)
+        shared[by[1:]] |= same
+        shared[by[:-1]] |= same
+        sides[shared] |= bit
     ids = K.signed(rank << np.uint64(24) | key & _LOW24)
-    whole_, ends = np.flatnonzero(goes), first[agree]
-    rows = np.concatenate((whole_, ends))
-    flags = np.concatenate((np.zeros(len(whole_), bool), np.ones(len(ends), bool)))
+    groups = [np.flatnonzero(goes), *(first[(sides > 0) & many] for many in (zones <= MOST_ZONES, zones > MOST_ZONES))]
+    rows = np.concatenate(groups)
+    kind = np.repeat(np.arange(3, dtype=np.int32), [len(g) for g in groups])
+    every = np.zeros(len(key), np.int32)
+    every[first] = sides
     for s in range(0, len(rows), 1 << 18):
         r = rows[s:s + (1 << 18)]
-        yield batch(_FOUND, doc[r], ids[r], flags[s:s + (1 << 18)])
+        yield batch(_FOUND, doc[r], ids[r], kind[s:s + (1 << 18)], every[r])
 
 
 _WINDOWS = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("j", pa.int32()), ("window", pa.int64())])
 
 
+def _wanted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, Zones, np.ndarray, np.ndarray]]:
+    """(doc_id of each zone, bytes, all zones, rows of the zones that the
+    column ``zones`` asks for, each once, and their sides)."""
+    for b in batches:
+        ids = b["doc_id"].to_numpy()
+        for at, data, offsets in K.chunks(b["text"]):
+            z = Zones(data, offsets, parts)
+            sides = np.zeros(len(z.row), np.int32)
+            edges = np.searchsorted(z.row, np.arange(len(offsets)))
+            for r in range(len(offsets) - 1):
+                s, e = edges[r], edges[r + 1]
+                if s < e:
+                    want, side = (b["zones"][at + r].values.field(k).to_numpy() for k in ("zone", "sides"))
+                    order = np.argsort(want, kind="stable")
+                    mine = K.signed(z.id[s:e])
+                    place = order[np.minimum(np.searchsorted(want[order], mine), len(want) - 1)]
+                    sides[s:e] = np.where(want[place] == mine, side[place], 0)
+            i = np.flatnonzero(sides)
+            if len(i):
+                _, once = np.unique(np.stack([z.row[i], K.signed(z.id[i])]), axis=1, return_index=True)
+                yield ids[at + z.row], data, z, i[once], sides[i[once]]
+
+
+def _each(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 def _windows(parts: int):
-    """Hashes of the windows of the wanted ``zones`` of each text."""
+    """Hashes of the windows of the wanted zones, one a row, but for those that
+    reach ``SIDE`` bytes into a side that no other zone shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b["doc_id"].to_numpy()
-            for at, data, offsets in K.chunks(b["text"]):
-                z = Zones(data, offsets, parts)
-                pick = np.zeros(len(z.row), bool)
-                edges = np.searchsorted(z.row, np.arange(len(offsets)))
-                for r in range(len(offsets) - 1):
-                    s, e = edges[r], edges[r + 1]
-                    if s < e:
-                        pick[s:e] = np.isin(K.signed(z.id[s:e]), b["zones"][at + r].values.to_numpy())
-                i = np.flatnonzero(pick)
-                if not len(i):
-                    continue
-                _, once = np.unique(np.stack([z.row[i], K.signed(z.id[i])]), axis=1, return_index=True)
-                i = i[once]
-                count = z.count[i]
-                zone = np.repeat(i, count)
-                j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = z.start[zone] + j
-                hashes = K.mix(K.range_hash(data, start, start + LENGTH, _PLAIN) + (z.at[zone] - start).astype(np.uint64))
-                yield batch(_WINDOWS, ids[at + z.row[zone]], K.signed(z.id[zone]), j.astype(np.int32), K.signed(hashes))
+        for doc, data, z, i, sides in _wanted(batches, parts):
+            zone, j, side = np.repeat(i, z.count[i]), _each(z.count[i]), np.repeat(sides, z.count[i])
+            before = z.at[zone] - z.start[zone] - j
+            may = ((side & 1 > 0) | (before < SIDE)) & ((side & 2 > 0) | (LENGTH - GRAM - before < SIDE))
+            zone, j = zone[may], j[may]
+            start = z.start[zone] + j
+            hashes = K.mix(K.range_hash(data, start, start + LENGTH, _PLAIN) + (z.at[zone] - start).astype(np.uint64))
+            yield batch(_WINDOWS, doc[zone], K.signed(z.id[zone]), j.astype(np.int32), K.signed(hashes))
 
     return run
 
 
+_BYTES = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("zone", pa.int64()), ("before", pa.int32()), ("bytes", pa.binary())])
+
+
+def _bytes_of_zones(parts: int):
+    """The wanted zones: bucket of the sample, bytes, and how many of them
+    stand before the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, data, z, i, _ in _wanted(batches, parts):
+            raw = data.tobytes()
+            ends = z.start[i] + z.count[i] + LENGTH - 1
+            bucket = K.mix(z.key[i] * np.uint64(parts) + z.part[i].astype(np.uint64))
+            yield batch(_BYTES, K.signed(bucket), doc[i], K.signed(z.id[i]), (z.at[i] - z.start[i]).astype(np.int32), [raw[s:e] for s, e in zip(z.start[i].tolist(), ends.tolist())])
+
+    return run
+
+
+_MASKS = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("mask", pa.int64())])
+
+
+def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the zones of a partition's buckets that a smaller document
+    has, as bits of each zone."""
+    t = whole(batches)
+    if t is None:
+        return
+    data, offsets = binary_parts(t["bytes"])
+    bucket, doc, zone, before = (t[c].to_numpy() for c in ("bucket", "doc_id", "zone", "before"))
+    data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+    count = np.diff(offsets) - LENGTH + 1
+    own, j = np.repeat(np.arange(len(count)), count), _each(count)
+    start = offsets[own] + j
+    window = K.mix(K.range_hash(data, start, start + LENGTH, _PLAIN) + (before[own] - j).astype(np.uint64)) ^ K.unsigned(bucket)[own]
+    order = np.lexsort((doc[own], window))
+    new = np.ones(len(order), bool)
+    new[1:] = window[order][1:] != window[order][:-1]
+    least = doc[own[order]][new][np.cumsum(new) - 1]
+    gone = order[doc[own[order]] > least]
+    mask = np.zeros(len(count), np.int64)
+    np.bitwise_or.at(mask, own[gone], np.int64(1) << j[gone])
+    some = np.flatnonzero(mask)
+    yield batch(_MASKS, doc[some], zone[some], mask[some])
+
+
 def _cut(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -345,15 +415,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = live.mapInArrow(_send(parts), "part int, ids binary, zones binary").repartition(parts, "part")
-    found = table(sent.mapInArrow(_sort_bucket, "doc_id long, zone long, ends boolean"), "zones")
+    found = table(sent.mapInArrow(_sort_bucket, "doc_id long, zone long, kind int, sides int"), "zones")
+
+    def holding(kind: int) -> DataFrame:
+        """Texts with the zones of a kind that are to be read from them."""
+        zones = found.where(F.col("kind") == kind)
+        lists = zones.groupBy("doc_id").agg(F.collect_list(F.struct("zone", "sides")).alias("zones"))
+        return live.join(F.broadcast(lists) if zones.count() <= BROADCAST_ROWS else lists, "doc_id")
 
-    ends = found.where("ends").groupBy("doc_id").agg(F.collect_set("zone").alias("zones"))
-    ends = F.broadcast(ends) if found.where("ends").count() <= BROADCAST_ROWS else ends
-    windows = live.join(ends, "doc_id").mapInArrow(_windows(parts), "doc_id long, zone long, j int, window long")
-    windows = table(windows, "windows")
+    ends = holding(ENDS).mapInArrow(_bytes_of_zones(parts), "bucket long, doc_id long, zone long, before int, bytes binary")
+    ends = ends.repartition("bucket").mapInArrow(_sort_windows, "doc_id long, zone long, mask long")
+    windows = table(holding(MANY).mapInArrow(_windows(parts), "doc_id long, zone long, j int, window long"), "windows")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    some = windows.join(least, "window").where("doc_id > first").groupBy("doc_id", "zone").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
-    gone = found.where("not ends").select("doc_id", "zone", F.lit(-1).cast("long").alias("mask")).unionByName(some)
+    many = windows.join(least, "window").where("doc_id > first").groupBy("doc_id", "zone").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
+    gone = found.where(F.col("kind") == WHOLE).select("doc_id", "zone", F.lit(-1).cast("long").alias("mask")).unionByName(ends).unionByName(many)
     gone = gone.groupBy("doc_id", "zone").agg(F.expr("bit_or(mask)").alias("mask")).groupBy("doc_id").agg(F.collect_list(F.struct("zone", "mask")).alias("gone"))
 
     marks = table(live.select("doc_id", F.xxhash64("text").alias("a"), F.hash("text").alias("b")), "marks")
