@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import rarity
-from .io import BROADCAST_ROWS, batch, prepare, small, table, whole
+from .io import BROADCAST_ROWS, batch, prepare, table, whole
+from .verify import matching_pairs
 
 SALT_ROWS = 1 << 16
 
@@ -167,30 +168,17 @@ def _groups(percent: int):
     return run
 
 
-_SETS = pa.schema([("vid", pa.int64()), ("tokens", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("vid", pa.int64()), ("tokens", pa.binary())])
 
 
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids = b["doc_id"].to_numpy()
             for at, data, offsets in K.chunks(b["text"]):
                 x = Lines(at, data, offsets, k)
                 blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x.n), [None, pa.py_buffer(x.start * 8), pa.py_buffer(x.token)])
-                yield batch(_SETS, K.signed(x.vid), blobs.cast(pa.binary()))
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["x"], b["y"]):
-                both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([b["late"]], names=["late"]).filter(pa.array(keep, pa.bool_()))
+                yield batch(_SETS, ids[x.row], K.signed(x.vid), blobs.cast(pa.binary()))
 
     return run
 
@@ -203,18 +191,6 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     return (100 * n(a) >= percent * n(b)) & (100 * n(b) >= percent * n(a)) & (F.least(rest(a), rest(b)) >= needed)
 
 
-def _matched(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
-    """The ``late`` vertices of the pairs (early, late) that really match."""
-    pairs = table(pairs.distinct(), "line_pairs")
-    wanted = pairs.select(F.col("early").alias("vid")).union(pairs.select(F.col("late").alias("vid"))).distinct().join(first, "vid")
-    wanted = table(wanted.select("vid", F.col("at.doc_id").alias("doc_id")), "line_wanted")
-    texts = docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_tokens(k), "vid long, tokens binary").join(wanted.select("vid"), "vid", "left_semi").dropDuplicates(["vid"])
-    sets = table(sets, "line_sets")
-    both = pairs.join(sets.select(F.col("vid").alias("early"), F.col("tokens").alias("x")), "early").join(sets.select(F.col("vid").alias("late"), F.col("tokens").alias("y")), "late")
-    return table(both.mapInArrow(_verify(percent), "late long").distinct(), "line_matched")
-
-
 def removed_lines(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, line`` of every line that an earlier one matches."""
     prepare(docs.sparkSession)
@@ -224,21 +200,27 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     seen = described.where("part is null").select("doc_id", "line", "vid")
     first = table(seen.groupBy("vid").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("times")), "line_first")
 
+    places = first.select("vid", F.col("at.doc_id").alias("doc_id"))
+
+    def late(pairs: DataFrame, name: str) -> DataFrame:
+        """Vertices with a match among the earlier ones they are paired with."""
+        return matching_pairs(pairs, docs, places, _tokens(k), percent, name).select(F.col("b").alias("vid")).distinct()
+
     routed = docs.select("text").mapInArrow(_prefixes(k, percent, counts), "key long, salt int, vid long, n int, pos int")
     groups = table(routed.repartition("key", "salt").mapInArrow(_groups(percent), "gid long, vid long, n int, pos int"), "line_groups")
     groups = table(groups.join(first.select("vid", "at"), "vid"), "line_groups_at")
 
     lead = groups.groupBy("gid").agg(F.min(F.struct("at", "vid", "n", "pos")).alias("lead")).select("gid", "lead.*")
     a, b = lead.alias("a"), groups.alias("b")
-    pairs = b.join(a, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.at") < F.col("b.at")) & _may_match("a", "b", percent)).select(F.col("a.vid").alias("early"), F.col("b.vid").alias("late"))
-    settled = _matched(pairs, docs, first, k, percent)
+    pairs = b.join(a, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.at") < F.col("b.at")) & _may_match("a", "b", percent)).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
+    settled = table(late(pairs, "first_lines"), "settled")
 
-    open_ = groups.join(settled.select(F.col("late").alias("vid")), "vid", "left_anti")
+    open_ = groups.join(settled, "vid", "left_anti")
     a, b = groups.alias("a"), open_.alias("b")
-    pairs = b.join(a, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.at") < F.col("b.at")) & _may_match("a", "b", percent)).select(F.col("a.vid").alias("early"), F.col("b.vid").alias("late"))
-    late = settled.union(_matched(pairs, docs, first, k, percent))
+    pairs = b.join(a, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.at") < F.col("b.at")) & _may_match("a", "b", percent)).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
+    settled = settled.union(late(pairs, "open_lines"))
 
-    gone = first.join(late.select(F.col("late").alias("vid")).withColumn("near", F.lit(True)), "vid", "left").where("near or times > 1")
+    gone = first.join(settled.withColumn("near", F.lit(True)), "vid", "left").where("near or times > 1")
     return seen.join(gone, "vid").where(F.col("near") | (F.struct("doc_id", "line") > F.col("at"))).select("doc_id", "line").distinct()
 
 

@@ -41,7 +41,8 @@ from . import kernel as K
 from . import rarity
 from . import signature_tree as T
 from .components import components
-from .io import batch, prepare, small, table, whole
+from .io import batch, prepare, table, whole
+from .verify import matching_pairs
 
 BLOCK = 256
 #: Sets of one shingle that a task groups together before the shingle is salted.
@@ -150,29 +151,14 @@ def _blocks(percent: int):
     return run
 
 
-_SETS = pa.schema([("vid", pa.int64()), ("tokens", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("vid", pa.int64()), ("tokens", pa.binary())])
 
 
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s for _, s in _sets(b, k)]
-            yield batch(_SETS, [_vid(s) for s in sets], [s.tobytes() for s in sets])
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["x"], b["y"]):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch(_SETS, b["doc_id"], [_vid(s) for s in sets], [s.tobytes() for s in sets])
 
     return run
 
@@ -224,18 +210,6 @@ def _traverse(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of vertices whose sets reach the threshold."""
-    pairs = table(pairs.where("a != b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct().join(reps, "vid")
-    wanted = table(wanted.select("vid", "doc_id"), "wanted")
-    texts = docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_tokens(k), "vid long, tokens binary").join(wanted.select("vid"), "vid", "left_semi").dropDuplicates(["vid"])
-    sets = table(sets, "sets")
-    both = pairs.join(sets.select(F.col("vid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("vid").alias("b"), F.col("tokens").alias("y")), "b")
-    return table(both.mapInArrow(_verify(percent), "a long, b long"), "links")
-
-
 def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (columns
     doc_id and text; others are ignored).  ``percent``: the Jaccard threshold
@@ -250,6 +224,9 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     vertices = meta.where("doc_id is not null and n > 0").groupBy("vid").agg(F.min("doc_id").alias("doc_id"))
     reps = table(vertices, "vertices")
 
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        return matching_pairs(pairs, live, reps, _tokens(k), percent, name)
+
     routed = live.select("text").mapInArrow(_prefixes(k, percent, counts), "key long, salt int, vid long, n int")
     grouped = routed.repartition("key", "salt").mapInArrow(_blocks(percent), "gid long, block long, vids array<long>")
     blocks = table(grouped.dropDuplicates(["gid", "block"]), "blocks")
@@ -260,7 +237,7 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     degree = each.groupBy("vid").agg(F.countDistinct("gid").alias("degree"))
     first = each.join(degree, "vid").groupBy("gid").agg(F.max_by("vid", F.struct("degree", "vid")).alias("a"))
     stars = each.join(first, "gid").select("a", F.col("vid").alias("b"))
-    links = _links(stars, live, reps, k, percent)
+    links = linked(stars, "stars")
     classes = table(components(links), "classes").select(F.col("node").alias("vid"), F.col("component").alias("comp"))
 
     # groups of several components
@@ -271,7 +248,7 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     rows = table(members.join(mixed, "gid").join(sigs, "vid"), "rows")
     pairs = _block_pairs(rows, percent)
     found = pairs.repartition("pair", "low").mapInArrow(_traverse(percent), "a long, b long")
-    more = _links(found, live, reps, k, percent)
+    more = linked(found, "found")
 
     ids = reps.select("vid", "doc_id")
     named = links.unionByName(more).join(ids.select(F.col("vid").alias("a"), F.col("doc_id").alias("u")), "a").join(ids.select(F.col("vid").alias("b"), F.col("doc_id").alias("v")), "b").select("u", "v")
