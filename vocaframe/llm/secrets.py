@@ -76,11 +76,11 @@ def _count(text: Column, pattern: str) -> Column:
 def features(found: DataFrame, triples: list[str]) -> DataFrame:
     """``found`` with one double column for each of ``FEATURES``."""
     c, n = F.col("candidate"), F.length("candidate").cast("double")
-    letters = F.lower(F.regexp_replace(c, "[^A-Za-z]+", " "))
+    found = found.withColumn("_letters", F.lower(F.regexp_replace(c, "[^A-Za-z]+", " ")))
+    letters = F.col("_letters")
     parts = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 2, F.lit(1))), lambda i: F.substring(letters, i, F.lit(3))), lambda t: ~t.contains(" ") & (F.length(t) == 3))
-    known = F.array(*[F.lit(t) for t in triples]) if triples else F.array().cast("array<string>")
-    lookup = F.array_distinct(parts)
-    found = found.withColumn("_triples", lookup).withColumn("_known", F.size(F.array_intersect("_triples", known)))
+    shared = F.size(F.filter("_triples", lambda t: t.isin(triples))) if triples else F.lit(0)
+    found = found.withColumn("_triples", F.array_distinct(parts)).withColumn("_known", shared)
     return found.select(
         "*",
         n.alias("length"),
@@ -97,7 +97,7 @@ def features(found: DataFrame, triples: list[str]) -> DataFrame:
         F.col("before").rlike(r"[=:]\W*$").cast("double").alias("assigned"),
         F.col("before").rlike(r"""["'`]$""").cast("double").alias("quoted"),
         _count(F.col("before"), r"\p{L}{2,}").alias("words_near"),
-    ).drop("_triples", "_known")
+    ).drop("_letters", "_triples", "_known")
 
 
 def label_by_rule(rows: DataFrame) -> DataFrame:
