@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from ..session import fresh_dir, ship_package
 
 
+#: Bytes of an Arrow batch: texts may be long, and several workers share an
+#: executor's memory.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers."""
+    """Make this package importable in the Python workers, and keep Arrow
+    batches of this session within ``BATCH_BYTES``."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 2048
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -62,8 +63,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets from 0) for runs of rows of about ``limit``
-    bytes; null counts as the empty text."""
+    """(first row, bytes, offsets from 0) for runs of at most ``CHUNK_ROWS`` rows
+    of about ``limit`` bytes; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -77,6 +78,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
     at = 0
     while at < len(column):
         end = max(int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1, at + 1)
+        end = min(end, at + CHUNK_ROWS, len(column))
         yield at, data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
         at = end
 
