@@ -42,7 +42,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, and whether they decode to the text's bytes."""
     path = rank_file()
     encoded = bpe.encode(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), path, drop_text=True)
-    decoded = bpe.decode(encoded.drop("offsets"), path)
+    # written in between, so that a task runs one Python worker at a time
+    decoded = bpe.decode(table(encoded.drop("offsets"), "tokens"), path)
     same = F.sha2("decoded", 256) == F.col("text_sha256")
     return decoded.select("doc_id", "lang", "source", "n_chars", "tokens", F.size("tokens").cast("long").alias("n_tokens"), ids_sha256(F.col("tokens")).alias("ids_sha256"), same.alias("round_trip"))
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .io import prepare
+from .io import lean, prepare
 
 CACHE = 1 << 16
 MATRIX = 64
@@ -389,7 +389,7 @@ def encode(docs: DataFrame, path: str, drop_text: bool = False) -> DataFrame:
     names = [c for c in docs.columns if c not in ("tokens", "offsets") and not (drop_text and c == "text")]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *names).alias("row"), F.col("text").cast("string").alias("text"))
     row = packed.schema["row"].dataType.simpleString()
-    out = packed.mapInArrow(_encode(content), f"row {row}, tokens array<int>, offsets array<bigint>")
+    out = packed.mapInArrow(lean(_encode(content)), f"row {row}, tokens array<int>, offsets array<bigint>")
     return out.select(*[F.col("row")[c].alias(c) for c in names], "tokens", "offsets")
 
 
@@ -400,4 +400,4 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     names = [c for c in df.columns if c != "decoded"]
     packed = df.select(F.struct(F.lit(0).alias("_"), *names).alias("row"), "tokens")
     row = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(_decode(content), f"row {row}, decoded binary").select(*[F.col("row")[c].alias(c) for c in names], "decoded")
+    return packed.mapInArrow(lean(_decode(content)), f"row {row}, decoded binary").select(*[F.col("row")[c].alias(c) for c in names], "decoded")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .io import prepare
+from .io import lean, prepare
 
 INDEX_BYTES = 64 << 20
 BLOCK = 8
@@ -200,7 +200,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
     schema = "array<struct<item_id:long,passage:long,score:double,question:double,answer:double>>"
     out = docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast(schema).alias("hits"))
     row = out.schema["row"].dataType.simpleString()
-    tokens = items.select(F.xxhash64("item_id", "text").alias("h"), "text").mapInArrow(_item_words, "h long, word long")
+    tokens = items.select(F.xxhash64("item_id", "text").alias("h"), "text").mapInArrow(lean(_item_words), "h long, word long")
     for s in range(slices):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s)
         here = tokens.where(F.pmod("h", F.lit(slices)) == s).select("word").distinct() if slices > 1 else None
@@ -210,7 +210,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
         frequency = {r.word: r.df for r in counted.collect()}
         mean = float(np.mean([len(_words(t)) for _, t in texts])) if texts else 1.0
         index = spark.sparkContext.broadcast(Index(texts, frequency, n_items, mean, slack))
-        out = out.mapInArrow(_match(index, threshold, overlap), f"row {row}, text string, hits {schema}")
+        out = out.mapInArrow(lean(_match(index, threshold, overlap)), f"row {row}, text string, hits {schema}")
     return out.select(*[F.col("row")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns if c != "hits"], "hits")
 
 

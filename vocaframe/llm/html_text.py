@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import prepare, table
+from .io import lean, prepare, table
 
 MIN_PAGES = 4
 
@@ -200,7 +200,7 @@ def extract(pages: DataFrame, least: float = 0.3) -> DataFrame:
     names = [c for c in pages.columns if c not in ("html", "main_text")]
     packed = pages.select(F.struct(F.lit(0).alias("_"), *names).alias("row"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     row = packed.schema["row"].dataType.simpleString()
-    parsed = packed.mapInArrow(_parse, f"row {row}, host string, blocks array<struct<text:string,style:string,open:boolean>>")
+    parsed = packed.mapInArrow(lean(_parse), f"row {row}, host string, blocks array<struct<text:string,style:string,open:boolean>>")
     parsed = table(parsed.withColumn("page", F.expr("uuid()")), "pages")
     unsure = parsed.where("exists(blocks, b -> b.open)")
 

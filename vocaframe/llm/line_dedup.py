@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import rarity
-from .io import BROADCAST_ROWS, batch, prepare, table, whole
+from .io import BROADCAST_ROWS, batch, lean, prepare, table, whole
 from .verify import matching_pairs
 
 SALT_ROWS = 1 << 16
@@ -195,7 +195,7 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, line`` of every line that an earlier one matches."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    described = table(docs.mapInArrow(_describe(k), "doc_id long, line int, vid long, n int, part int, counts binary"), "lines")
+    described = table(docs.mapInArrow(lean(_describe(k)), "doc_id long, line int, vid long, n int, part int, counts binary"), "lines")
     counts = rarity.counters(described.where("part is not null"))
     seen = described.where("part is null").select("doc_id", "line", "vid")
     first = table(seen.groupBy("vid").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("times")), "line_first")
@@ -206,8 +206,8 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         """Vertices with a match among the earlier ones they are paired with."""
         return matching_pairs(pairs, docs, places, _tokens(k), percent, name).select(F.col("b").alias("vid")).distinct()
 
-    routed = docs.select("text").mapInArrow(_prefixes(k, percent, counts), "key long, salt int, vid long, n int, pos int")
-    groups = table(routed.repartition("key", "salt").mapInArrow(_groups(percent), "gid long, vid long, n int, pos int"), "line_groups")
+    routed = docs.select("text").mapInArrow(lean(_prefixes(k, percent, counts)), "key long, salt int, vid long, n int, pos int")
+    groups = table(routed.repartition("key", "salt").mapInArrow(lean(_groups(percent)), "gid long, vid long, n int, pos int"), "line_groups")
     groups = table(groups.join(first.select("vid", "at"), "vid"), "line_groups_at")
 
     lead = groups.groupBy("gid").agg(F.min(F.struct("at", "vid", "n", "pos")).alias("lead")).select("gid", "lead.*")
@@ -250,5 +250,5 @@ def dedup_lines(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
     joined = packed.join(gone, "doc_id", "left").select("row", "text", "gone")
     schema = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_apply, f"row {schema}, text string, n_lines long, n_removed long")
+    out = joined.mapInArrow(lean(_apply), f"row {schema}, text string, n_lines long, n_removed long")
     return out.select(*[F.col("row")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

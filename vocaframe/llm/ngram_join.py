@@ -41,7 +41,7 @@ from . import kernel as K
 from . import rarity
 from . import signature_tree as T
 from .components import components
-from .io import batch, prepare, table, whole
+from .io import batch, lean, prepare, table, whole
 from .verify import matching_pairs
 
 BLOCK = 256
@@ -217,7 +217,7 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = table(docs.mapInArrow(_describe(k), "doc_id long, n int, vid long, sig binary, part int, counts binary"), "described")
+    described = table(docs.mapInArrow(lean(_describe(k)), "doc_id long, n int, vid long, sig binary, part int, counts binary"), "described")
     counts = rarity.counters(described.where("part is not null"))
     meta = described.where("part is null").select("doc_id", "n", "vid", "sig")
     live = docs.where("doc_id is not null")
@@ -227,8 +227,8 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         return matching_pairs(pairs, live, reps, _tokens(k), percent, name)
 
-    routed = live.select("text").mapInArrow(_prefixes(k, percent, counts), "key long, salt int, vid long, n int")
-    grouped = routed.repartition("key", "salt").mapInArrow(_blocks(percent), "gid long, block long, vids array<long>")
+    routed = live.select("text").mapInArrow(lean(_prefixes(k, percent, counts)), "key long, salt int, vid long, n int")
+    grouped = routed.repartition("key", "salt").mapInArrow(lean(_blocks(percent)), "gid long, block long, vids array<long>")
     blocks = table(grouped.dropDuplicates(["gid", "block"]), "blocks")
 
     # links to one representative of each group: the member of most groups, for
@@ -247,7 +247,7 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     sigs = meta.where("doc_id is not null and n > 0").select("vid", "n", "sig").dropDuplicates(["vid"])
     rows = table(members.join(mixed, "gid").join(sigs, "vid"), "rows")
     pairs = _block_pairs(rows, percent)
-    found = pairs.repartition("pair", "low").mapInArrow(_traverse(percent), "a long, b long")
+    found = pairs.repartition("pair", "low").mapInArrow(lean(_traverse(percent)), "a long, b long")
     more = linked(found, "found")
 
     ids = reps.select("vid", "doc_id")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .io import prepare
+from .io import lean, prepare
 
 #: Most labelled rows that the classifier is fitted on.
 MAX_TRAIN = 4096
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     for quality in (0, 1):
         some = known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2)
         picked = texts.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train // 2)
-        for r in picked.select("quality", "text").mapInArrow(_features, "quality int, forms binary").collect():
+        for r in picked.select("quality", "text").mapInArrow(lean(_features), "quality int, forms binary").collect():
             raw.append(np.frombuffer(r.forms, np.float32))
             marks.append(r.quality)
     return Model(np.array(raw, float).reshape(len(raw), HASHED + SHARES * BINS), np.array(marks, np.int64), share)
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c not in ("text", "score")]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *names).alias("row"), F.col("text").cast("string").alias("text"))
     row = packed.schema["row"].dataType.simpleString()
-    out = packed.mapInArrow(_score(shared), f"row {row}, text string, score double")
+    out = packed.mapInArrow(lean(_score(shared)), f"row {row}, text string, score double")
     return out.select(*[F.col("row")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns if c != "score"], "score")
 
 

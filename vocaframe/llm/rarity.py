@@ -17,6 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .io import lean
+
 COUNTERS = 1 << 20
 PARTS = 64
 _MASK = np.uint64(COUNTERS - 1)
@@ -53,8 +55,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counters(rows: DataFrame) -> Broadcast:
     """Broadcast sum of ``(part, counts)`` rows: ``COUNTERS`` 32-bit numbers."""
     once = rows.select("part", "counts").withColumn("salt", F.spark_partition_id() % 8)
-    some = once.repartition("part", "salt").select("part", "counts").mapInArrow(_sum, "part int, counts binary")
-    summed = some.repartition("part").mapInArrow(_sum, "part int, counts binary").collect()  # PARTS rows
+    some = once.repartition("part", "salt").select("part", "counts").mapInArrow(lean(_sum), "part int, counts binary")
+    summed = some.repartition("part").mapInArrow(lean(_sum), "part int, counts binary").collect()  # PARTS rows
     out = np.zeros((PARTS, COUNTERS // PARTS), np.uint32)
     for part, counts in summed:
         out[part] = np.frombuffer(counts, np.uint32)

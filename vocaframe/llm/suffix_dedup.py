@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .io import BROADCAST_ROWS, batch, binary_parts, prepare, small, table, whole
+from .io import BROADCAST_ROWS, batch, binary_parts, lean, prepare, small, table, whole
 
 LENGTH = 50
 GRAM = 20
@@ -414,8 +414,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     live = texts.where("doc_id is not null and octet_length(text) >= 50")
 
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = live.mapInArrow(_send(parts), "part int, ids binary, zones binary").repartition(parts, "part")
-    found = table(sent.mapInArrow(_sort_bucket, "doc_id long, zone long, kind int, sides int"), "zones")
+    sent = live.mapInArrow(lean(_send(parts)), "part int, ids binary, zones binary").repartition(parts, "part")
+    found = table(sent.mapInArrow(lean(_sort_bucket), "doc_id long, zone long, kind int, sides int"), "zones")
 
     def holding(kind: int) -> DataFrame:
         """Texts with the zones of a kind that are to be read from them."""
@@ -423,9 +423,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         lists = zones.groupBy("doc_id").agg(F.collect_list(F.struct("zone", "sides")).alias("zones"))
         return live.join(F.broadcast(lists) if zones.count() <= BROADCAST_ROWS else lists, "doc_id")
 
-    ends = holding(ENDS).mapInArrow(_bytes_of_zones(parts), "bucket long, doc_id long, zone long, before int, bytes binary")
-    ends = ends.repartition("bucket").mapInArrow(_sort_windows, "doc_id long, zone long, mask long")
-    windows = table(holding(MANY).mapInArrow(_windows(parts), "doc_id long, zone long, j int, window long"), "windows")
+    ends = holding(ENDS).mapInArrow(lean(_bytes_of_zones(parts)), "bucket long, doc_id long, zone long, before int, bytes binary")
+    ends = ends.repartition("bucket").mapInArrow(lean(_sort_windows), "doc_id long, zone long, mask long")
+    windows = table(holding(MANY).mapInArrow(lean(_windows(parts)), "doc_id long, zone long, j int, window long"), "windows")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     many = windows.join(least, "window").where("doc_id > first").groupBy("doc_id", "zone").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
     gone = found.where(F.col("kind") == WHOLE).select("doc_id", "zone", F.lit(-1).cast("long").alias("mask")).unionByName(ends).unionByName(many)
@@ -444,5 +444,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     others = packed.join(hit, "doc_id", "left_anti").select("row", "text", none.alias("gone"), F.lit(False).alias("copy"))
     row = losing.schema["row"].dataType.simpleString()
     shape = f"row {row}, spans array<struct<start:long,end:long>>, kept binary, n_bytes long"
-    out = losing.mapInArrow(_cut(parts), shape).unionByName(others.mapInArrow(_cut(parts), shape))
+    out = losing.mapInArrow(lean(_cut(parts)), shape).unionByName(others.mapInArrow(lean(_cut(parts)), shape))
     return out.select(*[F.col("row")[c].alias(c) for c in names], "spans", "kept", "n_bytes")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import batch, small, table, whole
+from .io import batch, lean, small, table, whole
 
 PARTNERS = 512
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -62,6 +62,6 @@ def matching_pairs(pairs: DataFrame, docs: DataFrame, places: DataFrame, sets_of
     needs = salted.select("a", "salt", F.col("b").alias("vid")).unionByName(salted.select("a", "salt", F.col("a").alias("vid")).distinct())
     needs = table(needs.join(places, "vid"), f"{name}_needs")
     texts = docs.join(small(needs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(sets_of, "doc_id long, vid long, tokens binary").join(small(needs), ["vid", "doc_id"])
-    met = sets.select("a", "salt", "vid", "tokens").repartition("a", "salt").mapInArrow(_compare(percent), "a long, b long")
+    sets = texts.mapInArrow(lean(sets_of), "doc_id long, vid long, tokens binary").join(small(needs), ["vid", "doc_id"])
+    met = sets.select("a", "salt", "vid", "tokens").repartition("a", "salt").mapInArrow(lean(_compare(percent)), "a long, b long")
     return table(met.distinct(), f"{name}_links")
