@@ -43,6 +43,20 @@ def test_style_tree_removes_what_the_pages_of_a_host_share(spark):
     assert got[99] == "Welcome to this site text number 99 of 99 Best viewed in any size"
 
 
+def test_style_tree_removes_what_marked_articles_share(spark):
+    page = "<body><{1}><div class=box>Read this first, dear visitor</div><h1>Title {0}</h1><p>text number {0} of {0}<div class=end>Best viewed in any size</div></{1}></body>"
+    rows = [(i, f"http://{tag}.host/{i}", page.format(i, tag)) for n, tag in enumerate(("article", "main")) for i in range(100 * n, 100 * n + 12)]
+    rows += [(999, "http://other.host/1", page.format(999, "article"))]
+    got = texts(spark, rows)
+    assert {i: t for i, t in got.items() if i != 999} == {i: f"Title {i} text number {i} of {i}" for i in got if i != 999}
+    assert got[999] == "Read this first, dear visitor Title 999 text number 999 of 999 Best viewed in any size"
+
+
+def test_copies_of_one_page_are_no_shared_branches(spark):
+    rows = [(i, "http://copies.host/1", "<article><h1>A title</h1><p>the only text</p></article>") for i in range(9)]
+    assert set(texts(spark, rows).values()) == {"A title the only text"}
+
+
 @with_data
 def test_pages_of_the_table(spark):
     source = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}

@@ -8,8 +8,8 @@ the pages that have each content there.
 Presentation decides first: branches whose tag, class, id or role names a
 page part that is no article text (menu, footer, advert, form, comments ...)
 have no importance, and where a page marks its article (``article``, ``main``,
-``articleBody``), the branches outside have none either.  The remaining
-branches, those of pages without such marks, are decided by the style tree:
+``articleBody``), the branches outside have none either.  All remaining
+branches, those inside marked articles too, are decided by the style tree:
 
 * a content that ``c`` of the ``m`` pages with this style share has the
   content importance ``1 - H``, where ``H = log c / log m`` is the normalised
@@ -20,17 +20,18 @@ branches, those of pages without such marks, are decided by the style tree:
 * a branch is removed when the mean of both is below ``least``, seen on
   ``MIN_PAGES`` pages or more.
 
-Only undecided branches take part in the merge, as fixed-size hashes; texts
-move only for pages that have some.
+Branches take part in the merge as fixed-size hashes; texts move only for
+pages that lose some.  Pages of a host that are alike in all branches count
+once: copies of one page say nothing about what a site's pages share.
 
 Cases: null or empty html has the empty text; markup that is never closed ends
 with the page; a url without a host is a host of its own name; repeated rows
-are extracted each (and each counts as a page); pages of any size are parsed
-whole.
+are extracted each; pages of any size are parsed whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import lean, prepare, table
+from .io import BROADCAST_ROWS, lean, prepare, small, table
 
 MIN_PAGES = 4
 
@@ -171,7 +172,9 @@ def parse(html: str) -> _Page:
     return page
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("style", pa.string()), ("open", pa.bool_())])
+#: ``mark``: 2 for the first block of its style in the page, 1 for the first
+#: with its style and text, 0 for a repeat of one.
+_BLOCK = pa.struct([("text", pa.string()), ("style", pa.string()), ("mark", pa.int32())])
 
 
 def _host(url: str | None) -> str:
@@ -181,17 +184,36 @@ def _host(url: str | None) -> str:
         return url or ""
 
 
+def _blocks(page: _Page) -> list[dict]:
+    out: list[dict] = []
+    styles: set[str] = set()
+    seen: set[tuple[str, str]] = set()
+    for text, style, inside in page.blocks:
+        # text outside a marked article is none of the article's
+        if inside or not page.has_article:
+            out.append(dict(text=text, style=style, mark=2 if style not in styles else int((style, text) not in seen)))
+            styles.add(style)
+            seen.add((style, text))
+    return out
+
+
+def _name(host: str, blocks: list[dict]) -> bytes:
+    """The same for pages of a host that are alike in all branches."""
+    digest = hashlib.blake2b(digest_size=16)
+    for part in (host, *(b[k] for b in blocks for k in ("style", "text"))):
+        raw = part.encode("utf-8", "surrogatepass")
+        digest.update(len(raw).to_bytes(8, "little") + raw)
+    return digest.digest()
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in range(0, b.num_rows, 256):
             part = b.slice(s, 256)
-            blocks, hosts = [], []
-            for url, raw in zip(part["url"].to_pylist(), part["html"].to_pylist()):
-                page = parse(raw or "")
-                # text outside a marked article is none of the article's
-                blocks.append([dict(text=t, style="" if page.has_article else style, open=not page.has_article) for t, style, inside in page.blocks if inside or not page.has_article])
-                hosts.append(_host(url))
-            yield pa.RecordBatch.from_arrays([part["row"], pa.array(hosts, pa.string()), pa.array(blocks, pa.list_(_BLOCK))], names=["row", "host", "blocks"])
+            blocks = [_blocks(parse(raw or "")) for raw in part["html"].to_pylist()]
+            hosts = [_host(url) for url in part["url"].to_pylist()]
+            pages = [_name(host, own) for host, own in zip(hosts, blocks)]
+            yield pa.RecordBatch.from_arrays([part["row"], pa.array(hosts, pa.string()), pa.array(pages, pa.binary()), pa.array(blocks, pa.list_(_BLOCK))], names=["row", "host", "page", "blocks"])
 
 
 def extract(pages: DataFrame, least: float = 0.3) -> DataFrame:
@@ -200,22 +222,27 @@ def extract(pages: DataFrame, least: float = 0.3) -> DataFrame:
     names = [c for c in pages.columns if c not in ("html", "main_text")]
     packed = pages.select(F.struct(F.lit(0).alias("_"), *names).alias("row"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     row = packed.schema["row"].dataType.simpleString()
-    parsed = packed.mapInArrow(lean(_parse), f"row {row}, host string, blocks array<struct<text:string,style:string,open:boolean>>")
-    parsed = table(parsed.withColumn("page", F.expr("uuid()")), "pages")
-    unsure = parsed.where("exists(blocks, b -> b.open)")
+    parsed = table(packed.mapInArrow(lean(_parse), f"row {row}, host string, page binary, blocks array<struct<text:string,style:string,mark:int>>"), "pages")
 
     # the merged tree: pages of a style, pages of a content in a style
-    each = unsure.select("page", F.xxhash64("host").alias("host"), F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(F.xxhash64(b["style"]).alias("style"), F.xxhash64(b["text"]).alias("content"))))).alias("b")).select("page", "host", "b.*")
-    contents = table(each.groupBy("host", "style", "content").agg(F.count("*").alias("c")), "contents")
-    shown = each.select("page", "host", "style").distinct().groupBy("host", "style").agg(F.count("*").alias("m"))
-    spread = contents.groupBy("host", "style").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    styles = shown.join(spread, ["host", "style"]).where(F.col("m") >= MIN_PAGES)
+    branch = lambda b: F.struct(F.xxhash64(b["style"]).alias("style"), F.xxhash64(b["text"]).alias("content"))
+    marked = F.transform(F.filter("blocks", lambda b: b["mark"] > 0), lambda b: F.struct(branch(b).alias("at"), (b["mark"] == 2).alias("lead")))
+    shown = parsed.where("size(blocks) > 0").select("page", F.xxhash64("host").alias("host"), marked.alias("branches"))
+    each = shown.dropDuplicates(["page"]).select("host", F.explode("branches").alias("b")).select("host", "b.at.*", "b.lead")
+    contents = table(each.groupBy("host", "style", "content").agg(F.count("*").alias("c"), F.count_if("lead").alias("leads")), "contents")
+    styles = contents.groupBy("host", "style").agg(F.sum("leads").alias("m"), F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("clogc")).where(F.col("m") >= MIN_PAGES)
     entropy = F.when(F.col("total") > 1, (F.log("total") - F.col("clogc") / F.col("total")) / F.log("total")).otherwise(F.lit(1.0))
     content = 1 - F.log(F.least("c", "m")) / F.log("m")
-    low = contents.join(styles, ["host", "style"]).where((content + entropy) / 2 < least).select("host", "style", "content")
-    gone = each.join(low, ["host", "style", "content"]).groupBy("page").agg(F.collect_list(F.struct("style", "content")).alias("gone"))
-
-    sure = parsed.where("not exists(blocks, b -> b.open)").select("row", "blocks")
-    kept = unsure.join(gone, "page", "left").withColumn("blocks", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains(F.col("gone"), F.struct(F.xxhash64(b["style"]).alias("style"), F.xxhash64(b["text"]).alias("content"))))))
-    out = sure.unionByName(kept.select("row", "blocks"))
+    # one part of the mean alone may reach ``least``
+    styles = styles.withColumn("entropy", entropy).where(F.col("entropy") < 2 * least).select("host", "style", "m", "entropy")
+    often = contents.where("c > 1") if least <= 0.5 else contents
+    low = table(often.join(styles, ["host", "style"]).where((content + F.col("entropy")) / 2 < least).select("host", "style", "content"), "low")
+
+    found = shown.select("page", "host", F.explode("branches").alias("b")).select("page", "host", "b.at.*")
+    gone = found.join(small(low, BROADCAST_ROWS // 2), ["host", "style", "content"]).groupBy("page").agg(F.collect_set(F.struct("style", "content")).alias("gone"))
+    gone = table(gone, "gone")
+    hit = small(gone.select("page"))
+    losing = parsed.join(hit, "page", "left_semi").join(gone, "page")
+    losing = losing.withColumn("blocks", F.filter("blocks", lambda b: ~F.array_contains(F.col("gone"), branch(b))))
+    out = parsed.join(hit, "page", "left_anti").select("row", "blocks").unionByName(losing.select("row", "blocks"))
     return out.select(*[F.col("row")[c].alias(c) for c in names], F.array_join(F.transform("blocks", lambda b: b["text"]), " ").alias("main_text"))
