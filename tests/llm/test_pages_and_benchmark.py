@@ -57,6 +57,26 @@ def test_copies_of_one_page_are_no_shared_branches(spark):
     assert set(texts(spark, rows).values()) == {"A title the only text"}
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class=has-sidebar", "div id=page-with-comments", "section class=search-results", "div class=sidebar"])
+def test_layout_wrappers_around_the_article(wrapper):
+    tag = wrapper.split()[0]
+    rest = "<div class=sidebar>side</div><div class=comments><article class=comment>nice</article></div>"
+    read = lambda html: [t for t, _ in html_text.parse(html).kept()]
+    for mark in ("main", "article", "div itemprop=articleBody"):
+        article = f"<{mark}><p>the text</p></{mark.split()[0]}>"
+        assert read(f"<body><{wrapper}>{article}{rest}</{tag}></body>") == ["the text"]
+        assert read(f"<body><main><{wrapper}>{article}{rest}</{tag}></main></body>")[0] == "the text"
+    if wrapper != "div class=sidebar":
+        assert read(f"<body><{wrapper}><p>a text without any mark</p>{rest}</{tag}></body>") == ["a text without any mark"]
+
+
+def test_parts_stay_out_beside_the_article():
+    read = lambda html: [t for t, _ in html_text.parse(html).kept()]
+    assert read("<body><article>text<div class=comments><article>nice</article></div></article><div class=related><article>more</article></div></body>") == ["text"]
+    assert read("<body><p>text of a page<div class=comments-box><p>nice</div></body>") == ["text of a page"]
+    assert read("<body><main></main><p>text outside</body>") == []
+
+
 @with_data
 def test_pages_of_the_table(spark):
     source = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}

@@ -8,8 +8,11 @@ the pages that have each content there.
 Presentation decides first: branches whose tag, class, id or role names a
 page part that is no article text (menu, footer, advert, form, comments ...)
 have no importance, and where a page marks its article (``article``, ``main``,
-``articleBody``), the branches outside have none either.  All remaining
-branches, those inside marked articles too, are decided by the style tree:
+``articleBody``), the branches outside have none either.  A name is weak
+evidence on a layout wrapper: an element that holds the page's article mark is
+no page part, whatever its names (see ``_Page.kept``).  All remaining
+branches, those inside marked articles and wrappers too, are decided by the
+style tree:
 
 * a content that ``c`` of the ``m`` pages with this style share has the
   content importance ``1 - H``, where ``H = log c / log m`` is the normalised
@@ -62,6 +65,8 @@ PARTS = {
     "social", "sponsor", "sponsored", "subscribe", "tags", "teaser", "toolbar", "tracking", "widget", "widgets",
 }
 _HEADERS = {"header", "topbar"}
+#: Words beside those that tell a layout wrapper from the part.
+LAYOUT = {"body", "box", "col", "cols", "column", "columns", "container", "content", "grid", "has", "layout", "main", "no", "outer", "page", "results", "row", "site", "with", "without", "wrap", "wrapper"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[A-Za-z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -80,20 +85,54 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())) if text.strip() else set()
 
 
+class _Part:
+    """An open element whose names are those of a page part."""
+
+    def __init__(self, layout: bool) -> None:
+        self.layout = layout
+        self.main = self.article = False  # marks inside
+        self.size = 0
+
+
 class _Page:
-    """Text blocks of one page: (text, style, in an article)."""
+    """Text blocks of one page: (text, style, in an article, parts around it)."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, str, bool]] = []
-        # open elements: tag, style, dropped, inside an article
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.blocks: list[tuple[str, str, bool, tuple[_Part, ...]]] = []
+        # open elements: tag, style, dropped, inside (1 main, 2 article), parts
+        self.stack: list[tuple[str, str, bool, int, tuple[_Part, ...]]] = [("", "", False, 0, ())]
+        self.marks: list[tuple[_Part, ...]] = []
         self.parts: list[str] = []
-        self.has_article = False
 
     def text(self, raw: str) -> None:
         if not self.stack[-1][2]:
             self.parts.append(entities.unescape(raw))
 
+    def kept(self) -> list[tuple[str, str]]:
+        """(text, style) of the blocks that presentation leaves.
+
+        A part that holds ``main`` or ``articleBody``, or an article under a
+        layout word, is a wrapper.  Where no text is in an article then, so is
+        a part with any article, and in a page without marks one with a layout
+        word and most of the text.  Comments and teasers marked as articles
+        beside the page's own stay parts."""
+
+        def left(wrapper) -> list[tuple[str, str, bool, tuple[_Part, ...]]]:
+            return [b for b in self.blocks if all(wrapper(p) for p in b[3])]
+
+        rules = [lambda p: p.main or p.article and p.layout, lambda p: p.main or p.article]
+        for wrapper in rules:
+            inside = [(text, style) for text, style, inside, _ in left(wrapper) if inside]
+            if inside:
+                return inside
+        if any(all(map(rules[-1], parts)) for parts in self.marks):
+            return []
+        total = sum(len(b[0]) for b in self.blocks)
+        for text, _, _, parts in self.blocks:
+            for p in parts:
+                p.size += len(text)
+        return [b[:2] for b in left(lambda p: p.layout and 2 * p.size > total)]
+
     def end_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -102,7 +141,7 @@ class _Page:
                 at = len(self.stack) - 1
                 while self.stack[at][0] in INLINE:
                     at -= 1
-                self.blocks.append((text, self.stack[at][1], self.stack[at][3]))
+                self.blocks.append((text, self.stack[at][1], self.stack[at][3] > 0, self.stack[at][4]))
 
     def close(self, depth: int) -> None:
         """Close all open elements from ``depth`` on."""
@@ -119,17 +158,27 @@ class _Page:
             self.end_block()
         if tag in VOID or closed and tag not in RAW:
             return
-        _, style, dropped, inside = self.stack[-1]
+        _, style, dropped, inside, parts = self.stack[-1]
         attributes = _attributes(raw) if raw.strip() else {}
         names = _names(attributes) if attributes else set()
-        article = tag in ARTICLE or attributes.get("itemprop", "").lower() == "articlebody" or attributes.get("role", "").lower() in ("main", "article")
-        part = tag in NO_TEXT or (tag == "header" and not inside) or bool(names & PARTS) or bool(names & _HEADERS and not inside)
+        role = attributes.get("role", "").lower()
+        body = tag == "main" or role == "main" or attributes.get("itemprop", "").lower() == "articlebody"
+        article = body or tag in ARTICLE or role == "article"
+        named = bool(names & PARTS) or bool(names & _HEADERS and not inside) or (tag == "header" and not inside)
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        dropped = dropped or hidden or (part and not article and tag not in ("html", "body"))
-        inside = inside or (article and not dropped)
-        self.has_article |= inside
+        dropped = dropped or hidden or (tag in NO_TEXT and not article)
+        if article and not dropped:
+            # an article in another one, or named a page part, is not the page's
+            if body or not named and inside < 2:
+                for p in parts:
+                    p.main |= body
+                    p.article = True
+            inside = max(inside, 1 if body else 2)
+            self.marks.append(parts)
+        elif named and tag not in ("html", "body"):
+            parts += (_Part(bool(names & LAYOUT)),)
         kind = ".".join(sorted(attributes.get("class", "").split()))
-        self.stack.append((tag, f"{style}/{tag}.{kind}" if tag not in INLINE else style, dropped, inside))
+        self.stack.append((tag, f"{style}/{tag}.{kind}" if tag not in INLINE else style, dropped, inside, parts))
 
     def _close_open(self, tags: set[str], until: set[str]) -> None:
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -188,12 +237,10 @@ def _blocks(page: _Page) -> list[dict]:
     out: list[dict] = []
     styles: set[str] = set()
     seen: set[tuple[str, str]] = set()
-    for text, style, inside in page.blocks:
-        # text outside a marked article is none of the article's
-        if inside or not page.has_article:
-            out.append(dict(text=text, style=style, mark=2 if style not in styles else int((style, text) not in seen)))
-            styles.add(style)
-            seen.add((style, text))
+    for text, style in page.kept():
+        out.append(dict(text=text, style=style, mark=2 if style not in styles else int((style, text) not in seen)))
+        styles.add(style)
+        seen.add((style, text))
     return out
 
 
