@@ -4,6 +4,8 @@ import hashlib
 import os
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,32 @@ def test_remove_repeats_of_samples_in_very_many_zones(spark, monkeypatch):
     rows = brute.corpus(6, 40)
     got = {r.doc_id: (r.n_bytes, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
     assert got == {i: (n, runs, kept) for i, (n, _, runs, kept) in brute.without_repeats(rows).items()}
+
+
+def _sent(rows, parts=4):
+    """Rows of ``_send`` for each small batch of ``rows``."""
+    return [b for i, t in rows for b in suffix_dedup._send(parts)(iter([pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.string())], names=["doc_id", "text"])]))]
+
+
+def test_a_zone_of_many_documents_is_sent_once_a_task():
+    passage = "a passage that all of these documents share, and that is longer than one window of fifty bytes by far"
+    ids = list(range(40, 0, -1))
+    sent = pa.Table.from_batches(_sent([(ids, [f"{i * 7919} {passage} {i * 104729}" for i in ids])]))
+    seen, settled = [], 0
+    for part, own, zones in zip(sent["part"].to_pylist(), sent["ids"].to_pylist(), sent["zones"].to_pylist()):
+        if zones:
+            key, rank, *_ = suffix_dedup._unpack(np.frombuffer(zones, np.uint8))
+            seen += [(part, k, r) for k, r in zip(key.tolist(), rank.tolist())]
+        else:
+            held = np.frombuffer(own, np.int64)
+            settled += len(held) // 2
+            assert 1 not in held[:len(held) // 2]
+    assert len(seen) == len(set(seen)) and settled >= 39
+
+
+def test_a_bucket_reads_all_chunks_of_its_partition(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "whole", lambda batches: pa.Table.from_batches(list(batches)))
+    text = "this string of more than fifty bytes is in each one of four documents of different tasks"
+    sent = _sent([([i], [text]) for i in range(4)], parts=1)
+    found = pa.Table.from_batches(list(suffix_dedup._sort_bucket(iter(sent))))
+    assert set(found["doc_id"].to_pylist()) == {1, 2, 3}

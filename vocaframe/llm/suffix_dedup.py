@@ -12,10 +12,13 @@ chosen by content (the position whose ``GRAM`` bytes hash lowest among the
 string's), because a fixed difference cover of that period needs three times
 as many positions.  The windows that share a sample position are its *zone*.
 
-1. Every (sample, zone) of a document goes to the bucket of its sample, as 16
-   packed bytes.  A bucket is sorted at a time; equal samples are neighbours,
-   and the rank of the zone (a hash of its bytes) settles long ties at once: a
-   zone that also is in a smaller document goes whole.
+1. Every (sample, zone) goes to the bucket of its sample, as 16 packed bytes
+   that name the smallest document of ``SEND_BYTES`` of text that has it.  The
+   zone goes whole from the larger documents of that text, which is settled
+   there and not sent to the bucket, so that a passage of very many documents
+   is a few entries of its bucket.  A bucket is sorted at a time; equal samples
+   are neighbours, and the rank of the zone (a hash of its bytes) settles long
+   ties at once: a zone that also is in a smaller document goes whole.
 2. Samples with several different zones are the ends of matches.  A window
    that reaches ``SIDE`` bytes or more beyond the sample to one side can only
    match a zone that has the same ``SIDE`` bytes there; a zone that shares
@@ -162,21 +165,29 @@ def _unpack(raw: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+#: ``zones`` are packed; a row without has in ``ids`` documents and, after
+#: them, as many ids of zones that go whole from them.
 _SENT = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("zones", pa.binary())])
+#: Settled zones of a row.
+SETTLED = 1 << 14
 
 
 def _send(parts: int):
     """Samples of a task, one row for each bucket and ``SEND_BYTES`` of text:
-    the documents, and the packed zones that name them by their place."""
+    the documents, and the packed zones that name them by their place.  Zones
+    settled within that text follow, dealt over all buckets."""
 
     def pack(ids: list[int], held: list[list[np.ndarray]]) -> pa.RecordBatch:
         part, key, rank, own, left, right = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((own, rank, key, part))
-        part, key, rank, own, left, right = (x[order] for x in (part, key, rank, own, left, right))
+        all_ids = np.array(ids, np.int64)
+        doc = all_ids[own]
+        order = np.lexsort((doc, rank, key, part))
+        part, key, rank, own, left, right, doc = (x[order] for x in (part, key, rank, own, left, right, doc))
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (rank[1:] != rank[:-1]) | (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (rank[1:] != rank[:-1]) | (part[1:] != part[:-1])
+        goes = np.flatnonzero(doc > doc[new][np.cumsum(new) - 1])
+        settled = doc[goes], K.signed(rank[goes] << np.uint64(24) | key[goes] & _LOW24)
         part, key, rank, own, left, right = (x[new] for x in (part, key, rank, own, left, right))
-        all_ids = np.array(ids, np.int64)
         rows, docs, zones = [], [], []
         edges = np.flatnonzero(np.diff(part, prepend=-1))
         for s, e in zip(edges, np.append(edges[1:], len(part))):
@@ -184,6 +195,11 @@ def _send(parts: int):
             rows.append(int(part[s]))
             docs.append(all_ids[here].tobytes())
             zones.append(_pack([key[s:e], rank[s:e], place, left[s:e], right[s:e]]))
+        for s in range(0, len(goes), SETTLED):
+            own_docs, own_zones = (x[s:s + SETTLED] for x in settled)
+            rows.append(int(own_zones[0] % parts))
+            docs.append(own_docs.tobytes() + own_zones.tobytes())
+            zones.append(b"")
         return batch(_SENT, rows, docs, zones)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +241,20 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("kind", pa.in
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = whole(batches)
-    if t is None:
-        return
     columns, docs, parts = [], [], []
-    for part, ids, zones in zip(t["part"].to_pylist(), t["ids"].chunk(0), t["zones"].chunk(0)):
-        columns.append(_unpack(np.frombuffer(zones.as_buffer(), np.uint8)))
-        docs.append(np.frombuffer(ids.as_buffer(), np.int64)[columns[-1][2].astype(np.int64)])
-        parts.append(np.full(len(docs[-1]), part))
+    for b in batches:
+        for part, ids, zones in zip(b["part"].to_pylist(), b["ids"], b["zones"]):
+            held = np.frombuffer(ids.as_buffer(), np.int64)
+            packed = np.frombuffer(zones.as_buffer(), np.uint8)
+            if not len(packed):
+                n = len(held) // 2
+                yield batch(_FOUND, held[:n], held[n:], np.full(n, WHOLE, np.int32), np.zeros(n, np.int32))
+                continue
+            columns.append(_unpack(packed))
+            docs.append(held[columns[-1][2].astype(np.int64)])
+            parts.append(np.full(len(docs[-1]), part))
+    if not columns:
+        return
     key, rank, _, left, right = (np.concatenate(x) for x in zip(*columns))
     doc, part = np.concatenate(docs), np.concatenate(parts)
     # most samples are in one document only
