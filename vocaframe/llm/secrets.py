@@ -2,7 +2,12 @@
 
 DataFrame functions and Spark ML (JVM) only.  Candidates are runs of 16 or
 more characters that keys are written in, inside the words of a text, with
-the words around them.  A forest scores each candidate from
+the words around them; a leading ``name=`` is cut off and counts as what
+stands before.  Where a credential's name and an assignment stand in front,
+the value is a candidate from ``SHORT`` characters on, of any characters: in
+quotes whole (without spaces), else up to a white space, quote, ``,``, ``;`` or ``&``; in the
+word after the assignment, unquoted, only with a character that is no letter.
+A forest scores each candidate from
 
 * its length and shares of digits, capitals, distinct characters;
 * its character transitions (between letters and digits, between cases);
@@ -37,6 +42,7 @@ from .io import table
 MAX_TRAIN = 4096
 DICTIONARY = 1000
 LEAST = 16
+SHORT = 8
 _RUN = r"[A-Za-z0-9+/_=.\-]{16,}"
 #: Beginnings of well-known key formats.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]+)"
@@ -45,17 +51,39 @@ NAMES = r"(?i)(token|secret|passw|api.?key|access.?key|auth|credential)"
 FEATURES = ["length", "digits", "upper", "distinct", "kind_changes", "case_changes", "hex", "coverage", "path", "dots", "name_near", "assigned", "quoted", "words_near"]
 
 
+#: A name in front of a value; padding at the end of a value is none.
+_NAMED = r"^[A-Za-z_][A-Za-z0-9_.\-]*=(?=[^=])"
+_ASSIGN = NAMES + r"""[\w.\-]*["'`\])]*\s*[=:]+>?\s*"""
+#: Quoted or bare, in the word of the name itself.
+_IN_WORD = _ASSIGN + r"""(?:"([^"]{8,})"|'([^']{8,})'|`([^`]{8,})`|["'`]?([^\s"'`,;&]{8,}))"""
+_QUOTED = r"""^(?:"([^"]{8,})"|'([^']{8,})'|`([^`]{8,})`)"""
+_BARE = r"""^(?=[A-Za-z]*[^A-Za-z\s"'`,;&.])([^\s"'`,;&]{8,})"""
+
+
+def _first(text: Column, pattern: str, *groups: int) -> Column:
+    """The first group that is not empty, or an empty text."""
+    return F.concat(*[F.regexp_extract(text, pattern, g) for g in groups])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, place, candidate, before, around``: place is the number of the
     word (from 0), before the two words and the part of the word in front."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.where(text.rlike(_RUN)).select("doc_id", F.split(text, r"\s+").alias("words"))
+    words = docs.where(text.rlike(_RUN) | text.rlike(_ASSIGN)).select("doc_id", F.split(text, r"\s+").alias("words"), text.rlike(_ASSIGN).alias("names"))
+    before = lambda w, i: F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
     near = lambda w: F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.length(F.get(w, i)) >= LEAST),
-        lambda i: F.struct(i.alias("place"), F.get(w, i).alias("word"), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)).alias("before"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after")),
+        F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= LEAST) | (F.col("names") & (F.length(F.get(w, i)) >= SHORT) & F.concat_ws(" ", before(w, i), F.get(w, i)).rlike(_ASSIGN))),
+        lambda i: F.struct(i.alias("place"), F.get(w, i).alias("word"), before(w, i).alias("before"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after")),
     )
     found = words.select("doc_id", F.inline(F.get(F.transform(F.array("words"), near), F.lit(0))))
-    each = found.select("*", F.explode(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0))).alias("candidate"))
+    # a value assigned to a credential's name, in this word or by the words before
+    follows = F.when(F.col("before").rlike(_ASSIGN + "$"), F.concat(_first(F.col("word"), _QUOTED, 1, 2, 3), F.when(~F.col("word").rlike(_QUOTED), F.regexp_extract("word", _BARE, 1)).otherwise(F.lit("")))).otherwise(F.lit(""))
+    own = _first(F.col("word"), _IN_WORD, 2, 3, 4, 5)
+    found = found.withColumn("value", F.when(own != "", own).otherwise(follows))
+    runs = F.transform(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0)), lambda r: F.regexp_replace(r, _NAMED, ""))
+    # a run inside the value is the value's
+    runs = F.filter(runs, lambda r: (F.length(r) >= LEAST) & ((F.col("value") == "") | ~F.col("value").contains(r)))
+    each = found.select("*", F.explode(F.concat(F.filter(F.array("value"), lambda v: v != ""), runs)).alias("candidate"))
     front = F.expr("substring_index(word, candidate, 1)")
     return each.select("doc_id", F.col("place").cast("long").alias("place"), "candidate", F.concat_ws(" ", "before", front).alias("before"), F.concat_ws(" ", "before", "word", "after").alias("around"))
 
