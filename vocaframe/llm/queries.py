@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, html_text, licenses, line_dedup, ngram_join, quality, secrets, suffix_dedup
+from . import bpe, collocations, decontamination, fingerprints, html_text, licenses, line_dedup, ngram_join, quality, secrets, suffix_dedup
 from .io import read_documents, read_table
 
 
@@ -94,6 +94,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("score >= 0.5").select("doc_id", "place", "candidate", F.round("score", 9).alias("score"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.top_phrases(read_documents(spark, sf_dir), limit=2000, min_count=100, max_words=5, percent=100)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -105,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_secrets": op10_secrets,
+    "op13_collocations": op13_collocations,
 }

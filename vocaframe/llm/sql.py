@@ -101,9 +101,40 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP13 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 6) t(m)
+), f AS (
+  SELECT lang, m, phrase, count(*) AS c FROM g GROUP BY lang, m, phrase
+), t AS (
+  SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, c AS a FROM f WHERE m >= 2 AND c >= 100
+), k AS (
+  SELECT lang, phrase, m, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+), s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.c AS l, r.c AS r, t.n, ((1000::HUGEINT * k.a * t.n) // (l.c::HUGEINT * r.c))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.x AND l.m = k.k JOIN f r ON r.lang = k.lang AND r.phrase = k.y AND r.m = k.m - k.k JOIN t ON t.lang = k.lang
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, max(a) AS longest FROM (
+    SELECT lang, ws, a, m, size, unnest(range(1, m - size + 2)) AS i FROM c, range(2, 5) z(size) WHERE size < m) GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, b.n, b.score
+FROM b LEFT JOIN inner_parts i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.longest IS NULL OR 100 * i.longest < 100 * b.a
+QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": OP1,
     "op2_suffix_dedup": OP2,
     "op4_licenses": OP4,
     "op9_line_dedup": OP9,
+    "op13_collocations": OP13,
 }
