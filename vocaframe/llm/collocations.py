@@ -12,7 +12,7 @@ the same way: a pair of m-grams is an (m+1)-gram, up to ``max_words``.
 Texts are read once, into slices of a few megabytes that keep their word
 sequence under slice-local numbers.  Global ids return to a slice as a list of
 the slice's own frequent items, so that no dictionary of the corpus is ever
-broadcast; only the ids of the dense tiles are (``HEAD`` * ``HEAD`` numbers at
+broadcast; only the ids of the dense tiles are (``head`` * ``head`` numbers at
 every corpus size).
 
 Cases: a null language counts as ``und``, a null or empty text has no words;
@@ -36,9 +36,8 @@ from ..operators.places import with_place
 from . import kernel as K
 from .io import lean, prepare, table
 
-#: Ids 1 to HEAD are frequent: their tiles (of TILE * TILE cells) are dense.
-HEAD, TILE = 1024, 256
-CELLS = HEAD * HEAD
+#: Ids 1 to HEAD are frequent: their tiles (TILES * TILES of them) are dense.
+HEAD, TILES = 1024, 4
 SLICE_BYTES = 4 << 20
 SALTS = 16
 
@@ -46,7 +45,7 @@ _BREAK = K._lut(b".,;:!?\n\x0b\x0c\r")
 _APART = _BREAK | K._lut(b" \t")
 
 # A sequence holds 0 where no item begins, 1 + cell for an item of a dense
-# tile, and CELLS + 1 + number for other items of the slice.
+# tile (head * head cells), and after those numbers the other items of the slice.
 _WORDS = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 _LEVEL = pa.schema([("slice", pa.int64()), ("seq", pa.binary()), ("local", pa.int32()), ("i", pa.int64()), ("j", pa.int64()), ("n", pa.int64()), ("tile", pa.int32()), ("counts", pa.binary())])
 _LEVEL_SQL = "slice long, seq binary, local int, i long, j long, n long, tile int, counts binary"
@@ -62,7 +61,7 @@ def _distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def _slice(langs: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def _slice(langs: pa.Array, data: np.ndarray, offsets: np.ndarray, cells: int) -> tuple[np.ndarray, pa.Array]:
     """The sequence of a slice and its distinct (language, word) with counts."""
     data = K.FOLD[data]
     starts, ends, first = K.word_spans(data, offsets, _APART)
@@ -76,81 +75,85 @@ def _slice(langs: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     lang = coded.indices.to_numpy().astype(np.int64)[doc]
     keys, local, counts = np.unique(lang * len(distinct) + number, return_inverse=True, return_counts=True)
     seq = np.zeros(len(starts) + int(apart.sum()), np.uint32)
-    seq[np.arange(len(starts)) + np.cumsum(apart)] = CELLS + 1 + local
+    seq[np.arange(len(starts)) + np.cumsum(apart)] = cells + 1 + local
     words = distinct.take(pa.array(keys % len(distinct))).cast(pa.large_string()).cast(pa.string())
     return seq, pa.StructArray.from_arrays([coded.dictionary.take(pa.array(keys // len(distinct))), words, pa.array(counts, pa.int64())], fields=list(_WORDS))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slice_id = TaskContext.get().partitionId() << 32
-    for b in batches:
-        for at, data, offsets in K.chunks(b["text"], SLICE_BYTES):
-            seq, words = _slice(b["lang"].slice(at, len(offsets) - 1), data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            yield pa.RecordBatch.from_arrays([pa.array([slice_id], pa.int64()), pa.array([seq.tobytes()], pa.binary()), lists], names=["slice", "seq", "words"])
-            slice_id += 1
+def _read(cells: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_id = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for at, data, offsets in K.chunks(b["text"], SLICE_BYTES):
+                seq, words = _slice(b["lang"].slice(at, len(offsets) - 1), data, offsets, cells)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+                yield pa.RecordBatch.from_arrays([pa.array([slice_id], pa.int64()), pa.array([seq.tobytes()], pa.binary()), lists], names=["slice", "seq", "words"])
+                slice_id += 1
+
+    return run
 
 
-def _ids(seq: np.ndarray, dense: np.ndarray | None, local: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _ids(seq: np.ndarray, cells: int, dense: np.ndarray | None, local: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Global id at each place of a sequence; 0 where the item is not frequent."""
     out = np.zeros(len(seq), np.int64)
     if dense is not None:
-        near = (seq > 0) & (seq <= CELLS)
+        near = (seq > 0) & (seq <= cells)
         out[near] = dense[seq[near] - 1]
-    far = seq > CELLS
+    far = seq > cells
     if far.any():
-        numbers = seq[far].astype(np.int64) - CELLS - 1
+        numbers = seq[far].astype(np.int64) - cells - 1
         known = np.zeros(int(numbers.max()) + 1, np.int64)
         known[local] = ids  # every number of the slice stands in its sequence
         out[far] = known[numbers]
     return out
 
 
-def _pairs(ids: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, tuple]:
+def _pairs(ids: np.ndarray, head: int, dense: np.ndarray) -> tuple[np.ndarray, tuple]:
     """The sequence of pairs and the sparse ones as sorted (i, j, count);
     those of the head are added to the tiles ``dense``."""
+    cells, side = head * head, head // TILES
     a, b = ids[:-1], ids[1:]
     out = np.zeros(len(a), np.uint32)
     both = (a > 0) & (b > 0)
-    head = both & (a <= HEAD) & (b <= HEAD)
-    if head.any():
-        x, y = a[head] - 1, b[head] - 1
-        out[head] = x * HEAD + y + 1
-        tile, cell = x // TILE * (HEAD // TILE) + y // TILE, x % TILE * TILE + y % TILE
-        dense += np.bincount(tile * (TILE * TILE) + cell, minlength=CELLS)
-    far = both & ~head
+    near = both & (a <= head) & (b <= head)
+    if near.any():
+        x, y = a[near] - 1, b[near] - 1
+        out[near] = x * head + y + 1
+        tile, cell = x // side * TILES + y // side, x % side * side + y % side
+        dense += np.bincount(tile * (side * side) + cell, minlength=cells)
+    far = both & ~near
     if not far.any():
         return out, (np.zeros(0, np.int64),) * 3
     known, number = np.unique(np.concatenate((a[far], b[far])), return_inverse=True)
     size, half = len(known), int(far.sum())
     keys, local, counts = np.unique(number[:half] * size + number[half:], return_inverse=True, return_counts=True)
-    out[far] = CELLS + 1 + local
+    out[far] = cells + 1 + local
     return out, (known[keys // size], known[keys % size], counts)
 
 
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _LEVEL], schema=_LEVEL)
+def _rows(size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _LEVEL], schema=_LEVEL)
 
 
-def _level(cells: Broadcast | None):
+def _level(head: int, dense_ids: Broadcast | None):
     """From a level's sequences to the next one's, with the pairs' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense_ids = cells.value if cells is not None else None
-        dense = np.zeros(CELLS, np.int64)
+        above = dense_ids.value if dense_ids is not None else None
+        dense = np.zeros(head * head, np.int64)
         for b in batches:
             for at in range(b.num_rows):
                 seq = np.frombuffer(b["seq"][at].as_buffer(), np.uint32)
                 known = b["known"][at].values
                 local, ids = (known.field(k).to_numpy(zero_copy_only=False) if known is not None else np.zeros(0, np.int64) for k in (0, 1))
-                pairs, (i, j, n) = _pairs(_ids(seq, dense_ids, local, ids), dense)
+                pairs, (i, j, n) = _pairs(_ids(seq, head * head, above, local, ids), head, dense)
                 if not pairs.any():
                     continue
                 number = b["slice"][at].as_py()
                 yield _rows(1, slice=[number], seq=[pairs.tobytes()])
                 if len(i):
                     yield _rows(len(i), slice=np.full(len(i), number), local=np.arange(len(i), dtype=np.int32), i=i, j=j, n=n)
-        for tile, counts in enumerate(dense.reshape(-1, TILE * TILE)):
+        for tile, counts in enumerate(dense.reshape(TILES * TILES, -1)):
             if counts.any():
                 yield _rows(1, tile=[tile], counts=[counts.tobytes()])
 
@@ -167,20 +170,25 @@ def _add_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["tile", "counts"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(head: int):
     """The counted cells of summed tiles."""
-    for b in _add_tiles(batches):
-        tile, counts = b["tile"][0].as_py(), np.frombuffer(b["counts"][0].as_buffer(), np.int64)
-        cell = np.flatnonzero(counts)
-        i = tile // (HEAD // TILE) * TILE + cell // TILE + 1
-        j = tile % (HEAD // TILE) * TILE + cell % TILE + 1
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(counts[cell], pa.int64())], names=["i", "j", "n"])
+    side = head // TILES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _add_tiles(batches):
+            tile, counts = b["tile"][0].as_py(), np.frombuffer(b["counts"][0].as_buffer(), np.int64)
+            cell = np.flatnonzero(counts)
+            i = tile // TILES * side + cell // side + 1
+            j = tile % TILES * side + cell % side + 1
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(counts[cell], pa.int64())], names=["i", "j", "n"])
+
+    return run
 
 
-def _dense_counts(level: DataFrame) -> DataFrame:
+def _dense_counts(level: DataFrame, head: int) -> DataFrame:
     tiles = level.where("tile IS NOT NULL").select("tile", "counts", (F.spark_partition_id() % SALTS).alias("salt"))
     some = tiles.repartition("tile", "salt").select("tile", "counts").mapInArrow(lean(_add_tiles), "tile int, counts binary")
-    return some.repartition("tile").mapInArrow(lean(_cells), "i long, j long, n long")
+    return some.repartition("tile").mapInArrow(lean(_cells(head)), "i long, j long, n long")
 
 
 def _frequent(counts: DataFrame, min_count: int, *keys: str) -> DataFrame:
@@ -196,34 +204,38 @@ def _known(rows: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
     return met.groupBy("slice").agg(F.collect_list(F.struct("local", "id")).alias("known"))
 
 
-def _dense_ids(frequent: DataFrame) -> Broadcast:
-    """Id of each cell of the dense tiles, 0 if it is not frequent: ``CELLS``
-    numbers (8 MB) at every corpus size."""
-    got = frequent.where((F.col("i") <= HEAD) & (F.col("j") <= HEAD)).select(((F.col("i") - 1) * HEAD + F.col("j") - 1).alias("cell"), "id").toArrow()
-    out = np.zeros(CELLS, np.int64)
+def _dense_ids(frequent: DataFrame, head: int) -> Broadcast:
+    """Id of each cell of the dense tiles, 0 if it is not frequent: 8 MB at
+    every corpus size."""
+    got = frequent.where((F.col("i") <= head) & (F.col("j") <= head)).select(((F.col("i") - 1) * head + F.col("j") - 1).alias("cell"), "id").toArrow()
+    out = np.zeros(head * head, np.int64)
     out[got["cell"].to_numpy()] = got["id"].to_numpy()
     return frequent.sparkSession.sparkContext.broadcast(out)
 
 
-def count_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5) -> tuple[DataFrame, list[DataFrame]]:
+def count_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, head: int = HEAD) -> tuple[DataFrame, list[DataFrame]]:
     """(``lang, n``: all words of each language; a table for each length m
     from 1 to ``max_words``).  The tables hold every phrase of m words with
     ``min_count`` occurrences: ``id, lang, n``, for one word ``word``, else
-    ``i, j``: the ids of its first and its last m - 1 words."""
+    ``i, j``: the ids of its first and its last m - 1 words.  ``head``: ids
+    whose pairs lie in dense tiles (a multiple of ``TILES``; it changes no
+    result)."""
+    if head < TILES or head % TILES:
+        raise ValueError(f"head must be a multiple of {TILES}")
     prepare(docs.sparkSession)
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    slices = table(read.mapInArrow(lean(_read), "slice long, seq binary, words array<struct<lang:string,word:string,n:long>>"), "slices")
+    slices = table(read.mapInArrow(lean(_read(head * head)), "slice long, seq binary, words array<struct<lang:string,word:string,n:long>>"), "slices")
     entries = slices.select("slice", F.posexplode("words").alias("local", "w")).select("slice", "local", "w.*")
     words = table(entries.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     levels = [_frequent(words, min_count, "lang", "word")]
     state, known, cells = slices.select("slice", "seq"), _known(entries, levels[0], ["lang", "word"]), None
     for _ in range(max_words - 1):
         met = state.join(known, "slice", "left")
-        level = table(met.mapInArrow(lean(_level(cells)), _LEVEL_SQL), "level")
+        level = table(met.mapInArrow(lean(_level(head, cells)), _LEVEL_SQL), "level")
         sparse = level.where("local IS NOT NULL")
-        counts = sparse.groupBy("i", "j").agg(F.sum("n").alias("n")).unionByName(_dense_counts(level))
+        counts = sparse.groupBy("i", "j").agg(F.sum("n").alias("n")).unionByName(_dense_counts(level, head))
         levels.append(_frequent(counts, min_count, "i", "j"))
-        state, known, cells = level.where("seq IS NOT NULL").select("slice", "seq"), _known(sparse, levels[-1], ["i", "j"]), _dense_ids(levels[-1])
+        state, known, cells = level.where("seq IS NOT NULL").select("slice", "seq"), _known(sparse, levels[-1], ["i", "j"]), _dense_ids(levels[-1], head)
     return words.groupBy("lang").agg(F.sum("n").alias("total")), levels
 
 
@@ -234,7 +246,7 @@ def _score(a: str, n: str, left: Column, right: Column) -> Column:
     return F.call_function("div", top, below)
 
 
-def phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, percent: int = 100) -> DataFrame:
+def phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, percent: int = 100, head: int = HEAD) -> DataFrame:
     """All collocations: ``lang, phrase, words, a, l, r, n, score``.
 
     ``a``: occurrences of the phrase; ``l`` and ``r``: those of the two parts
@@ -242,7 +254,7 @@ def phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, percent:
     cut); ``n``: words of the language.  A phrase inside a longer one that
     occurs at least ``percent`` hundredths as often is left out; it is enough
     to look at phrases one word longer, as those between occur no less."""
-    totals, levels = count_phrases(docs, min_count, max_words)
+    totals, levels = count_phrases(docs, min_count, max_words, head)
     one = F.array("n")
     whole = levels[0].select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", one.alias("pre"), one.alias("suf"))
     out = None
