@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontamination, fingerprints, html_text, licenses, line_dedup, ngram_join, quality, secrets, suffix_dedup
+from . import alignment, bpe, collocations, decontamination, fingerprints, html_text, licenses, line_dedup, ngram_join, quality, secrets, suffix_dedup
 from .io import read_documents, read_table
 
 
@@ -94,6 +94,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("score >= 0.5").select("doc_id", "place", "candidate", F.round("score", 9).alias("score"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(read_documents(spark, sf_dir).select("doc_id", "text"), *paths).documents
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.top_phrases(read_documents(spark, sf_dir), limit=2000, min_count=100, max_words=5, percent=100)
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -110,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_secrets": op10_secrets,
+    "op11_alignment": op11_alignment,
     "op13_collocations": op13_collocations,
 }
