@@ -8,8 +8,9 @@ Most groups are one A token and one B token of the same bytes.  For them an
 array is made once that gives each A id the B id of the same bytes: these
 identity pairs are counted in one vector of vocabulary length a task, and only
 the pairs of irregular groups go through a shuffle, summed up by slice before.
-Their counts return to a slice as a list of its own pairs, so that no pair
-table is broadcast; the vectors (a number for each A id) are.
+The vectors (a number for each A id) are broadcast; the pair table is, too, if
+it has ``pair_limit`` rows at most, else each slice gets the list of its own
+pairs back through a join.
 
 Cases: a text that is null, empty, or that a tokenizer does not give back byte
 by byte (after normalisation, say) has no tokens and all zeros.  Texts are
@@ -20,7 +21,6 @@ rows count each time.  An empty table gives no rows.  The input's columns but
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import cached_property
 from typing import NamedTuple
@@ -32,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .cached_words import LEADING, Cached
 from .io import lean, prepare, table
 
 #: Bytes of a slice (a longer text is a slice of its own), of the texts that
 #: the tokenizers get at a time, and linked pairs that are expanded at a time.
 SLICE_BYTES, ENCODE_BYTES, EXPAND = 2 << 20, 1 << 18, 1 << 21
 SALTS = 16
+#: Pairs that are broadcast at most (16 bytes each).
+PAIR_LIMIT = 1 << 22
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
@@ -50,7 +53,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class Side:
-    """A tokenizer: ids of texts, and the bytes of each id."""
+    """A tokenizer: the bytes of each id, and ``encode``, which takes texts
+    and their bytes with a space in front (nothing for an empty text) and
+    gives all ids and the number of each text's."""
 
     def __init__(self, entries: list[bytes]) -> None:
         self.lengths = np.array([len(t) for t in entries], np.int64)
@@ -68,19 +73,19 @@ class ByteLevel(Side):
     """Byte-level BPE from a ``tokenizers`` file; encodes a space and the text."""
 
     def __init__(self, content: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_buffer(content)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary, letters = self.tokenizer.get_vocab(), byte_letters()
+        tokenizer = Tokenizer.from_buffer(content)
+        tokenizer.encode_special_tokens = True
+        self.cached = Cached(tokenizer, LEADING)
+        vocabulary, letters = tokenizer.get_vocab(), byte_letters()
         entries = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             entries[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         super().__init__(entries)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str], raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.cached.encode(raw, offsets)
 
 
 class Pieces(Side):
@@ -96,8 +101,10 @@ class Pieces(Side):
             entries.append(bytes([int(piece[1:-1], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
         super().__init__(entries)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str], raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.model.encode(texts, num_threads=1)
+        counts = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
 
 
 class Both:
@@ -125,11 +132,6 @@ def _both(contents: Broadcast) -> Both:
     return _LOADED[key]
 
 
-def _ints(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
-
-
 def _given_back(side: Side, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Which texts (``sizes`` bytes each of ``raw``) the ids spell out."""
     ends = np.concatenate(([0], np.cumsum(side.lengths[ids])))[np.concatenate(([0], np.cumsum(counts)))]
@@ -155,7 +157,8 @@ def _both_ids(both: Both, texts: list[str]) -> tuple[np.ndarray, ...]:
         raw = [b" " + t.encode() if t else b"" for t in some]
         sizes = np.array([len(r) for r in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
-        (a, n_a), (b, n_b) = (_ints([x if t else [] for x, t in zip(side.encode(some), some)]) for side in (both.a, both.b))
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        (a, n_a), (b, n_b) = (side.encode(some, flat, edges) for side in (both.a, both.b))
         good = _given_back(both.a, a, n_a, flat, sizes) & _given_back(both.b, b, n_b, flat, sizes)
         for part, got in zip(parts, (a[np.repeat(good, n_a)], n_a * good, b[np.repeat(good, n_b)], n_b * good)):
             part.append(got)
@@ -322,18 +325,21 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(contents: Broadcast, vectors: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _both(contents)
-        identity, best = vectors.value
+        identity, best, all_pairs, all_counts = vectors.value
         for batch in batches:
             for at in range(batch.num_rows):
                 s = Slice(both, batch, at)
                 doc, a, b, n = s.links()
                 odd, pairs, local = s.irregular(a, b)
-                known = np.zeros(len(pairs), np.int64)
-                back = batch["known"][at].values
-                if back is not None:
+                if all_pairs is not None:
+                    known = all_counts[np.searchsorted(all_pairs, pairs)]
+                elif len(pairs):
+                    known = np.zeros(len(pairs), np.int64)
+                    back = batch["known"][at].values
                     known[back.field(0).to_numpy(zero_copy_only=False)] = back.field(1).to_numpy(zero_copy_only=False)
                 count = identity[a]
-                count[odd] = known[local]
+                if len(pairs):
+                    count[odd] = known[local]
 
                 def by_doc(values: np.ndarray) -> np.ndarray:
                     edges = np.concatenate(([0], np.cumsum(values)))
@@ -353,7 +359,7 @@ class Alignment(NamedTuple):
     pairs: DataFrame
 
 
-def align(docs: DataFrame, a_path: str, b_path: str) -> Alignment:
+def align(docs: DataFrame, a_path: str, b_path: str, pair_limit: int = PAIR_LIMIT) -> Alignment:
     """Align the tokens of ``text`` under a byte-level ``tokenizers`` file and
     a SentencePiece model.  ``groups`` lists a text's groups as
     ``a1,a2|b1;a3|b2,b3``; ``n_best`` is the number of links whose pair has
@@ -385,11 +391,16 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> Alignment:
     highest = pairs.groupBy("a").agg(F.max("n").alias("n")).toArrow()  # a row for an A id at most
     ids = highest["a"].to_numpy()
     best[ids] = np.maximum(best[ids], highest["n"].to_numpy())
-    vectors = spark.sparkContext.broadcast((identity, best))
-
-    known = odd.select("slice", "local", "a", "b").join(pairs, ["a", "b"]).groupBy("slice").agg(F.collect_list(F.struct("local", "n")).alias("known"))
+    if pairs.count() <= pair_limit:
+        held = pairs.select((F.col("a") * len(both.b.entries) + F.col("b")).alias("pair"), "n").toArrow().sort_by("pair")
+        vectors = spark.sparkContext.broadcast((identity, best, held["pair"].to_numpy(), held["n"].to_numpy()))
+        met = slices
+    else:
+        vectors = spark.sparkContext.broadcast((identity, best, None, None))
+        known = odd.select("slice", "local", "a", "b").join(pairs, ["a", "b"]).groupBy("slice").agg(F.collect_list(F.struct("local", "n")).alias("known"))
+        met = slices.join(known, "slice", "left")
     kinds = ", ".join(f"{c} {'string' if c == 'groups' else 'long'}" for c in RESULTS)
-    scored = slices.join(known, "slice", "left").mapInArrow(lean(_score(sent, vectors)), f"row {row}, {kinds}")
+    scored = met.mapInArrow(lean(_score(sent, vectors)), f"row {row}, {kinds}")
     own = np.flatnonzero(identity)
     same = spark.createDataFrame(pa.table({"a": pa.array(own, pa.int64()), "b": pa.array(both.same[own], pa.int64()), "n": pa.array(identity[own], pa.int64())}))
     return Alignment(scored.select(*[F.col("row")[c].alias(c) for c in names], *RESULTS), pairs.unionByName(same))

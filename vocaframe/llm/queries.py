@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, collocations, decontamination, fingerprints, html_text, licenses, line_dedup, ngram_join, quality, secrets, suffix_dedup
+from . import alignment, bpe, collocations, decontamination, fingerprints, html_text, id_files, licenses, line_dedup, ngram_join, quality, secrets, suffix_dedup
+from ..session import fresh_dir
 from .io import read_documents, read_table
 
 
@@ -103,6 +104,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = fresh_dir(spark, "ids")
+    id_files.save_texts(read_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
+    found = id_files.little_endian(id_files.read_ids(spark, folder))
+    return found.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), F.crc32("bytes").alias("ids_crc32"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.top_phrases(read_documents(spark, sf_dir), limit=2000, min_count=100, max_words=5, percent=100)
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -120,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_secrets": op10_secrets,
     "op11_alignment": op11_alignment,
+    "op12_id_files": op12_id_files,
     "op13_collocations": op13_collocations,
 }
