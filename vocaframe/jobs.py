@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions.prompts import training_prompt
 from .operators import corpus as C
 from .operators.manifest import last_text_per_id, parse_manifest
+from .operators.places import number_rows
 from .operators.shuffle import shuffle_samples
 from .sources.audio import with_existence
 from .sources.corpus import read_corpus, write_corpus, write_training_table
@@ -54,10 +55,12 @@ def build_corpus_job(spark: SparkSession, audio_dir: str, text_file: str, output
 def training_table_job(spark: SparkSession, corpus_path: str, output: str, seed: int = 0,
                        shards: int | None = None) -> int:
     """JSONL corpus -> training prompts in a random order of ``seed`` and each
-    row's own place in the corpus (equal samples are spread, too), written as
-    Parquet with one ``text`` column.  Returns the row count."""
-    df = read_corpus(spark, corpus_path, row_key=True)
-    prompts = df.select(training_prompt("text", "code").alias("text"), "row_key.*")
-    out = shuffle_samples(prompts, seed, "file", "start", "row", shards=shards).select("text")
+    row's number in the corpus (equal samples are spread, too), written as
+    Parquet with one ``text`` column; with ``shards`` as files of
+    ``ceil(rows / shards)`` rows (the last ones hold the rest).  Returns the
+    row count."""
+    df = number_rows(read_corpus(spark, corpus_path, row_key=True), "row_key", name="number")
+    prompts = df.select(training_prompt("text", "code").alias("text"), "number")
+    out = shuffle_samples(prompts, seed, "number", shards=shards).select("text")
     write_training_table(out, output)
     return spark.read.parquet(output).count()

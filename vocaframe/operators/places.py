@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import ColumnOrName, col_of, materialize
+from ..util import ColumnOrName, broadcast_up_to, col_of, materialize
 
 #: ``monotonically_increasing_id`` is the partition's number above this many
 #: bits, which hold the row's number inside the partition.
@@ -45,3 +45,18 @@ def with_place(df: DataFrame, *order: ColumnOrName | Column, name: str = "place"
     numbered = marked.withColumn("_part", part).join(F.broadcast(ranges), "_part")
     inside = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return numbered.withColumn(name, F.col("start") + inside).select(*[c for c in df.columns if c != name], name)
+
+
+def number_rows(df: DataFrame, key: str, name: str = "line_number") -> DataFrame:
+    """``df`` with ``name``: the row's number (bigint, from 0) over all files
+    of a scan whose rows carry ``key``: a struct of ``file``, ``start`` (of the
+    file's split) and ``row`` (ascending inside a split, without gaps).
+
+    Nothing is sorted and no row moves: the splits' row counts are summed up
+    in the order of (file, start), and a row adds its distance from its
+    split's first row."""
+    splits = df.groupBy(F.col(key)["file"].alias("_file"), F.col(key)["start"].alias("_start")).agg(F.min(F.col(key)["row"]).alias("_first"), F.count(F.lit(1)).alias("n"))
+    begun = starts(materialize(splits, "splits"), "n", "_file", "_start").select("_file", "_start", "_first", "start")
+    met = df.join(broadcast_up_to(begun, row_bytes=256), (F.col(key)["file"] == F.col("_file")) & (F.col(key)["start"] == F.col("_start")))
+    number = F.col("start") + F.col(key)["row"] - F.col("_first")
+    return met.withColumn("_number", number).select(*[df[c] for c in df.columns if c != name], F.col("_number").alias(name))

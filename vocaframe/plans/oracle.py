@@ -259,9 +259,22 @@ ORACLE_SQL: dict[str, str] = {
     "manifest_file": f"WITH {LINES}, {PARSED}, {DEDUP} SELECT file_id, text, n_lines FROM dedup",
     "training_table": f"WITH {SENT} SELECT {G.prompt('text', 'codes')} AS text FROM sent",
     "training_order": (
-        "WITH k AS (SELECT conv_id, turn, md5('42|' || conv_id || '|' || turn) AS h FROM conversations), "
-        "s AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT % 16)::INTEGER AS shard FROM k) "
-        "SELECT conv_id, turn, shard, row_number() OVER (PARTITION BY shard ORDER BY h) - 1 AS place FROM s"
+        "WITH k AS (SELECT conv_id, turn, md5('42|' || conv_id || '|' || turn) AS h FROM conversations) "
+        "SELECT conv_id, turn, row_number() OVER (ORDER BY h, conv_id, turn) - 1 AS place FROM k"
+    ),
+    "training_shards": (
+        f"WITH {SENT}, c AS (SELECT {G.prompt('text', 'codes')} AS text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS number, "
+        "count(*) OVER () AS n FROM sent), "
+        "o AS (SELECT text, (n + 6) // 7 AS size, row_number() OVER (ORDER BY md5('42|' || number), number) - 1 AS place FROM c) "
+        "SELECT place // size AS shard, place % size AS place, text FROM o"
+    ),
+    "manifest_line_number": f"WITH {LINES} SELECT row_number() OVER (ORDER BY line_key) - 1 AS line_number, line FROM lines",
+    "similarity_top10_per_target": (
+        "WITH s AS (SELECT t.vec_id AS target, r.vec_id, "
+        f"round({G.cosine('r.embedding', 't.embedding')}, 9) AS similarity FROM embeddings t JOIN embeddings r ON r.vec_id <> t.vec_id "
+        "WHERE t.vec_id % 20 = 0), "
+        "k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, vec_id) AS rank FROM s) "
+        "SELECT target, rank, vec_id, round(similarity, 6) AS similarity FROM k WHERE rank <= 10"
     ),
     "similarity_file": (
         f"WITH {SCORED}, nm AS (SELECT regexp_extract(path, '([^/]*)/*$', 1) AS name, vec_id, similarity "

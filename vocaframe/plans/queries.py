@@ -31,11 +31,12 @@ from ..functions import (
 )
 from ..jobs import build_corpus_job, training_table_job
 from ..operators import audio, corpus, manifest, metrics, requests, segments, similarity
+from ..operators.places import number_rows
 from ..operators.shuffle import shuffle_places, shuffle_samples
 from ..session import fresh_dir
 from ..sources.audio import read_contents, read_headers, with_existence, write_wav_files
 from ..sources.corpus import read_corpus, write_corpus
-from ..sources.manifest import read_manifest
+from ..sources.manifest import read_lines, read_manifest
 from . import standins as S
 
 SHUFFLE_SEED = 42
@@ -246,6 +247,13 @@ def q_similarity_top10(spark: SparkSession, sf: str) -> DataFrame:
                       _r(F.col("similarity")).alias("similarity"))
 
 
+def q_similarity_top10_per_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth embedding against all others."""
+    refs = S.references(spark, sf)
+    top = similarity.top_k_per_target(refs, refs.where("vec_id % 20 = 0"), 10)
+    return top.select("target", "rank", "vec_id", _r(F.col("similarity")).alias("similarity"))
+
+
 def q_similarity_csv(spark: SparkSession, sf: str) -> DataFrame:
     named = similarity.by_base_name(_scored(spark, sf))
     return similarity.csv_lines(named).select("name", "first_pos", _r(F.col("similarity")).alias("similarity"),
@@ -341,10 +349,21 @@ def q_audio_resample(spark: SparkSession, sf: str) -> DataFrame:
 def q_manifest_file(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest text files (several, in line order) through the real reader."""
     path = fresh_dir(spark, "manifest")
-    S.manifest_lines(spark, sf).repartitionByRange(4, "line_key").sortWithinPartitions("line_key").select("line").write.text(path)
+    _write_lines(S.manifest_lines(spark, sf), path)
     return read_manifest(spark, path).select("file_id", "text", "n_lines")
 
 
+def _write_lines(lines: DataFrame, path: str) -> None:
+    lines.repartitionByRange("line_key").sortWithinPartitions("line_key").select("line").write.text(path)
+
+
+def q_manifest_line_number(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of several manifest files with its number over all of them."""
+    path = fresh_dir(spark, "manifest")
+    _write_lines(S.manifest_lines(spark, sf), path)
+    return number_rows(read_lines(spark, path), "line_key").select("line_number", "line")
+
+
 def q_training_table(spark: SparkSession, sf: str) -> DataFrame:
     """JSONL corpus -> the training-table job -> its Parquet table."""
     src, out = fresh_dir(spark, "corpus-jsonl"), fresh_dir(spark, "training")
@@ -354,8 +373,21 @@ def q_training_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_training_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The place that each training sample gets in its shard."""
-    return shuffle_places(_training(spark, sf), SHUFFLE_SEED, 16, "conv_id", "turn").select("conv_id", "turn", "shard", "place")
+    """The place that each training sample gets in the permutation."""
+    return shuffle_places(_training(spark, sf), SHUFFLE_SEED, "conv_id", "turn").select("conv_id", "turn", "place")
+
+
+SHARDS = 7
+
+
+def q_training_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """JSONL corpus -> the training-table job with shards -> its files: the
+    shard, the place in it and the text of every row."""
+    src, out = fresh_dir(spark, "corpus-jsonl"), fresh_dir(spark, "training")
+    write_corpus(S.sentences(spark, sf).orderBy("script_id", "pos").select("text", F.col("codes").alias("code")), src)
+    training_table_job(spark, src, out, seed=SHUFFLE_SEED, shards=SHARDS)
+    shard = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
+    return spark.read.parquet(out).select(shard.alias("shard"), F.col("_metadata.row_index").alias("place"), "text")
 
 
 def q_similarity_file(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,8 +400,7 @@ def q_similarity_file(spark: SparkSession, sf: str) -> DataFrame:
 def _supplier_wavs(spark: SparkSession, suppliers: DataFrame) -> str:
     """A folder with a WAV file for two thirds of the suppliers."""
     folder = fresh_dir(spark, "wavs")
-    written = write_wav_files(audio.encode_wav(S.supplier_clips(suppliers.where("s_suppkey % 3 != 0")), "file_id"), folder, "file_id")
-    written.write.format("noop").mode("overwrite").save()  # the files are the result
+    write_wav_files(audio.encode_wav(S.supplier_clips(suppliers.where("s_suppkey % 3 != 0")), "file_id"), folder, "file_id")
     return folder
 
 
@@ -380,7 +411,7 @@ def q_corpus_files(spark: SparkSession, sf: str) -> DataFrame:
     manifest_path, out = fresh_dir(spark, "manifest"), fresh_dir(spark, "corpus-jsonl")
     line = F.concat("file_id", F.lit(":v"), F.col("version").cast("string"), F.lit(" "), F.col("s_name"))
     lines = sup.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
-    lines.repartitionByRange(4, "version", "s_suppkey").sortWithinPartitions("version", "s_suppkey").select(line.alias("value")).write.text(manifest_path)
+    lines.repartitionByRange("version", "s_suppkey").sortWithinPartitions("version", "s_suppkey").select(line.alias("value")).write.text(manifest_path)
     codes = sup.where("s_suppkey % 7 != 1").select("file_id", F.expr("CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE array(CAST(s_suppkey AS INT), 5) END").alias("code"), "s_suppkey")
     codes = codes.unionByName(codes.where("s_suppkey % 5 = 0"))
     build_corpus_job(spark, _supplier_wavs(spark, sup.select("s_suppkey")), manifest_path, out, codes.select("file_id", "code"))
@@ -435,6 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segment_stream": q_segment_stream,
     "similarity_all": q_similarity_all,
     "similarity_top10": q_similarity_top10,
+    "similarity_top10_per_target": q_similarity_top10_per_target,
     "similarity_csv": q_similarity_csv,
     "request_validate": q_request_validate,
     "request_payload": q_request_payload,
@@ -445,7 +477,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audio_roundtrip": q_audio_roundtrip,
     "audio_resample": q_audio_resample,
     "manifest_file": q_manifest_file,
+    "manifest_line_number": q_manifest_line_number,
     "training_table": q_training_table,
+    "training_shards": q_training_shards,
     "training_order": q_training_order,
     "similarity_file": q_similarity_file,
     "audio_files": q_audio_files,

@@ -49,8 +49,7 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="vocaframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(root)  # the setting itself is fixed once a session runs
     path = root.rstrip("/")
     for p in parts:
         path = path + "/" + p

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .committed import CommittedFiles, fs_and_path
 
 
 def list_audio(spark: SparkSession, audio_dir: str, ext: str = ".wav", recursive: bool = True) -> DataFrame:
@@ -48,7 +49,8 @@ def with_existence(df: DataFrame, audio_dir: str, ext: str = ".wav", id_col: str
     an id with slashes addresses a subfolder and an absolute id replaces the
     folder.  ``audio_dir`` may be relative (to the driver's folder), end in a
     slash or be a URI of a file system that pyarrow knows; a missing folder
-    raises.  Null ids have no audio."""
+    raises.  Null ids have no audio, nor have ids that no file can have
+    (longer than a file name, with U+0000)."""
     import os
     import posixpath
 
@@ -57,7 +59,7 @@ def with_existence(df: DataFrame, audio_dir: str, ext: str = ".wav", id_col: str
     ship_package(df.sparkSession)
     if "://" not in audio_dir and not audio_dir.startswith("file:"):
         audio_dir = os.path.abspath(audio_dir)
-    fs, root = _fs_and_path(audio_dir)
+    fs, root = fs_and_path(audio_dir)
     if fs.get_file_info(root).type != pafs.FileType.Directory:
         raise FileNotFoundError(f"no audio folder {audio_dir}")
     # the key travels beside the other columns in one struct
@@ -67,11 +69,11 @@ def with_existence(df: DataFrame, audio_dir: str, ext: str = ".wav", id_col: str
     def run(batches):
         import pyarrow as pa
 
-        fs, root = _fs_and_path(audio_dir)
+        fs, root = fs_and_path(audio_dir)
         for b in batches:
             ids = b["id"].to_pylist()
             paths = [posixpath.normpath(posixpath.join(root, i + ext)) for i in ids if i is not None]
-            found = iter([info.type != pafs.FileType.NotFound for info in (fs.get_file_info(paths) if paths else [])])
+            found = iter(_exist(fs, paths))
             yield pa.RecordBatch.from_arrays(
                 [b["row"], pa.array([False if i is None else next(found) for i in ids], pa.bool_())], names=["row", "has_audio"])
 
@@ -79,6 +81,22 @@ def with_existence(df: DataFrame, audio_dir: str, ext: str = ".wav", id_col: str
     return out.select("row.*", "has_audio")
 
 
+def _exist(fs, paths: list[str]) -> list[bool]:
+    """Whether each path exists, asked at once; path by path if one of them
+    is no possible name."""
+    from pyarrow import fs as pafs
+
+    try:
+        return [info.type != pafs.FileType.NotFound for info in (fs.get_file_info(paths) if paths else [])]
+    except (OSError, ValueError):  # pyarrow's ArrowInvalid is a ValueError
+        if len(paths) == 1:
+            if "\0" in paths[0] or max(len(part.encode()) for part in paths[0].split("/")) > 255:
+                return [False]
+            raise
+        half = len(paths) // 2
+        return _exist(fs, paths[:half]) + _exist(fs, paths[half:])
+
+
 def read_headers(df: DataFrame, path_col: str = "path") -> DataFrame:
     """``df`` with the header fields and ``error`` of each listed WAV file.
     Chunks are walked by seeking, a few bytes each: audio never leaves
@@ -96,7 +114,7 @@ def read_headers(df: DataFrame, path_col: str = "path") -> DataFrame:
             rows = []
             for path in b["path"].to_pylist():
                 try:
-                    fs, rel = _fs_and_path(path)
+                    fs, rel = fs_and_path(path)
                     with fs.open_input_file(rel) as f:
                         rows.append(header_row(lambda at, n: f.read_at(n, at), f.size()))
                 except (OSError, TypeError, AttributeError) as e:
@@ -107,19 +125,6 @@ def read_headers(df: DataFrame, path_col: str = "path") -> DataFrame:
     return packed.mapInArrow(run, f"row {row}, header struct<{schema}>").select("row.*", "header.*")
 
 
-def _fs_and_path(path: str):
-    from pyarrow import fs as pafs
-
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-        return pafs.LocalFileSystem(), path
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
 def read_contents(df: DataFrame, path_col: str = "path", max_bytes: int | None = None) -> DataFrame:
     """Add ``content`` by reading each listed file inside the tasks.
 
@@ -134,7 +139,7 @@ def read_contents(df: DataFrame, path_col: str = "path", max_bytes: int | None =
         for pdf in batches:
             out = []
             for p in pdf[path_col]:
-                fs, rel = _fs_and_path(p)
+                fs, rel = fs_and_path(p)
                 with fs.open_input_stream(rel) as f:
                     out.append(f.read() if max_bytes is None else f.read(max_bytes))
             yield pdf.assign(content=out)
@@ -144,28 +149,17 @@ def read_contents(df: DataFrame, path_col: str = "path", max_bytes: int | None =
 
 
 def write_wav_files(df: DataFrame, out_dir: str, id_col: str, content_col: str = "content") -> DataFrame:
-    """Write every row's bytes to ``<out_dir>/<id>.wav``; returns ``id, path``.
-
-    File names depend only on the id, so a task re-run after an executor loss
-    overwrites the same files (idempotent)."""
-    ship_package(df.sparkSession)
+    """Write every row's bytes to ``<out_dir>/<id>.wav``; returns ``id, path``
+    of the written rows.
+
+    The files appear when all tasks are done
+    (:mod:`vocaframe.sources.committed`): a failed job leaves none, and a
+    reader never meets half a file.  A null id or content, or an id that
+    leads out of the folder, fails the job."""
+    spark = df.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(CommittedFiles)
     base = out_dir.rstrip("/")
-    slim = df.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = set()
-        for pdf in batches:
-            paths = []
-            for i, content in zip(pdf["id"], pdf["content"]):
-                target = f"{base}/{i}.wav"
-                fs, rel = _fs_and_path(target)
-                parent = rel.rsplit("/", 1)[0]
-                if parent not in made:
-                    fs.create_dir(parent, recursive=True)
-                    made.add(parent)
-                with fs.open_output_stream(rel) as f:
-                    f.write(bytes(content))
-                paths.append(target)
-            yield pd.DataFrame({"id": pdf["id"], "path": paths})
-
-    return slim.mapInPandas(run, "id string, path string")
+    named = df.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"))
+    named.select(F.concat("id", F.lit(".wav")).alias("name"), "content").write.format("committed_files").mode("append").save(base)
+    return named.select("id", F.concat(F.lit(base + "/"), "id", F.lit(".wav")).alias("path"))

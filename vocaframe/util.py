@@ -21,3 +21,13 @@ def materialize(df, name: str):
     path = fresh_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_up_to(df, row_bytes: int, limit: int = BROADCAST_BYTES):
+    """``df`` marked for a broadcast join if its rows, counted first, take
+    ``limit`` bytes at most; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
