@@ -59,3 +59,40 @@ def test_csv_sink(spark, tmpdir_path):
         if f.startswith("part-"):
             lines += open(os.path.join(out, f)).read().splitlines()
     assert lines == ["a.wav,0.1235", "b.wav,0.5000"]
+
+
+def brute_top_k(refs, targets, k):
+    import numpy as np
+
+    out = []
+    for t, tv in targets:
+        near = []
+        for i, v in refs:
+            if i is None or i == t or v is None or None in v or len(v) != len(tv):
+                continue
+            a, b = np.array(v, float), np.array(tv, float)
+            size = max(np.sqrt(a @ a), 1e-8) * max(np.sqrt(b @ b), 1e-8)
+            near.append((-round(float(a @ b / size), 9), i))
+        out += [(t, n + 1, i, s) for n, (s, i) in enumerate(sorted(near)[:k])]
+    return sorted((t, n, i) for t, n, i, _ in out)
+
+
+def test_top_k_of_many_targets(spark):
+    import random
+
+    from conftest import plan_text
+    from vocaframe.operators.similarity import top_k_per_target
+
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(40)]
+    refs = [(i, rng.choice(vectors)) for i in range(300)]  # many equal vectors: ties by id
+    refs += [(400, None), (401, [1.0, None] + [0.0] * 4), (402, [0.0] * 6), (403, [1.0] * 3), (None, vectors[0]), (7, vectors[3])]
+    targets = refs[:300:11] + [(403, [1.0] * 3), (404, [2.0] * 3), (405, [1.0] * 9), (406, None), (402, [0.0] * 6)]
+    r = spark.createDataFrame(refs, "vec_id long, embedding array<double>").repartition(5)
+    t = spark.createDataFrame(targets, "vec_id long, embedding array<double>")
+    expected = brute_top_k(refs, [x for x in targets if x[1] is not None], 10)
+    for target_bytes in (64 << 20, 6 * 8 * 4):  # one slice, and four targets a slice
+        top = top_k_per_target(r, t, 10, target_bytes=target_bytes)
+        assert sorted((x.target, x.rank, x.vec_id) for x in top.collect()) == expected
+    assert "CartesianProduct" not in plan_text(top) and "NestedLoop" not in plan_text(top)
+    assert top_k_per_target(r, t.where("false")).collect() == [] and top_k_per_target(r.where("false"), t).collect() == []
