@@ -103,7 +103,11 @@ def header_row(read_at, total: int) -> dict:
 def decode(content: bytes) -> tuple[int, np.ndarray]:
     """``(sample_rate, float32 array channels x frames)`` scaled to [-1, 1)."""
     h = parse_header(content, len(content))
-    raw = memoryview(content)[h["data_offset"]:h["data_offset"] + h["n_frames"] * h["block_align"]]
+    return h["sample_rate"], scaled(memoryview(content)[h["data_offset"]:h["data_offset"] + h["n_frames"] * h["block_align"]], h)
+
+
+def scaled(raw, h: dict) -> np.ndarray:
+    """Whole frames of a file with header ``h`` as float32 channels x frames."""
     ch, bits, fmt = h["channels"], h["bits"], h["format"]
     if fmt == WAVE_FORMAT_FLOAT and bits == 32:
         x = np.frombuffer(raw, dtype="<f4").astype(np.float32)
@@ -122,7 +126,12 @@ def decode(content: bytes) -> tuple[int, np.ndarray]:
         x = (np.frombuffer(raw, dtype="<i4").astype(np.float64) / float(1 << 31)).astype(np.float32)
     else:
         raise WavError(f"unsupported WAV encoding: format {fmt}, {bits} bit")
-    return h["sample_rate"], x.reshape(-1, ch).T
+    return x.reshape(-1, ch).T
+
+
+def mono(x: np.ndarray) -> np.ndarray:
+    """The mean over channels."""
+    return x.mean(axis=0, dtype=np.float64).astype(np.float32) if x.shape[0] > 1 else x[0]
 
 
 def encode_pcm(channels: np.ndarray, sample_rate: int, bits: int = 16) -> bytes:
@@ -173,7 +182,17 @@ def _kernel(t: np.ndarray, cutoff: float, zeros: int) -> np.ndarray:
     return cutoff * np.sinc(u) * fade * fade
 
 
-def resample(x: np.ndarray, orig: int, new: int, zeros: int = 6, rolloff: float = 0.99) -> np.ndarray:
+#: Zero crossings on either side of the filter, and its cut-off as a share of
+#: the lower of the two Nyquist frequencies.
+ZEROS, ROLLOFF = 6, 0.99
+
+
+def reach_of(orig: int, new: int, zeros: int = ZEROS, rolloff: float = ROLLOFF) -> int:
+    """Input frames that an output frame needs on either side."""
+    return int(zeros / (rolloff * min(1.0, new / orig))) + 1
+
+
+def resample(x: np.ndarray, orig: int, new: int, zeros: int = ZEROS, rolloff: float = ROLLOFF) -> np.ndarray:
     """Band-limited resampling of ``x`` (..., frames); the result has
     ``ceil(frames * new / orig)`` frames and counts the signal as 0 outside.
 
@@ -185,21 +204,42 @@ def resample(x: np.ndarray, orig: int, new: int, zeros: int = 6, rolloff: float
     frames = x.shape[-1]
     if frames == 0:
         return np.zeros(x.shape, dtype=np.float32)
+    reach = reach_of(orig, new, zeros, rolloff)
+    padded = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(reach, reach)])
+    return _weighted(padded, 0, 0, -(-frames * new // orig), orig, new, zeros, rolloff)
+
+
+def resample_part(x: np.ndarray, start: int, left: np.ndarray, right: np.ndarray, orig: int, new: int) -> tuple[int, np.ndarray]:
+    """The output frames of :func:`resample` that lie in the input frames
+    ``start`` to ``start + len(x)`` of a longer signal, and the number of the
+    first: ``left`` and ``right`` are the frames beside ``x`` (``reach_of`` of
+    them, fewer only where the signal ends)."""
+    if orig == new:
+        return start, x.astype(np.float32, copy=False)
+    first, last = -(-start * new // orig), -(-(start + len(x)) * new // orig)
+    reach = reach_of(orig, new)
+    left, right = left[max(len(left) - reach, 0):], right[:reach]
+    padded = np.concatenate((np.zeros(reach - len(left), x.dtype), left, x, right, np.zeros(reach - len(right), x.dtype)))
+    return first, _weighted(padded, start, first, last, orig, new, ZEROS, ROLLOFF)
+
+
+def _weighted(padded: np.ndarray, origin: int, first: int, last: int, orig: int, new: int, zeros: int, rolloff: float) -> np.ndarray:
+    """Output frames ``first`` to ``last``; ``padded`` begins ``reach`` frames
+    before the input frame ``origin``."""
     cutoff = rolloff * min(1.0, new / orig)
-    reach = int(zeros / cutoff) + 1
+    reach = reach_of(orig, new, zeros, rolloff)
     taps = np.arange(2 * reach + 1)
-    padded = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(reach, reach)])
     table = _phases(orig, new, cutoff, zeros, reach)
-    out = np.empty((*x.shape[:-1], -(-frames * new // orig)), dtype=np.float32)
+    out = np.empty((*padded.shape[:-1], last - first), dtype=np.float32)
     step = max(1, (1 << 18) // len(taps))
-    for first in range(0, out.shape[-1], step):
-        at = np.arange(first, min(first + step, out.shape[-1]), dtype=np.int64) * orig
-        nearest, rest = at // new, at % new
+    for begin in range(first, last, step):
+        at = np.arange(begin, min(begin + step, last), dtype=np.int64) * orig
+        nearest, rest = at // new - origin, at % new
         if table is None:
             weight = _kernel(taps - reach - (rest / new)[:, None], cutoff, zeros)
         else:
             weight = table[rest // math.gcd(orig, new)]
-        out[..., first:first + len(at)] = np.einsum("...mt,mt->...m", padded[..., nearest[:, None] + taps], weight)
+        out[..., begin - first:begin - first + len(at)] = np.einsum("...mt,mt->...m", padded[..., nearest[:, None] + taps], weight)
     return out
 
 
@@ -218,8 +258,7 @@ def preprocess(content: bytes, target_rate: int = K.SAMPLE_RATE) -> np.ndarray:
     before resampling: both steps are linear, so the result equals
     resample-then-average up to rounding, at 1/channels of the cost."""
     rate, x = decode(content)
-    mono = x.mean(axis=0, dtype=np.float64).astype(np.float32) if x.shape[0] > 1 else x[0]
-    return resample(mono, rate, target_rate)
+    return resample(mono(x), rate, target_rate)
 
 
 # --- DataFrame operators ----------------------------------------------------
@@ -307,6 +346,67 @@ def preprocess_audio(df: DataFrame, id_col: str, content_col: str = "content",
     return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def resample_blocks(df: DataFrame, id_col: str, target_rate: int = K.SAMPLE_RATE) -> DataFrame:
+    """Resample recordings that are spread over blocks, each block in its own
+    task: ``id, block, start, total, sample_rate, samples`` -> the same columns
+    at ``target_rate``, ``start`` and ``total`` counted in output frames.
+
+    ``block`` numbers a recording's blocks one after the other, ``start`` is a
+    block's first frame, ``total`` the frames of the recording, ``samples`` one
+    channel.  An output frame needs some input frames on either side: only
+    those travel between neighbouring blocks, through one aggregation of edges
+    by (id, block); the blocks are joined with them and never put together.
+    The samples equal those of :func:`preprocess_audio` on the whole file.
+
+    A block that is no longer than the filter's reach (some dozen frames) and
+    is not the last, or a missing neighbour, fails the job: its neighbours
+    could not be made.  Null samples give null samples; other columns are
+    dropped."""
+    ship_package(df.sparkSession)
+    slim = df.select(F.col(id_col).alias("id"), F.col("block").cast("bigint").alias("block"), F.col("start").cast("bigint").alias("start"),
+                     F.col("total").cast("bigint").alias("total"), F.col("sample_rate").cast("int").alias("rate"), F.col("samples").cast("array<float>").alias("x"))
+    # one frame more than reach_of(), so that rounding cannot matter
+    reach = (F.floor(F.lit(float(ZEROS)) / (F.lit(ROLLOFF) * F.least(F.lit(1.0), F.lit(float(target_rate)) / F.col("rate")))) + 2).cast("int")
+    tail = F.slice("x", F.greatest(F.array_size("x") - reach + 1, F.lit(1)), reach)
+    none = F.lit(None).cast("array<float>")
+    edges = slim.where(F.array_size("x") > 0).select("id", "block", tail.alias("tail"), F.slice("x", F.lit(1), reach).alias("head"))
+    sent = edges.select("id", (F.col("block") + 1).alias("block"), F.col("tail").alias("before"), none.alias("after")).unionByName(
+        edges.select("id", (F.col("block") - 1).alias("block"), none.alias("before"), F.col("head").alias("after")))
+    halos = sent.groupBy("id", "block").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    met = slim.join(halos, ["id", "block"], "left").select("id", "block", "start", "total", "rate", "x", "before", "after")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def floats(column):
+            off = column.offsets.to_numpy()
+            vals = column.values.to_numpy(zero_copy_only=False)
+            ok = column.is_valid().to_numpy(zero_copy_only=False)
+            return [vals[off[i]:off[i + 1]] if ok[i] else None for i in range(len(column))]
+
+        nothing = np.zeros(0, np.float32)
+        for rb in batches:
+            starts, totals, rates = (rb.column(c).to_pylist() for c in (2, 3, 4))
+            parts, firsts, ends = [], [], []
+            for x, before, after, start, total, rate in zip(*(floats(rb.column(c)) for c in (5, 6, 7)), starts, totals, rates):
+                if x is None or not rate:
+                    parts.append(None), firsts.append(None), ends.append(None)
+                    continue
+                left, right = (nothing if h is None else h for h in (before, after))
+                need = 0 if rate == target_rate else reach_of(rate, target_rate)
+                if len(left) < min(need, start) or len(right) < min(need, total - start - len(x)):
+                    raise ValueError(f"block at frame {start}: a neighbour is missing or shorter than {need} frames")
+                first, y = resample_part(x, start, left, right, rate, target_rate)
+                parts.append(y), firsts.append(first), ends.append(-(-total * target_rate // rate))
+            valid = [p is not None for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), rb.column(1), pa.array(firsts, pa.int64()), pa.array(ends, pa.int64()), pa.array(np.full(rb.num_rows, target_rate, np.int32)), _float_lists(parts, valid)],
+                names=["id", "block", "start", "total", "sample_rate", "samples"])
+
+    schema = "id {t}, block bigint, start bigint, total bigint, sample_rate int, samples array<float>".format(t=dict(df.dtypes)[id_col])
+    return met.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
 def encode_wav(df: DataFrame, id_col: str, channels_col: str = "channels", rate_col: str = "sample_rate",
                bits_col: str = "bits") -> DataFrame:
     """``id, content`` WAV bytes from integer channels at 16-bit scale

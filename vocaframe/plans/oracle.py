@@ -280,6 +280,16 @@ ORACLE_SQL: dict[str, str] = {
         f"WITH {SCORED}, nm AS (SELECT regexp_extract(path, '([^/]*)/*$', 1) AS name, vec_id, similarity "
         "FROM scored) SELECT printf('%s,%.4f', name, arg_max(similarity, vec_id)) AS line FROM nm GROUP BY name"
     ),
+    "audio_resample_blocks": (
+        "SELECT event_id AS utt_id, 4::BIGINT AS n_blocks, n AS total, n AS n_samples, n AS n_whole, n AS n_equal "
+        f"FROM (SELECT event_id, ((400 * 16000 + rate - 1) // rate)::BIGINT AS n FROM (SELECT event_id, {S.LEVEL_RATE} AS rate FROM events))"
+    ),
+    "audio_frames": (
+        f"WITH w AS (SELECT 's' || s_suppkey % 5 || '/_' || s_suppkey || '.x' AS file_id, {WAVE_MONO.replace('event_id', 's_suppkey')} AS mono "
+        "FROM supplier WHERE s_suppkey % 3 <> 0) "
+        "SELECT file_id, ((len(mono) + 15) // 16)::BIGINT AS n_blocks, len(mono)::BIGINT AS n_frames, 2::INTEGER AS n_channels, len(mono)::BIGINT AS n_samples, "
+        f"round({_sum('list_transform(mono, lambda x: x::DOUBLE)')}, 9) AS sum_samples FROM w"
+    ),
     "audio_files": (
         f"WITH w AS (SELECT s_suppkey, s_suppkey % 3 <> 0 AS has_audio, {WAVE_MONO.replace('event_id', 's_suppkey')} AS mono FROM supplier) "
         "SELECT s_suppkey, has_audio, CASE WHEN has_audio THEN len(mono) END::BIGINT AS n_frames, "

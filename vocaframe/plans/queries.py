@@ -35,6 +35,7 @@ from ..operators.places import number_rows
 from ..operators.shuffle import shuffle_places, shuffle_samples
 from ..session import fresh_dir
 from ..sources.audio import read_contents, read_headers, with_existence, write_wav_files
+from ..sources.audio_frames import read_audio_frames
 from ..sources.corpus import read_corpus, write_corpus
 from ..sources.manifest import read_lines, read_manifest
 from . import standins as S
@@ -344,6 +345,29 @@ def q_audio_resample(spark: SparkSession, sf: str) -> DataFrame:
     return pre.select("utt_id", "n_samples", (F.abs(middle - F.expr(S.LEVEL.replace("event_id", "utt_id")) / 32768) < 0.005).alias("level_kept"))
 
 
+BLOCK_FRAMES = 128
+
+
+def q_audio_resample_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips of 400 different frames in blocks of 128 -> 16 kHz, block by
+    block: how many samples equal those of the clip in one piece."""
+    w = S.varied_clips(spark, sf)
+    whole = audio.preprocess_audio(audio.encode_wav(w, "utt_id"), "utt_id").select("utt_id", "n_samples", F.col("samples").alias("whole"))
+    size = F.lit(BLOCK_FRAMES)
+    scaled = F.transform(F.get("channels", F.lit(0)), lambda x: (x.cast("double") / 32768).cast("float"))
+    clips = w.select("utt_id", "sample_rate", scaled.alias("x"))
+    cut = clips.select("utt_id", "sample_rate", F.array_size("x").cast("bigint").alias("total"), "x",
+                       F.explode(F.sequence(F.lit(0), F.floor((F.array_size("x") - 1) / size).cast("int"))).alias("block"))
+    blocks = cut.select("utt_id", "sample_rate", "total", F.col("block").cast("bigint").alias("block"), (F.col("block") * size).cast("bigint").alias("start"),
+                        F.slice("x", F.col("block") * size + 1, size).alias("samples"))
+    made = audio.resample_blocks(blocks, "utt_id").join(whole, "utt_id")
+    same = F.zip_with("samples", F.slice("whole", (F.col("start") + 1).cast("int"), F.array_size("samples")), lambda a, b: F.when(a == b, 1).otherwise(0))
+    equal = F.aggregate(same, F.lit(0), lambda acc, x: acc + x)
+    return made.groupBy("utt_id").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.max("total").alias("total"), F.sum(F.array_size("samples")).alias("n_samples"),
+        F.max("n_samples").alias("n_whole"), F.sum(equal).alias("n_equal"))
+
+
 # --- sources: written from the tables to the shared folder, then read back ---
 
 def q_manifest_file(spark: SparkSession, sf: str) -> DataFrame:
@@ -432,6 +456,17 @@ def q_audio_files(spark: SparkSession, sf: str) -> DataFrame:
     return ids.select("s_suppkey", "has_audio").join(heads, "s_suppkey", "left").join(sums, "s_suppkey", "left")
 
 
+def q_audio_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The WAV files of two thirds of the suppliers, read by byte ranges of
+    100 bytes in blocks of 16 frames."""
+    folder = _supplier_wavs(spark, S.table(spark, sf, "supplier").select("s_suppkey"))
+    frames = read_audio_frames(spark, folder, block_frames=16, split_bytes=100)
+    total = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return frames.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.max("total").alias("n_frames"), F.max("n_channels").alias("n_channels"),
+        F.sum(F.array_size("samples")).alias("n_samples"), F.round(F.sum(total), 9).alias("sum_samples"))
+
+
 # --- streaming --------------------------------------------------------------
 
 def q_stream_training_prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -476,6 +511,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_lint": q_corpus_lint,
     "audio_roundtrip": q_audio_roundtrip,
     "audio_resample": q_audio_resample,
+    "audio_resample_blocks": q_audio_resample_blocks,
     "manifest_file": q_manifest_file,
     "manifest_line_number": q_manifest_line_number,
     "training_table": q_training_table,
@@ -483,6 +519,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_order": q_training_order,
     "similarity_file": q_similarity_file,
     "audio_files": q_audio_files,
+    "audio_frames": q_audio_frames,
     "corpus_files": q_corpus_files,
     "stream_training_prompt": q_stream_training_prompt,
 }

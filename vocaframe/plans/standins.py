@@ -268,6 +268,18 @@ def level_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"array(array_repeat(CAST({LEVEL} AS INT), 400))").alias("channels"))
 
 
+# --- varied clips: 400 different frames at one of four rates, one per event ----
+VARIED_FRAMES = 400
+VARIED = f"transform(sequence(0, {VARIED_FRAMES - 1}), j -> CAST((event_id * 31 + j * j * 17) % 20011 - 10005 AS INT))"
+
+
+def varied_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``utt_id, sample_rate, bits, channels`` of one channel."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("utt_id"), F.expr(LEVEL_RATE).alias("sample_rate"), F.lit(16).alias("bits"),
+        F.array(F.expr(VARIED)).alias("channels"))
+
+
 # --- audio files: a clip per supplier, 2 channels at 16 kHz ------------------
 SUPPLIER_FILE = "concat('s', CAST(s_suppkey % 5 AS STRING), '/_', CAST(s_suppkey AS STRING), '.x')"
 

@@ -73,7 +73,7 @@ def with_existence(df: DataFrame, audio_dir: str, ext: str = ".wav", id_col: str
         for b in batches:
             ids = b["id"].to_pylist()
             paths = [posixpath.normpath(posixpath.join(root, i + ext)) for i in ids if i is not None]
-            found = iter(_exist(fs, paths))
+            found = iter(exist(fs, paths))
             yield pa.RecordBatch.from_arrays(
                 [b["row"], pa.array([False if i is None else next(found) for i in ids], pa.bool_())], names=["row", "has_audio"])
 
@@ -81,7 +81,7 @@ def with_existence(df: DataFrame, audio_dir: str, ext: str = ".wav", id_col: str
     return out.select("row.*", "has_audio")
 
 
-def _exist(fs, paths: list[str]) -> list[bool]:
+def exist(fs, paths: list[str]) -> list[bool]:
     """Whether each path exists, asked at once; path by path if one of them
     is no possible name."""
     from pyarrow import fs as pafs
@@ -94,7 +94,7 @@ def _exist(fs, paths: list[str]) -> list[bool]:
                 return [False]
             raise
         half = len(paths) // 2
-        return _exist(fs, paths[:half]) + _exist(fs, paths[half:])
+        return exist(fs, paths[:half]) + exist(fs, paths[half:])
 
 
 def read_headers(df: DataFrame, path_col: str = "path") -> DataFrame:
