@@ -21,8 +21,10 @@ rows count each time.  An empty table gives no rows.  The input's columns but
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -69,23 +71,58 @@ class Side:
         return self.flat[np.repeat(self.begin[ids] - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)]
 
 
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
+#: Fixed value: how a byte-level file without a pattern of its own cuts texts.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranks_of(content: dict, entries: list[bytes]) -> dict[bytes, int] | None:
+    """The file as ranks of byte strings, if it says no more than those: plain
+    byte-level pieces, and every merge makes the next higher id."""
+    model, cut = content["model"], content.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or content.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex"):
+        return None
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if any(b <= a for a, b in zip(made, made[1:])) or len(made) + 256 != len(model["vocab"]):
+        return None
+    ranks = {entries[i]: i for i in model["vocab"].values()}
+    single = [ranks.get(bytes([b])) for b in range(256)]
+    return ranks if None not in single and max(single) < min(made, default=256) else None
+
+
 class ByteLevel(Side):
-    """Byte-level BPE from a ``tokenizers`` file; encodes a space and the text."""
+    """Byte-level BPE from a ``tokenizers`` file; encodes a space and the text.
+    A file that is a list of ranks runs as one, which gives the same ids."""
 
     def __init__(self, content: bytes) -> None:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_buffer(content)
-        tokenizer.encode_special_tokens = True
-        self.cached = Cached(tokenizer, LEADING)
-        vocabulary, letters = tokenizer.get_vocab(), byte_letters()
+        parsed = json.loads(content)
+        vocabulary, letters = {t["content"]: t["id"] for t in parsed.get("added_tokens", [])} | parsed["model"]["vocab"], byte_letters()
         entries = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             entries[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         super().__init__(entries)
+        ranks = ranks_of(parsed, entries)
+        self.ranked = self.cached = None
+        if ranks:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_buffer(content)
+            tokenizer.encode_special_tokens = True
+            self.cached = Cached(tokenizer, LEADING)
 
     def encode(self, texts: list[str], raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.cached.encode(raw, offsets)
+        if self.cached:
+            return self.cached.encode(raw, offsets)
+        return _joined([self.ranked.encode_ordinary(" " + t) if t else [] for t in texts])
 
 
 class Pieces(Side):
@@ -102,9 +139,7 @@ class Pieces(Side):
         super().__init__(entries)
 
     def encode(self, texts: list[str], raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists = self.model.encode(texts, num_threads=1)
-        counts = np.array([len(x) for x in lists], np.int64)
-        return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
+        return _joined(self.model.encode(texts, num_threads=1))
 
 
 class Both:
@@ -277,13 +312,20 @@ class Slice:
         tokens = np.cumsum(self.n_a + self.n_b)
         marked = np.ones(len(value), bool)
         marked[tokens[self.n_a + self.n_b > 0] - 1] = False  # nothing after a text's last id
-        digits = 1 + sum((value >= 10 ** k).astype(np.int64) for k in range(1, 10))
+        value = value.astype(np.uint32)
+        digits = np.ones(len(value), np.int64)
+        for k in range(1, 10):
+            if not len(value) or int(value.max()) < 10 ** k:
+                break
+            digits += value >= 10 ** k
         ends = np.cumsum(digits + marked)
         starts = ends - digits - marked
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
         for k in range(int(digits.max()) if len(digits) else 0):
-            has = digits > k
-            out[starts[has] + digits[has] - 1 - k] = 48 + value[has] // 10 ** k % 10
+            rest = value // np.uint32(10)
+            last, has = (value - rest * np.uint32(10)).astype(np.uint8), digits > k
+            out[(starts + digits)[has] - 1 - k] = last[has] + 48
+            value = rest
         out[ends[marked] - 1] = mark[marked]
         offsets = np.concatenate(([0], np.concatenate(([0], ends))[tokens])).astype(np.int64)
         return pa.LargeStringArray.from_buffers(len(tokens), pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())

@@ -42,12 +42,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..sources.committed import Staging, Written, fs_and_path
 from . import kernel as K
-from .cached_words import APART, Cached
+from .cached_words import Cached
 from .io import lean, prepare, table
 
 MAGIC = b"S8BIDS01"
 BLOCK = 1024
 FILE_IDS = 1 << 22
+#: Bytes of texts that a task encodes at a time.
+TEXT_BYTES = 2 << 20
 #: Ids that one selector packs, and the bits of each; the last selector is the
 #: escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
@@ -77,8 +79,23 @@ def _selectors(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, fits[place]
 
 
+#: Blocks that are coded and decoded at a time.
+TOGETHER = 256
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, escapes, words before each block, escapes before each block)."""
+    parts, words, escapes = [], 0, 0
+    for at in range(0, len(ids), TOGETHER * BLOCK):
+        part = _pack(ids[at:at + TOGETHER * BLOCK])
+        parts.append((part[0], part[1], part[2] + np.uint32(words), part[3] + np.uint32(escapes)))
+        words, escapes = words + len(part[0]), escapes + len(part[1])
+    if not parts:
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.uint32),) * 2
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids = ids.astype(np.uint64)
     place, selector = _selectors(ids)
     words = selector.astype(np.uint64) << np.uint64(60)
@@ -145,7 +162,11 @@ def parse_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if at != len(content):
         raise ValueError("an id file is cut off")
     doc_ids, ends, word_offsets, escape_offsets, coded, escaped = parts
-    return doc_ids, ends, unpack(coded, escaped, word_offsets, escape_offsets, n)
+    ids = np.empty(n, np.uint64)
+    for first in range(0, blocks, TOGETHER):
+        last = min(first + TOGETHER, blocks)
+        ids[first * BLOCK:last * BLOCK] = unpack(coded, escaped, word_offsets, escape_offsets, n, first, last)
+    return doc_ids, ends, ids
 
 
 @dataclass
@@ -319,11 +340,9 @@ def _encode(content, end_id: int | None):
         key = hash(content.value)
         if key not in _LOADED:
             _LOADED.clear()
-            from tokenizers import Tokenizer
-
-            _LOADED[key] = Cached(Tokenizer.from_buffer(content.value), APART)
+            _LOADED[key] = Cached.dropping_space(content.value)
         for b in batches:
-            for at, data, offsets in K.chunks(b["text"]):
+            for at, data, offsets in K.chunks(b["text"], TEXT_BYTES):
                 ids, counts = _LOADED[key].encode(data, offsets)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
