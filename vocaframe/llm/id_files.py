@@ -16,7 +16,7 @@ File (little-endian)::
     uint64 words; uint64 escapes
 
 ``write_ids`` range-partitions by ``doc_id``; each task writes files of at
-most ``FILE_IDS`` ids (a longer document is a file of its own).  Files are
+most ``file_ids`` ids (a longer document is a file of its own).  Files are
 staged and appear at the commit, which also writes ``index.json``: the files
 in order with their counts, and the ids of all files before each.  From it
 every document gets its ``start`` in the whole corpus.
@@ -176,8 +176,8 @@ class IdsWritten(Written):
 
 
 class IdWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str) -> None:
-        self.staging = Staging(folder)
+    def __init__(self, folder: str, file_ids: int) -> None:
+        self.staging, self.file_ids = Staging(folder), file_ids
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> IdsWritten:
         attempt, made, files = self.staging.attempt(), set(), []
@@ -204,10 +204,10 @@ class IdWriter(DataSourceArrowWriter):
             docs, values = batch["doc_id"].to_numpy(), values.to_numpy(zero_copy_only=False).astype(np.int64)
             at = 0
             while at < len(docs):
-                room = edges[at] + max(FILE_IDS - size, 1)
+                room = edges[at] + max(self.file_ids - size, 1)
                 end = min(max(int(np.searchsorted(edges, room, "right")) - 1, at + 1), len(docs))
                 ids = values[edges[at]:edges[end]]
-                if size and size + len(ids) > FILE_IDS:
+                if size and size + len(ids) > self.file_ids:
                     flush()
                     continue
                 if len(ids) and ids.min() < 0:
@@ -215,7 +215,7 @@ class IdWriter(DataSourceArrowWriter):
                 held.append((docs[at:end], np.diff(edges[at:end + 1]), ids))
                 size += len(ids)
                 at = end
-                if size >= FILE_IDS:
+                if size >= self.file_ids:
                     flush()
         if held:
             flush()
@@ -283,21 +283,22 @@ class IdFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> IdWriter:
         if overwrite:
             raise ValueError("an id folder is written once: use mode('append') and a new folder")
-        return IdWriter(self.options["path"])
+        return IdWriter(self.options["path"], int(self.options.get("file_ids", FILE_IDS)))
 
     def reader(self, schema) -> IdReader:
         return IdReader(self.options["path"])
 
 
-def write_ids(df: DataFrame, folder: str, ids: str = "ids", order: str = "doc_id") -> None:
-    """Write ``df``'s ids to ``folder`` in ascending ``doc_id`` order.
+def write_ids(df: DataFrame, folder: str, ids: str = "ids", file_ids: int = FILE_IDS) -> None:
+    """Write ``df``'s ids to ``folder`` in ascending ``doc_id`` order, in files
+    of ``file_ids`` ids at most.
 
     ``df`` should be a written table: the range partitioning samples it first."""
     spark = df.sparkSession
     prepare(spark)
     spark.dataSource.register(IdFiles)
-    filled = df.select(F.col(order).cast("long").alias("doc_id"), F.coalesce(F.col(ids).cast("array<long>"), F.array().cast("array<long>")).alias("ids"))
-    filled.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").write.format("simple8b_ids").mode("append").save(folder)
+    filled = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(ids).cast("array<long>"), F.array().cast("array<long>")).alias("ids"))
+    filled.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").write.format("simple8b_ids").option("file_ids", file_ids).mode("append").save(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
