@@ -26,7 +26,7 @@ APART, SIGNS, LEADING = "apart", "signs", "leading"
 SIGN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Bytes of the longest run that is remembered, runs remembered, and characters
 #: of new runs that the tokenizer gets at a time.
-LONGEST, KEPT, TOGETHER = 64, 1 << 19, 1 << 14
+LONGEST, KEPT, TOGETHER = 64, 1 << 18, 1 << 14
 
 _BLANK = K._lut(b" \t\n\r\x0b\x0c")
 _PLAIN = np.arange(256) < 0x80

@@ -38,7 +38,7 @@ from .io import lean, prepare, table
 
 #: Ids 1 to HEAD are frequent: their tiles (TILES * TILES of them) are dense.
 HEAD, TILES = 1024, 4
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Partial sums of a dense tile; pairs that a task merges at a time.
 SALTS, MERGE = 16, 1 << 20
 #: Frequent items of a level that are broadcast at most (24 bytes each).

@@ -43,13 +43,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..sources.committed import Staging, Written, fs_and_path
 from . import kernel as K
 from .cached_words import Cached
-from .io import lean, prepare, table
+from .io import lean, prepare
 
 MAGIC = b"S8BIDS01"
 BLOCK = 1024
 FILE_IDS = 1 << 22
 #: Bytes of texts that a task encodes at a time.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: Ids that one selector packs, and the bits of each; the last selector is the
 #: escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
@@ -193,15 +193,7 @@ class IdWriter(DataSourceArrowWriter):
             files.append((name, len(docs), len(ids), int(docs[0])))
             held, size = [], 0
 
-        for batch in iterator:
-            if not batch.num_rows:
-                continue
-            lists = batch["ids"]
-            edges = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values
-            if batch["doc_id"].null_count or values.slice(edges[0], edges[-1] - edges[0]).null_count:
-                raise ValueError("doc_id and ids must not be null")
-            docs, values = batch["doc_id"].to_numpy(), values.to_numpy(zero_copy_only=False).astype(np.int64)
+        for docs, edges, values in self._documents(iterator):
             at = 0
             while at < len(docs):
                 room = edges[at] + max(self.file_ids - size, 1)
@@ -221,6 +213,18 @@ class IdWriter(DataSourceArrowWriter):
             flush()
         return IdsWritten(attempt, files)
 
+    def _documents(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(doc_ids, where each one's ids begin and the end, ids)."""
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            lists = batch["ids"]
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values
+            if batch["doc_id"].null_count or values.slice(edges[0], edges[-1] - edges[0]).null_count:
+                raise ValueError("doc_id and ids must not be null")
+            yield batch["doc_id"].to_numpy(), edges, values.to_numpy(zero_copy_only=False).astype(np.int64)
+
     def commit(self, messages: list) -> None:
         self.staging.commit([m.attempt for m in messages if m])
         # parts are ranges of doc_id in order, files of a part are numbered
@@ -237,6 +241,23 @@ class IdWriter(DataSourceArrowWriter):
         self.staging.abort()
 
 
+class TextWriter(IdWriter):
+    """Takes ``doc_id, text`` and encodes the texts itself: a task runs one
+    Python worker, and ids are neither shuffled nor written twice."""
+
+    def __init__(self, folder: str, file_ids: int, tokenizer: bytes, end_id: int | None) -> None:
+        super().__init__(folder, file_ids)
+        self.tokenizer, self.end_id = tokenizer, end_id
+
+    def _documents(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        words = _words(self.tokenizer)
+        for batch in iterator:
+            if batch["doc_id"].null_count:
+                raise ValueError("doc_id must not be null")
+            for at, ids, counts in _encoded(words, batch["text"], self.end_id):
+                yield batch["doc_id"].slice(at, len(counts)).to_numpy(), np.concatenate(([0], np.cumsum(counts))), ids
+
+
 @dataclass
 class IdFile(InputPartition):
     path: str
@@ -271,7 +292,7 @@ class IdReader(DataSourceReader):
 class IdFiles(DataSource):
     """``format("simple8b_ids")``: writes ``doc_id long, ids array<long>``
     (rows of a partition in order, partitions in the order of their numbers),
-    reads them with ``start``, the ids of all documents before."""
+    or ``doc_id long, text string`` with the option ``tokenizer``; reads them with ``start``, the ids of all documents before."""
 
     @classmethod
     def name(cls) -> str:
@@ -283,7 +304,13 @@ class IdFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> IdWriter:
         if overwrite:
             raise ValueError("an id folder is written once: use mode('append') and a new folder")
-        return IdWriter(self.options["path"], int(self.options.get("file_ids", FILE_IDS)))
+        folder, file_ids = self.options["path"], int(self.options.get("file_ids", FILE_IDS))
+        if "tokenizer" not in self.options:
+            return IdWriter(folder, file_ids)
+        with open(self.options["tokenizer"], "rb") as f:  # on the driver; tasks get the content
+            content = f.read()
+        end_id = self.options.get("end_id")
+        return TextWriter(folder, file_ids, content, int(end_id) if end_id is not None else None)
 
     def reader(self, schema) -> IdReader:
         return IdReader(self.options["path"])
@@ -297,8 +324,10 @@ def write_ids(df: DataFrame, folder: str, ids: str = "ids", file_ids: int = FILE
     spark = df.sparkSession
     prepare(spark)
     spark.dataSource.register(IdFiles)
-    filled = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(ids).cast("array<long>"), F.array().cast("array<long>")).alias("ids"))
-    filled.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").write.format("simple8b_ids").option("file_ids", file_ids).mode("append").save(folder)
+    kind = dict(df.dtypes)[ids]
+    filled = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(ids), F.array().cast(kind)).alias("ids"))
+    ordered = filled.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered.select("doc_id", F.col("ids").cast("array<long>").alias("ids")).write.format("simple8b_ids").option("file_ids", file_ids).mode("append").save(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -336,18 +365,30 @@ def little_endian(df: DataFrame, ids: str = "ids", name: str = "bytes") -> DataF
 _LOADED: dict[int, Cached] = {}
 
 
+def _words(content: bytes) -> Cached:
+    """One tokenizer a worker process."""
+    key = hash(content)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Cached.dropping_space(content)
+    return _LOADED[key]
+
+
+def _encoded(words: Cached, texts: pa.Array, end_id: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, ids of each text) of a batch, a slice at a time."""
+    for at, data, offsets in K.chunks(texts, TEXT_BYTES):
+        ids, counts = words.encode(data, offsets)
+        if end_id is not None:
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            counts = counts + 1
+        yield at, ids, counts
+
+
 def _encode(content, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(content.value)
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Cached.dropping_space(content.value)
+        words = _words(content.value)
         for b in batches:
-            for at, data, offsets in K.chunks(b["text"], TEXT_BYTES):
-                ids, counts = _LOADED[key].encode(data, offsets)
-                if end_id is not None:
-                    ids = np.insert(ids, np.cumsum(counts), end_id)
-                    counts = counts + 1
+            for at, ids, counts in _encoded(words, b["text"], end_id):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(counts)), lists], names=["doc_id", "ids"])
 
@@ -368,6 +409,15 @@ def encode_words(docs: DataFrame, path: str, end_id: int | None = None) -> DataF
     return texts.mapInArrow(lean(_encode(content, end_id)), "doc_id long, ids array<int>")
 
 
-def save_texts(docs: DataFrame, path: str, folder: str, end_id: int | None = None) -> None:
-    """Encode ``docs`` and write the ids to ``folder``."""
-    write_ids(table(encode_words(docs, path, end_id), "ids"), folder)
+def save_texts(docs: DataFrame, path: str, folder: str, end_id: int | None = None, file_ids: int = FILE_IDS) -> None:
+    """Encode ``docs`` as :func:`encode_words` does and write the ids to
+    ``folder`` in ascending ``doc_id`` order.  The texts are range-partitioned;
+    each task encodes and packs its range.  Rows with the same ``doc_id`` are
+    ordered by their texts."""
+    spark = docs.sparkSession
+    prepare(spark)
+    spark.dataSource.register(IdFiles)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    writer = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").write.format("simple8b_ids").mode("append")
+    writer = writer.option("file_ids", file_ids).option("tokenizer", path)
+    (writer if end_id is None else writer.option("end_id", end_id)).save(folder)
