@@ -134,6 +134,11 @@ def _word_ids(known: Broadcast):
 # --- sequences and pairs -----------------------------------------------------------
 
 def _state(number: int, ids: np.ndarray) -> pa.RecordBatch:
+    """A row of a level's table.  Zeros in a row become one: only neighbours
+    count, and a sequence then takes no more room than its frequent items."""
+    keep = ids > 0
+    keep[1:] |= ids[:-1] > 0
+    ids = ids[keep]
     wide = len(ids) and ids.max() >= 1 << 32
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids.astype(np.int64 if wide else np.uint32).tobytes()], pa.binary()), pa.array([8 if wide else 4], pa.int32())], names=["slice", "seq", "width"])
 
