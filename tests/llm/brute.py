@@ -41,7 +41,7 @@ def classes(rows):
 def kept_lines(rows, k=5):
     """doc_id -> (lines, removed, text left)."""
     lines = [(i, n, line) for i, t in rows if t is not None for n, line in enumerate(t.split("\n"))]
-    sets = {(i, n): shingles(words(line), k) if len(words(line)) >= k else None for i, n, line in lines}
+    sets = {(i, n): shingles(words(line), k) for i, n, line in lines}
     gone = {at for at, s in sets.items() if s and any(o and before < at and similar(s, o) for before, o in sets.items())}
     out = {}
     for i, t in rows:

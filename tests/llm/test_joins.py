@@ -61,6 +61,20 @@ def test_line_dedup_of_repeated_rows_and_missing_ids(spark):
     assert got == [(0, 0, line), (1, 0, line), (1, 0, line), (2, 1, "new words come after this line")]
 
 
+def test_line_dedup_of_lines_with_few_words(spark):
+    rows = [(1, "Click here now\n\nShare\nunique words"), (2, "click  HERE now\n\nClick here"), (3, "Share\nClick here now please\n一二三四五六七八九十"), (4, "一二三四五六七八九十\n \nhere Click now\nShare\nShare")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (1, "\nClick here"), 3: (1, "Click here now please\n一二三四五六七八九十"), 4: (3, " \nhere Click now")}
+    assert got == {i: x[1:] for i, x in brute.kept_lines(rows).items()}
+
+
+def test_line_dedup_forgets_lines_beyond_its_table(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SEEN_SLOTS", 2)
+    rows = brute.corpus(5, 30)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == brute.kept_lines(rows)
+
+
 def test_line_dedup_salted(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SALT_ROWS", 4)
     rows = brute.corpus(4, 40)

@@ -2,7 +2,9 @@
 
 Lines are the pieces of a text between line feeds.  A line's tokens are its
 distinct five-word shingles (words: ASCII letters folded, split at ASCII white
-space); a line of fewer words than ``k`` says too little and is always kept.
+space); the whole word sequence of a line of fewer words than ``k`` is its one
+token, so that such a line only matches lines of the same words.  Lines without
+words are always kept.
 Lines are ordered by (doc_id, line number).  A line is removed when a line
 earlier in that order has the same tokens or a Jaccard similarity of at least
 ``percent`` hundredths; both are judged on the input, not on what is left.
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +47,8 @@ SALT_ROWS = 1 << 16
 
 
 class Lines:
-    """The lines of a slice of a batch that have ``k`` words or more, as arrays:
-    row, line number, size, set hash, and all tokens line by line, sorted."""
+    """The lines of a slice of a batch that have words, as arrays: row, line
+    number, size, set hash, and all tokens line by line, sorted."""
 
     def __init__(self, at: int, data: np.ndarray, offsets: np.ndarray, k: int) -> None:
         starts, ends, first = K.word_spans(data, offsets)
@@ -61,20 +64,26 @@ class Lines:
         self.line = before[lead] - np.searchsorted(feeds, offsets[row[lead]])
         # shingles of all windows that stay inside their line
         size = max(len(starts) - k + 1, 0)
-        hashes = K.range_hash(data, starts, ends) if size else np.zeros(0, np.uint64)
+        hashes = K.range_hash(data, starts, ends)
         total = np.zeros(size, np.uint64)
         for i in range(k):
             total += hashes[i:size + i] * K._STEP[i]
         inside = line[:size] == line[k - 1:k - 1 + size]
         token, own = K.mix(total + np.uint64(k))[inside], line[:size][inside]
+        # shorter lines: one token of all words
+        brief = np.flatnonzero(n_words < k)
+        if len(brief):
+            at_ = np.flatnonzero((n_words < k)[line])
+            parts = hashes[at_] * K._STEP[at_ - lead[line[at_]]]
+            sums = np.add.reduceat(parts, np.cumsum(n_words[brief]) - n_words[brief])
+            token = np.concatenate((token, K.mix(sums + n_words[brief].astype(np.uint64))))
+            own = np.concatenate((own, brief))
         order = np.argsort((own.astype(np.uint64) << np.uint64(40)) | (token >> np.uint64(24)), kind="stable")
         token, own = token[order], own[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
         token, own = token[new], own[new]
-        keep = n_words >= k
-        self.row, self.line = self.row[keep], self.line[keep]
-        self.n = np.bincount(own, minlength=len(n_words))[keep] if len(n_words) else np.zeros(0, np.int64)
+        self.n = np.bincount(own, minlength=len(n_words)) if len(n_words) else np.zeros(0, np.int64)
         self.token = token
         self.start = np.concatenate(([0], np.cumsum(self.n))).astype(np.int64)
         at_ = self.start[:-1]
@@ -105,22 +114,27 @@ def _describe(k: int):
     return run
 
 
+SEEN_SLOTS = 1 << 18  # lines that a task remembers to have routed, 2 MB
+
 _ROUTE = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("vid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
 def _prefixes(k: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = counts.value
-        seen = np.zeros(0, np.uint64)
+        seen = np.zeros(SEEN_SLOTS, np.uint64)
         for b in batches:
             for at, data, offsets in K.chunks(b["text"]):
                 x = Lines(at, data, offsets, k)
                 if not len(x.n):
                     continue
-                # equal lines of a task are routed once
+                # equal lines of a task are routed once, unless their place
+                # in the table of the task was taken since; doubles are dropped
+                # where they meet
                 vids, lead = np.unique(x.vid, return_index=True)
-                fresh = ~np.isin(vids, seen)
-                seen = np.concatenate((seen, vids[fresh]))
+                place = (vids >> np.uint64(20)).astype(np.int64) & (SEEN_SLOTS - 1)
+                fresh = seen[place] != vids
+                seen[place] = vids
                 pick = np.zeros(len(x.n), bool)
                 pick[lead[fresh]] = True
                 own = np.repeat(np.arange(len(x.n)), x.n)
@@ -226,18 +240,18 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, lines, removed = [], [], []
-        for text, gone in zip(b["text"], b["gone"]):
-            text, gone = text.as_py(), gone.as_py()
-            parts = text.split("\n") if text is not None else []
-            lines.append(len(parts))
-            removed.append(len(gone or ()))
-            if gone:
-                keep = np.ones(len(parts), bool)
-                keep[gone] = False
-                text = "\n".join(p for p, k in zip(parts, keep) if k)
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([b[b.schema.names[0]], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "n_lines", "n_removed"])
+        gone = b["gone"]
+        lines = pc.fill_null(pc.add(pc.cast(pc.count_substring(b["text"], "\n"), pa.int64()), 1), 0)
+        removed = pc.cast(pc.fill_null(pc.list_value_length(gone), 0), pa.int64())
+        # only texts that lose lines are taken apart
+        left = []
+        for text, numbers in zip(b["text"].filter(gone.is_valid()), gone.filter(gone.is_valid())):
+            parts = text.as_py().split("\n")
+            keep = np.ones(len(parts), bool)
+            keep[numbers.values.to_numpy()] = False
+            left.append("\n".join(p for p, k in zip(parts, keep) if k))
+        texts = pc.replace_with_mask(b["text"], gone.is_valid(), pa.array(left, pa.string()))
+        yield pa.RecordBatch.from_arrays([b[b.schema.names[0]], texts, lines, removed], names=["row", "text", "n_lines", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:

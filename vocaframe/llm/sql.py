@@ -53,7 +53,7 @@ WITH l AS (
 ), w AS (
   SELECT doc_id, z[2] AS line, z[1] AS body, regexp_extract_all(translate(z[1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l
 ), s AS (
-  SELECT doc_id, line, list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS sh FROM w WHERE len(ws) >= 5
+  SELECT doc_id, line, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS sh FROM w WHERE len(ws) >= 1
 ), v AS (
   SELECT sh, len(sh) AS n, min(doc_id * 1000000 + line) AS place, row_number() OVER (ORDER BY min(doc_id * 1000000 + line)) AS vid FROM s GROUP BY sh
 ), e AS (
