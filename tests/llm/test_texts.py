@@ -106,17 +106,41 @@ def test_licenses(spark):
         assert got[i].n_words == len(ws)
         assert sorted(got[i].places) == sorted(places)
         best = {}
-        for line in (text or "").split("\n"):
-            lw = split(line)
-            for s in range(0, max(len(lw) - licenses.BLOCK // 2, 1), licenses.BLOCK // 2):
-                block = set(lw[s:s + licenses.BLOCK])
-                for _, label, t in templates:
-                    if 100 * len(block & set(t)) >= 80 * len(t):
-                        best[label] = max(best.get(label, 0), len(block & set(t)) / len(t))
+        for at in range(0, max(len(ws) - licenses.BLOCK // 2, 1), licenses.BLOCK // 2):
+            block = set(ws[at:at + licenses.BLOCK])
+            hits = [t for t in templates if set(t.telling) <= block and 100 * len(block & set(t.words)) >= 80 * len(t.words)]
+            for t in hits:
+                if len(t.telling) == max(len(o.telling) for o in hits if o.family == t.family):
+                    best[t.label] = max(best.get(t.label, 0), len(block & set(t.words)) / len(t.words))
         assert {m.label: m.containment for m in got[i].matches} == best
     assert licenses.scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the notice appears."""
+NOTICES = [
+    (MIT, "mit"), ("\n".join(" * " + line for line in MIT.split("\n")), "mit"), (ISC, "isc"), ("# " + ISC.replace("\n", "\n# "), "isc"),
+    (GPL.format(""), "gpl"), (GPL.format("Lesser "), "lgpl"), (GPL.format("Affero "), "agpl"),
+    ("This work is licensed under a Creative Commons\nAttribution 4.0 International License", "cc-by"),
+    ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("Licensed under CC BY 4.0", ""), ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("The report was released under the old license after the war", ""), ("we may not use this file except in a compliance test", ""),
+]
+
+
+def test_wrapped_notices_and_their_relatives(spark):
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, [t for t, _ in NOTICES])).collect()}
+    assert [",".join(m.label for m in got[i].matches) for i in range(len(NOTICES))] == [label for _, label in NOTICES]
+
+
 # fingerprints
 
 def test_fingerprints_estimate_jaccard(spark):

@@ -4,9 +4,12 @@ DataFrame functions only.  Words are lower-cased (A-Z) runs of everything that
 is no ASCII mark, space or control character.  Two findings are made:
 
 * *base* places: where the words of a phrase stand consecutively;
-* template matches: a block of text (a run of up to ``BLOCK`` words of a line,
-  runs overlap by half) holds at least ``percent`` hundredths of the distinct
-  words of a template (containment).
+* template matches: a block of text (a run of up to ``BLOCK`` words of the
+  text, whatever its line breaks; runs overlap by half) holds at least
+  ``percent`` hundredths of the distinct words of a template (containment), and
+  all of its telling words, those that set it apart from related licenses.
+  Of related templates (a family) in one block those with the most telling
+  words count, so that a notice of the Lesser GPL is none of the GPL.
 
 The template join is exact.  The template words are ordered by their frequency
 in all documents, rarest first.  A block that reaches the threshold holds one
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,35 +45,42 @@ PHRASES = [
     ("mit license", "mit"),
 ]
 
-#: Public license notices and their labels.
+#: Labels, families, telling words and texts of public license notices.
 TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "Released under the MIT License"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related rights"),
-    ("proprietary", "All rights reserved. No part of this work may be reproduced without prior written permission of the copyright holder"),
+    ("mit", "mit", "permission hereby", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "mit", "mit", "Released under the MIT License"),
+    ("apache", "apache", "apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "apache", "apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0"),
+    ("gpl", "gnu", "gnu", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "gnu", "gnu", "This work is licensed under the GNU General Public License, version 3"),
+    ("lgpl", "gnu", "gnu lesser", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("agpl", "gnu", "gnu affero", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("bsd", "bsd", "redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mpl", "mpl", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("isc", "isc", "permission hereby purpose", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "unlicense", "unencumbered", "This is free and unencumbered software released into the public domain"),
+    ("cc-by", "cc", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "cc", "creative commons attribution sharealike", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "cc", "creative commons attribution noncommercial", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc", "cc-short", "cc by nc", "Licensed under CC BY-NC 4.0"),
+    ("cc0", "cc0", "cc0 waived", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related rights"),
+    ("proprietary", "proprietary", "rights reserved permission", "All rights reserved. No part of this work may be reproduced without prior written permission of the copyright holder"),
 ]
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def template_words() -> list[tuple[int, str, list[str]]]:
-    """(number, label, distinct words) of every template."""
-    return [(i, label, sorted(set(re.findall(r"[a-z0-9]+", text.lower())))) for i, (label, text) in enumerate(TEMPLATES)]
+class Template(NamedTuple):
+    number: int
+    label: str
+    family: str
+    telling: list[str]
+    words: list[str]  # distinct
+
+
+def template_words() -> list[Template]:
+    return [Template(i, label, family, sorted(telling.split()), sorted(set(re.findall(r"[a-z0-9]+", text.lower())))) for i, (label, family, telling, text) in enumerate(TEMPLATES)]
 
 
 def words_of(text: Column) -> Column:
@@ -98,7 +109,7 @@ def base_places(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES) -> Da
 
 def word_order(docs: DataFrame) -> dict[str, int]:
     """Place of each template word in the order of document frequency."""
-    known = sorted({w for _, _, ws in template_words() for w in ws})
+    known = sorted({w for t in template_words() for w in t.words})
     held = F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, known)))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()  # a row a template word at most
     often = {r.word: r.n for r in counts}
@@ -111,28 +122,31 @@ def template_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     order = word_order(docs)
     rows, first = [], set()
-    for number, label, ws in template_words():
-        ws = sorted(ws, key=order.get)
+    for t in template_words():
+        ws = sorted(t.words, key=order.get)
         needed = math.ceil(percent * len(ws) / 100)
         for pos, w in enumerate(ws[:len(ws) - needed + 1]):
-            rows.append((number, label, ws, needed, w, pos))
+            rows.append((t.number, t.label, t.family, t.telling, ws, needed, w, pos))
             first.add(w)
-    templates = spark.createDataFrame(rows, "template int, label string, words array<string>, needed int, word string, pos int")
+    templates = spark.createDataFrame(rows, "template int, label string, family string, telling array<string>, words array<string>, needed int, word string, pos int")
     known = F.array(*[F.lit(w) for w in sorted(order, key=order.get)])
     prefix = F.array(*[F.lit(w) for w in sorted(first)])
 
     # blocks of the texts that hold some prefix word at all
-    texts = docs.where(F.arrays_overlap(words_of(F.col("text")), prefix))
-    lines = texts.select("key", F.explode(F.split("text", "\n")).alias("line")).select("key", words_of(F.col("line")).alias("words")).where(F.arrays_overlap("words", prefix))
+    texts = docs.select("key", words_of(F.col("text")).alias("words")).where(F.arrays_overlap("words", prefix))
     begins = F.sequence(F.lit(0), F.greatest(F.size("words") - BLOCK // 2 - 1, F.lit(0)), F.lit(BLOCK // 2))
-    runs = lines.select("key", "words", F.explode(begins).alias("begin")).select("key", F.slice("words", F.col("begin") + 1, BLOCK).alias("run"))
+    runs = texts.select("key", "words", F.explode(begins).alias("begin")).select("key", "begin", F.slice("words", F.col("begin") + 1, BLOCK).alias("run"))
     # the template words of a block, rarest first
-    blocks = runs.select("key", F.array_intersect(known, "run").alias("held"))
-    tokens = blocks.select("key", "held", F.size("held").alias("n"), F.posexplode("held").alias("at", "word"))
+    blocks = runs.select("key", "begin", F.array_intersect(known, "run").alias("held"))
+    tokens = blocks.select("key", "begin", "held", F.size("held").alias("n"), F.posexplode("held").alias("at", "word"))
     near = tokens.join(F.broadcast(templates), "word").where("n >= needed and 1 + least(size(words) - pos - 1, n - at - 1) >= needed")
     shared = F.size(F.array_intersect("words", "held"))
-    found = near.select("key", "label", shared.alias("shared"), F.size("words").alias("size"), "needed").where("shared >= needed")
-    return found.groupBy("key", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
+    told = F.size(F.array_except("telling", "held")) == 0
+    found = near.where(told).select("key", "begin", "family", F.size("telling").alias("special"), "label", shared.alias("shared"), F.size("words").alias("size"), "needed").where("shared >= needed")
+    # of a family in a block (a handful of templates) the most special ones
+    families = found.groupBy("key", "begin", "family").agg(F.max("special").alias("most"), F.collect_set(F.struct("special", "label", (F.col("shared") / F.col("size")).alias("containment"))).alias("of"))
+    best = families.select("key", F.explode(F.filter("of", lambda m: m["special"] == F.col("most"))).alias("m"))
+    return best.groupBy("key", F.col("m.label").alias("label")).agg(F.max("m.containment").alias("containment"))
 
 
 def scan(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -73,7 +73,7 @@ GROUP BY w.doc_id
 """
 
 _WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-_TEMPLATES = ", ".join(f"({i}, '{label}', {ws})" for i, label, ws in template_words())
+_TEMPLATES = ", ".join(f"({t.number}, '{t.label}', '{t.family}', {t.telling}, {t.words})" for t in template_words())
 _PHRASES = ", ".join(f"('{p}', {p.split()}, '{label}')" for p, label in PHRASES)
 
 OP4 = rf"""
@@ -84,15 +84,15 @@ WITH d AS (
   FROM d, (VALUES {_PHRASES}) p(phrase, parts, label)
 ), base AS (
   SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM b GROUP BY doc_id
-), l AS (
-  SELECT doc_id, {_WORDS.format("line")} AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
 ), r AS (
-  SELECT doc_id, ws[i + 1:i + {BLOCK}] AS run FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {BLOCK // 2}, 1), {BLOCK // 2})) AS i FROM l)
+  SELECT doc_id, i, ws[i + 1:i + {BLOCK}] AS run FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {BLOCK // 2}, 1), {BLOCK // 2})) AS i FROM d)
 ), m AS (
-  SELECT doc_id, t.label, len(list_intersect(t.ws, r.run)) / len(t.ws) AS c, len(list_intersect(t.ws, r.run)) AS shared, len(t.ws) AS size
-  FROM r, (VALUES {_TEMPLATES}) t(number, label, ws)
+  SELECT doc_id, i, t.label, t.family, len(t.telling) AS special, len(list_intersect(t.ws, r.run)) / len(t.ws) AS c, len(list_intersect(t.ws, r.run)) AS shared, len(t.ws) AS size
+  FROM r, (VALUES {_TEMPLATES}) t(number, label, family, telling, ws) WHERE list_has_all(r.run, t.telling)
+), o AS (
+  SELECT * FROM m WHERE 100 * shared >= 80 * size QUALIFY special = max(special) OVER (PARTITION BY doc_id, i, family)
 ), found AS (
-  SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM m WHERE 100 * shared >= 80 * size GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM o GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.lo::BIGINT AS first_word, base.hi::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
