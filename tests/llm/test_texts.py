@@ -143,6 +143,33 @@ def test_wrapped_notices_and_their_relatives(spark):
 
 # fingerprints
 
+def test_fingerprints_of_short_texts_differ(spark):
+    marks = [r.f for r in docs(spark, [f"left{i} right{i}" for i in range(400)]).select("doc_id", fingerprints.fingerprint(F.col("text")).alias("f")).orderBy("doc_id").collect()]
+    assert len(set(marks)) == 400
+    near = spark.createDataFrame(list(zip(marks, marks[1:])), "a string, b string").select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert max(r.x for r in near) < 0.25
+
+
+@pytest.mark.parametrize("size", [5, 20, 100, 400])
+def test_fingerprints_have_little_bias(spark, size):
+    draw = random.Random(size)
+    pairs, true = [], []
+    for n in range(150):
+        shared = draw.randint(0, size)
+        a = [f"s{n}_{i}" for i in range(shared)]
+        sets = [set(a + [f"{side}{n}_{i}" for i in range(size - shared)]) for side in "xy"]
+        pairs.append(tuple(" ".join(f"{w} 1 2 3 4" for w in sorted(s)) for s in sets))
+        # whole five-word steps of the texts: exact sets from the texts themselves
+        x, y = (brute.shingles(t.split()) for t in pairs[-1])
+        true.append(len(x & y) / len(x | y))
+    f = fingerprints.fingerprint
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string").select("i", f(F.col("a")).alias("a"), f(F.col("b")).alias("b"))
+    got = [r.x for r in rows.select("i", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
+    off = [g - t for g, t in zip(got, true)]
+    assert abs(sum(off) / len(off)) < 0.02
+    assert (sum(o * o for o in off) / len(off)) ** 0.5 < 0.09
+
+
 def test_fingerprints_estimate_jaccard(spark):
     draw = random.Random(4)
     base = [f"w{draw.randrange(10**6)}" for _ in range(600)]

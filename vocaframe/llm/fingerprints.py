@@ -3,15 +3,19 @@
 DataFrame functions only.  A text's set is that of its five-word shingles
 (words: lower case, split at white space; fewer words are one shingle).  Each
 shingle is hashed once; its leading bits choose one of ``BINS`` bins and a bin
-keeps its smallest hash.  An empty bin takes the value of the first full bin
-in an order of its own (densification).  The fingerprint holds the
+keeps its smallest hash.  An empty bin probes the bins in a hashed order of
+its own and takes the value of the first full one (optimal densification),
+hashed with its own number, so that bins filled from one shingle are
+independent in their low bits.  The fingerprint holds the
 ``BITS`` low-order bits of each bin, packed as one hexadecimal digit a bin.
 Two bins agree by chance once in ``2**BITS``, which the likeness corrects:
 ``(share of equal bins - 2**-BITS) / (1 - 2**-BITS)``, not below 0.
 
 Equal texts have equal fingerprints.  Cases: null and empty texts and texts of
 white space alone have no shingle and the fingerprint of all zeros; very long
-texts are hashed whole.
+texts are hashed whole; repeated rows each get their own; an empty table gives
+an empty result; columns other than doc_id and text are ignored by
+``compare_neighbours``, and columns named like its results are replaced.
 """
 
 from __future__ import annotations
@@ -72,16 +76,26 @@ def _dense(least: Column) -> Column:
 
 
 def _filled(dense: Column) -> Column:
-    """Empty bins filled: bin j tries j + stride, j + 2 * stride, ... (modulo
-    ``BINS``); its odd stride, different from bin to bin, reaches every bin."""
+    """Empty bins filled.  The ``t``-th probe of bin j is a permutation of the
+    numbers below ``BINS`` that j's hash chooses: odd factors and sums modulo
+    ``BINS`` around a shift, each of them one to one."""
+    low = BINS - 1
 
     def fill(bins: Column) -> Column:
         def value(h: Column, j: Column) -> Column:
-            stride = F.shiftright(j * 40503, 3).bitwiseAND(F.lit(BINS // 2 - 1)) * 2 + 1
-            probe = lambda t: F.get(bins, F.pmod(j + stride * t, F.lit(BINS)))
-            soon = [probe(F.lit(t)) for t in range(1, 7)]
-            later = F.get(F.filter(F.transform(F.sequence(F.lit(7), F.lit(BINS - 1)), probe), lambda x: x.isNotNull()), F.lit(0))
-            return F.coalesce(h, *soon, later)
+            def probed(own: Column) -> Column:
+                part = lambda i: F.shiftrightunsigned(own, 8 * i).bitwiseAND(F.lit(low)).cast("int")
+
+                def probe(t: Column) -> Column:
+                    x = (t * part(0).bitwiseOR(F.lit(1)) + part(1)).bitwiseAND(F.lit(low))
+                    return _let(x, lambda x: F.get(bins, (x.bitwiseXOR(F.shiftright(x, 4)) * part(2).bitwiseOR(F.lit(1)) + part(3)).bitwiseAND(F.lit(low))))
+
+                soon = [probe(F.lit(t)) for t in range(4)]
+                later = F.get(F.filter(F.transform(F.sequence(F.lit(4), F.lit(low)), probe), lambda x: x.isNotNull()), F.lit(0))
+                found = F.coalesce(*soon, later)
+                return _let(found, lambda v: F.when(v.isNotNull(), F.xxhash64(v, j)))
+
+            return F.coalesce(h, _let(F.xxhash64(j), probed))
 
         return F.transform(bins, value)
 
