@@ -56,3 +56,29 @@ def test_request_and_response_steps_on_a_stream(spark, tmpdir_path):
          .trigger(availableNow=True).option("checkpointLocation", os.path.join(tmpdir_path, "ck2")).start())
     q.awaitTermination()
     assert spark.sql("SELECT * FROM vf_responses").first().speech_ids == [4, 5]
+
+
+def test_last_text_per_id_over_batches(spark, tmpdir_path):
+    """Files arrive out of order, one a batch; an id is in several, one is hot."""
+    from vocaframe.operators.manifest import last_text_per_id, parse_manifest
+    from vocaframe.streaming import latest_texts, stream_last_texts
+
+    src, out = os.path.join(tmpdir_path, "lines"), os.path.join(tmpdir_path, "out")
+    columns = "file_id string, text string, first_key long, n_lines long"
+    rows = [(i, f"{'hot' if i % 3 else i % 10}:text {i}") for i in range(200)] + [(200, "no separator"), (201, ""), (202, None), (203, ":x"), (204, "one:a"), (204, "one:a")]
+
+    def run():
+        lines = spark.readStream.schema("line_key long, line string").option("maxFilesPerTrigger", 1).parquet(src)
+        stream_last_texts(lines, out).awaitTermination()
+        return sorted(map(tuple, latest_texts(spark, out, columns).collect()))
+
+    def want(part):
+        return sorted(map(tuple, last_text_per_id(parse_manifest(spark.createDataFrame(part, "line_key long, line string"))).collect()))
+
+    late, early = rows[80:], rows[:80]
+    spark.createDataFrame(late, "line_key long, line string").repartition(3).write.parquet(src)
+    assert run() == want(late)
+    spark.createDataFrame(early, "line_key long, line string").repartition(2).write.mode("append").parquet(src)
+    assert run() == want(rows)
+    assert run() == want(rows)
+    assert latest_texts(spark, os.path.join(tmpdir_path, "none"), columns).count() == 0

@@ -7,6 +7,8 @@ worker.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,21 @@ def _range_map(lo: int, hi: int, to: int) -> tuple[str, str]:
     return src, dst
 
 
-def translate_tables() -> tuple[str, str]:
+VOICED, HALF_VOICED = "\uff9e", "\uff9f"  # the half-width sound marks
+KANA = ("offset", "correct")
+
+
+def half_width_kana() -> tuple[tuple[str, str], list[tuple[str, str]]]:
+    """The half-width forms by their Unicode compatibility mapping: (matching,
+    replace) of the single characters, a mark alone being a character of its
+    own, and ``(letter and mark, one full-width character)`` pairs."""
+    letters = [chr(c) for c in range(K.HALFWIDTH_KANA[0], ord(VOICED))]
+    single = "".join(unicodedata.normalize("NFKC", c) for c in letters) + "\u309b\u309c"
+    joined = [(c + mark, unicodedata.normalize("NFKC", c + mark)) for mark in (VOICED, HALF_VOICED) for c in letters]
+    return ("".join(letters) + VOICED + HALF_VOICED, single), [(pair, full) for pair, full in joined if len(full) == 1]
+
+
+def translate_tables(kana: str = "offset") -> tuple[str, str]:
     """(matching, replace) of the one translate that does steps 3-14.
 
     Mapped characters come first and line up with ``replace``; deleted
@@ -30,8 +46,9 @@ def translate_tables() -> tuple[str, str]:
     for a, b in K.NORM_CHAR_MAP:
         src.append(a)
         dst.append(b)
-    for spec in (K.FULLWIDTH_UPPER, K.FULLWIDTH_LOWER, K.FULLWIDTH_DIGITS, K.HALFWIDTH_KANA):
-        s, d = _range_map(*spec)
+    specs = [_range_map(*spec) for spec in (K.FULLWIDTH_UPPER, K.FULLWIDTH_LOWER, K.FULLWIDTH_DIGITS)]
+    specs.append(_range_map(*K.HALFWIDTH_KANA) if kana == "offset" else half_width_kana()[0])
+    for s, d in specs:
         src.append(s)
         dst.append(d)
     matching = "".join(src) + K.NORM_DELETE_CHARS
@@ -44,9 +61,9 @@ def translate_tables() -> tuple[str, str]:
 FREQUENT_DELETIONS = ("\u0020", "\u3000")
 
 
-def rare_translate_tables() -> tuple[str, str]:
+def rare_translate_tables(kana: str = "offset") -> tuple[str, str]:
     """The step 3-14 translate without the frequent deletions."""
-    matching, replace = translate_tables()
+    matching, replace = translate_tables(kana)
     n = len(replace)
     mapped, deleted = matching[:n], matching[n:]
     for ch in FREQUENT_DELETIONS:
@@ -104,7 +121,16 @@ def literal_pattern(sep: str) -> str:
     return "".join(out)
 
 
-def normalize_text(text: ColumnOrName, passes: int = 1) -> Column:
+def join_sound_marks(text: Column) -> Column:
+    """Half-width letters followed by a sound mark, as one full-width
+    character.  Texts without a mark pass by two byte searches."""
+    joined = text
+    for pair, full in half_width_kana()[1]:
+        joined = F.replace(joined, F.lit(pair), F.lit(full))
+    return F.when(F.contains(text, F.lit(VOICED)) | F.contains(text, F.lit(HALF_VOICED)), joined).otherwise(text)
+
+
+def normalize_text(text: ColumnOrName, passes: int = 1, kana: str = "offset") -> Column:
     """Normalization of transcript text for the speech-token model.
 
     One pass is: delete TAB, delete the literal ``[n]``, one translate for
@@ -114,6 +140,12 @@ def normalize_text(text: ColumnOrName, passes: int = 1) -> Column:
     becomes a run after the last step), so ``passes=2`` reproduces paths that
     normalize twice.
 
+    ``kana="offset"`` (the default) shifts half-width forms by a fixed offset,
+    as the original does.  ``kana="correct"`` maps them to the kana they stand
+    for; a letter and the sound mark after it (once TAB, ``[n]`` and spaces
+    are gone) become one character, a mark without such a letter stays a
+    character of its own.  Null stays null, the empty text stays empty.
+
     Costs: TAB, ``[n]`` and the two space characters are deleted by byte
     searches (steps 3-14 commute, so the spaces can go first, which also
     shortens the text the per-character translate walks); the last step
@@ -123,13 +155,17 @@ def normalize_text(text: ColumnOrName, passes: int = 1) -> Column:
     guards: a guard would reference the previous expression several times,
     and nested passes would multiply the work).
     """
-    matching, replace = rare_translate_tables()
+    if kana not in KANA:
+        raise ValueError(f"kana must be one of {KANA}")
+    matching, replace = rare_translate_tables(kana)
     c = col_of(text)
-    for _ in range(passes):
+    for n in range(passes):
         c = F.replace(c, F.lit(K.NORM_DELETE_TAB), F.lit(""))
         c = F.replace(c, F.lit(K.NORM_DELETE_LITERAL), F.lit(""))
         for ch in FREQUENT_DELETIONS:
             c = F.replace(c, F.lit(ch), F.lit(""))
+        if kana == "correct" and n == 0:  # later passes meet no half-width form
+            c = join_sound_marks(c)
         c = F.translate(c, matching, replace)
         c = F.regexp_replace(c, F.lit(ellipsis_run_pattern()), F.lit(K.ELLIPSIS * 2))
         c = F.array_join(F.regexp_extract_all(c, F.lit(keep_run_pattern()), F.lit(0)), "")

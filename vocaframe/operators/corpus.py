@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,29 @@ def build_corpus(texts: DataFrame, audio_ids: DataFrame | None, codes: DataFrame
     return present.join(one_code_per_id(codes), "file_id", "inner").select(*texts.columns, "code")
 
 
+def store_by_id(df: DataFrame, table: str, path: str, buckets: int | None = None) -> None:
+    """Save ``df`` as the table ``table`` (files at ``path``), bucketed and
+    sorted by ``file_id``: joins of tables with as many buckets read them
+    bucket by bucket and move no row.
+
+    One shuffle here, one file a bucket.  ``buckets`` defaults to
+    ``spark.sql.shuffle.partitions``; size it so that a bucket fits a task
+    (100 TB: about 400,000 of 256 MB).  Rows should be one an id
+    (``last_text_per_id``, ``one_code_per_id``), so that no bucket is hot."""
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, "file_id").write.bucketBy(buckets, "file_id").sortBy("file_id").option("path", path).saveAsTable(table)
+
+
+def build_stored_corpus(spark: SparkSession, texts: str, codes: str) -> DataFrame:
+    """``build_corpus`` on two tables of ``store_by_id``, one row an id in each.
+
+    A merge join by hint: both sides lie in the same buckets, so nothing is
+    exchanged and nothing is broadcast, whatever their sizes.  Texts without
+    codes, null codes and null ids have no row; empty tables give none."""
+    known = spark.table(codes).where(F.col("code").isNotNull()).select("file_id", "code")
+    return spark.table(texts).join(known.hint("merge"), "file_id")
+
+
 def corpus_rows(corpus: DataFrame) -> DataFrame:
     """The written record: raw text and codes, id dropped."""
     return corpus.select("text", "code")

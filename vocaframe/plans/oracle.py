@@ -109,6 +109,10 @@ ORACLE_SQL: dict[str, str] = {
         f"WITH {TEXTS} SELECT doc_id, {G.normalize('text')} AS norm_text, "
         f"{G.normalize('text', 2)} AS norm_text_2 FROM t"
     ),
+    "normalize_text_kana": (
+        f"WITH {TEXTS}, h AS (SELECT doc_id, translate(text, {G.q(S.KANA_LETTERS[0])}, {G.q(S.KANA_LETTERS[1])}) AS text FROM t) "
+        f"SELECT doc_id, {G.normalize_kana('text')} AS norm_text FROM h"
+    ),
     "text_preview": (
         f"WITH {TEXTS}, tn AS (SELECT doc_id, text, {G.normalize('text')} AS n FROM t) "
         f"SELECT doc_id, {G.preview('text')} AS preview, {G.preview('n')} AS norm_preview FROM tn"
@@ -166,6 +170,7 @@ ORACLE_SQL: dict[str, str] = {
         f"WITH {LINES}, {PARSED}, {DEDUP}, {CORPUS} SELECT file_id, text, {G.code_list('code')} AS code_list, "
         "len(code)::BIGINT AS n_codes FROM built"
     ),
+    "corpus_bucketed": f"WITH {LINES}, {PARSED}, {DEDUP}, {CORPUS} SELECT file_id, text, {G.code_list('code')} AS code_list FROM built",
     "corpus_report": (
         f"WITH {LINES}, {PARSED}, {DEDUP}, {CORPUS} "
         "SELECT 'lines' AS metric, count(*) AS value FROM lines "
@@ -317,6 +322,7 @@ ORACLE_SQL: dict[str, str] = {
         "'attachment; filename=speech.' || fmt AS content_disposition, "
         "(n_frames // 320)::BIGINT AS generated_tokens, round(n_frames / 16000.0, 6) AS audio_duration FROM h"
     ),
+    "stream_manifest_last_wins": f"WITH {LINES}, {PARSED}, {DEDUP} SELECT file_id, text, first_key, n_lines FROM dedup",
     "stream_training_prompt": (
         f"WITH {SENT} SELECT conv_id, turn, {G.prompt('text', 'codes')} AS prompt FROM sent"
     ),

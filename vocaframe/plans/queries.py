@@ -38,6 +38,7 @@ from ..sources.audio import read_contents, read_headers, with_existence, write_w
 from ..sources.audio_frames import read_audio_frames
 from ..sources.corpus import read_corpus, write_corpus
 from ..sources.manifest import read_lines, read_manifest
+from ..streaming.manifest import latest_texts, stream_last_texts
 from . import standins as S
 
 SHUFFLE_SEED = 42
@@ -56,6 +57,12 @@ def q_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", "norm_text", normalize_text("norm_text").alias("norm_text_2"))
 
 
+def q_normalize_text_kana(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts whose letters are written as half-width kana, to real kana."""
+    half = S.texts(spark, sf).select("doc_id", F.translate("text", *S.KANA_LETTERS).alias("text"))
+    return half.select("doc_id", normalize_text("text", kana="correct").alias("norm_text"))
+
+
 def q_text_preview(spark: SparkSession, sf: str) -> DataFrame:
     t = S.texts(spark, sf)
     return t.select("doc_id", text_preview("text").alias("preview"),
@@ -183,6 +190,17 @@ def q_corpus_build(spark: SparkSession, sf: str) -> DataFrame:
                         F.array_size("code").cast("bigint").alias("n_codes"))
 
 
+def q_corpus_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and codes stored once, bucketed by id, then joined in place."""
+    _, _, texts, ids, _ = _corpus_parts(spark, sf)
+    names = []
+    for name, df in (("texts", texts), ("codes", corpus.one_code_per_id(ids))):
+        path = fresh_dir(spark, name)
+        names.append(path.rsplit("/", 1)[1].replace("-", "_"))
+        corpus.store_by_id(df, names[-1], path)
+    return corpus.build_stored_corpus(spark, *names).select("file_id", "text", format_code_list("code").alias("code_list"))
+
+
 def q_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     lines = manifest.parse_manifest(S.manifest_lines(spark, sf), keep_invalid=True)
     inv = S.audio_codes(S.audio_inventory(spark, sf))
@@ -478,8 +496,18 @@ def q_stream_training_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", "turn", "prompt")
 
 
+def q_stream_manifest_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Several manifest files, one a micro-batch, into the last text per id."""
+    path, out = fresh_dir(spark, "manifest"), fresh_dir(spark, "stream-manifest")
+    S.manifest_lines(spark, sf).repartition(4, "line_key").write.parquet(path)
+    lines = spark.readStream.schema("line_key long, line string").option("maxFilesPerTrigger", 1).parquet(path)
+    stream_last_texts(lines, out).awaitTermination()
+    return latest_texts(spark, out, "file_id string, text string, first_key long, n_lines long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_text": q_normalize_text,
+    "normalize_text_kana": q_normalize_text_kana,
     "text_preview": q_text_preview,
     "speech_token_render": q_speech_token_render,
     "speech_id_extract": q_speech_id_extract,
@@ -493,6 +521,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_parse": q_manifest_parse,
     "manifest_last_wins": q_manifest_last_wins,
     "corpus_build": q_corpus_build,
+    "corpus_bucketed": q_corpus_bucketed,
     "corpus_report": q_corpus_report,
     "corpus_roundtrip": q_corpus_roundtrip,
     "segment_split": q_segment_split,
@@ -521,5 +550,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audio_files": q_audio_files,
     "audio_frames": q_audio_frames,
     "corpus_files": q_corpus_files,
+    "stream_manifest_last_wins": q_stream_manifest_last_wins,
     "stream_training_prompt": q_stream_training_prompt,
 }

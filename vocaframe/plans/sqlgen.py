@@ -21,6 +21,22 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# half-width forms and the kana they stand for, written out
+HALF = "｡｢｣､･ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ"
+FULL = "。「」、・ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン゛゜"
+WITH_MARK = {"ﾞ": ("ｳｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾊﾋﾌﾍﾎﾜｦ", "ヴガギグゲゴザジズゼゾダヂヅデドバビブベボヷヺ"), "ﾟ": ("ﾊﾋﾌﾍﾎ", "パピプペポ")}
+
+
+def normalize_kana(expr: str) -> str:
+    """One pass with real kana: half-width forms are replaced before the rest."""
+    e = f"replace(translate({expr}, {q(K.NORM_DELETE_TAB)}, ''), {q(K.NORM_DELETE_LITERAL)}, '')"
+    e = f"translate({e}, ' \u3000', '')"
+    for mark, (half, full) in WITH_MARK.items():
+        for a, b in zip(half, full):
+            e = f"replace({e}, {q(a + mark)}, {q(b)})"
+    return normalize(f"translate({e}, {q(HALF)}, {q(FULL)})")
+
+
 def normalize(expr: str, passes: int = 1) -> str:
     matching, replace = translate_tables()
     e = expr

@@ -318,6 +318,10 @@ TEXT_EDGE_ROWS = (
 )
 
 
+# ASCII letters as half-width kana and sound marks
+KANA_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ｱｶｻﾞﾀﾊﾟﾜｦｳﾝｯｰ｡､･ﾎﾍﾞﾃﾄｼﾌﾟｺｷ")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text``: all documents plus the Japanese edge rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
