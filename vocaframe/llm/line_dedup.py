@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import rarity
-from .io import BROADCAST_ROWS, batch, lean, prepare, table, whole
+from .io import BROADCAST_ROWS, batch, binary_parts, lean, prepare, table, whole
 from .verify import matching_pairs
 
 SALT_ROWS = 1 << 16
@@ -116,10 +116,13 @@ def _describe(k: int):
 
 SEEN_SLOTS = 1 << 18  # lines that a task remembers to have routed, 2 MB
 
-_ROUTE = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("vid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+#: A prefix token of a line on its way to the other lines that have it; a part
+#: of the tokens travels as one binary value a slice.
+_ROUTE = np.dtype([("key", np.int64), ("vid", np.int64), ("n", np.int32), ("pos", np.int32), ("salt", np.int32)])
+_SENT = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
 
 
-def _prefixes(k: int, percent: int, counts):
+def _prefixes(k: int, percent: int, counts, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = counts.value
         seen = np.zeros(SEEN_SLOTS, np.uint64)
@@ -149,7 +152,15 @@ def _prefixes(k: int, percent: int, counts):
                 own, token, often, rank = own[take], token[take], often[take], rank[take]
                 salts = (often // SALT_ROWS + 1).astype(np.uint64)
                 salt = np.where(salts > 1, ((x.vid[own] >> np.uint64(7)) % salts).astype(np.int64), -1).astype(np.int32)
-                yield batch(_ROUTE, K.signed(token), salt, K.signed(x.vid[own]), x.n[own].astype(np.int32), rank.astype(np.int32))
+                part = (K.mix(token + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                at_ = np.argsort(part, kind="stable")
+                rows = np.empty(len(part), _ROUTE)
+                for name, values in (("key", K.signed(token)), ("vid", K.signed(x.vid[own])), ("n", x.n[own]), ("pos", rank), ("salt", salt)):
+                    rows[name] = values[at_]
+                used, begin = np.unique(part[at_], return_index=True)
+                ends = np.append(begin, len(rows)).astype(np.int64) * _ROUTE.itemsize
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(used), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+                yield batch(_SENT, used, blobs.cast(pa.binary()))
 
     return run
 
@@ -166,7 +177,15 @@ def _groups(percent: int):
         t = whole(batches)
         if t is None:
             return
-        key, salt, vid, n, pos = (t[c].to_numpy() for c in ("key", "salt", "vid", "n", "pos"))
+        data, offsets = binary_parts(t["rows"])
+        sent = np.frombuffer(data[offsets[0]:offsets[-1]], _ROUTE)
+        # most tokens came once
+        at = np.argsort(sent["key"])
+        key = sent["key"][at]
+        same = np.zeros(len(key) + 1, bool)
+        same[1:-1] = key[1:] == key[:-1]
+        sent = sent[at[same[1:] | same[:-1] | (sent["salt"][at] >= 0)]]
+        key, salt, vid, n, pos = (sent[c] for c in ("key", "salt", "vid", "n", "pos"))
         at = np.lexsort((vid, n, key))
         key, salt, vid, n, pos = key[at], salt[at], vid[at], n[at].astype(np.int64), pos[at]
         new = np.ones(len(key), bool)
@@ -220,8 +239,9 @@ def removed_lines(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         """Vertices with a match among the earlier ones they are paired with."""
         return matching_pairs(pairs, docs, places, _tokens(k), percent, name).select(F.col("b").alias("vid")).distinct()
 
-    routed = docs.select("text").mapInArrow(lean(_prefixes(k, percent, counts)), "key long, salt int, vid long, n int, pos int")
-    groups = table(routed.repartition("key", "salt").mapInArrow(lean(_groups(percent)), "gid long, vid long, n int, pos int"), "line_groups")
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = docs.select("text").mapInArrow(lean(_prefixes(k, percent, counts, parts)), "part int, rows binary")
+    groups = table(routed.repartition("part").mapInArrow(lean(_groups(percent)), "gid long, vid long, n int, pos int"), "line_groups")
     groups = table(groups.join(first.select("vid", "at"), "vid"), "line_groups_at")
 
     lead = groups.groupBy("gid").agg(F.min(F.struct("at", "vid", "n", "pos")).alias("lead")).select("gid", "lead.*")
