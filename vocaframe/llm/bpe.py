@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .io import lean, prepare
 
-CACHE = 1 << 16
+#: Pieces in each of the two halves of a worker's cache (under 100 MB together).
+CACHE = 1 << 17
 MATRIX = 64
 #: Bytes of text, and ids, that a task works on at a time: several workers
 #: share an executor's memory.
@@ -169,7 +170,9 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.none = np.int64(1 << 40)
+        # ids of merged pieces: those met lately, and those of the time before
         self.cache: dict[bytes, np.ndarray] = {}
+        self.older: dict[bytes, np.ndarray] = {}
 
     @cached_property
     def pairs(self) -> dict[int, int]:
@@ -197,18 +200,20 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""
-        out: list = [None] * len(pieces)
+        out = [self.cache.get(piece) for piece in pieces]
         missing: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            got = self.cache.get(piece)
+        for i, got in enumerate(out):
             if got is None:
-                rank = self.ranks.get(piece)
-                if rank is None:
-                    size = max(4, 1 << (len(piece) - 1).bit_length())
-                    missing.setdefault(size, []).append(i)
-                    continue
-                got = np.array([rank])
-            out[i] = got
+                piece = pieces[i]
+                got = self.older.get(piece)
+                if got is None:
+                    rank = self.ranks.get(piece)
+                    if rank is None:
+                        missing.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
+                        continue
+                    got = np.array([rank])
+                self._keep(piece, got)
+                out[i] = got
         for size, rows in missing.items():
             if size > MATRIX:
                 for i in rows:
@@ -218,14 +223,18 @@ class Vocabulary:
                     part = rows[s:s + (1 << 14)]
                     for i, ids in zip(part, self._matrix([pieces[i] for i in part], size)):
                         out[i] = ids
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache.clear()
         for rows in missing.values():
             for i in rows:
-                if len(pieces[i]) <= MATRIX and len(self.cache) < CACHE:
-                    self.cache[pieces[i]] = out[i]
+                if len(pieces[i]) <= MATRIX:
+                    self._keep(pieces[i], out[i])
         return out
 
+    def _keep(self, piece: bytes, ids: np.ndarray) -> None:
+        """Remember a piece; of a full cache the older half is forgotten."""
+        if len(self.cache) >= CACHE:
+            self.cache, self.older = {}, self.cache
+        self.cache[piece] = ids
+
     def _matrix(self, pieces: list[bytes], size: int) -> list[np.ndarray]:
         lengths = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(-1, size)
