@@ -462,9 +462,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hit = small(info.select("doc_id"))
     copy = F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False))
     losing = packed.join(hit, "doc_id", "left_semi").join(info, "doc_id").select("row", "text", "gone", copy.alias("copy"))
-    none = F.lit(None).cast(losing.schema["gone"].dataType)
-    others = packed.join(hit, "doc_id", "left_anti").select("row", "text", none.alias("gone"), F.lit(False).alias("copy"))
+    # texts that lose nothing are not taken apart
+    spans = F.array().cast("array<struct<start:long,end:long>>")
+    text = F.coalesce("text", F.lit(""))
+    others = packed.join(hit, "doc_id", "left_anti").select("row", spans.alias("spans"), text.cast("binary").alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"))
     row = losing.schema["row"].dataType.simpleString()
     shape = f"row {row}, spans array<struct<start:long,end:long>>, kept binary, n_bytes long"
-    out = losing.mapInArrow(lean(_cut(parts)), shape).unionByName(others.mapInArrow(lean(_cut(parts)), shape))
+    out = losing.mapInArrow(lean(_cut(parts)), shape).unionByName(others)
     return out.select(*[F.col("row")[c].alias(c) for c in names], "spans", "kept", "n_bytes")
