@@ -82,3 +82,47 @@ def test_last_text_per_id_over_batches(spark, tmpdir_path):
     assert run() == want(rows)
     assert run() == want(rows)
     assert latest_texts(spark, os.path.join(tmpdir_path, "none"), columns).count() == 0
+
+
+def test_scripts_over_batches(spark, tmpdir_path):
+    """Sentences over several runs: equal to the batch operators; late rows,
+    references, ends, nulls, a hot script."""
+    from vocaframe.operators.segments import chain_context, stitch_offsets
+    from vocaframe.streaming import stream_stitched
+
+    src, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "out")
+    schema = "script_id string, pos long, text string, codes array<int>, ended boolean, other int"
+    codes = lambda s, p: None if p % 5 == 4 else list(range(p * 7 % 40))
+    rows = [(s, p, f"{s}{p}", codes(s, p), False, 1) for s, n in (("a", 9), ("hot", 300), ("one", 1)) for p in range(n)]
+    rows += [("gap", p, f"gap{p}", list(range(20)), None, 1) for p in (0, 5, 6)] + [("empty", 0, "", None, False, 1)]
+    runs = [
+        [("a", -1, "ref", [9] * 30, False, 0)] + [r for r in rows if r[1] < 3],
+        [r for r in rows if 3 <= r[1] < 100] + [("a", 2, "late", [1], False, 0), ("a", 3, "a3", codes("a", 3), False, 0), (None, 1, "x", None, False, 0), ("a", None, "no place", None, False, 0)],
+        [r for r in rows if r[1] >= 100] + [(s, None, None, None, True, 0) for s in ("a", "one", "gap", "empty", "never")],
+        [("a", 50, "after the end", [1], False, 0), ("hot", None, None, None, True, 0), ("a", None, None, None, True, 0)],
+    ]
+    for run in runs:
+        spark.createDataFrame(run, schema).repartition(3).write.mode("append").parquet(src)
+        stream_stitched(spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(src), out).awaitTermination()
+    got = spark.read.parquet(out + "/data")
+    late = sorted((r.script_id, -1 if r.pos is None else r.pos) for r in got.where("late").collect())
+    assert late == [("a", -1), ("a", 2), ("a", 3), ("a", 50)]
+    script = spark.createDataFrame([r[:4] for r in rows], "script_id string, pos long, text string, codes array<int>")
+    want = stitch_offsets(script, block=4)
+    on_time = got.where("not late")
+    columns = ["script_id", "pos", "is_last", "kept", "n_kept", "start_seq", "total", "decodable"]
+    assert sorted(map(repr, on_time.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+    assert on_time.where("script_id = 'a'").count() == 9
+    refs = spark.createDataFrame([("a", "ref", [9] * 30)], "script_id string, ref_text string, ref_codes array<int>")
+    columns = ["script_id", "pos", "context_text", "context_codes"]
+    assert sorted(map(repr, on_time.select(columns).collect())) == sorted(map(repr, chain_context(script, refs, block=4).select(columns).collect()))
+
+
+def test_scripts_of_an_empty_stream(spark, tmpdir_path):
+    from vocaframe.streaming import STITCHED, stream_stitched
+
+    src, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "out")
+    schema = "script_id long, pos int, text string, codes array<int>, ended boolean"
+    spark.createDataFrame([], schema).write.parquet(src)
+    stream_stitched(spark.readStream.schema(schema).parquet(src), out).awaitTermination()
+    assert spark.read.schema(STITCHED.format(key="long")).parquet(out + "/data").count() == 0

@@ -327,3 +327,4 @@ ORACLE_SQL: dict[str, str] = {
         f"WITH {SENT} SELECT conv_id, turn, {G.prompt('text', 'codes')} AS prompt FROM sent"
     ),
 }
+ORACLE_SQL["stream_segment_stitch"] = ORACLE_SQL["segment_stitch"]

@@ -39,6 +39,7 @@ from ..sources.audio_frames import read_audio_frames
 from ..sources.corpus import read_corpus, write_corpus
 from ..sources.manifest import read_lines, read_manifest
 from ..streaming.manifest import latest_texts, stream_last_texts
+from ..streaming.scripts import stream_stitched
 from . import standins as S
 
 SHUFFLE_SEED = 42
@@ -505,6 +506,23 @@ def q_stream_manifest_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return latest_texts(spark, out, "file_id string, text string, first_key long, n_lines long")
 
 
+def q_stream_segment_stitch(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences that arrive over several runs of a stream, then the ends of
+    their scripts, into the stitched sequence."""
+    path, out = fresh_dir(spark, "sentences"), fresh_dir(spark, "stream-stitch")
+    rows = S.sentences(spark, sf).select("script_id", F.col("pos").cast("long").alias("pos"), "text", "codes", F.lit(False).alias("ended"))
+    nothing = F.lit(None)
+    ends = rows.select("script_id").distinct().select(
+        "script_id", nothing.cast("long").alias("pos"), nothing.cast("string").alias("text"),
+        nothing.cast("array<int>").alias("codes"), F.lit(True).alias("ended"))
+    for part in (rows.where("pos < 2"), rows.where("pos between 2 and 3"), rows.where("pos > 3"), ends):
+        part.write.mode("append").parquet(path)
+        stream_stitched(spark.readStream.schema(rows.schema).parquet(path), out).awaitTermination()
+    o = spark.read.parquet(out + "/data").where("not late")
+    return o.select(F.col("script_id").alias("conv_id"), F.col("pos").cast(S.sentences(spark, sf).schema["pos"].dataType).alias("turn"),
+                    "is_last", "n_kept", "start_seq", "total", "decodable", format_code_list("kept").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_text": q_normalize_text,
     "normalize_text_kana": q_normalize_text_kana,
@@ -551,5 +569,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audio_frames": q_audio_frames,
     "corpus_files": q_corpus_files,
     "stream_manifest_last_wins": q_stream_manifest_last_wins,
+    "stream_segment_stitch": q_stream_segment_stitch,
     "stream_training_prompt": q_stream_training_prompt,
 }
