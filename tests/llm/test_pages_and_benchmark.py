@@ -1,7 +1,10 @@
 """Page text and benchmark decontamination."""
 
+import math
 import os
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,28 +97,71 @@ def _strip(markup):
 
 # benchmark
 
-def exact(docs, items, threshold=0.6, overlap=0.5, slack=0.3):
-    """All passages of all documents scored against all items, without bounds."""
-    import numpy as np
-
-    known = [(i, t) for i, t in items if t is not None]
-    df = {}
-    for _, t in known:
-        for w in np.unique(D._words(t)).view(np.int64).tolist():
-            df[w] = df.get(w, 0) + 1
-    index = D.Index(known, df, len(known), float(np.mean([len(D._words(t)) for _, t in known])), slack)
-    half, out = max(index.longest, 32), set()
-    for i, text in docs:
-        ws = D._words(text or "")
-        for s in range(0, max(len(ws), 1), half):
-            own = ws[s:s + 2 * half]
-            for d, (terms, impact) in enumerate(index.items):
-                if len(terms) and impact[np.isin(terms, own)].sum() >= threshold:
-                    if all(not len(p) or np.isin(p, D._pairs(own)).mean() >= overlap for p in index.parts[d]):
-                        out.add((i, index.ids[d]))
+WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+                  "|[^\\x00-/:-@\\[-`{-\x7f\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u3004\u3008-\u3020\u3030\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff9f\U00020000-\U0003ffff]+")
+
+
+def plain_words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def exact(docs, items, threshold=0.6, overlap=0.5):
+    """All passages of all documents scored against all items: strings and
+    dictionaries, nothing of the operator."""
+    known = [(i, t, plain_words(t)) for i, t in items if t is not None]
+    df = Counter(w for _, _, ws in known for w in set(ws))
+    mean = sum(len(ws) for _, _, ws in known) / max(len(known), 1)
+    out = set()
+    for item, text, ws in known:
+        if not ws:
+            continue
+        weight = {w: math.log(1 + (len(known) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / max(mean, 1))) for w, n in Counter(ws).items()}
+        ends = [m.end() for m in re.finditer(r"[.!?]+(?:\s+|$)|[。！？]+\s*", text)]
+        cuts = [e for e in ends if text[e:].strip() and text[:e].strip()]
+        border = len(plain_words(text[:cuts[-1]])) if cuts else len(ws) // 2
+        pairs = list(zip(ws, ws[1:]))
+        parts = [set(pairs[:max(border - 1, 0)]), set(pairs[max(border - 1, 0):])]
+        half = 32
+        while half < len(ws):
+            half *= 2
+        for doc, body in docs:
+            own = plain_words(body)
+            for s in range(0, len(own), half):
+                here = own[s:s + 2 * half]
+                got = set(zip(here, here[1:]))
+                score = sum(x for w, x in weight.items() if w in set(here)) / sum(weight.values())
+                if score >= threshold and (len(ws) > 1 or len(own) == 1) and all(len(p & got) >= overlap * len(p) for p in parts):
+                    out.add((doc, item))
     return out
 
 
+def found(spark, docs, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+
+
+def test_items_in_scripts_without_spaces_and_of_one_word(spark):
+    items = [(1, "东京是日本的首都。它有多少人口？"), (2, "ประเทศไทยอยู่ที่ไหน"), (3, "yes"), (4, "的"), (5, "The Capital of Peru is Lima.")]
+    docs = [(1, "昨天他说，东京是日本的首都。它有多少人口？没有人知道。"), (2, "ฉันถามว่าประเทศไทยอยู่ที่ไหนครับ"), (3, "yes, the answer is yes of course"), (4, " Yes! "),
+            (5, "大阪也是日本的城市。"), (6, "的"), (7, "We learn：the capital of Peru is Lima，he said"), (8, "日本的x首都"), (9, ""), (10, None)]
+    got = found(spark, docs, items)
+    assert got == exact(docs, items) == {(1, 1), (2, 2), (4, 3), (6, 4), (7, 5)}
+
+
+def test_other_items_do_not_change_what_is_found(spark):
+    rng = random.Random(3)
+    filler = [f"f{rng.randrange(400)}" for _ in range(4000)]
+    item = [f"w{i}" for i in range(12)]
+    scattered = filler[:]
+    for i, w in enumerate(item):  # the item's words, hundreds of words apart
+        scattered[i * 300] = w
+    docs = [(1, " ".join(scattered)), (2, " ".join(filler[:500] + item + filler[500:])), (3, " ".join(item))]
+    alone = found(spark, docs, [(1, " ".join(item))])
+    long = " ".join(f"x{i}" for i in range(3000))
+    with_long = found(spark, docs + [(4, "pre " + long)], [(1, " ".join(item)), (2, long)])
+    assert alone == {(2, 1), (3, 1)} and with_long == alone | {(4, 2)}
+
+
 def test_pruned_search_finds_what_a_full_search_finds(spark):
     draw = random.Random(2)
     vocabulary = [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiou"] + ["the", "of"] * 10

@@ -1,10 +1,15 @@
 """Benchmark decontamination: training passages queried against an inverted
 index of the test items, by BM25 with block-max pruning.
 
-* Every document is cut into overlapping passages (two neighbouring segments
-  of half a window; the window is at least twice the longest item, so that
-  each stretch as long as an item lies whole in some passage).  Every passage
-  of every document is a query.
+* Items are indexed by length class: up to 32, 64, 128, ... words.  For each
+  class every document is cut into overlapping passages, two neighbouring
+  segments of the class's length, so that each stretch as long as an item lies
+  whole in some passage.  Every passage of every document is a query.  What is
+  found of an item does not depend on the lengths of other items.
+* Words are runs of characters but ASCII marks, A-Z folded.  In scripts written
+  without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) each character is a
+  word, and full-width marks part words, so that items are found inside
+  running text; word pairs are then pairs of characters.
 * An item's score for a passage is the sum of the BM25 impacts of the distinct
   item words that the passage holds, divided by the item's sum over all its
   words: 1 when the passage holds every word of the item.
@@ -18,11 +23,12 @@ index of the test items, by BM25 with block-max pruning.
 * A retrieved item counts as found when the passage also holds enough of the
   word pairs of its question (all but the last sentence; the first half of the
   words of a single sentence) and of its answer (the rest).  A part without
-  word pairs asks for nothing more.
+  word pairs asks for nothing more.  An item of one word has no pairs at all:
+  it is found only in documents that consist of that word.
 
 The index is broadcast in slices of at most ``INDEX_BYTES`` of item text; a
-larger benchmark is matched slice by slice.  Document frequencies are those of
-all items.
+larger benchmark is matched slice by slice.  Document frequencies and the mean
+length are those of all items.  ``passage`` counts segments of the item's class.
 
 Cases: null or empty texts have no passages; items without words are never
 found; an empty benchmark finds nothing; repeated documents and items are each
@@ -47,27 +53,55 @@ from .io import lean, prepare
 INDEX_BYTES = 64 << 20
 BLOCK = 8
 K1, B = 1.2, 0.75
-_ENDS = re.compile(r"[.!?。]+(?:\s+|$)")
+SHORTEST = 32
+_ENDS = re.compile(r"[.!?]+(?:\s+|$)|[。！？]+\s*")
+
+#: Code points of scripts written without spaces.
+ALONE = np.array([(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)])
+#: Marks of these scripts, and full-width ones.
+MARKS = np.array([(0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)])
+
+
+def _within(points: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    at = np.maximum(np.searchsorted(ranges[:, 0], points, "right") - 1, 0)
+    return (points >= ranges[at, 0]) & (points <= ranges[at, 1])
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, first word of each row plus the total)."""
+    starts, ends, first = K.word_spans(data, offsets, K.NOT_WORD)
+    lead = np.flatnonzero(data >= 0xE0)  # first bytes of characters of three or four bytes
+    four = data[lead] >= 0xF0
+    b0, b1, b2, b3 = (np.append(data, np.zeros(3, np.uint8))[lead + k].astype(np.int64) & (0x3F if k else 0x0F) for k in range(4))
+    point = np.where(four, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3, b0 << 12 | b1 << 6 | b2)
+    mark = _within(point, MARKS)
+    own = mark | _within(point, ALONE)
+    if own.any():  # words end before such a character and begin after it
+        cuts = np.unique(np.concatenate((starts, lead[own], (lead + 3 + four)[own])))
+        limit = ends[np.searchsorted(starts, cuts, "right") - 1]
+        cuts, limit = cuts[cuts < limit], limit[cuts < limit]
+        ends = np.minimum(np.append(cuts[1:], len(data)), limit)
+        stay = ~np.isin(cuts, lead[mark], assume_unique=True)
+        starts, ends = cuts[stay], ends[stay]
+        first = np.searchsorted(starts, offsets)
+    return K.range_hash(data, starts, ends), first
 
 
 def _words(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
-    return K.words(raw, np.array([0, len(raw)]), K.NOT_WORD)[0]
+    return _hashes(raw, np.array([0, len(raw)]))[0]
 
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
     return K.distinct(K.shingles(hashes, 2))
 
 
-def question_answer(text: str) -> tuple[str, str]:
-    """All but the last sentence, and the last; one sentence is cut in the
-    middle of its words."""
+def _border(text: str, n_words: int) -> int:
+    """Words of the question: all but the last sentence; one sentence is cut
+    in the middle of its words."""
     ends = [m.end() for m in _ENDS.finditer(text)]
     cuts = [e for e in ends if text[e:].strip() and text[:e].strip()]
-    if cuts:
-        return text[:cuts[-1]], text[cuts[-1]:]
-    words = text.split()
-    return " ".join(words[:len(words) // 2]), " ".join(words[len(words) // 2:])
+    return len(_words(text[:cuts[-1]])) if cuts else n_words // 2
 
 
 def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -77,23 +111,25 @@ def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
     if len(all_words) < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     pairs = K.shingles(all_words, 2)
-    border = max(len(_words(question_answer(text)[0])) - 1, 0)
+    border = max(_border(text, len(all_words)) - 1, 0)
     return K.distinct(pairs[:border]), K.distinct(pairs[border:])
 
 
 class Index:
-    """The block-max index of a list of ``(item_id, text)``."""
+    """The block-max index of a list of ``(item_id, text)`` of at most
+    ``half`` words each."""
 
-    def __init__(self, items: list[tuple], frequency: dict[int, int], n_items: int, mean_words: float, slack: float) -> None:
+    def __init__(self, items: list[tuple], half: int, frequency: dict[int, int], n_items: int, mean_words: float, slack: float) -> None:
         self.ids = [i for i, _ in items]
         self.items: list[tuple[np.ndarray, np.ndarray]] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.longest = 0
+        self.lengths: list[int] = []
+        self.half = half
         postings: list[tuple[int, int, float]] = []
         self.slack = np.zeros(-(-max(len(items), 1) // BLOCK))
         for d, (_, text) in enumerate(items):
             hashes = _words(text or "")
-            self.longest = max(self.longest, len(hashes))
+            self.lengths.append(len(hashes))
             terms, times = np.unique(hashes, return_counts=True)
             df = np.array([frequency.get(int(t), 1) for t in terms.view(np.int64)], float)
             idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
@@ -116,12 +152,11 @@ class Index:
         self.block = np.array([k[1] for k, _ in rows], np.int64)
         self.best = np.array([v for _, v in rows], float)
 
-    def find(self, data: np.ndarray, offsets: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple[int, int, int, float, float, float]]:
+    def find(self, hashes: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple[int, int, int, float, float, float]]:
         """(row, item number, passage, score, question and answer overlap)."""
         if not len(self.terms):
             return
-        hashes, first = K.words(data, offsets, K.NOT_WORD)
-        half = max(self.longest, 32)
+        half = self.half
         blocks = len(self.slack)
         count = np.maximum(-(-np.diff(first) // half), 1)
         base = np.concatenate(([0], np.cumsum(count)))
@@ -163,7 +198,7 @@ class Index:
             for d in range(block * BLOCK, min((block + 1) * BLOCK, len(self.items))):
                 terms, impact = self.items[d]
                 score = float(impact[np.isin(terms, words, assume_unique=True)].sum()) if len(terms) else 0.0
-                if score >= threshold:
+                if score >= threshold and (self.lengths[d] > 1 or first[r + 1] - first[r] == 1):
                     shares = [float(np.isin(x, pairs, assume_unique=True).mean()) if len(x) else 1.0 for x in self.parts[d]]
                     if min(shares) >= overlap:
                         yield r, d, p - int(base[r]), score, *shares
@@ -172,15 +207,25 @@ class Index:
 _HIT = pa.struct([("item_id", pa.int64()), ("passage", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
 
 
+def indexes(items: list[tuple], frequency: dict[int, int], n_items: int, mean_words: float, slack: float) -> list[Index]:
+    """An index for each length class of ``(item_id, text)``."""
+    classes: dict[int, list[tuple]] = {}
+    for item in items:
+        classes.setdefault(max(SHORTEST, 1 << (len(_words(item[1] or "")) - 1).bit_length()), []).append(item)
+    return [Index(classes[half], half, frequency, n_items, mean_words, slack) for half in sorted(classes)]
+
+
 def _match(index, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits: list[dict[int, dict]] = [{} for _ in range(b.num_rows)]
+            hits: list[dict[tuple, dict]] = [{} for _ in range(b.num_rows)]
             for at, data, offsets in K.chunks(b["text"]):
-                for r, d, passage, score, question, answer in index.value.find(data, offsets, threshold, overlap):
-                    old = hits[at + r].get(d)
-                    if old is None or score > old["score"]:
-                        hits[at + r][d] = dict(item_id=index.value.ids[d], passage=passage, score=score, question=question, answer=answer)
+                hashes, first = _hashes(data, offsets)
+                for part in index.value:
+                    for r, d, passage, score, question, answer in part.find(hashes, first, threshold, overlap):
+                        old = hits[at + r].get((part.half, d))
+                        if old is None or score > old["score"]:
+                            hits[at + r][part.half, d] = dict(item_id=part.ids[d], passage=passage, score=score, question=question, answer=answer)
             found = [(old or []) + list(new.values()) for old, new in zip(b["hits"].to_pylist(), hits)]
             yield pa.RecordBatch.from_arrays([b["row"], b["text"], pa.array(found, pa.list_(_HIT))], names=["row", "text", "hits"])
 
@@ -200,7 +245,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
     schema = "array<struct<item_id:long,passage:long,score:double,question:double,answer:double>>"
     out = docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast(schema).alias("hits"))
     row = out.schema["row"].dataType.simpleString()
-    tokens = items.select(F.xxhash64("item_id", "text").alias("h"), "text").mapInArrow(lean(_item_words), "h long, word long")
+    tokens = items.select(F.xxhash64("item_id", "text").alias("h"), "text").mapInArrow(lean(_item_words), "h long, word long, times long")
+    mean = (tokens.agg(F.sum("times")).first()[0] or 0) / max(n_items, 1)
     for s in range(slices):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s)
         here = tokens.where(F.pmod("h", F.lit(slices)) == s).select("word").distinct() if slices > 1 else None
@@ -208,21 +254,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
         counted = counted.join(here, "word", "left_semi") if here is not None else counted
         texts = sorted(((r.item_id, r.text) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # at most about INDEX_BYTES
         frequency = {r.word: r.df for r in counted.collect()}
-        mean = float(np.mean([len(_words(t)) for _, t in texts])) if texts else 1.0
-        index = spark.sparkContext.broadcast(Index(texts, frequency, n_items, mean, slack))
+        index = spark.sparkContext.broadcast(indexes(texts, frequency, n_items, mean, slack))
         out = out.mapInArrow(lean(_match(index, threshold, overlap)), f"row {row}, text string, hits {schema}")
     return out.select(*[F.col("row")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns if c != "hits"], "hits")
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        own, words = [], []
+        own, words, times = [], [], []
         for h, text in zip(b["h"].to_pylist(), b["text"].to_pylist()):
-            terms = np.unique(_words(text))
+            terms, counts = np.unique(_words(text), return_counts=True)
             words.append(K.signed(terms))
+            times.append(counts)
             own.append(np.full(len(terms), h, np.int64))
         if words:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(words))], names=["h", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(words)), pa.array(np.concatenate(times), pa.int64())], names=["h", "word", "times"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
