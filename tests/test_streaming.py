@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from vocaframe.streaming import prompt_stream, stream_training_prompts
@@ -126,3 +127,20 @@ def test_scripts_of_an_empty_stream(spark, tmpdir_path):
     spark.createDataFrame([], schema).write.parquet(src)
     stream_stitched(spark.readStream.schema(schema).parquet(src), out).awaitTermination()
     assert spark.read.schema(STITCHED.format(key="long")).parquet(out + "/data").count() == 0
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_prompts_of_a_table_that_is_a_folder(spark, tmpdir_path, files):
+    rows = [(i // 3, i % 3, "user", f"text {i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df.repartition(files).write.parquet(os.path.join(tmpdir_path, "conversations.parquet"))
+    got = stream_training_prompts(spark, tmpdir_path, os.path.join(tmpdir_path, "s"))
+    from vocaframe.plans import standins as S
+
+    exp = df.select("conv_id", "turn", training_prompt("text", F.expr(S.SENT_CODES)).alias("prompt"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_prompts_of_an_empty_table(spark, tmpdir_path):
+    spark.createDataFrame([], "conv_id long, turn int, role string, text string").write.parquet(os.path.join(tmpdir_path, "conversations.parquet"))
+    assert stream_training_prompts(spark, tmpdir_path, os.path.join(tmpdir_path, "s")).columns[-1] == "prompt"

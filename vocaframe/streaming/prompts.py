@@ -17,15 +17,13 @@ def prompt_stream(sentences: DataFrame, text_col: str = "text", codes_col: str =
 
 def stream_training_prompts(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
     """Run the prompt step as a Structured Streaming query over the
-    conversations file, with an available-now trigger and a checkpoint in
+    conversations table, with an available-now trigger and a checkpoint in
     the shared folder; returns the sink read back as a batch DataFrame."""
     src = f"{sf_dir.rstrip('/')}/conversations.parquet"
     schema = spark.read.parquet(src).schema  # footer only
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(sf_dir)
-    )
+    # the table is one file or a folder of files; a stream reads a plain path
+    # as a folder only, a pattern (here of one letter) as either
+    stream = spark.readStream.schema(schema).parquet(f"{src[:-1]}[{src[-1]}]")
     rows = stream.select("conv_id", "turn", "role", "text", F.expr(S.SENT_CODES).alias("codes"))
     out = prompt_stream(rows).select("conv_id", "turn", "prompt")
     base = out_dir or fresh_dir(spark, "stream-prompts")
@@ -38,4 +36,4 @@ def stream_training_prompts(spark: SparkSession, sf_dir: str, out_dir: str | Non
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(base + "/data")
+    return spark.read.schema(out.schema).parquet(base + "/data")
