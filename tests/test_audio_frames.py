@@ -87,3 +87,20 @@ def test_null_samples_and_nothing(spark):
     got = {r.id: r.samples for r in A.resample_blocks(df, "id").collect()}
     assert got["a"] is None and got["b"] == [] and len(got["c"]) == 2
     assert A.resample_blocks(df.where("false"), "id").collect() == []
+
+
+def test_many_small_files_are_few_tasks(tmpdir_path):
+    names = [f"{n % 3}/f{n:05d}" for n in range(3000)]
+    for sub in "012":
+        os.makedirs(os.path.join(tmpdir_path, sub))
+    for n, name in enumerate(names):
+        with open(os.path.join(tmpdir_path, name + ".wav"), "wb") as f:
+            f.write(A.encode_pcm(tone(16000, 30 + n % 40), 16000, 16))
+    reader = FramesReader({"path": tmpdir_path, "block_frames": "16", "split_bytes": "100"})
+    tasks = reader.partitions()
+    ranges = [r for t in tasks for r in t.files]
+    assert len(tasks) <= 300 < 6000 <= len(ranges) and all(0 < end - begin <= 100 for _, begin, end in ranges)
+    assert sorted({r[0] for r in ranges}) == sorted(names)
+    rows = [r for t in tasks[:10] for r in reader.read(t)]
+    whole = [n for n in {r[0] for r in rows} if n not in {r[0] for t in tasks[9:11] for r in t.files}]
+    assert whole and all(sum(len(r[6]) for r in rows if r[0] == n) == 30 + names.index(n) % 40 for n in whole)

@@ -18,12 +18,16 @@ from ..operators.audio import WavError, mono, scaled, walk_header
 from ..session import ship_package
 from .committed import fs_and_path
 
+#: Tasks that small ranges are dealt to at most (more of them if a task would
+#: then read more than the bytes beside it): a task costs more than a small file.
+TASKS, TASK_BYTES = 256, 64 << 20
+
 SCHEMA = "file_id string, block long, start long, total long, sample_rate int, n_channels int, samples array<float>, error string"
 
 
 @dataclass
 class Ranges(InputPartition):
-    """(file id, path, first byte, byte after the last) of one task."""
+    """(file id, first byte, byte after the last) of each range of one task."""
 
     files: list = field(default_factory=list)
 
@@ -51,8 +55,8 @@ class FramesReader(DataSourceReader):
             else:
                 self.ids = wanted if self.ids is None else self.ids & wanted
 
-    def _files(self) -> list[tuple[str, str, int]]:
-        """(id, path, bytes) of the files, in the order of their ids."""
+    def _files(self) -> list[tuple[str, int]]:
+        """(id, bytes) of the files, in the order of their ids."""
         from pyarrow import fs as pafs
 
         fs, root = fs_and_path(self.folder)
@@ -70,26 +74,31 @@ class FramesReader(DataSourceReader):
         for info in found:
             inside = info.path[len(root):].lstrip("/")
             if info.type == pafs.FileType.File and inside.endswith(self.ext) and not inside.startswith("_staging-"):
-                out.append((inside[:len(inside) - len(self.ext)], f"{self.folder}/{inside}", info.size))
+                out.append((inside[:len(inside) - len(self.ext)], info.size))
         return sorted(out)
 
     def partitions(self) -> list[Ranges]:
+        """Ranges of ``split_bytes`` at most, as many to a task as fit into
+        ``split_bytes`` or, where that makes too many tasks, a share of all."""
+        files = self._files()
+        share = -(-sum(max(total, 1) for _, total in files) // TASKS)
+        most = max(self.split_bytes, min(share, TASK_BYTES))
         out, size = [Ranges()], 0
-        for name, path, total in self._files():
+        for name, total in files:
             at = 0
             while at < max(total, 1):
                 end = min(at + self.split_bytes, max(total, 1))
-                if size and size + end - at > self.split_bytes:
+                if size and size + end - at > most:
                     out.append(Ranges())
                     size = 0
-                out[-1].files.append((name, path, at, end))
+                out[-1].files.append((name, at, end))
                 size += end - at
                 at = end
         return out
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
-        for name, path, begin, end in partition.files:
-            fs, rel = fs_and_path(path)
+        for name, begin, end in partition.files:
+            fs, rel = fs_and_path(f"{self.folder}/{name}{self.ext}")
             try:
                 with fs.open_input_file(rel) as f:
                     h = walk_header(lambda at, n: f.read_at(n, at), f.size())  # noqa: B023
@@ -127,7 +136,8 @@ class WavFrames(DataSource):
 def read_audio_frames(spark: SparkSession, audio_dir: str, ext: str = ".wav", block_frames: int = 1 << 16, split_bytes: int = 64 << 20) -> DataFrame:
     """``file_id, block, start, total, sample_rate, n_channels, samples, error``:
     every file below ``audio_dir`` in blocks of ``block_frames`` frames, mixed
-    to one channel; a task reads about ``split_bytes`` bytes.  A file without
+    to one channel; a range is ``split_bytes`` bytes, a task reads one or, of
+    more than some hundred ranges, several.  A file without
     frames has one empty block; one that is no WAV file has one row with an
     ``error``.  Conditions on ``file_id`` are pushed into the source."""
     ship_package(spark)
