@@ -104,3 +104,13 @@ def test_many_small_files_are_few_tasks(tmpdir_path):
     rows = [r for t in tasks[:10] for r in reader.read(t)]
     whole = [n for n in {r[0] for r in rows} if n not in {r[0] for t in tasks[9:11] for r in t.files}]
     assert whole and all(sum(len(r[6]) for r in rows if r[0] == n) == 30 + names.index(n) % 40 for n in whole)
+
+
+def test_clips_are_joined_without_a_broadcast(spark, tmpdir_path):
+    from conftest import plan_text
+    from vocaframe.plans.queries import QUERIES
+
+    spark.range(50).withColumnRenamed("id", "event_id").write.parquet(os.path.join(tmpdir_path, "events.parquet"))
+    made = QUERIES["audio_resample_blocks"](spark, tmpdir_path)
+    assert "Broadcast" not in plan_text(made)
+    assert all(r.n_equal == r.n_whole == r.n_samples for r in made.collect())

@@ -379,7 +379,8 @@ def q_audio_resample_blocks(spark: SparkSession, sf: str) -> DataFrame:
                        F.explode(F.sequence(F.lit(0), F.floor((F.array_size("x") - 1) / size).cast("int"))).alias("block"))
     blocks = cut.select("utt_id", "sample_rate", "total", F.col("block").cast("bigint").alias("block"), (F.col("block") * size).cast("bigint").alias("start"),
                         F.slice("x", F.col("block") * size + 1, size).alias("samples"))
-    made = audio.resample_blocks(blocks, "utt_id").join(whole, "utt_id")
+    # merged: the plan's estimate takes an array for a few bytes, a broadcast would put all clips on the driver
+    made = audio.resample_blocks(blocks, "utt_id").join(whole.hint("merge"), "utt_id")
     same = F.zip_with("samples", F.slice("whole", (F.col("start") + 1).cast("int"), F.array_size("samples")), lambda a, b: F.when(a == b, 1).otherwise(0))
     equal = F.aggregate(same, F.lit(0), lambda acc, x: acc + x)
     return made.groupBy("utt_id").agg(
