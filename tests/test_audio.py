@@ -4,6 +4,7 @@ import os
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,42 @@ def test_header_lint_of_files(spark, tmpdir_path):
     r = A.lint(read_headers(list_audio(spark, d))).first()
     assert r.n_frames == 96000 and r.seconds == pytest.approx(12.0)
     assert list(r.flags) == ["low_sample_rate", "too_long"]
+
+
+def _steps(spark, monkeypatch):
+    """The Arrow functions of the audio steps, by name, and their input types."""
+    caught = {}
+
+    def catch(self, run, schema):
+        caught["run"] = run
+        return self.select("id").withColumn("content", F.lit(b"")).withColumn("samples", F.lit(None).cast("array<float>"))
+
+    df = spark.createDataFrame([], "id long, content binary, channels array<array<int>>, sample_rate int, bits int, samples array<float>")
+    monkeypatch.setattr(type(df), "mapInArrow", catch)
+    out = {}
+    for name, step in {"encode": A.encode_wav, "preprocess": A.preprocess_audio, "to_wav": A.waveform_to_wav, "headers": A.inspect_headers}.items():
+        step(df, "id")
+        out[name] = caught["run"]
+    return out
+
+
+def test_large_batches_are_taken_in_small_parts(spark, monkeypatch):
+    steps = _steps(spark, monkeypatch)
+    n = 301
+    ids = pa.array(range(n), pa.int64())
+    chans = [None if i % 50 == 7 else [] if i % 50 == 8 else [[(i * 31 + j) % 2000 - 1000 for j in range(1 + i % 9)]] * (1 + i % 3) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(chans, pa.list_(pa.list_(pa.int32()))), pa.array([16000] * n, pa.int32()), pa.array([16] * n, pa.int32())], names=["id", "ch", "rate", "bits"])
+    wavs = list(steps["encode"](iter([batch.slice(0, 3), batch.slice(3)])))
+    content = [c for b in wavs for c in b.column(1).to_pylist()]
+    assert content == [A.encode_pcm(np.array(c, np.int64) if c else np.zeros((1, 0), np.int64), 16000) for c in chans]
+    whole = pa.RecordBatch.from_arrays([ids, pa.array([None if i == 100 else c for i, c in enumerate(content)], pa.binary())], names=["id", "content"])
+    made = list(steps["preprocess"](iter([whole])))
+    samples = [x for b in made for x in b.column(3).to_pylist()]
+    assert samples == [None if i == 100 else A.preprocess(c).tolist() for i, c in enumerate(content)]
+    floats = pa.RecordBatch.from_arrays([ids, pa.array(samples, pa.list_(pa.float32())), pa.array([16000] * n, pa.int32())], names=["id", "x", "rate"])
+    back = list(steps["to_wav"](iter([floats])))
+    assert [c for b in back for c in b.column(1).to_pylist()] == [None if x is None else A.encode_float(np.array(x, np.float32), 16000) for x in samples]
+    heads = list(steps["headers"](iter([pa.RecordBatch.from_arrays([ids, whole.column(1), pa.array([len(c) for c in content], pa.int64())], names=["id", "head", "total"])])))
+    for got in (wavs, made, back, heads):
+        assert [i for b in got for i in b.column(0).to_pylist()] == list(range(n))
+        assert max(b.num_rows for b in got) <= 64

@@ -265,6 +265,24 @@ def preprocess(content: bytes, target_rate: int = K.SAMPLE_RATE) -> np.ndarray:
 # Each runs as mapInArrow: Arrow record batches in and out, no pandas
 # conversion of the binary or list columns.
 
+#: Clips that a step holds decoded at a time; an Arrow batch may bring more.
+ROWS = 64
+
+
+def _slices(batches):
+    """The batches in slices of ``ROWS`` rows, which share their memory."""
+    for rb in batches:
+        for at in range(0, rb.num_rows, ROWS):
+            yield rb.slice(at, ROWS)
+
+
+def _offsets(lists) -> np.ndarray:
+    """Where each list begins in ``lists.flatten()``; the offsets of a slice
+    count from the start of its batch."""
+    at = lists.offsets.to_numpy()
+    return at - at[:1]
+
+
 def _float_lists(parts: list, valid: list[bool]):
     import pyarrow as pa
 
@@ -290,7 +308,7 @@ def inspect_headers(df: DataFrame, id_col: str, content_col: str = "content",
     def run(batches):
         import pyarrow as pa
 
-        for rb in batches:
+        for rb in _slices(batches):
             rows = []
             for head, total in zip(rb.column(1), rb.column(2).to_pylist()):
                 if head.is_valid:
@@ -327,7 +345,7 @@ def preprocess_audio(df: DataFrame, id_col: str, content_col: str = "content",
     def run(batches):
         import pyarrow as pa
 
-        for rb in batches:
+        for rb in _slices(batches):
             parts, valid, ns, errs = [], [], [], []
             for content in rb.column(1).to_pylist():
                 try:
@@ -381,13 +399,13 @@ def resample_blocks(df: DataFrame, id_col: str, target_rate: int = K.SAMPLE_RATE
         import pyarrow as pa
 
         def floats(column):
-            off = column.offsets.to_numpy()
-            vals = column.values.to_numpy(zero_copy_only=False)
+            off = _offsets(column)
+            vals = column.flatten().to_numpy(zero_copy_only=False)
             ok = column.is_valid().to_numpy(zero_copy_only=False)
             return [vals[off[i]:off[i + 1]] if ok[i] else None for i in range(len(column))]
 
         nothing = np.zeros(0, np.float32)
-        for rb in batches:
+        for rb in _slices(batches):
             starts, totals, rates = (rb.column(c).to_pylist() for c in (2, 3, 4))
             parts, firsts, ends = [], [], []
             for x, before, after, start, total, rate in zip(*(floats(rb.column(c)) for c in (5, 6, 7)), starts, totals, rates):
@@ -421,12 +439,10 @@ def encode_wav(df: DataFrame, id_col: str, channels_col: str = "channels", rate_
     def run(batches):
         import pyarrow as pa
 
-        for rb in batches:
-            chans = rb.column(1)  # list<list<int>>: rows -> channels -> samples
-            row_off = chans.offsets.to_numpy()
-            inner = chans.flatten()
-            ch_off = inner.offsets.to_numpy()
-            values = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        for rb in _slices(batches):
+            chans = rb.column(1).flatten()  # list<list<int>>: rows -> channels -> samples
+            row_off, ch_off = _offsets(rb.column(1)), _offsets(chans)
+            values = chans.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             out = []
             for i, (rate, bits) in enumerate(zip(rb.column(2).to_pylist(), rb.column(3).to_pylist())):
                 c0, c1 = row_off[i], row_off[i + 1]
@@ -452,9 +468,9 @@ def waveform_to_wav(df: DataFrame, id_col: str, samples_col: str = "samples",
     def run(batches):
         import pyarrow as pa
 
-        for rb in batches:
+        for rb in _slices(batches):
             xs = rb.column(1)
-            off = xs.offsets.to_numpy()
+            off = _offsets(xs)
             vals = xs.flatten().to_numpy(zero_copy_only=False)
             out = []
             for i, rate in enumerate(rb.column(2).to_pylist()):
