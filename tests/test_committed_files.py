@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vocaframe.operators import audio as A
 from vocaframe.session import ship_package
 from vocaframe.sources.audio import with_existence, write_wav_files
-from vocaframe.sources.committed import CommittedFiles, inner_name
+from vocaframe.sources.committed import CommittedFiles, Staging, inner_name
 
 
 def files_below(folder):
@@ -68,3 +68,16 @@ def test_ids_that_no_file_can_have(spark, tmpdir_path):
     ids = ["x" * 300, "a\0b", "good", None, "y" * 5000, "none", "good"]
     df = spark.createDataFrame([(n, i) for n, i in enumerate(ids)], "n int, file_id string").coalesce(1)
     assert [r.has_audio for r in with_existence(df, tmpdir_path).orderBy("n").collect()] == [False, False, True, False, False, False, True]
+
+
+def test_a_task_that_goes_on_after_the_abort_writes_nothing(tmpdir_path):
+    staging = Staging(os.path.join(tmpdir_path, "out"))
+    early, late, made = staging.attempt(), staging.attempt(), set()
+    staging.put(early, "a/b/c", b"x", made)
+    staging.put(early, "a/b/d", b"x", made)
+    staging.put(early, "a/e", b"x")
+    staging.abort()
+    for attempt, known in ((early, made), (early, None), (late, set())):
+        with pytest.raises(OSError):
+            staging.put(attempt, "a/b/f", b"x", known)
+    assert files_below(tmpdir_path) == [] and os.listdir(os.path.join(tmpdir_path, "out")) == []

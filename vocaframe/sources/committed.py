@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -19,6 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 #: Renames that run at the same time.
 MOVERS = 32
 
+#: How often the staging folder is tried to be removed.
+TRIES = 20
+
 
 def fs_and_path(path: str):
     """The file system of a path or URI, and the path in it."""
@@ -44,11 +48,16 @@ def inner_name(name: str) -> str:
 
 
 class Staging:
-    """Staged files of one job; made on the driver, used by its tasks."""
+    """Staged files of one job; made on the driver, used by its tasks.
+
+    The driver alone makes the staging folder: a task that goes on after the
+    driver removed it finds no place to write to."""
 
     def __init__(self, folder: str) -> None:
         self.folder = folder.rstrip("/")
         self.root = f"{self.folder}/_staging-{os.urandom(8).hex()}"
+        fs, root = fs_and_path(self.root)
+        fs.create_dir(root, recursive=True)
 
     def attempt(self) -> str:
         """A folder for the running task's attempt."""
@@ -62,10 +71,14 @@ class Staging:
         """Write one staged file; a name that comes twice keeps the last content."""
         fs, path = fs_and_path(f"{attempt}/{inner_name(name)}")
         parent = posixpath.dirname(path)
-        if made is None or parent not in made:
-            fs.create_dir(parent, recursive=True)
-            if made is not None:
-                made.add(parent)
+        made = set() if made is None else made
+        if parent not in made:
+            _, at = fs_and_path(self.root)
+            for part in posixpath.relpath(parent, at).split("/"):
+                at = f"{at}/{part}"
+                if at not in made:
+                    fs.create_dir(at, recursive=False)
+                    made.add(at)
         with fs.open_output_stream(path) as f:
             f.write(content)
 
@@ -88,12 +101,19 @@ class Staging:
         return moved
 
     def abort(self) -> None:
-        """Remove what is staged."""
+        """Remove what is staged; tried again while a task still writes."""
         from pyarrow import fs as pafs
 
         fs, root = fs_and_path(self.root)
-        if fs.get_file_info(root).type != pafs.FileType.NotFound:
-            fs.delete_dir(root)
+        for left in reversed(range(TRIES)):
+            try:
+                if fs.get_file_info(root).type != pafs.FileType.NotFound:
+                    fs.delete_dir(root)
+                return
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 @dataclass
