@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
-from vocaframe.llm import line_dedup, ngram_join, suffix_dedup  # noqa: E402
+from vocaframe.llm import line_dedup, ngram_join, signature_tree, suffix_dedup  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
 
@@ -136,3 +136,33 @@ def test_a_bucket_reads_all_chunks_of_its_partition(monkeypatch):
     sent = _sent([([i], [text]) for i in range(4)], parts=1)
     found = pa.Table.from_batches(list(suffix_dedup._sort_bucket(iter(sent))))
     assert set(found["doc_id"].to_pylist()) == {1, 2, 3}
+
+
+def test_pairs_that_share_a_shingle_only_are_not_compared_whole(spark, monkeypatch):
+    words = [[f"w{i}_{j}" for j in range(60)] for i in range(8)]
+    rows = [(i, " ".join(["one", "common", "opening", "of", "texts", *w])) for i, w in enumerate(words)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared = {}
+    check = ngram_join.matching_pairs
+
+    def counted(pairs, docs, places, sets_of, percent, name):
+        compared[name] = pairs.count()
+        return check(pairs, docs, places, sets_of, percent, name)
+
+    monkeypatch.setattr(ngram_join, "matching_pairs", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.link_classes(docs).collect()}
+    assert got == {i: i for i in range(8)} | {100: 0, 101: 1}
+    assert compared["stars"] <= 1
+
+
+def test_bitmaps_never_exclude_a_link():
+    rng = np.random.default_rng(7)
+    for size in (1, 2, 5, 30, 200, 1000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            y = np.unique(np.concatenate((x[rng.random(len(x)) > 0.15], rng.integers(0, 1 << 63, size // 8, dtype=np.uint64))))
+            shared = len(np.intersect1d(x, y))
+            if len(y) and 100 * shared >= 75 * (len(x) + len(y) - shared):
+                a, b = (signature_tree.narrow(signature_tree.bitmap(s)) for s in (x, y))
+                assert signature_tree.may_match(a, len(x), b, len(y), 75)

@@ -11,8 +11,9 @@ shingles reaches a threshold.  The join is exact, with shingles compared by
    ``n - ceil(threshold * n) + 1`` of each.  Vertices that meet in one such
    shingle and whose sizes are compatible form a group; groups are stored as
    blocks of bounded size, identical groups once.
-3. Each group is linked to one representative (exact check), and components of
-   these links collapse groups of near copies without listing their pairs.
+3. Each group is linked to one representative, and components of these links
+   collapse groups of near copies without listing their pairs.  Narrow bitmaps
+   exclude most of the pairs, the sets of the others are compared exactly.
 4. Groups that still hold several components are joined by signature trees
    (``signature_tree``): first whole blocks by their OR bitmaps, size ranges
    and component ranges, then a dual traversal inside the surviving block
@@ -41,8 +42,8 @@ from . import kernel as K
 from . import rarity
 from . import signature_tree as T
 from .components import components
-from .io import batch, lean, prepare, table, whole
-from .verify import matching_pairs
+from .io import batch, lean, prepare, small, table, whole
+from .verify import matching_pairs, routes
 
 BLOCK = 256
 #: Sets of one shingle that a task groups together before the shingle is salted.
@@ -210,6 +211,38 @@ def _traverse(percent: int):
     return run
 
 
+_NARROW = pa.schema([("a", pa.int64()), ("salt", pa.int64()), ("vid", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
+
+
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield batch(_NARROW, b["a"], b["salt"], b["vid"], b["n"], [T.narrow(s.as_buffer()) for s in b["sig"]])
+
+
+def _plausible(percent: int):
+    """Pairs of a partition that bitmaps do not exclude: rows (a, salt, vid, n,
+    sig), a's own among those of each salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = whole(batches)
+        if t is None:
+            return
+        a, salt, vid, n = (t[c].to_numpy() for c in ("a", "salt", "vid", "n"))
+        sigs, out, own, at = t["sig"], [], None, None
+        first = vid == a
+        for r in np.lexsort((~first, salt, a)).tolist():
+            sig = sigs[r].as_buffer()
+            if first[r]:
+                own, at = (sig, int(n[r])), (a[r], salt[r])
+            elif at == (a[r], salt[r]) and T.may_match(*own, sig, int(n[r]), percent):
+                out.append((a[r], vid[r]))
+        if out:
+            got = np.array(out, np.int64)
+            yield batch(_PAIRS, got[:, 0], got[:, 1])
+
+    return run
+
+
 def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (columns
     doc_id and text; others are ignored).  ``percent``: the Jaccard threshold
@@ -237,7 +270,10 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     degree = each.groupBy("vid").agg(F.countDistinct("gid").alias("degree"))
     first = each.join(degree, "vid").groupBy("gid").agg(F.max_by("vid", F.struct("degree", "vid")).alias("a"))
     stars = each.join(first, "gid").select("a", F.col("vid").alias("b"))
-    links = linked(stars, "stars")
+    needs = routes(stars, reps, "near")
+    held = meta.join(small(needs), ["vid", "doc_id"]).select("a", "salt", "vid", "n", "sig").mapInArrow(lean(_narrowed), "a long, salt long, vid long, n int, sig binary")
+    near = held.repartition("a", "salt").mapInArrow(lean(_plausible(percent)), "a long, b long")
+    links = linked(near, "stars")
     classes = table(components(links), "classes").select(F.col("node").alias("vid"), F.col("component").alias("comp"))
 
     # groups of several components

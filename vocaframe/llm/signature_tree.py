@@ -47,6 +47,22 @@ def fold(words: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(wide, axis=-1, bitorder="little").view(np.uint64)
 
 
+def narrow(sig: bytes) -> bytes:
+    """A bitmap a quarter as wide."""
+    words = np.frombuffer(sig, np.uint64)
+    return fold(words, max(64, len(words) * 16)).tobytes()
+
+
+def may_match(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
+    """Whether sets of ``na`` and ``nb`` tokens may be linked, by their bitmaps."""
+    if 100 * na < percent * nb or 100 * nb < percent * na:
+        return False
+    bits = 8 * min(len(a), len(b))
+    x, y = (fold(np.frombuffer(m, np.uint64), bits) for m in (a, b))
+    most = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+    return most >= needed(na, nb, percent)
+
+
 def needed(a, b, percent: int):
     """Least overlap of sets of sizes a and b with Jaccard of ``percent`` %."""
     return -(-percent * (a + b) // (100 + percent))

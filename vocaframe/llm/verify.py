@@ -49,6 +49,16 @@ def _compare(percent: int):
     return run
 
 
+def routes(pairs: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """``a, salt, vid, doc_id``: where each vertex of the pairs ``(a, b)`` is
+    needed, with a document that holds it; ``a`` itself is at each salt."""
+    pairs = table(pairs.where("a != b").distinct(), f"{name}_pairs")
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PARTNERS))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    needs = salted.select("a", "salt", F.col("b").alias("vid")).unionByName(salted.select("a", "salt", F.col("a").alias("vid")).distinct())
+    return table(needs.join(places, "vid"), f"{name}_needs")
+
+
 def matching_pairs(pairs: DataFrame, docs: DataFrame, places: DataFrame, sets_of: Callable, percent: int, name: str) -> DataFrame:
     """The pairs ``(a, b)`` whose sets reach a Jaccard similarity of
     ``percent`` hundredths.
@@ -56,11 +66,7 @@ def matching_pairs(pairs: DataFrame, docs: DataFrame, places: DataFrame, sets_of
     ``docs``: doc_id, text; ``places``: ``vid, doc_id``, a document that holds
     each vertex; ``sets_of``: a mapInArrow function from doc_id, text to
     ``doc_id, vid, tokens`` (sorted distinct 64-bit tokens)."""
-    pairs = table(pairs.where("a != b").distinct(), f"{name}_pairs")
-    many = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PARTNERS))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    needs = salted.select("a", "salt", F.col("b").alias("vid")).unionByName(salted.select("a", "salt", F.col("a").alias("vid")).distinct())
-    needs = table(needs.join(places, "vid"), f"{name}_needs")
+    needs = routes(pairs, places, name)
     texts = docs.join(small(needs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
     sets = texts.mapInArrow(lean(sets_of), "doc_id long, vid long, tokens binary").join(small(needs), ["vid", "doc_id"])
     met = sets.select("a", "salt", "vid", "tokens").repartition("a", "salt").mapInArrow(lean(_compare(percent)), "a long, b long")
