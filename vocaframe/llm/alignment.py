@@ -39,7 +39,7 @@ from .io import lean, prepare, table
 
 #: Bytes of a slice (a longer text is a slice of its own), of the texts that
 #: the tokenizers get at a time, and linked pairs that are expanded at a time.
-SLICE_BYTES, ENCODE_BYTES, EXPAND = 2 << 20, 1 << 18, 1 << 21
+SLICE_BYTES, ENCODE_BYTES, EXPAND = 1 << 19, 1 << 18, 1 << 21
 SALTS = 16
 #: Pairs that are broadcast at most (16 bytes each).
 PAIR_LIMIT = 1 << 22
