@@ -166,3 +166,18 @@ def test_bitmaps_never_exclude_a_link():
             if len(y) and 100 * shared >= 75 * (len(x) + len(y) - shared):
                 a, b = (signature_tree.narrow(signature_tree.bitmap(s)) for s in (x, y))
                 assert signature_tree.may_match(a, len(x), b, len(y), 75)
+
+
+def test_zones_are_found_in_slices_that_fit_a_cache(monkeypatch):
+    sizes, zones = [], suffix_dedup.Zones
+
+    def counted(data, offsets, parts):
+        sizes.append((len(data), len(offsets) - 1))
+        return zones(data, offsets, parts)
+
+    monkeypatch.setattr(suffix_dedup, "Zones", counted)
+    texts = [f"{i} " + "some text that repeats itself " * 300 for i in range(100)] + ["a long text of its own " * 20_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(101), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    assert list(suffix_dedup._send(8)(iter([batch])))
+    assert sum(n for _, n in sizes) == 101
+    assert all(size <= 1 << 18 or n == 1 for size, n in sizes)

@@ -59,6 +59,9 @@ _SPAN = LENGTH - GRAM + 1
 _PLAIN = np.arange(256)
 #: Text whose samples a task sorts into buckets at a time.
 SEND_BYTES = 16 << 20
+#: Text that zones are found in at a time (a longer text is taken whole): the
+#: arrays, eight bytes for each of text, stay in the processor's cache.
+TEXT_BYTES = 1 << 18
 #: Zones of one sample that are compared in one task.
 MOST_ZONES = 2048
 SIDE = 4
@@ -208,7 +211,7 @@ def _send(parts: int):
         size, known = 0, {}
         for b in batches:
             own_ids = b["doc_id"].to_numpy()
-            for at, data, offsets in K.chunks(b["text"]):
+            for at, data, offsets in K.chunks(b["text"], TEXT_BYTES):
                 n = len(offsets) - 1
                 if held and (size >= SEND_BYTES or len(ids) + n > 1 << 16):
                     yield pack(ids, held)
@@ -304,7 +307,7 @@ def _wanted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[np.
     column ``zones`` asks for, each once, and their sides)."""
     for b in batches:
         ids = b["doc_id"].to_numpy()
-        for at, data, offsets in K.chunks(b["text"]):
+        for at, data, offsets in K.chunks(b["text"], TEXT_BYTES):
             z = Zones(data, offsets, parts)
             sides = np.zeros(len(z.row), np.int32)
             edges = np.searchsorted(z.row, np.arange(len(offsets)))
@@ -392,7 +395,7 @@ def _cut(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             copies = b["copy"].to_numpy(zero_copy_only=False)
-            for at, data, offsets in K.chunks(b["text"]):
+            for at, data, offsets in K.chunks(b["text"], TEXT_BYTES):
                 z = Zones(data, offsets, parts)
                 edges = np.searchsorted(z.row, np.arange(len(offsets)))
                 spans, kept = [], []
