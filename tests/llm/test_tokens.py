@@ -264,3 +264,30 @@ def test_slices_are_small_beside_an_executor(monkeypatch):
     made = list(alignment._encode(sent)(iter([pa.RecordBatch.from_arrays([row, pa.array(texts)], names=["row", "text"])])))
     assert [r["doc_id"] for b in made for r in b["rows"][0].as_py()] == list(range(200))
     assert max(len(b["rows"][0]) for b in made) * len(texts[0]) <= 1 << 19
+
+
+def test_texts_are_encoded_a_large_slice_at_a_time():
+    """Each distinct run of a slice is looked up once."""
+    sizes = []
+
+    def encode(data, offsets):
+        sizes.append(len(data))
+        return np.zeros(len(offsets) - 1, np.int64), np.ones(len(offsets) - 1, np.int64)
+
+    got = list(id_files._encoded(SimpleNamespace(encode=encode), pa.array(["x" * 10_000] * 180), 2))
+    assert sizes == [1_800_000]
+    assert [len(counts) for _, _, counts in got] == [180]
+
+
+@pytest.mark.parametrize("n", [1, 59, 1024, 1025, 5000])
+def test_selectors_are_the_greedy_choice(n):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, 1 << rng.integers(0, 63, n), dtype=np.int64).astype(np.uint64)
+    ids[rng.random(n) < 0.5] = 0
+    expected, at = [], 0
+    while at < n:
+        end = min((at // id_files.BLOCK + 1) * id_files.BLOCK, n)
+        best = next((s for s in range(id_files.ESCAPE) if all(int(i) >> int(id_files.WIDTHS[s]) == 0 for i in ids[at:min(at + id_files.COUNTS[s], end)])), id_files.ESCAPE)
+        expected.append((at, best))
+        at = min(at + int(id_files.COUNTS[best]), end)
+    assert list(zip(*(x.tolist() for x in id_files._selectors(ids)))) == expected

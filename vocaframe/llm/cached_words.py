@@ -71,6 +71,14 @@ def sign_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first | inner & np.repeat(~whole, np.diff(edges)))
 
 
+def _byte_strings(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls, faster than by ``to_pylist``."""
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    flat = column.buffers()[2].slice(int(edges[0]), int(edges[-1] - edges[0])).to_pybytes()
+    edges = (edges - edges[0]).tolist()
+    return [flat[s:e] for s, e in zip(edges, edges[1:])]
+
+
 class Cached:
     def __init__(self, tokenizer, cut: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -156,7 +164,7 @@ class Cached:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())
+        number = self._numbers(_byte_strings(coded.dictionary))
         own = number[coded.indices.to_numpy()]
         count = self.count[own]
         done = np.cumsum(count)

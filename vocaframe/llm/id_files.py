@@ -48,8 +48,9 @@ from .io import lean, prepare
 MAGIC = b"S8BIDS01"
 BLOCK = 1024
 FILE_IDS = 1 << 22
-#: Bytes of texts that a task encodes at a time.
-TEXT_BYTES = 1 << 20
+#: Bytes of texts that a task encodes at a time: each distinct run of them is
+#: looked up once.
+TEXT_BYTES = 1 << 21
 #: Ids that one selector packs, and the bits of each; the last selector is the
 #: escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
@@ -62,13 +63,24 @@ def _selectors(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, selector) of every word: in each block the greedy choice, all
     blocks in step."""
     n = len(ids)
-    fits = np.full(n, ESCAPE, np.int8)
+    rows = np.zeros((-(-n // BLOCK), BLOCK), np.uint64)
+    rows.ravel()[:n] = ids  # zeros after the end fit any word
     ends = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
+    fits = np.full(rows.shape, ESCAPE, np.int8)
+    wide = np.zeros((len(rows), BLOCK + 1), np.int16)
+    clear = np.empty(rows.shape, bool)
     for s in range(ESCAPE - 1, -1, -1):
+        over = rows >= np.uint64(1 << int(WIDTHS[s]))
+        if not over.any():
+            fits[:] = s
+            continue
         # a word may be longer than what is left of its block
-        wide = np.concatenate(([0], np.cumsum(ids >> np.uint64(WIDTHS[s]) > 0)))
-        stop = np.minimum(np.arange(n) + COUNTS[s], ends)
-        fits[wide[stop] == wide[:-1]] = s
+        np.cumsum(over, axis=1, out=wide[:, 1:])
+        last = BLOCK - int(COUNTS[s]) + 1
+        np.equal(wide[:, BLOCK - last + 1:], wide[:, :last], out=clear[:, :last])
+        np.equal(wide[:, last:BLOCK], wide[:, -1:], out=clear[:, last:])
+        np.copyto(fits, s, where=clear)
+    fits = fits.ravel()
     at = np.arange(0, n, BLOCK)
     places = []
     while len(at):
