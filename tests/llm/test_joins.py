@@ -138,6 +138,43 @@ def test_a_bucket_reads_all_chunks_of_its_partition(monkeypatch):
     assert set(found["doc_id"].to_pylist()) == {1, 2, 3}
 
 
+def _zones_of_one_sample(n):
+    """Rows for ``_sort_windows``: zones of 80 bytes around one sample, each with its neighbour's left half."""
+    rng = np.random.default_rng(11)
+    halves = rng.integers(97, 123, (n + 1, 30), dtype=np.uint8)
+    halves[:, 0] = 97 + np.arange(n + 1) % 2  # no longer matches
+    sample = b"a sample of 20 bytes"
+    raw = [halves[i].tobytes() + sample + halves[i + 1].tobytes() for i in range(n)]
+    raw = [r if i % 2 else raw[(i + 1) % n][:50] + r[50:] for i, r in enumerate(raw)]
+    return suffix_dedup.batch(suffix_dedup._BYTES, [5] * n, list(range(n)), list(range(n)), [30] * n, raw)
+
+
+def test_windows_are_hashed_in_slices_and_sorted_in_ranges(monkeypatch):
+    rows = _zones_of_one_sample(12_000)
+    monkeypatch.setattr(suffix_dedup.K._Powers, "up", np.ones(1, np.uint64))
+    monkeypatch.setattr(suffix_dedup.K._Powers, "down", np.ones(1, np.uint64))
+    got = pa.Table.from_batches(list(suffix_dedup._sort_windows(iter([rows.slice(0, 5000), rows.slice(5000)]))))
+    # an even row has the left half of the next one, which loses window 0
+    assert dict(zip(got["doc_id"].to_pylist(), got["mask"].to_pylist())) == {i: 1 for i in range(1, 12_000, 2)}
+    # the powers of the hash stay in a worker for good
+    assert len(suffix_dedup.K._Powers.up) <= 2 * suffix_dedup.TEXT_BYTES
+
+
+def test_a_task_that_sends_zones_holds_little_beside_them(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    texts = [rng.integers(97, 123, 40_000, dtype=np.uint8).tobytes().decode() for _ in range(200)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        sent = sum(b.num_rows > 0 for b in suffix_dedup._send(8)(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent > 1 and peak < 60 << 20, peak
+
+
 def test_pairs_that_share_a_shingle_only_are_not_compared_whole(spark, monkeypatch):
     words = [[f"w{i}_{j}" for j in range(60)] for i in range(8)]
     rows = [(i, " ".join(["one", "common", "opening", "of", "texts", *w])) for i, w in enumerate(words)]

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .io import BROADCAST_ROWS, batch, binary_parts, lean, prepare, small, table, whole
+from .io import BROADCAST_ROWS, batch, lean, prepare, small, table, whole
 
 LENGTH = 50
 GRAM = 20
@@ -65,6 +65,8 @@ TEXT_BYTES = 1 << 18
 #: Zones of one sample that are compared in one task.
 MOST_ZONES = 2048
 SIDE = 4
+#: Rows that a task sorts at a time.
+RANGE_ROWS = 1 << 16
 _LOW40, _LOW24, _LOW16 = (np.uint64((1 << n) - 1) for n in (40, 24, 16))
 #: Packed columns of a zone: sample, rank, place of the document, both sides.
 _WIDTHS = (5, 5, 2, 2, 2)
@@ -154,6 +156,32 @@ class Zones:
         return anchor
 
 
+class _Pieces:
+    """Columns that come in pieces and are given back a range of the first
+    column (unsigned, below ``top``) at a time, so that a task copies and sorts
+    some ``RANGE_ROWS`` rows at once, whatever it holds.  Rows with one value
+    of the first column, or of its multiples of ``unit``, stay together and in
+    the order they came."""
+
+    def __init__(self, top: int, unit: int = 1) -> None:
+        self.top, self.unit, self.rows = top, unit, 0
+        self.pieces: list[list[np.ndarray]] = []
+
+    def add(self, *columns: np.ndarray) -> None:
+        order = np.argsort(columns[0], kind="stable")
+        self.pieces.append([c[order] for c in columns])
+        self.rows += len(order)
+
+    def ranges(self) -> Iterator[list[np.ndarray]]:
+        n = -(-self.rows // RANGE_ROWS)
+        edges = np.array([self.top * k // n // self.unit * self.unit for k in range(1, n)], np.uint64)
+        cuts = [[0, *np.searchsorted(p[0], edges).tolist(), len(p[0])] for p in self.pieces]
+        for k in range(n):
+            held = [[c[cut[k]:cut[k + 1]] for c in p] for p, cut in zip(self.pieces, cuts) if cut[k] < cut[k + 1]]
+            if held:
+                yield [np.concatenate(x) for x in zip(*held)]
+
+
 def _pack(columns: list[np.ndarray]) -> bytes:
     return np.hstack([c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w] for c, w in zip(columns, _WIDTHS)]).tobytes()
 
@@ -180,42 +208,44 @@ def _send(parts: int):
     the documents, and the packed zones that name them by their place.  Zones
     settled within that text follow, dealt over all buckets."""
 
-    def pack(ids: list[int], held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        part, key, rank, own, left, right = (np.concatenate(x) for x in zip(*held))
+    def pack(ids: list[int], held: _Pieces) -> Iterator[pa.RecordBatch]:
         all_ids = np.array(ids, np.int64)
-        doc = all_ids[own]
-        order = np.lexsort((doc, rank, key, part))
-        part, key, rank, own, left, right, doc = (x[order] for x in (part, key, rank, own, left, right, doc))
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (rank[1:] != rank[:-1]) | (part[1:] != part[:-1])
-        goes = np.flatnonzero(doc > doc[new][np.cumsum(new) - 1])
-        settled = doc[goes], K.signed(rank[goes] << np.uint64(24) | key[goes] & _LOW24)
-        part, key, rank, own, left, right = (x[new] for x in (part, key, rank, own, left, right))
-        rows, docs, zones = [], [], []
-        edges = np.flatnonzero(np.diff(part, prepend=-1))
-        for s, e in zip(edges, np.append(edges[1:], len(part))):
-            here, place = np.unique(own[s:e], return_inverse=True)
-            rows.append(int(part[s]))
-            docs.append(all_ids[here].tobytes())
-            zones.append(_pack([key[s:e], rank[s:e], place, left[s:e], right[s:e]]))
-        for s in range(0, len(goes), SETTLED):
-            own_docs, own_zones = (x[s:s + SETTLED] for x in settled)
-            rows.append(int(own_zones[0] % parts))
-            docs.append(own_docs.tobytes() + own_zones.tobytes())
-            zones.append(b"")
-        return batch(_SENT, rows, docs, zones)
+        for sample, rank, own, left, right in held.ranges():
+            doc = all_ids[own]
+            order = np.lexsort((doc, rank, sample))
+            sample, rank, own, left, right, doc = (x[order] for x in (sample, rank, own, left, right, doc))
+            new = np.ones(len(sample), bool)
+            new[1:] = (sample[1:] != sample[:-1]) | (rank[1:] != rank[:-1])
+            goes = np.flatnonzero(doc > doc[new][np.cumsum(new) - 1])
+            settled = doc[goes], K.signed(rank[goes] << np.uint64(24) | sample[goes] & _LOW24)
+            sample, rank, own, left, right = (x[new] for x in (sample, rank, own, left, right))
+            part, key = (sample >> np.uint64(40)).astype(np.int64), sample & _LOW40
+            rows, docs, zones = [], [], []
+            edges = np.flatnonzero(np.diff(part, prepend=-1))
+            for s, e in zip(edges, np.append(edges[1:], len(part))):
+                here, place = np.unique(own[s:e], return_inverse=True)
+                rows.append(int(part[s]))
+                docs.append(all_ids[here].tobytes())
+                zones.append(_pack([key[s:e], rank[s:e], place, left[s:e], right[s:e]]))
+            for s in range(0, len(goes), SETTLED):
+                own_docs, own_zones = (x[s:s + SETTLED] for x in settled)
+                rows.append(int(own_zones[0] % parts))
+                docs.append(own_docs.tobytes() + own_zones.tobytes())
+                zones.append(b"")
+            yield batch(_SENT, rows, docs, zones)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        held: list[list[np.ndarray]] = []
+        # the first column is the bucket, then 40 bits of the sample
+        held = _Pieces(parts << 40, 1 << 40)
         size, known = 0, {}
         for b in batches:
             own_ids = b["doc_id"].to_numpy()
             for at, data, offsets in K.chunks(b["text"], TEXT_BYTES):
                 n = len(offsets) - 1
-                if held and (size >= SEND_BYTES or len(ids) + n > 1 << 16):
-                    yield pack(ids, held)
-                    ids, held, size = [], [], 0
+                if held.rows and (size >= SEND_BYTES or len(ids) + n > 1 << 16):
+                    yield from pack(ids, held)
+                    ids, held, size = [], _Pieces(parts << 40, 1 << 40), 0
                 zones = Zones(data, offsets, parts)
                 keep = np.ones(n, bool)
                 hashes = K.range_hash(data, offsets[:-1], offsets[1:], _PLAIN) if len(data) else np.zeros(0, np.uint64)
@@ -227,11 +257,11 @@ def _send(parts: int):
                         known[h] = doc
                 pick = np.flatnonzero(keep[zones.row])
                 if len(pick):
-                    held.append([zones.part[pick], zones.key[pick], zones.rank[pick], zones.row[pick] + len(ids), *zones.sides(pick)])
+                    sample = zones.part[pick].astype(np.uint64) << np.uint64(40) | zones.key[pick]
+                    held.add(sample, zones.rank[pick], *(x.astype(np.uint16) for x in (zones.row[pick] + len(ids), *zones.sides(pick))))
                 ids += own_ids[at:at + n].tolist()
                 size += len(data)
-        if held:
-            yield pack(ids, held)
+        yield from pack(ids, held)
 
     return run
 
@@ -244,7 +274,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("kind", pa.in
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns, docs, parts = [], [], []
+    buckets: dict[int, _Pieces] = {}
     for b in batches:
         for part, ids, zones in zip(b["part"].to_pylist(), b["ids"], b["zones"]):
             held = np.frombuffer(ids.as_buffer(), np.int64)
@@ -253,26 +283,29 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(held) // 2
                 yield batch(_FOUND, held[:n], held[n:], np.full(n, WHOLE, np.int32), np.zeros(n, np.int32))
                 continue
-            columns.append(_unpack(packed))
-            docs.append(held[columns[-1][2].astype(np.int64)])
-            parts.append(np.full(len(docs[-1]), part))
-    if not columns:
-        return
-    key, rank, _, left, right = (np.concatenate(x) for x in zip(*columns))
-    doc, part = np.concatenate(docs), np.concatenate(parts)
+            key, rank, place, left, right = _unpack(packed)
+            pieces = buckets.setdefault(part, _Pieces(1 << 40))
+            pieces.add(key, rank, held[place.astype(np.int64)], left.astype(np.uint16), right.astype(np.uint16))
+    for pieces in buckets.values():
+        for columns in pieces.ranges():
+            yield from _sort_samples(*columns)
+
+
+def _sort_samples(key: np.ndarray, rank: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What becomes of the zones of some samples of a bucket."""
     # most samples are in one document only
-    order = np.lexsort((key, part))
+    order = np.argsort(key, kind="stable")
     twin = np.zeros(len(order), bool)
-    same = (key[order][1:] == key[order][:-1]) & (part[order][1:] == part[order][:-1])
+    same = key[order][1:] == key[order][:-1]
     twin[1:] |= same
     twin[:-1] |= same
     order = order[twin]
-    order = order[np.lexsort((doc[order], rank[order], key[order], part[order]))]
-    key, rank, doc, part, left, right = (x[order] for x in (key, rank, doc, part, left, right))
+    order = order[np.lexsort((doc[order], rank[order], key[order]))]
+    key, rank, doc, left, right = (x[order] for x in (key, rank, doc, left, right))
     if not len(key):
         return
     new_key = np.ones(len(key), bool)
-    new_key[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+    new_key[1:] = key[1:] != key[:-1]
     new_zone = new_key.copy()
     new_zone[1:] |= rank[1:] != rank[:-1]
     zone = np.cumsum(new_zone) - 1
@@ -364,29 +397,41 @@ def _bytes_of_zones(parts: int):
     return run
 
 
+_OWNERS = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64())])
 _MASKS = pa.schema([("doc_id", pa.int64()), ("zone", pa.int64()), ("mask", pa.int64())])
 
 
 def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the zones of a partition's buckets that a smaller document
     has, as bits of each zone."""
-    t = whole(batches)
+    held, n = [], 0
+    windows = _Pieces(1 << 64)
+    for b in batches:
+        bucket = K.unsigned(b["bucket"].to_numpy())
+        before = b["before"].to_numpy()
+        for at, data, offsets in K.chunks(b["bytes"], TEXT_BYTES):
+            count = np.diff(offsets) - LENGTH + 1
+            own, j = np.repeat(np.arange(len(count)), count), _each(count)
+            start = offsets[own] + j
+            own += at
+            window = K.mix(K.range_hash(data, start, start + LENGTH, _PLAIN) + (before[own] - j).astype(np.uint64)) ^ bucket[own]
+            windows.add(window, (own + n).astype(np.uint32), j.astype(np.uint8))
+        # copies, so that the bytes of the batch go
+        held.append(batch(_OWNERS, b["doc_id"].to_numpy().copy(), b["zone"].to_numpy().copy()))
+        n += b.num_rows
+    t = whole(iter(held))
     if t is None:
         return
-    data, offsets = binary_parts(t["bytes"])
-    bucket, doc, zone, before = (t[c].to_numpy() for c in ("bucket", "doc_id", "zone", "before"))
-    data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
-    count = np.diff(offsets) - LENGTH + 1
-    own, j = np.repeat(np.arange(len(count)), count), _each(count)
-    start = offsets[own] + j
-    window = K.mix(K.range_hash(data, start, start + LENGTH, _PLAIN) + (before[own] - j).astype(np.uint64)) ^ K.unsigned(bucket)[own]
-    order = np.lexsort((doc[own], window))
-    new = np.ones(len(order), bool)
-    new[1:] = window[order][1:] != window[order][:-1]
-    least = doc[own[order]][new][np.cumsum(new) - 1]
-    gone = order[doc[own[order]] > least]
-    mask = np.zeros(len(count), np.int64)
-    np.bitwise_or.at(mask, own[gone], np.int64(1) << j[gone])
+    doc, zone = t["doc_id"].to_numpy(), t["zone"].to_numpy()
+    mask = np.zeros(n, np.int64)
+    for window, own, j in windows.ranges():
+        order = np.argsort(window)
+        window, own, j = window[order], own[order], j[order]
+        first = np.ones(len(window), bool)
+        first[1:] = window[1:] != window[:-1]
+        least = np.minimum.reduceat(doc[own], np.flatnonzero(first))[np.cumsum(first) - 1]
+        gone = np.flatnonzero(doc[own] > least)
+        np.bitwise_or.at(mask, own[gone], np.int64(1) << j[gone].astype(np.int64))
     some = np.flatnonzero(mask)
     yield batch(_MASKS, doc[some], zone[some], mask[some])
 
