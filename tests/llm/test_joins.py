@@ -160,6 +160,34 @@ def test_windows_are_hashed_in_slices_and_sorted_in_ranges(monkeypatch):
     assert len(suffix_dedup.K._Powers.up) <= 2 * suffix_dedup.TEXT_BYTES
 
 
+def test_sums_of_a_slice_are_made_once(monkeypatch):
+    made, sums = [], suffix_dedup.K.prefix_sums
+
+    def counted(data, *fold):
+        made.append(len(data))
+        return sums(data, *fold)
+
+    monkeypatch.setattr(suffix_dedup.K, "prefix_sums", counted)
+    data = np.random.default_rng(13).integers(97, 100, 5000, dtype=np.uint8)
+    zones = suffix_dedup.Zones(data, np.array([0, 2000, 5000]), 4)
+    zones.sides(np.arange(len(zones.row)))
+    assert made == [5000]
+    # the sample is the first of the least of each window
+    hashes = suffix_dedup.K.range_hash(data, np.arange(4981), np.arange(20, 5001), suffix_dedup._PLAIN).tolist()
+    for start, count, at in zip(zones.start.tolist(), zones.count.tolist(), zones.at.tolist()):
+        for s in range(start, start + count):
+            window = hashes[s:s + 31]
+            assert at == s + window.index(min(window))
+
+
+def test_zones_that_share_no_side_are_not_counted_as_compared(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_ZONES", 2)
+    key, left = np.zeros(5, np.uint64), np.array([1, 1, 2, 3, 4], np.uint16)
+    right = np.arange(5, dtype=np.uint16)
+    found = pa.Table.from_batches(list(suffix_dedup._sort_samples(key, np.arange(5, dtype=np.uint64), np.arange(5), left, right)))
+    assert sorted(zip(found["doc_id"].to_pylist(), found["kind"].to_pylist())) == [(0, suffix_dedup.ENDS), (1, suffix_dedup.ENDS)]
+
+
 def test_a_task_that_sends_zones_holds_little_beside_them(monkeypatch):
     import tracemalloc
 

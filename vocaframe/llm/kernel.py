@@ -85,10 +85,21 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
 
 def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = FOLD) -> np.ndarray:
     """64-bit hash of each byte range, equal for equal folded bytes."""
-    up, down = _Powers.get(len(data) + 1)
+    return ranges_hash(prefix_sums(data, fold), starts, ends)
+
+
+def prefix_sums(data: np.ndarray, fold: np.ndarray = FOLD) -> np.ndarray:
+    """Sums that :func:`ranges_hash` takes hashes of ranges from."""
+    up, _ = _Powers.get(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_TABLE[fold][data] * up[:len(data)], out=sums[1:])
+    return sums
+
+
+def ranges_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """:func:`range_hash` of bytes whose prefix sums are known."""
+    _, down = _Powers.get(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

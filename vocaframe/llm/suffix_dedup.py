@@ -93,7 +93,8 @@ class Zones:
             self.key = self.rank = self.id = np.zeros(0, np.uint64)
             return
         begin = np.arange(n - GRAM + 1)
-        grams = K.range_hash(data, begin, begin + GRAM, _PLAIN)
+        self.sums = K.prefix_sums(data, _PLAIN)
+        grams = K.ranges_hash(self.sums, begin, begin + GRAM)
         least = _least(grams, _SPAN)
         # windows inside one text
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n - LENGTH + 1]
@@ -110,23 +111,21 @@ class Zones:
         sample = grams[self.at]
         self.part = (sample % np.uint64(parts)).astype(np.int64)
         self.key = sample // np.uint64(parts) & _LOW40
-        rank = K.range_hash(data, self.start, self.start + self.count + LENGTH - 1, _PLAIN)
+        rank = K.ranges_hash(self.sums, self.start, self.start + self.count + LENGTH - 1)
         self.rank = K.mix(rank + (self.at - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & _LOW40
         self.id = self.rank << np.uint64(24) | self.key & _LOW24
-        self.data, self.offsets = data, offsets
+        self.offsets = offsets
 
     def sides(self, pick: np.ndarray) -> list[np.ndarray]:
         """16-bit hashes of the bytes left and right of the samples."""
         at, row = self.at[pick], self.row[pick]
-        left = K.range_hash(self.data, np.maximum(at - SIDE, self.offsets[row]), at, _PLAIN)
-        right = K.range_hash(self.data, at + GRAM, np.minimum(at + GRAM + SIDE, self.offsets[row + 1]), _PLAIN)
+        left = K.ranges_hash(self.sums, np.maximum(at - SIDE, self.offsets[row]), at)
+        right = K.ranges_hash(self.sums, at + GRAM, np.minimum(at + GRAM + SIDE, self.offsets[row + 1]))
         return [left & _LOW16, right & _LOW16]
 
     @staticmethod
     def _anchors(grams: np.ndarray, least: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        # candidates: positions that are the least of some window
         wanted = least[starts]
-        is_least = np.zeros(len(grams), bool)
         anchor = np.full(len(starts), -1, np.int64)
         left = np.arange(len(starts))
         # a window's sample is mostly that of the window before it
@@ -134,8 +133,11 @@ class Zones:
             new = np.ones(len(starts), bool)
             new[1:] = (wanted[1:] != wanted[:-1]) | (starts[1:] != starts[:-1] + 1)
             heads = np.flatnonzero(new)
-            found = np.full(len(heads), -1, np.int64)
-            todo = np.arange(len(heads))
+            # a value below the least of the window before it has just come in
+            found = starts[heads] + _SPAN - 1
+            fell = np.zeros(len(heads), bool)
+            fell[1:] = (starts[heads[1:]] == starts[heads[1:] - 1] + 1) & (wanted[heads[1:]] < wanted[heads[1:] - 1])
+            todo = np.flatnonzero(~fell)
             for d in range(_SPAN):
                 if not len(todo):
                     break
@@ -146,7 +148,6 @@ class Zones:
             # windows that have moved past it hold the same value once more
             left = np.flatnonzero(anchor < starts)
             while len(left):
-                is_least[:] = False
                 for d in range(_SPAN):
                     if not len(left):
                         break
@@ -312,7 +313,6 @@ def _sort_samples(key: np.ndarray, rank: np.ndarray, doc: np.ndarray, left: np.n
     goes = doc > doc[new_zone][zone]
     first = np.flatnonzero(new_zone)
     sample = (np.cumsum(new_key) - 1)[first]
-    zones = np.bincount(sample)[sample]
     sides = np.zeros(len(first), np.int32)
     for bit, side in ((1, left[first]), (2, right[first])):
         by = np.lexsort((side, sample))
@@ -321,6 +321,8 @@ def _sort_samples(key: np.ndarray, rank: np.ndarray, doc: np.ndarray, left: np.n
         shared[by[1:]] |= same
         shared[by[:-1]] |= same
         sides[shared] |= bit
+    # those that share no side are compared with nothing
+    zones = np.bincount(sample, sides > 0)[sample]
     ids = K.signed(rank << np.uint64(24) | key & _LOW24)
     groups = [np.flatnonzero(goes), *(first[(sides > 0) & many] for many in (zones <= MOST_ZONES, zones > MOST_ZONES))]
     rows = np.concatenate(groups)
@@ -368,13 +370,13 @@ def _windows(parts: int):
     reach ``SIDE`` bytes into a side that no other zone shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, data, z, i, sides in _wanted(batches, parts):
+        for doc, _, z, i, sides in _wanted(batches, parts):
             zone, j, side = np.repeat(i, z.count[i]), _each(z.count[i]), np.repeat(sides, z.count[i])
             before = z.at[zone] - z.start[zone] - j
             may = ((side & 1 > 0) | (before < SIDE)) & ((side & 2 > 0) | (LENGTH - GRAM - before < SIDE))
             zone, j = zone[may], j[may]
             start = z.start[zone] + j
-            hashes = K.mix(K.range_hash(data, start, start + LENGTH, _PLAIN) + (z.at[zone] - start).astype(np.uint64))
+            hashes = K.mix(K.ranges_hash(z.sums, start, start + LENGTH) + (z.at[zone] - start).astype(np.uint64))
             yield batch(_WINDOWS, doc[zone], K.signed(z.id[zone]), j.astype(np.int32), K.signed(hashes))
 
     return run
