@@ -114,3 +114,67 @@ def test_clips_are_joined_without_a_broadcast(spark, tmpdir_path):
     made = QUERIES["audio_resample_blocks"](spark, tmpdir_path)
     assert "Broadcast" not in plan_text(made)
     assert all(r.n_equal == r.n_whole == r.n_samples for r in made.collect())
+
+
+def test_no_sample_is_shuffled(spark, tmpdir_path):
+    from conftest import plan_text
+    from vocaframe.plans.queries import QUERIES
+
+    spark.range(50).withColumnRenamed("id", "event_id").write.parquet(os.path.join(tmpdir_path, "events.parquet"))
+    lines = plan_text(QUERIES["audio_resample_blocks"](spark, tmpdir_path)).splitlines()
+    moved = [(line, lines[i + 1]) for i, line in enumerate(lines) if "Exchange" in line]
+    assert "hashpartitioning(utt_id" in moved[0][0] and "partial_count" in moved[0][1]  # the sums of each id
+    assert moved[1:] and all("REPARTITION_BY_NUM" in line and any(x in below for x in ("Filter", "FileScan")) for line, below in moved[1:])
+
+
+def test_blocks_dealt_by_id_stay_where_they_are(spark, folder):
+    from conftest import plan_text
+
+    path, _ = folder
+    frames = read_audio_frames(spark, path, block_frames=128).where("error IS NULL")
+    dealt, other = frames.repartition(3, "file_id"), frames.select("file_id", F.lit(1).alias("n")).distinct().repartition(3, "file_id")
+    for made in (A.resample_blocks(dealt, "file_id"), A.resample_blocks(dealt, "file_id", beside=other)):
+        below = plan_text(made).split("MapInArrow", 1)[1].split("REPARTITION_BY_NUM")[0]
+        assert "Window" in below and "ENSURE_REQUIREMENTS" not in below and "Broadcast" not in below
+    made, loose = A.resample_blocks(dealt, "file_id"), A.resample_blocks(frames, "file_id")
+    assert sorted(map(str, made.collect())) == sorted(map(str, loose.collect()))
+
+
+def test_rows_beside_the_blocks_are_joined_by_id(spark):
+    ramp = [float(i) / 512 for i in range(300)]
+    blocks = [("a", 0, 0, 300, 8000, ramp[:128]), ("a", 1, 128, 300, 8000, ramp[128:256]), ("a", 2, 256, 300, 8000, ramp[256:]),
+              ("twice", 0, 0, 128, 44100, ramp[:128]), ("twice", 0, 0, 128, 44100, ramp[:128]), ("alone", 0, 0, 3, 8000, ramp[:3]), (None, 0, 0, 3, 16000, ramp[:3])]
+    df = spark.createDataFrame(blocks, "id string, block long, start long, total long, sample_rate int, samples array<float>")
+    beside = spark.createDataFrame([("a", [[1]], 5), ("twice", None, None), ("twice", [[2], []], 7), ("none", [], 8), (None, [], 9)], "id string, x array<array<int>>, sample int")
+    got = A.resample_blocks(df, "id", beside=beside)
+    assert got.columns == ["id", "block", "start", "total", "sample_rate", "samples", "x", "sample"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, A.resample_blocks(df, "id").join(beside, "id").collect()))
+    assert {r.id for r in got.collect()} == {"a", "twice"} and got.count() == 3 + 2 * 2
+
+
+def test_nulls_are_nobodys_neighbours(spark):
+    rows = [(None, b, 128 * b, 256, 8000, [0.5] * 128) for b in (0, 1)]
+    df = spark.createDataFrame(rows, "id string, block long, start long, total long, sample_rate int, samples array<float>")
+    with pytest.raises(Exception, match="neighbour"):
+        A.resample_blocks(df, "id").collect()
+    assert A.resample_blocks(df.withColumn("sample_rate", F.lit(16000)), "id").count() == 2
+
+
+def test_columns_that_are_kept_come_along(spark):
+    rows = [(i, [tone(8000, 40 + i % 3, 1)[0].tolist()], 8000, 16, [[i], None], f"n{i}" if i % 5 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "utt long, channels array<array<int>>, sample_rate int, bits int, deep array<array<int>>, name string")
+    wav = A.encode_wav(df, "utt", keep=["deep", "name"])
+    assert wav.columns == ["utt", "content", "deep", "name"]
+    # the same bytes in a row, a bad one and null between them
+    wav = wav.coalesce(1).withColumn("content", F.expr("CASE WHEN utt % 50 IN (7, 8) THEN X'00' WHEN utt % 50 IN (9, 10) THEN NULL ELSE content END"))
+    pre = A.preprocess_audio(wav.unionByName(wav).coalesce(1).sortWithinPartitions("utt"), "utt", keep=["name", "deep"])
+    assert pre.columns == ["utt", "sample_rate", "n_samples", "samples", "error", "name", "deep"]
+    content = {r.utt: r.content for r in wav.collect()}
+    found = pre.collect()
+    assert sorted(r.utt for r in found) == sorted([*range(150)] * 2)
+    for r in found:
+        assert (r.deep, r.name) == rows[r.utt][4:]
+        if r.utt % 50 in (7, 8, 9, 10):
+            assert r.samples is None and r.n_samples is None and r.error
+        else:
+            assert r.error is None and r.samples == A.preprocess(bytes(content[r.utt])).tolist() and r.n_samples == len(r.samples)

@@ -13,8 +13,9 @@ import struct
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .. import constants as K
 from ..session import ship_package
@@ -295,6 +296,25 @@ def _float_lists(parts: list, valid: list[bool]):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
 
 
+def _map(slim: DataFrame, run, made: str, id_col: str, kept: list[str]) -> DataFrame:
+    """``run`` on the Arrow batches of ``slim`` (``id`` first): the id, the
+    columns ``made`` by ``run`` and the ``kept`` ones, which are the last of
+    ``slim``.  Rows stay in their task and in their order."""
+    fields = list(StructType.fromDDL(made))
+    extra = slim.schema.fields[len(slim.columns) - len(kept):]
+    inner = [StructField("id", slim.schema["id"].dataType), *fields, *(StructField(f"kept_{i}", f.dataType) for i, f in enumerate(extra))]
+    names = [f.name for f in inner]
+
+    def batches(stream):
+        import pyarrow as pa
+
+        for rb in _slices(stream):
+            last = rb.columns[rb.num_columns - len(kept):]
+            yield pa.RecordBatch.from_arrays([rb.column(0), *run(rb), *last], names=names)
+
+    return slim.mapInArrow(batches, StructType(inner)).withColumnsRenamed({"id": id_col} | {f"kept_{i}": c for i, c in enumerate(kept)})
+
+
 def inspect_headers(df: DataFrame, id_col: str, content_col: str = "content",
                     length_col: str | None = None) -> DataFrame:
     """``id, sample_rate, n_channels, bits, n_frames, seconds, error`` of WAV
@@ -335,46 +355,50 @@ def lint(headers: DataFrame, min_rate: int = K.SAMPLE_RATE, max_seconds: float =
 
 
 def preprocess_audio(df: DataFrame, id_col: str, content_col: str = "content",
-                     target_rate: int = K.SAMPLE_RATE) -> DataFrame:
+                     target_rate: int = K.SAMPLE_RATE, keep: list[str] | None = None) -> DataFrame:
     """``id, sample_rate, n_samples, samples array<float>, error``: decoded,
-    channel-averaged, resampled to 16 kHz.  A bad file gives an ``error``
-    row instead of failing the job."""
+    channel-averaged, resampled to 16 kHz; the columns of ``keep`` come along
+    unchanged.  A bad file gives an ``error`` row instead of failing the job."""
     ship_package(df.sparkSession)
-    slim = df.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
+    kept = list(keep or ())
+    slim = df.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(kept)))
 
-    def run(batches):
+    def run(rb):
         import pyarrow as pa
 
-        for rb in _slices(batches):
-            parts, valid, ns, errs = [], [], [], []
-            for content in rb.column(1).to_pylist():
+        rows, last = [], None
+        for content in rb.column(1).to_pylist():
+            if not rows or content != last:  # a clip that comes once for each of its blocks is decoded once
                 try:
-                    y = preprocess(content, target_rate)
-                    parts.append(y), valid.append(True), ns.append(len(y)), errs.append(None)
+                    row = preprocess(content, target_rate), None
                 except (WavError, struct.error, ValueError, TypeError, MemoryError) as e:
-                    parts.append(None), valid.append(False), ns.append(None), errs.append(str(e))
-            n = rb.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(0), pa.array(np.full(n, target_rate, np.int32)), pa.array(ns, pa.int64()),
-                 _float_lists(parts, valid), pa.array(errs, pa.string())],
-                names=["id", "sample_rate", "n_samples", "samples", "error"])
-
-    schema = "id {t}, sample_rate int, n_samples bigint, samples array<float>, error string".format(
-        t=dict(df.dtypes)[id_col])
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                    row = None, str(e)
+                last = content
+            rows.append(row)
+        parts, errs = zip(*rows) if rows else ((), ())
+        valid, ns = [p is not None for p in parts], [None if p is None else len(p) for p in parts]
+        return [pa.array(np.full(rb.num_rows, target_rate, np.int32)), pa.array(ns, pa.int64()), _float_lists(parts, valid), pa.array(list(errs), pa.string())]
 
+    return _map(slim, run, "sample_rate int, n_samples bigint, samples array<float>, error string", id_col, kept)
 
-def resample_blocks(df: DataFrame, id_col: str, target_rate: int = K.SAMPLE_RATE) -> DataFrame:
+
+def resample_blocks(df: DataFrame, id_col: str, target_rate: int = K.SAMPLE_RATE, beside: DataFrame | None = None) -> DataFrame:
     """Resample recordings that are spread over blocks, each block in its own
     task: ``id, block, start, total, sample_rate, samples`` -> the same columns
     at ``target_rate``, ``start`` and ``total`` counted in output frames.
 
     ``block`` numbers a recording's blocks one after the other, ``start`` is a
     block's first frame, ``total`` the frames of the recording, ``samples`` one
-    channel.  An output frame needs some input frames on either side: only
-    those travel between neighbouring blocks, through one aggregation of edges
-    by (id, block); the blocks are joined with them and never put together.
-    The samples equal those of :func:`preprocess_audio` on the whole file.
+    channel.  An output frame needs some input frames on either side: each
+    block sends its edges to the places of its neighbours, and a window over
+    (id, block) hands them to the blocks, which are never put together.  Rows
+    that are dealt by the id already stay where they are; others are shuffled
+    once.  The samples equal those of :func:`preprocess_audio` on the whole file.
+
+    ``beside``: rows that are joined to the blocks of their id (inner), for
+    steps that need both; their other columns come along unchanged.  They meet
+    before the samples go through Python, where Spark loses sight of how rows
+    are dealt, so that rows dealt by the id are not shuffled for it.
 
     A block that is no longer than the filter's reach (some dozen frames) and
     is not the last, or a missing neighbour, fails the job: its neighbours
@@ -386,16 +410,22 @@ def resample_blocks(df: DataFrame, id_col: str, target_rate: int = K.SAMPLE_RATE
     # one frame more than reach_of(), so that rounding cannot matter
     reach = (F.floor(F.lit(float(ZEROS)) / (F.lit(ROLLOFF) * F.least(F.lit(1.0), F.lit(float(target_rate)) / F.col("rate")))) + 2).cast("int")
     tail = F.slice("x", F.greatest(F.array_size("x") - reach + 1, F.lit(1)), reach)
-    none = F.lit(None).cast("array<float>")
-    edges = slim.where(F.array_size("x") > 0).select("id", "block", tail.alias("tail"), F.slice("x", F.lit(1), reach).alias("head"))
-    sent = edges.select("id", (F.col("block") + 1).alias("block"), F.col("tail").alias("before"), none.alias("after")).unionByName(
-        edges.select("id", (F.col("block") - 1).alias("block"), none.alias("before"), F.col("head").alias("after")))
-    halos = sent.groupBy("id", "block").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    # merged: arrays count as a few bytes in the plan's estimate, so that edges
-    # of any size would be broadcast through the driver
-    met = slim.join(halos.hint("merge"), ["id", "block"], "left").select("id", "block", "start", "total", "rate", "x", "before", "after")
-
-    def run(batches):
+    to = F.col("to")  # 0: the block itself; 1 and -1: an edge for the block after or before it
+    sent = slim.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(-1))).alias("to")).where((to == 0) | (F.array_size("x") > 0)).select(
+        "id", (F.col("block") + to).alias("block"), "start", "total", "rate", F.when(to == 0, F.col("x")).alias("x"),
+        F.when(to == 1, tail).alias("tail"), F.when(to == -1, F.slice("x", F.lit(1), reach)).alias("head"), "to")
+    place = Window.partitionBy("id", "block")
+    known = F.col("id").isNotNull() & F.col("block").isNotNull()  # nulls are nobody's neighbours
+    met = sent.select("id", "block", "start", "total", "rate", "x", F.when(known, F.max("tail").over(place)).alias("before"),
+                      F.when(known, F.max("head").over(place)).alias("after"), "to").where(to == 0).drop("to")
+    kept = [c for c in beside.columns if c != id_col] if beside is not None else []
+    if beside is not None:
+        # merged: arrays count as a few bytes in the plan's estimate, so that
+        # rows of any size would be broadcast through the driver
+        near = beside.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(kept)))
+        met = met.join(near.hint("merge"), "id")
+
+    def run(rb):
         import pyarrow as pa
 
         def floats(column):
@@ -405,56 +435,52 @@ def resample_blocks(df: DataFrame, id_col: str, target_rate: int = K.SAMPLE_RATE
             return [vals[off[i]:off[i + 1]] if ok[i] else None for i in range(len(column))]
 
         nothing = np.zeros(0, np.float32)
-        for rb in _slices(batches):
-            starts, totals, rates = (rb.column(c).to_pylist() for c in (2, 3, 4))
-            parts, firsts, ends = [], [], []
-            for x, before, after, start, total, rate in zip(*(floats(rb.column(c)) for c in (5, 6, 7)), starts, totals, rates):
-                if x is None or not rate:
-                    parts.append(None), firsts.append(None), ends.append(None)
-                    continue
-                left, right = (nothing if h is None else h for h in (before, after))
-                need = 0 if rate == target_rate else reach_of(rate, target_rate)
-                if len(left) < min(need, start) or len(right) < min(need, total - start - len(x)):
-                    raise ValueError(f"block at frame {start}: a neighbour is missing or shorter than {need} frames")
-                first, y = resample_part(x, start, left, right, rate, target_rate)
-                parts.append(y), firsts.append(first), ends.append(-(-total * target_rate // rate))
-            valid = [p is not None for p in parts]
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(0), rb.column(1), pa.array(firsts, pa.int64()), pa.array(ends, pa.int64()), pa.array(np.full(rb.num_rows, target_rate, np.int32)), _float_lists(parts, valid)],
-                names=["id", "block", "start", "total", "sample_rate", "samples"])
-
-    schema = "id {t}, block bigint, start bigint, total bigint, sample_rate int, samples array<float>".format(t=dict(df.dtypes)[id_col])
-    return met.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        starts, totals, rates = (rb.column(c).to_pylist() for c in (2, 3, 4))
+        parts, firsts, ends = [], [], []
+        for x, before, after, start, total, rate in zip(*(floats(rb.column(c)) for c in (5, 6, 7)), starts, totals, rates):
+            if x is None or not rate:
+                parts.append(None), firsts.append(None), ends.append(None)
+                continue
+            left, right = (nothing if h is None else h for h in (before, after))
+            need = 0 if rate == target_rate else reach_of(rate, target_rate)
+            if len(left) < min(need, start) or len(right) < min(need, total - start - len(x)):
+                raise ValueError(f"block at frame {start}: a neighbour is missing or shorter than {need} frames")
+            first, y = resample_part(x, start, left, right, rate, target_rate)
+            parts.append(y), firsts.append(first), ends.append(-(-total * target_rate // rate))
+        valid = [p is not None for p in parts]
+        return [rb.column(1), pa.array(firsts, pa.int64()), pa.array(ends, pa.int64()), pa.array(np.full(rb.num_rows, target_rate, np.int32)), _float_lists(parts, valid)]
+
+    return _map(met, run, "block bigint, start bigint, total bigint, sample_rate int, samples array<float>", id_col, kept)
 
 
 def encode_wav(df: DataFrame, id_col: str, channels_col: str = "channels", rate_col: str = "sample_rate",
-               bits_col: str = "bits") -> DataFrame:
+               bits_col: str = "bits", keep: list[str] | None = None) -> DataFrame:
     """``id, content`` WAV bytes from integer channels at 16-bit scale
-    (``array<array<int>>``), per-row rate and width.  The WAV sink: write
-    the result as Parquet, or hand it to :func:`vocaframe.sources.audio.write_wav_files`."""
+    (``array<array<int>>``), per-row rate and width; the columns of ``keep``
+    come along unchanged.  The WAV sink: write the result as Parquet, or hand
+    it to :func:`vocaframe.sources.audio.write_wav_files`."""
     ship_package(df.sparkSession)
-    slim = df.select(F.col(id_col).alias("id"), F.col(channels_col).alias("ch"),
-                     F.col(rate_col).alias("rate"), F.col(bits_col).alias("bits"))
+    kept = list(keep or ())
+    slim = df.select(F.col(id_col).alias("id"), F.col(channels_col).alias("ch"), F.col(rate_col).alias("rate"), F.col(bits_col).alias("bits"),
+                     *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(kept)))
 
-    def run(batches):
+    def run(rb):
         import pyarrow as pa
 
-        for rb in _slices(batches):
-            chans = rb.column(1).flatten()  # list<list<int>>: rows -> channels -> samples
-            row_off, ch_off = _offsets(rb.column(1)), _offsets(chans)
-            values = chans.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            out = []
-            for i, (rate, bits) in enumerate(zip(rb.column(2).to_pylist(), rb.column(3).to_pylist())):
-                c0, c1 = row_off[i], row_off[i + 1]
-                if c1 == c0:
-                    arr = np.zeros((1, 0), np.int64)
-                else:
-                    arr = np.stack([values[ch_off[c]:ch_off[c + 1]] for c in range(c0, c1)])
-                out.append(encode_pcm(arr, int(rate), int(bits)))
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(out, pa.binary())], names=["id", "content"])
-
-    schema = "id {t}, content binary".format(t=dict(df.dtypes)[id_col])
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        chans = rb.column(1).flatten()  # list<list<int>>: rows -> channels -> samples
+        row_off, ch_off = _offsets(rb.column(1)), _offsets(chans)
+        values = chans.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        out = []
+        for i, (rate, bits) in enumerate(zip(rb.column(2).to_pylist(), rb.column(3).to_pylist())):
+            c0, c1 = row_off[i], row_off[i + 1]
+            if c1 == c0:
+                arr = np.zeros((1, 0), np.int64)
+            else:
+                arr = np.stack([values[ch_off[c]:ch_off[c + 1]] for c in range(c0, c1)])
+            out.append(encode_pcm(arr, int(rate), int(bits)))
+        return [pa.array(out, pa.binary())]
+
+    return _map(slim, run, "content binary", id_col, kept)
 
 
 def waveform_to_wav(df: DataFrame, id_col: str, samples_col: str = "samples",

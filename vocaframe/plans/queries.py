@@ -369,9 +369,11 @@ BLOCK_FRAMES = 128
 
 def q_audio_resample_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Clips of 400 different frames in blocks of 128 -> 16 kHz, block by
-    block: how many samples equal those of the clip in one piece."""
+    block: how many samples equal those of the clip in one piece.
+
+    The rows are dealt by id while they are ids only, blocks and clips meet
+    before they go through Python: no sample is shuffled."""
     w = S.varied_clips(spark, sf)
-    whole = audio.preprocess_audio(audio.encode_wav(w, "utt_id"), "utt_id").select("utt_id", "n_samples", F.col("samples").alias("whole"))
     size = F.lit(BLOCK_FRAMES)
     scaled = F.transform(F.get("channels", F.lit(0)), lambda x: (x.cast("double") / 32768).cast("float"))
     clips = w.select("utt_id", "sample_rate", scaled.alias("x"))
@@ -379,12 +381,13 @@ def q_audio_resample_blocks(spark: SparkSession, sf: str) -> DataFrame:
                        F.explode(F.sequence(F.lit(0), F.floor((F.array_size("x") - 1) / size).cast("int"))).alias("block"))
     blocks = cut.select("utt_id", "sample_rate", "total", F.col("block").cast("bigint").alias("block"), (F.col("block") * size).cast("bigint").alias("start"),
                         F.slice("x", F.col("block") * size + 1, size).alias("samples"))
-    # merged: the plan's estimate takes an array for a few bytes, a broadcast would put all clips on the driver
-    made = audio.resample_blocks(blocks, "utt_id").join(whole.hint("merge"), "utt_id")
-    same = F.zip_with("samples", F.slice("whole", (F.col("start") + 1).cast("int"), F.array_size("samples")), lambda a, b: F.when(a == b, 1).otherwise(0))
+    pairs = audio.resample_blocks(blocks, "utt_id", beside=w.select("utt_id", "channels", F.col("sample_rate").alias("clip_rate"), "bits"))
+    wav = audio.encode_wav(pairs.withColumnRenamed("samples", "part"), "utt_id", rate_col="clip_rate", keep=["start", "total", "part"])
+    made = audio.preprocess_audio(wav, "utt_id", keep=["start", "total", "part"]).withColumnRenamed("samples", "whole")
+    same = F.zip_with("part", F.slice("whole", (F.col("start") + 1).cast("int"), F.array_size("part")), lambda a, b: F.when(a == b, 1).otherwise(0))
     equal = F.aggregate(same, F.lit(0), lambda acc, x: acc + x)
     return made.groupBy("utt_id").agg(
-        F.count(F.lit(1)).alias("n_blocks"), F.max("total").alias("total"), F.sum(F.array_size("samples")).alias("n_samples"),
+        F.count(F.lit(1)).alias("n_blocks"), F.max("total").alias("total"), F.sum(F.array_size("part")).alias("n_samples"),
         F.max("n_samples").alias("n_whole"), F.sum(equal).alias("n_equal"))
 
 

@@ -273,9 +273,17 @@ VARIED_FRAMES = 400
 VARIED = f"transform(sequence(0, {VARIED_FRAMES - 1}), j -> CAST((event_id * 31 + j * j * 17) % 20011 - 10005 AS INT))"
 
 
+CLIPS_A_TASK = 8192  # some 13 MB of samples
+
+
 def varied_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``utt_id, sample_rate, bits, channels`` of one channel."""
-    return table(spark, sf_dir, "events").select(
+    """``utt_id, sample_rate, bits, channels`` of one channel, dealt by
+    ``utt_id`` before the channels are made: what follows by id moves no audio.
+    The number of tasks is set by the rows, as the ids are far smaller than
+    the clips and would be put together in a few tasks."""
+    ids = table(spark, sf_dir, "events").select("event_id")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-ids.count() // CLIPS_A_TASK))
+    return ids.repartition(tasks, "event_id").select(
         F.col("event_id").alias("utt_id"), F.expr(LEVEL_RATE).alias("sample_rate"), F.lit(16).alias("bits"),
         F.array(F.expr(VARIED)).alias("channels"))
 
